@@ -32,7 +32,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def round3(sim: Column) -> Column:
-    return F.round(sim, 3)
+    """Three decimals, without a negative zero."""
+    return F.round(sim, 3) + F.lit(0.0)
 
 
 def matrix(column: pa.Array) -> np.ndarray:

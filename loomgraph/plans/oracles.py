@@ -1 +1,510 @@
-ORACLES = {}
+"""SQL equivalents of the registered queries, for DuckDB over the same tables.
+
+Written from the definitions with ranked windows and recursive queries, independently of
+how the operators compute them.
+"""
+
+from __future__ import annotations
+
+
+def canon(x: str) -> str:
+    return f"trim(regexp_replace(replace(lower({x}), '-', ' '), '\\s+', ' ', 'g'))"
+
+
+PAPERS = """
+papers as (
+  select cast(o_orderkey as varchar) as pid,
+         concat('Order ', o_orderkey, ' placed by customer number ', o_custkey) as title,
+         case when o_orderstatus = 'P' then '' else
+           concat(o_orderpriority, ' value ', cast(floor(o_totalprice / 1000) as bigint)) end as problem,
+         replace(o_orderpriority, '-', '|') as task,
+         case o_orderstatus when 'F' then 'general' when 'O' then 'medical' else '' end as domain,
+         case o_orderpriority when '1-URGENT' then 'technique' when '2-HIGH' then 'benchmark'
+           when '3-MEDIUM' then 'technique' when '4-NOT SPECIFIED' then 'survey' else 'other' end as paper_type
+  from orders)"""
+
+LEX = """
+lex as (
+  select p_partkey as ord, concat('Part-', p_partkey) as name,
+         concat('maker ', p_size) as a1, concat('SKU-', p_partkey) as a2, p_size,
+         case when p_size <= 20 then 'approved' when p_size <= 35 then 'unreviewed'
+           when p_size <= 42 then 'pending' else 'rejected' end as status,
+         case when p_type in ('SMALL', 'MEDIUM') then p_name else '' end as definition,
+         case when p_size <= 20 then 'seed' else p_brand end as source, '' as first_seen
+  from part where p_type <> 'PROMO')"""
+
+MENTIONS = f"""
+raw as (
+  select cast(l_orderkey as varchar) as pid, case when l_linenumber = 1 then 0 else 1 end as phase,
+         row_number() over (order by l_linenumber, l_partkey, l_suppkey, l_returnflag, l_discount,
+                                     l_quantity, l_linestatus) as pos,
+         case l_returnflag when 'A' then concat('Part-', l_partkey)
+           when 'R' then concat(' sku  ', l_partkey) else concat('Maker-', l_suppkey) end as name,
+         case when l_linenumber = 1 and l_discount >= 0.05 then
+           concat('uses ', cast(l_quantity as bigint), ' ', l_linestatus) else '' end as definition
+  from lineitem),
+m as materialized (select *, {canon('name')} as key from raw)"""
+
+RESOLVE = f"""
+entries as (
+  select ord, 0 as slot, {canon('name')} as rk, {canon('name')} as key from lex
+  union all select ord, 1, {canon('name')}, {canon('a1')} from lex
+  union all select ord, 2, {canon('name')}, {canon('a2')} from lex),
+alias_map as (
+  select key, rk from entries qualify row_number() over (partition by key order by ord desc, slot desc) = 1),
+reps as (
+  select {canon('name')} as rk, name as label, status, definition as lex_definition from lex
+  qualify row_number() over (partition by {canon('name')} order by ord desc) = 1),
+unknown as (select * from m where key not in (select key from alias_map))"""
+
+
+def _registered(order: str, keep_text: bool) -> str:
+    text = "case when phase = 0 then definition else '' end" if keep_text else "''"
+    return f"""
+fresh as (
+  select key as rk, name as label, case when phase = 0 then 'unreviewed' else 'pending' end as status,
+         {text} as definition, case when phase = 0 then 'defines' else 'builds_on' end as source,
+         pid as first_seen
+  from unknown qualify row_number() over (partition by key order by {order}) = 1),
+res as materialized (
+  select m.*, coalesce(a.rk, m.key) as rk, coalesce(r.label, f.label) as label,
+         coalesce(r.status, f.status) as status, coalesce(r.lex_definition, f.definition) as lex_definition,
+         coalesce(coalesce(r.status, f.status) in ('approved', 'unreviewed'), false) as ok
+  from m left join alias_map a on m.key = a.key left join reps r on a.rk = r.rk
+         left join fresh f on a.rk is null and f.rk = m.key)"""
+
+
+V1 = ",".join([PAPERS, LEX, MENTIONS, RESOLVE, _registered("phase, pid, pos", True)]) + """,
+d as (select * from res where phase = 0 and ok
+      qualify row_number() over (partition by rk order by pid, pos) = 1),
+pseudo as (select * from papers where pid not in (select pid from raw where phase = 0)),
+n_def as (select rk, count(distinct pid) as n_papers from res where phase = 0 and ok group by rk),
+nodes as (
+  select d.rk as key, d.label as canonical,
+         case when d.definition <> '' then d.definition else d.lex_definition end as definition,
+         d.pid as def_source, p.domain, p.paper_type as ptype, d.status, n.n_papers
+  from d join papers p on d.pid = p.pid join n_def n on d.rk = n.rk
+  union all
+  select distinct rk, label, lex_definition, '', 'general', 'technique', status, 0
+  from res where phase = 1 and ok and rk not in (select rk from d)
+  union all
+  select concat('paper:', pid), left(title, 40), problem, pid, domain, paper_type, 'approved', 1 from pseudo),
+v1_nodes as (
+  select *, case when definition <> '' and ptype = 'technique' then 'ok'
+              when ptype in ('analysis', 'benchmark', 'survey') then 'n/a' else 'placeholder' end as def_status
+  from nodes)
+"""
+
+V2 = ",".join([PAPERS, LEX, MENTIONS, RESOLVE, _registered("pid, phase, pos", False)]) + """,
+edges as materialized (
+  select pid, phase, pos, case when phase = 0 then 'defines' else 'builds_on' end as type, rk, label, status,
+         case when phase = 0 then definition else '' end as definition
+  from res where ok),
+firsts as (select * from edges qualify row_number() over (partition by rk order by pid, phase, pos) = 1),
+texts as (select * from edges where definition <> ''
+          qualify row_number() over (partition by rk order by pid, phase, pos) = 1),
+concepts as materialized (
+  select f.rk, f.label as canonical, coalesce(t.definition, '') as definition,
+         case when t.rk is not null or f.phase = 0 then 'ok' else 'placeholder' end as def_status, f.status
+  from firsts f left join texts t on f.rk = t.rk),
+homes as (select * from edges where phase = 0
+          qualify row_number() over (partition by rk order by pid, phase, pos) = 1),
+months as (
+  select rk, count(distinct pid) as n_papers,
+         min(case when regexp_matches(left(pid, 4), '^[0-9]{4}$')
+             then concat('20', substr(pid, 1, 2), '-', substr(pid, 3, 2)) end) as month
+  from edges group by rk),
+view_nodes as materialized (
+  select c.rk as id, c.canonical, c.definition, c.def_status, c.status, m.n_papers, m.month,
+         case when coalesce(p.paper_type, '') = '' then 'technique' else p.paper_type end as ptype,
+         case when coalesce(p.domain, '') = '' then 'general' else p.domain end as domain
+  from concepts c join months m on c.rk = m.rk
+       left join homes h on c.rk = h.rk left join papers p on h.pid = p.pid),
+main as (select pid, rk from edges where phase = 0
+         qualify row_number() over (partition by pid order by pos) = 1),
+lineage as materialized (
+  select distinct main.rk as src, e.rk as dst
+  from edges e join main on e.pid = main.pid where e.phase = 1 and e.rk <> main.rk)
+"""
+
+
+def v1(select: str) -> str:
+    return f"with {V1} {select}"
+
+
+def v2(select: str) -> str:
+    return f"with {V2} {select}"
+
+
+START = "(select src from lineage group by src order by count(*) desc, src limit 1)"
+UP = """up as (select src as id from start_node union
+  select l.dst from up join lineage l on l.src = up.id)"""
+DOWN = """down as (select src as id from start_node union
+  select l.src from down join lineage l on l.dst = down.id)"""
+
+
+def closure(parts: str, select: str) -> str:
+    return f"with recursive {V2}, start_node as {START}, {parts} {select}"
+
+
+LEX_ONLY = f"with {LEX}"
+
+VEC = """
+v as (select vec_id as id, embedding::double[] as vec, label from embeddings),
+q as (select vec as qv from v order by id limit 1)"""
+SIMS = f"with {VEC}" + """,
+sims as materialized (
+  select a.id as a, b.id as b, round(list_cosine_similarity(a.vec, b.vec), 3) + 0.0 as sim, a.label = b.label as same
+  from v a join v b on a.id < b.id)
+"""
+HITS = f"with {VEC}" + """,
+scored as (select id, label, list_cosine_similarity(vec, qv) as score from v, q),
+hits as (
+  select id, score, label >= 5 as paper from scored where score >= 0.30
+  qualify row_number() over (partition by label >= 5 order by score desc, id) <= 8)
+"""
+
+FEED = """
+k as (select *, cast(json_extract_string(props, '$.k') as integer) as k from events),
+feed as (
+  select list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) * 1000 + k as query_ord,
+         concat(event_type, ' ', k) as query, event_id as entry_ord,
+         concat('2401.', user_id) as aid, concat('Paper number ', user_id) as title, event_type as abstract,
+         strftime(ts + to_days(k * 10), '%Y-%m-%dT%H:%M:%SZ') as stamp
+  from k),
+ranked as (
+  select *, row_number() over (partition by query_ord order by stamp desc, entry_ord) as rank from feed)
+"""
+
+FOUND = """
+found as (
+  select cast(doc_id as varchar) as aid, concat(source, ' ', lang) as title, text as abstract,
+         case when lang = 'en' then '2024-05-01' else '' end as published,
+         concat(lang, '|', source) as categories, lang as first_seen_query
+  from documents),
+ledger as (
+  select cast(doc_id as varchar) as aid, case when quality = 0 then 'Reject' else 'technique' end as verdict,
+         case when toxic = 1 then 'gate-v0' else 'gate-v1' end as prompt_ver, quality = 1 as extracted
+  from labels)
+"""
+FATE = f"with {FOUND}" + """,
+fates as (
+  select f.aid, f.title, case when f.aid in (select cast(conv_id as varchar) from conversations) then 'owned'
+         when lower(l.verdict) in ('reject', 'rejected', 'drop') then 'gate' else 'new' end as fate
+  from found f left join ledger l on f.aid = l.aid)
+"""
+GATE = f"with {FOUND}" + """,
+merged as (
+  select coalesce(f.aid, l.aid) as aid, f.aid is not null as asked, l.verdict, l.prompt_ver,
+         lower(concat(coalesce(f.title, ''), ' ', coalesce(f.abstract, ''))) as body
+  from found f full join ledger l on f.aid = l.aid),
+gate as (
+  select aid, asked, coalesce(prompt_ver = 'gate-v1', false) as cached, verdict as old, prompt_ver as old_ver,
+         case when prompt_ver = 'gate-v1' then verdict
+              when contains(body, 'thing') then 'survey' when contains(body, 'eaux') then 'benchmark'
+              when contains(body, 'inth') then 'analysis' else 'technique' end as verdict
+  from merged)
+"""
+
+CONTENTS = f"""
+parts as (
+  select p_partkey as pid, concat(p_name, ' number ', p_partkey) as title, p_name as task,
+         p_type <> 'PROMO' as defines, p_brand as name, concat(p_name, ' ', p_size) as definition,
+         case when p_size > 25 then p_type else '' end as problem
+  from part)"""
+
+PAGE_SUMS = """
+kept as (
+  select * from (
+    select *, coalesce(sum(length(text)) over (partition by paper_id order by page
+                       rows between unbounded preceding and 1 preceding), 0) as before
+    from pages_of) where before < {budget}),
+whole as (select paper_id, string_agg(text, '' order by page) as t from kept group by paper_id)"""
+
+LINE_PAGES = """
+pages_of as (
+  select doc_id as paper_id, unnest(range(len(string_split(text, chr(10))))) as page,
+         unnest(string_split(text, chr(10))) as text from documents)"""
+
+TALK_PAGES = """
+pages_of as (
+  select conv_id as paper_id, turn as page,
+         concat(case role when 'user' then 'Abstract' || chr(10)
+                  when 'assistant' then chr(10) || ' ' || chr(10) || '2. Related Work' || chr(10)
+                  else chr(10) || '## 2 Setup' || chr(10) end, text) as text
+  from conversations)"""
+
+HEADS = r"(?:2\s+[A-Z]|2\.\s+[A-Z]|##?\s*2\b|related work|background|preliminaries|2\s+related)"
+
+
+def cut(source: str, key: str, column: str) -> str:
+    """Start at the word "abstract"; the end is the first newline, at least 50 characters
+    later, that a section head follows."""
+    return f"""
+started as (
+  select {key}, {column} as t,
+         case when regexp_matches({column}, '(?i)\\babstract\\b')
+              then length(regexp_extract({column}, '(?is)^(.*?)\\babstract\\b', 1)) else 0 end as st
+  from {source}),
+tails as (select *, substr(t, st + 50) as tail from started),
+cuts as (
+  select {key}, case when regexp_matches(tail, '(?i)\\n\\s*{HEADS}')
+                then concat(substr(t, st + 1, 49),
+                            regexp_extract(tail, '(?is)^(.*?\\n)\\s*{HEADS}', 1)) end as section, t
+  from tails),
+done as (
+  select {key}, case when section is not null then 'section' else 'head6000' end as cut_method,
+         coalesce(section, left(t, 6000)) as text from cuts)"""
+
+
+ORACLES: dict[str, str] = {
+    "canon_names": f"""
+      with n as (
+        select concat('  ', p_brand, '-', p_name, '  ', p_type) as name from part
+        union all select concat(c_name, '-', c_mktsegment) from customer
+        union all select r_name from region)
+      select {canon('name')} as key, count(*) as n from n group by 1""",
+    "alias_resolve": f"""
+      with {LEX}, {MENTIONS}, {RESOLVE}
+      select coalesce(a.rk, m.key) as rk, coalesce(r.label, m.name) as label, r.status,
+             a.rk is not null as found, count(*) as n
+      from m left join alias_map a on m.key = a.key left join reps r on a.rk = r.rk group by all""",
+    "lexicon_rows": f"""{LEX_ONLY}
+      select ord, name, concat(a1, '|', a2) as aliases, status, definition, source, first_seen from lex""",
+    "lexicon_register_v1": v1("select rk, label, status, definition, source, first_seen from fresh"),
+    "lexicon_register_v2": v2("select rk, label, status, definition, source, first_seen from fresh"),
+    "registration_counts": v1("select status, count(*) as n from fresh group by 1"),
+    "lexicon_after_rebuild": v1("""
+      , firsts as (select key, phase, pid, pos from unknown
+                   qualify row_number() over (partition by key order by phase, pid, pos) = 1)
+      select ord, name, status, definition, source, first_seen from lex
+      union all
+      select (select max(ord) from lex) + row_number() over (order by f.phase, f.pid, f.pos),
+             label, status, definition, source, first_seen
+      from fresh join firsts f on fresh.rk = f.key"""),
+    "status_counts": f"{LEX_ONLY} select status, count(*) as n from lex group by 1",
+    "lexicon_sorted": f"""{LEX_ONLY}
+      select name, source, ord from lex where status = 'pending' order by lower(source) desc, ord""",
+    "lexicon_search": f"""{LEX_ONLY}
+      select status, contains(lower(name), 'rt-1') as matched, count(*) as n from lex group by all""",
+    "lexicon_patch": f"""{LEX_ONLY}
+      select name, coalesce(case when s_acctbal < 5000 then 'approved' end, status) as status,
+             coalesce(s_name, definition) as definition, source
+      from lex left join supplier on name = concat('Part-', s_suppkey)""",
+    "lexicon_merge": f"""{LEX_ONLY},
+      mg as (select concat('Part-', c_custkey + 25) as src, concat('Part-', c_nationkey) as dst, c_custkey as seq
+             from customer
+             where concat('Part-', c_custkey + 25) in (select name from lex)
+               and concat('Part-', c_nationkey) in (select name from lex)),
+      own as (select name, [a1, a2] as have from lex),
+      incoming as (
+        select dst, seq, 0 as slot, src as alias from mg
+        union all select dst, seq, 1, l.a1 from mg join lex l on l.name = mg.src
+        union all select dst, seq, 2, l.a2 from mg join lex l on l.name = mg.src),
+      fresh as (
+        select i.* from incoming i join own o on o.name = i.dst
+        where not list_contains(o.have, i.alias) and i.alias <> i.dst
+        qualify row_number() over (partition by dst, alias order by seq, slot) = 1),
+      grown as (select dst, string_agg(alias, '|' order by seq, slot) as more from fresh group by dst)
+      select name, concat(a1, '|', a2, coalesce('|' || more, '')) as aliases, status
+      from lex left join grown on dst = name where name not in (select src from mg)""",
+    "bulk_plan_check": f"""{LEX_ONLY},
+      plan as (select concat('Part-', p_partkey) as name from part
+               where (p_size between 36 and 42 or p_size = 50) and p_partkey <> 1)
+      select name, 'missing' as problem from plan where name not in (select name from lex)
+      union all select name, 'unplanned' from lex where status = 'pending' and name not in (select name from plan)
+      union all select name, 'not_pending' from lex
+                where status <> 'pending' and name in (select name from plan)""",
+    "bulk_classify": f"""{LEX_ONLY},
+      changed as (
+        select case when l.status = 'pending' then
+                 case when p_retailprice < 1000 then 'approved' else 'rejected' end else l.status end as status
+        from lex l join part on p_partkey = ord)
+      select status, count(*) as n from changed group by 1""",
+    "alias_edit": f"""{LEX_ONLY}
+      select name, concat(a1, '|', a2) as same, concat(a1, '|', a2, '|', source) as added, a2 as removed from lex""",
+    "graph_v1_nodes": v1("select * from v1_nodes"),
+    "graph_v1_node_papers": v1("""
+      select distinct rk as key, pid from res where phase = 0 and ok
+      union all select concat('paper:', pid), pid from pseudo"""),
+    "graph_v1_edges": v1("""
+      , home as (
+        select pid, rk as src from res where phase = 0
+        qualify row_number() over (partition by pid order by pos) = 1
+        union all select pid, concat('paper:', pid) from pseudo)
+      select distinct src, rk as dst from res join home using (pid)
+      where phase = 1 and ok and src in (select key from v1_nodes)"""),
+    "blocked_refs": v1("select name, count(*) as n from res where phase = 1 and not ok group by 1"),
+    "graph_v2_concepts": v2("select * from concepts"),
+    "graph_v2_papers": f"with {PAPERS} select * from papers",
+    "graph_v2_edges": v2("select pid, type, rk, count(*) as n from edges group by all"),
+    "graph_v2_counts": v2("""
+      select 'papers' as kind, count(*) as n from papers
+      union all select 'concepts', count(*) from concepts
+      union all select 'placeholders', count(*) from concepts where def_status = 'placeholder'
+      union all select type, count(*) from edges group by type"""),
+    "view_concepts": v2("select * from view_nodes"),
+    "view_concept_papers": v2("select distinct rk, pid from edges"),
+    "view_builds_on": v2("select * from lineage"),
+    "view_nodes_by_type": v2("""
+      select 'concept' as type, domain, count(*) as n, 0 as titled, count(*) as named from view_nodes group by domain
+      union all select 'paper', domain, count(*), count(*), 0 from papers group by domain"""),
+    "view_paper_defines": v2("""
+      select concat('paper:', pid) as src, rk as dst, count(*) as n from edges where phase = 0 group by all"""),
+    "view_paper_anchors": v2("""
+      select concat('paper:', pid) as src, rk as dst, count(*) as n from edges
+      where phase = 1 and pid not in (select pid from edges where phase = 0) group by all"""),
+    "graph_filter": v2("""
+      select id, canonical, month from view_nodes
+      where ptype = 'technique' and domain = 'medical' and month >= '2010-05'"""),
+    "concept_search": v2("select id, canonical from view_nodes where contains(lower(canonical), 'rt-12')"),
+    "concept_names": v2("select canonical from concepts order by 1"),
+    "induced_subgraph": v2("""
+      select src, dst from lineage where src in (select id from view_nodes where domain = 'general')
+        and dst in (select id from view_nodes where domain = 'general')"""),
+    "graph_links": v2("""
+      select src as source, dst as target, 'builds_on' as kind, ptype as from_type
+      from lineage join view_nodes on id = src"""),
+    "graph_export_nodes": v2("""
+      select id, canonical as label, def_status, ptype, def_status = 'ok' as has_def, definition, n_papers, domain
+      from view_nodes"""),
+    "rebuild_counts": v1("""
+      , main as (select pid, rk from res where phase = 0 and ok
+                 qualify row_number() over (partition by pid order by pos) = 1)
+      select (select count(distinct rk) from res where ok) as nodes,
+             (select count(*) from (
+                select distinct main.rk as src, res.rk as dst from res join main using (pid)
+                where phase = 1 and ok and res.rk <> main.rk)) as builds_on"""),
+    "lineage_ancestors": closure(UP, """
+      select id, case when id = src then 'self' else 'ancestor' end as side from up, start_node"""),
+    "lineage_descendants": closure(DOWN, """
+      select id, case when id = src then 'self' else 'descendant' end as side from down, start_node"""),
+    "lineage_both": closure(f"{UP}, {DOWN}", "select id from up union select id from down"),
+    "node_texts": v1("""
+      select key as id, case when trim(definition) <> '' then concat(canonical, ': ', trim(definition))
+             else concat(canonical, ' (', ptype, ')') end as text from v1_nodes"""),
+    "embed_texts_v2": v2("""
+      select concat('concept:', rk) as id, nullif(trim(definition), '') as text from concepts
+      union all select concat('paper:', pid), nullif(trim(problem), '') from papers"""),
+    "text_fallbacks": v1("select count(*) filter (where trim(definition) = '') as without_definition from v1_nodes"),
+    "field_texts": f"""
+      with {CONTENTS}
+      select {canon('name')} as key, name as label, definition as define, problem, task from parts where defines
+      qualify row_number() over (partition by {canon('name')} order by pid desc) = 1
+      union all
+      select concat('paper:', pid), left(title, 30), title, problem, task from parts where not defines""",
+    "vector_incremental": """
+      with todo as (select doc_id as id from documents where trim(text) <> ''
+                      and doc_id not in (select vec_id from embeddings where label < 7))
+      select id, cast(floor((row_number() over (order by id) - 1) / 256) as bigint) as batch_no from todo""",
+    "similarity_stats": f"""{SIMS}
+      select 'problem' as field, count(*) as pairs, round(min(sim), 6) as min_sim, round(avg(sim), 6) as mean_sim,
+             round(median(sim), 6) + 0.0 as median_sim, round(max(sim), 6) as max_sim from sims""",
+    "similarity_top": f"{SIMS} select a, b, sim from sims order by sim desc, a, b limit 5",
+    "similarity_pairs": f"{SIMS} select 'problem' as field, a, b, sim from sims where sim >= 0.3",
+    "similarity_family": f"""{SIMS},
+      fam as (select p_partkey as id from part
+              where contains(lower(p_name), 'ring') or contains(lower(p_name), 'bolt'))
+      select 'problem' as field, a, b, sim from sims
+      where sim >= 0.2 and a in (select id from fam) and b in (select id from fam)""",
+    "similarity_overlay": f"""{SIMS}
+      select a as source, b as target, sim from sims where sim >= 0.3 and not same""",
+    "vector_topk": f"""
+      with {VEC}, scored as (select id, label, list_cosine_similarity(vec, qv) as score from v, q),
+      ranked as (select *, row_number() over (partition by label order by score desc, id) as rank
+                 from scored where score >= 0.30)
+      select label, rank, id, round(score, 6) as score from ranked where rank <= 8""",
+    "vector_cosine": f"with {VEC} select id, round(list_cosine_similarity(vec, qv), 3) + 0.0 as sim from v, q",
+    "related_terms": f"""{HITS},
+      terms as (
+        select 0 as side, id, score, p_name as term from hits join part on p_partkey = id where not paper
+        union all
+        select 1, id, score, o_orderpriority from hits join orders on o_orderkey = id where paper)
+      select side, id, term from terms where term <> '' order by side, score desc, id limit 10""",
+    "status_lines": f"""{HITS}
+      select id, case when p_type = 'PROMO' or p_size <= 25
+               then concat('- ', p_name, ' (no definition yet) [', printf('%.2f', score), ']')
+               else concat('- ', p_name, ': ', p_type, ' [', printf('%.2f', score), ']') end as line
+      from hits join part on p_partkey = id where not paper
+      union all
+      select id, concat('- ', o_orderpriority, ' — ',
+               case o_orderstatus when 'P' then '(no problem statement)' else o_orderstatus end,
+               ' [', printf('%.2f', score), ']')
+      from hits join orders on o_orderkey = id where paper""",
+    "query_dedup": """
+      with s as (
+        select c_custkey as ord, trim(case when c_acctbal < 0 then '  ' when c_acctbal < 5000 then
+                 concat(' ', lower(c_mktsegment), ' ') else concat(c_mktsegment, ' ', c_nationkey) end) as query
+        from customer)
+      select ord, query from s where query <> ''
+      qualify row_number() over (partition by lower(query) order by ord) = 1""",
+    "paper_search": f"""
+      with {FEED}
+      select aid, query_ord, rank, title, abstract, left(stamp, 10) as published, abstract as categories,
+             query as first_seen_query
+      from ranked where rank <= 50 and left(stamp, 7) between '2024-03' and '2025-06'
+      qualify row_number() over (partition by aid order by query_ord, rank) = 1""",
+    "paper_months": f"""
+      with {FEED}
+      select aid, '2024-01' as month, count(*) as n, min(left(stamp, 7)) as first_published
+      from feed group by aid""",
+    "candidate_funnel": f"""{FATE}
+      select count(*) as found, count(*) filter (where fate = 'owned') as owned_excluded,
+             count(*) filter (where fate = 'gate') as gate_excluded, count(*) filter (where fate = 'new') as new
+      from fates""",
+    "candidate_ids": f"{FATE} select aid, title from fates where fate = 'new'",
+    "ledger_upsert": f"""with {FOUND}
+      select coalesce(f.aid, l.aid) as aid, coalesce(f.title, 'old title') as title,
+             coalesce(length(f.abstract), length('old abstract')) as abstract_chars,
+             coalesce(f.published, '2020-01-01') as published, coalesce(f.categories, 'old') as categories,
+             l.verdict, coalesce(l.extracted, false) as extracted,
+             case when l.aid is not null then 'seed' else f.first_seen_query end as first_seen_query
+      from found f full join ledger l on f.aid = l.aid""",
+    "gate_verdicts": f"{GATE} select aid, verdict, verdict = 'technique' as passed, cached from gate where asked",
+    "gate_ledger": f"""{GATE}
+      select case when asked and not cached then verdict else old end as verdict,
+             case when asked and not cached then 'keyword-rules' else 'human' end as model,
+             case when asked and not cached then 'gate-v1' else old_ver end as prompt_ver,
+             case when asked and not cached then '2024-06-01' else '2024-01-01' end as date,
+             count(*) as n from gate group by all""",
+    "gate_funnel": f"""{GATE}
+      select count(*) as judged, count(*) filter (where verdict = 'technique') as passed,
+             count(*) filter (where not cached) as calls, count(*) filter (where cached) as cache_hits
+      from gate where asked""",
+    "metadata_complete": f"""with {FOUND}
+      select count(*) as n, count(*) filter (where abstract <> '' and published <> '') as complete,
+             count(*) filter (where abstract <> '' and published <> '') * 2 >= count(*) as majority from found""",
+    "url_ids": """
+      select page_id, regexp_replace(regexp_extract(rtrim(url, '/'), '[^/]*$'), 'v[0-9]+$', '') as aid from pages""",
+    "page_titles": """
+      select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) as title
+      from pages""",
+    "page_window": f"""with {LINE_PAGES}, {PAGE_SUMS.format(budget=20000)}
+      select paper_id, count(*) as pages, max(page) as last_page, sum(length(text)) as chars
+      from kept group by paper_id""",
+    "paper_texts": f"""with {LINE_PAGES}, {PAGE_SUMS.format(budget=20000)}
+      select paper_id, md5(t) as digest from whole""",
+    "text_cut": f"""with {TALK_PAGES}, {PAGE_SUMS.format(budget=2500)}, {cut('whole', 'paper_id', 't')}
+      select paper_id, true as ok, cut_method, length(text) as char_count, md5(text) as digest from done""",
+    "document_cut": f"""with {cut('documents', 'doc_id', 'text')}
+      select doc_id, cut_method, md5(text) as digest from done""",
+    "workflow_trace": """
+      with log as (
+        select conv_id, turn, case role when 'user' then 'interpret' when 'assistant' then 'approve'
+                 else 'extract_confirm' end as stage,
+               case when length(text) > 600 then 'proceed' when length(text) > 300
+                 then concat('revise: ', left(text, 10)) else 'cancel' end as decision
+        from conversations)
+      select conv_id, turn, stage,
+             case when stage = 'interpret' then
+                    case when decision like 'revise:%' then 'parse' when decision = 'cancel' then 'report'
+                         else 'expand_search' end
+                  when decision = 'proceed' then if(stage = 'approve', 'gate', 'extract')
+                  else 'report' end as next,
+             case when stage = 'interpret' then
+                    if(decision like 'revise:%', 'parse', 'expand_search')
+                  when decision = 'proceed' then if(stage = 'approve', 'gate', 'extract')
+                  else 'report' end as next_strict,
+             case when decision like 'revise:%' then trim(substr(decision, 8)) end as revised
+      from log""",
+}
