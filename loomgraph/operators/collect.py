@@ -144,8 +144,23 @@ def completeness(found: DataFrame) -> DataFrame:
 
 @dataclass
 class GateOutcome:
-    results: DataFrame  # aid, verdict, passed, cached
-    ledger: DataFrame   # with the new verdicts
+    verdicts: DataFrame  # aid, gate, cached
+    results: DataFrame   # aid, verdict, passed, cached
+    ledger: DataFrame    # with the new verdicts
+
+
+def gate_results(verdicts: DataFrame) -> DataFrame:
+    return verdicts.select(
+        "aid", "gate.verdict", (F.col("gate.verdict") == PASS_VERDICT).alias("passed"), "cached"
+    )
+
+
+def store_verdicts(ledger: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The ledger with freshly judged verdicts; cached ones are there already."""
+    fresh = verdicts.filter("not cached").select("aid", F.col("gate").alias("new_gate"))
+    return ledger.join(fresh, "aid", "left").withColumn(
+        "gate", F.coalesce("new_gate", "gate")
+    ).select(*ledger.columns)
 
 
 def run_gate(ledger: DataFrame, candidates: DataFrame, classifier: Classifier,
@@ -154,25 +169,18 @@ def run_gate(ledger: DataFrame, candidates: DataFrame, classifier: Classifier,
     paper is never sent to the classifier."""
     asked = ledger.join(candidates.select("aid").distinct(), "aid", "left_semi")
     hit = F.coalesce(F.col("gate.prompt_ver") == prompt_ver, F.lit(False))
-    cached = asked.filter(hit).select("aid", F.col("gate").alias("new_gate"), F.lit(True).alias("cached"))
+    cached = asked.filter(hit).select("aid", "gate", F.lit(True).alias("cached"))
     fresh = classifier.classify(asked.filter(~hit).select("aid", "title", "abstract")).select(
         "aid",
         F.struct(
             "verdict", or_empty("reason").alias("reason"),
             F.lit(classifier.model).alias("model"),
             F.lit(prompt_ver).alias("prompt_ver"), F.lit(date).alias("date"),
-        ).cast(GATE).alias("new_gate"),
+        ).cast(GATE).alias("gate"),
         F.lit(False).alias("cached"),
     )
     verdicts = cached.unionByName(fresh)
-    results = verdicts.select(
-        "aid", F.col("new_gate.verdict").alias("verdict"),
-        (F.col("new_gate.verdict") == PASS_VERDICT).alias("passed"), "cached",
-    )
-    updated = ledger.join(fresh.select("aid", "new_gate"), "aid", "left").withColumn(
-        "gate", F.coalesce("new_gate", "gate")
-    ).select(*ledger.columns)
-    return GateOutcome(results, updated)
+    return GateOutcome(verdicts, gate_results(verdicts), store_verdicts(ledger, verdicts))
 
 
 def gate_funnel(results: DataFrame) -> DataFrame:

@@ -173,7 +173,7 @@ feed as (
          strftime(ts + to_days(k * 10), '%Y-%m-%dT%H:%M:%SZ') as stamp
   from k),
 ranked as (
-  select *, row_number() over (partition by query_ord order by stamp desc, entry_ord) as rank from feed)
+  select *, cast(row_number() over (partition by query_ord order by stamp desc, entry_ord) as integer) as rank from feed)
 """
 
 FOUND = """
@@ -411,7 +411,7 @@ ORACLES: dict[str, str] = {
       select a as source, b as target, sim from sims where sim >= 0.3 and not same""",
     "vector_topk": f"""
       with {VEC}, scored as (select id, label, list_cosine_similarity(vec, qv) as score from v, q),
-      ranked as (select *, row_number() over (partition by label order by score desc, id) as rank
+      ranked as (select *, cast(row_number() over (partition by label order by score desc, id) as integer) as rank
                  from scored where score >= 0.30)
       select label, rank, id, round(score, 6) as score from ranked where rank <= 8""",
     "vector_cosine": f"with {VEC} select id, round(list_cosine_similarity(vec, qv), 3) + 0.0 as sim from v, q",
@@ -480,7 +480,8 @@ ORACLES: dict[str, str] = {
       select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) as title
       from pages""",
     "page_window": f"""with {LINE_PAGES}, {PAGE_SUMS.format(budget=20000)}
-      select paper_id, count(*) as pages, max(page) as last_page, sum(length(text)) as chars
+      select paper_id, count(*) as pages, cast(max(page) as integer) as last_page,
+             cast(sum(length(text)) as bigint) as chars
       from kept group by paper_id""",
     "paper_texts": f"""with {LINE_PAGES}, {PAGE_SUMS.format(budget=20000)}
       select paper_id, md5(t) as digest from whole""",
