@@ -7,8 +7,9 @@ from pyspark.sql import Column, functions as F
 from loomgraph.schemas import HEAD_CHARS
 
 # --- fixed values -------------------------------------------------------------------
-# Whitespace is what Python's str.split() splits on: Unicode White_Space plus 0x1c-0x1f.
-SPACES = r"(?U)[\s\x1c-\x1f]+"
+# Whitespace is Python's: Unicode White_Space plus 0x1c-0x1f (patterns need the U flag).
+SPACE = r"[\s\x1c-\x1f]"
+SPACES = rf"(?U){SPACE}+"
 ABSTRACT_WORD = r"\babstract\b"
 NEXT_SECTION_HEADS = (
     r"2\s+[A-Z]",
@@ -33,7 +34,7 @@ def or_empty(col: Column | str) -> Column:
 
 def strip(col: Column | str) -> Column:
     """Python's str.strip(): both ends, any whitespace."""
-    return F.regexp_replace(_c(col), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.regexp_replace(_c(col), rf"(?U)^{SPACE}+|{SPACE}+\z", "")
 
 
 def is_blank(col: Column | str) -> Column:
@@ -124,8 +125,8 @@ def find_cut(col: Column | str) -> Column:
     before = F.split(t, f"(?iU){ABSTRACT_WORD}", 2)
     start = F.when(F.size(before) > 1, F.length(before[0])).otherwise(F.lit(0))
     tail = F.substr(t, start + F.lit(SECTION_SEARCH_OFFSET))
-    heads = "|".join(NEXT_SECTION_HEADS)
-    parts = F.split(tail, rf"(?imdU)(?<=\n)\s*(?:{heads})", 2)
+    heads = "|".join(NEXT_SECTION_HEADS).replace(r"\s", SPACE)
+    parts = F.split(tail, rf"(?imdU)(?<=\n){SPACE}*(?:{heads})", 2)
     section = F.concat(
         F.substr(t, start + F.lit(1), F.lit(SECTION_SEARCH_OFFSET - 1)), parts[0]
     )

@@ -15,6 +15,7 @@ from loomgraph.operators import (
 from loomgraph.plans import decisions
 from loomgraph.plans.rebuild import rebuild
 from loomgraph.plans.tables import Tables
+from loomgraph.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
         return fn(Tables(spark, folder))
 
     run.__doc__ = fn.__doc__

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,21 @@ def local_session(app: str = "loomgraph", cores: int | str = 8, memory: str = "8
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, once per application; for sessions
+    that were not started with it (`--py-files`)."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="loomgraph-pkg-")) / here.name
+    spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", here.parent, here.name))
+    _shipped.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's `spark.checkpoint.dir` when it names
     one, a folder of our own only where none is set (local tests)."""
