@@ -10,6 +10,10 @@ from loomgraph.schemas import HEAD_CHARS
 # Whitespace is Python's: Unicode White_Space plus 0x1c-0x1f (patterns need the U flag).
 SPACE = r"[\s\x1c-\x1f]"
 SPACES = rf"(?U){SPACE}+"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 ABSTRACT_WORD = r"\babstract\b"
 NEXT_SECTION_HEADS = (
     r"2\s+[A-Z]",
@@ -34,7 +38,7 @@ def or_empty(col: Column | str) -> Column:
 
 def strip(col: Column | str) -> Column:
     """Python's str.strip(): both ends, any whitespace."""
-    return F.regexp_replace(_c(col), rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_c(col), F.lit(SPACE_CHARS))
 
 
 def is_blank(col: Column | str) -> Column:
@@ -47,8 +51,10 @@ def squeeze(col: Column | str) -> Column:
 
 
 def canon(col: Column | str) -> Column:
-    """Identity key of a name: case, hyphens and spacing do not matter."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(_c(col)), "-", " "), SPACES, " "))
+    """Identity key of a name: case, hyphens and spacing do not matter. Never null, so that
+    joins on the key need no null filter, which would evaluate the expression twice."""
+    spaced = F.replace(F.lower(_c(col)), F.lit("-"), F.lit(" "))
+    return or_empty(F.trim(F.regexp_replace(spaced, SPACES, " ")))
 
 
 def strip_prefix(col: Column | str) -> Column:

@@ -1,7 +1,7 @@
 """Single-type graph: technique nodes, pseudo-nodes for papers that define none, lineage.
 
-All defines are processed before all builds. Node attributes come from per-key first
-events (already collapsed map-side), so only the edges need a pass over single mentions.
+All defines are processed before all builds. Attributes are mins over (pid, pos), which
+combine map-side, so a hot concept costs each task one row.
 """
 
 from __future__ import annotations
@@ -37,8 +37,7 @@ def undefined_papers(papers: DataFrame, mentions: DataFrame) -> DataFrame:
 def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame) -> GraphV1:
     keyed = M.keyed(mentions)
     lookup = names_lookup(lexicon)
-    events = M.first_events(keyed)
-    registered = M.register_defines_first(events, lookup)
+    registered = M.register_defines_first(keyed, lookup)
     names = M.extend_lookup(lookup, registered)
     resolved = keyed.join(names, "key")
     ok = admitted(F.col("status"))
@@ -47,7 +46,7 @@ def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame) -> GraphV1
     define_papers = defined.select(F.col("rk").alias("key"), "pid").distinct()
 
     pseudo = undefined_papers(papers, mentions)
-    nodes = _concept_nodes(papers, events, names, define_papers).unionByName(_pseudo_nodes(pseudo))
+    nodes = _concept_nodes(papers, resolved.filter(ok), define_papers).unionByName(_pseudo_nodes(pseudo))
     node_papers = define_papers.unionByName(
         pseudo.select(F.concat(F.lit("paper:"), "pid").alias("key"), "pid")
     )
@@ -62,20 +61,16 @@ def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame) -> GraphV1
     )
 
 
-def _concept_nodes(papers, events, names, define_papers):
-    per_rk = (
-        events.join(names.filter(admitted(F.col("status"))), "key")
-        .groupBy("rk")
-        .agg(
-            F.min("first_def").alias("d"),
-            F.max(F.struct("label", "status", "lex_definition")).alias("m"),
-        )
-    )
+def _concept_nodes(papers, resolved, define_papers):
+    first = F.min(F.when(
+        F.col("phase") == DEFINES, F.struct("pid", "pos", or_empty("definition").alias("definition"))
+    ))
+    per_rk = resolved.groupBy("rk", "label", "status", "lex_definition").agg(first.alias("d"))
     counts = define_papers.groupBy(F.col("key").alias("rk")).agg(F.count("*").alias("n_papers"))
     meta = papers.select(F.col("pid").alias("def_source"), "domain", "paper_type")
     return (
-        per_rk.select("rk", "m.*", F.col("d.pid").alias("def_source"),
-                      F.nullif("d.definition", F.lit("")).alias("written"))
+        per_rk.withColumn("def_source", F.col("d.pid"))
+        .withColumn("written", F.nullif("d.definition", F.lit("")))
         .join(meta, "def_source", "left")
         .join(counts, "rk", "left")
         .select(

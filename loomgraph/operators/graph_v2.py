@@ -22,16 +22,14 @@ class GraphV2:
 
 
 def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame) -> GraphV2:
-    """Lineage mentions count only for papers that have a content record."""
-    with_content = mentions.filter(F.col("phase") == DEFINES).unionByName(
-        mentions.filter(F.col("phase") != DEFINES).join(papers.select("pid"), "pid", "left_semi")
-    )
+    """Mentions count only for papers that have a content record."""
+    with_content = mentions.join(papers.select("pid"), "pid", "left_semi")
     keyed = M.keyed(with_content)
     lookup = names_lookup(lexicon)
-    events = M.first_events(keyed)
-    registered = M.register_in_order(events, lookup)
+    registered = M.register_in_order(keyed, lookup)
     names = M.extend_lookup(lookup, registered).filter(admitted(F.col("status")))
-    edges = keyed.join(names.select("key", "rk"), "key").select(
+    resolved = keyed.join(names, "key")
+    edges = resolved.select(
         "pid", "phase", "pos",
         F.when(F.col("phase") == DEFINES, "defines").otherwise("builds_on").alias("type"),
         "rk",
@@ -45,31 +43,28 @@ def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame) -> GraphV2
             F.coalesce("domain", F.lit("general")).alias("domain"),
             F.coalesce("paper_type", F.lit("other")).alias("paper_type"),
         ),
-        concepts=_concepts(events, names),
+        concepts=_concepts(resolved),
         edges=edges,
         registered=registered,
     )
 
 
-def _concepts(events, names):
+def _concepts(resolved):
     """First non-empty definition in event order; `ok` once any paper defines the concept
     with text, or when its first event is a define."""
-    per_rk = (
-        events.join(names, "key")
-        .groupBy("rk")
-        .agg(
-            F.min("first").alias("first"),
-            F.min("first_text").alias("text"),
-            F.max(F.struct("label", "status")).alias("m"),
-        )
+    defines = F.col("phase") == DEFINES
+    written = defines & (or_empty("definition") != "")
+    per_rk = resolved.groupBy("rk", "label", "status").agg(
+        F.min(F.struct("pid", "phase")).alias("first"),
+        F.min(F.when(written, F.struct("pid", "pos", "definition"))).alias("text"),
     )
     ok = F.col("text").isNotNull() | (F.col("first.phase") == DEFINES)
     return per_rk.select(
         "rk",
-        F.col("m.label").alias("canonical"),
+        F.col("label").alias("canonical"),
         or_empty("text.definition").alias("definition"),
         F.when(ok, "ok").otherwise("placeholder").alias("def_status"),
-        "m.status",
+        "status",
     )
 
 

@@ -28,17 +28,25 @@ def find_node(nodes: DataFrame, name: str, strict_lower: bool = False) -> str |
     return hit["id"] if hit else None
 
 
-def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Nodes reachable from `start` (one column id) along src -> dst, start excluded.
-
-    Breadth-first: each level joins the frontier with the edges and drops what was seen.
-    The frontier and the visited set are checkpointed per level, so plans stay short and a
-    lost executor costs one level, not the walk. Edges are read once per level: a frontier
-    measured to be small is broadcast to them, a large one meets them in a shuffle join,
-    where adaptive execution splits a hot node's edges.
+def closure(edges: DataFrame, start: DataFrame, direction: str = "both") -> DataFrame:
+    """side, id rows reachable from `start` (one column id): ancestors follow src -> dst,
+    descendants dst -> src; the start itself is left out. `edges` should be a stored or
+    checkpointed table, since every level reads it.
+
+    Breadth-first, both sides in one walk: each level joins the frontier with the edges and
+    drops what was seen. Frontiers are checkpointed per level, so plans stay short and a
+    lost executor costs one level, not the walk. A frontier measured to be small is
+    broadcast to the edges; a large one meets them in a shuffle join, where adaptive
+    execution splits a hot node's edges.
     """
-    frontier = visited = materialize(start.select("id").distinct())
-    levels = []
+    up = edges.select(F.lit("ancestor").alias("side"), F.col("src").alias("id"), F.col("dst").alias("next"))
+    down = edges.select(F.lit("descendant").alias("side"), F.col("dst").alias("id"), F.col("src").alias("next"))
+    steps = {"ancestors": up, "descendants": down}.get(direction, up.unionByName(down))
+    sides = {"ancestors": ["ancestor"], "descendants": ["descendant"]}.get(direction, ["ancestor", "descendant"])
+
+    origin = start.select(F.explode(F.array(*[F.lit(s) for s in sides])).alias("side"), "id").distinct()
+    frontier = visited = materialize(origin)
+    level = 0
     while True:
         rows, volume = frontier.agg(
             F.count("*"), F.coalesce(F.sum(F.octet_length("id")), F.lit(0))
@@ -47,45 +55,32 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
             break
         small = rows <= BROADCAST_ROWS and volume <= BROADCAST_BYTES
         probe = F.broadcast(frontier) if small else frontier
-        step = (
-            edges.join(probe, edges["src"] == probe["id"], "left_semi")
-            .select(F.col("dst").alias("id"))
+        frontier = materialize(
+            steps.join(probe, ["side", "id"], "left_semi")
+            .select("side", F.col("next").alias("id"))
             .distinct()
-            .join(visited, "id", "left_anti")
+            .join(visited, ["side", "id"], "left_anti")
         )
-        frontier = materialize(step)
-        levels.append(frontier)
         visited = visited.unionByName(frontier)
-        if len(levels) % 16 == 0:
+        level += 1
+        if level % 16 == 0:
             visited = materialize(visited)
-    return visited.join(start.select("id"), "id", "left_anti")
+    return visited.join(start.select("id"), "id", "left_anti").select("side", "id")
 
 
 def lineage(edges: DataFrame, nodes: DataFrame, name: str, direction: str = "both",
             strict_lower: bool = False) -> Lineage | None:
     """Selection around one node; None when it does not exist. `both` is the union of the
-    two closures (not the connected component); an unknown direction means both."""
+    two closures (not the connected component); an unknown direction means both. The counts
+    always cover both sides."""
     key = find_node(nodes, name, strict_lower)
     if key is None:
         return None
     start = nodes.sparkSession.range(1).select(F.lit(key).alias("id"))
-    kept = materialize(edges.select("src", "dst"))
-    up = reachable(kept, start)
-    down = reachable(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start)
-    chosen = {"ancestors": [up], "descendants": [down]}.get(direction, [up, down])
-    ids = start
-    for part in chosen:
-        ids = ids.unionByName(part)
-    return Lineage(key, ids.distinct(), up.count(), down.count())
-
-
-def closure(edges: DataFrame, start: DataFrame, direction: str) -> DataFrame:
-    """id, side rows of the closures around `start`: ancestor, descendant and self."""
-    kept = materialize(edges.select("src", "dst"))
-    out = start.select("id", F.lit("self").alias("side"))
-    if direction != "descendants":
-        out = out.unionByName(reachable(kept, start).withColumn("side", F.lit("ancestor")))
-    if direction != "ancestors":
-        back = kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        out = out.unionByName(reachable(back, start).withColumn("side", F.lit("descendant")))
-    return out
+    reached = closure(materialize(edges.select("src", "dst")), start)
+    wanted = {"ancestors": ["ancestor"], "descendants": ["descendant"]}.get(direction, ["ancestor", "descendant"])
+    ids = reached.filter(F.col("side").isin(wanted)).select("id").unionByName(start).distinct()
+    n = reached.agg(
+        F.count_if(F.col("side") == "ancestor"), F.count_if(F.col("side") == "descendant")
+    ).first()
+    return Lineage(key, ids, n[0], n[1])

@@ -7,7 +7,7 @@ that combines map-side, so a name in a third of all rows never lands whole in on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.text import canon, or_empty
 from loomgraph.schemas import BUILDS_ON, DEFINES
@@ -37,68 +37,41 @@ def keyed(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("key", canon("name"))
 
 
-def first_events(keyed_mentions: DataFrame) -> DataFrame:
-    """Per key: the first define, the first build, the first event of any kind and the
-    first define that carries a definition."""
-    is_def = F.col("phase") == DEFINES
-    event = F.struct("pid", "phase", "pos", "name", or_empty("definition").alias("definition"))
-    return keyed_mentions.groupBy("key").agg(
-        F.min(event).alias("first"),
-        F.min(F.when(is_def, event)).alias("first_def"),
-        F.min(F.when(~is_def, event)).alias("first_build"),
-        F.min(F.when(is_def & (or_empty("definition") != ""), event)).alias("first_text"),
-    )
-
-
-def unknown_events(events: DataFrame, lookup: DataFrame) -> DataFrame:
-    return events.join(lookup.select("key"), "key", "left_anti")
+def unknown(keyed_mentions: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Mentions whose key the lexicon does not resolve. Dropping the known ones before any
+    aggregation leaves the new names only; a lexicon of ordinary size is broadcast."""
+    return keyed_mentions.join(lookup.select("key"), "key", "left_anti")
 
 
-def _registration(event: str, definition, status, source, at):
-    return [
+def _registrations(firsts: DataFrame, definition: Column) -> DataFrame:
+    """New lexicon rows from the deciding mention `e` of each unknown key."""
+    defined = F.col("e.phase") == DEFINES
+    return firsts.select(
         F.col("key").alias("rk"),
-        F.col(f"{event}.name").alias("label"),
-        status.alias("status"),
+        F.col("e.name").alias("label"),
+        F.when(defined, "unreviewed").otherwise("pending").alias("status"),
         definition.alias("definition"),
-        source.alias("source"),
-        F.col(f"{event}.pid").alias("first_seen"),
-        at.alias("at"),
-    ]
+        F.when(defined, "defines").otherwise("builds_on").alias("source"),
+        F.col("e.pid").alias("first_seen"),
+        F.col("e").alias("at"),
+    )
 
 
-def register_defines_first(events: DataFrame, lookup: DataFrame) -> DataFrame:
+def register_defines_first(keyed_mentions: DataFrame, lookup: DataFrame) -> DataFrame:
     """New names when all defines are seen before any build: a name that anyone defines is
     unreviewed and keeps its first definition; a name only built on is pending."""
-    unknown = unknown_events(events, lookup).withColumn(
-        "event", F.coalesce("first_def", "first_build")
-    )
-    defined = F.col("first_def").isNotNull()
-    at = F.struct(F.col("event.phase").alias("phase"), F.col("event.pid").alias("pid"),
-                  F.col("event.pos").alias("pos"))
-    return unknown.select(
-        *_registration(
-            "event",
-            F.when(defined, F.col("event.definition")).otherwise(F.lit("")),
-            F.when(defined, "unreviewed").otherwise("pending"),
-            F.when(defined, "defines").otherwise("builds_on"),
-            at,
-        )
-    )
+    text = F.when(F.col("phase") == DEFINES, or_empty("definition")).otherwise(F.lit(""))
+    event = F.struct("phase", "pid", "pos", "name", text.alias("definition"))
+    firsts = unknown(keyed_mentions, lookup).groupBy("key").agg(F.min(event).alias("e"))
+    return _registrations(firsts, F.col("e.definition"))
 
 
-def register_in_order(events: DataFrame, lookup: DataFrame) -> DataFrame:
+def register_in_order(keyed_mentions: DataFrame, lookup: DataFrame) -> DataFrame:
     """New names when each paper's defines and builds are seen together, paper by paper:
-    the very first event decides, and no definition is kept."""
-    defined = F.col("first.phase") == DEFINES
-    return unknown_events(events, lookup).select(
-        *_registration(
-            "first",
-            F.lit(""),
-            F.when(defined, "unreviewed").otherwise("pending"),
-            F.when(defined, "defines").otherwise("builds_on"),
-            F.struct("first.pid", "first.phase", "first.pos"),
-        )
-    )
+    the very first mention decides, and no definition is kept."""
+    event = F.struct("pid", "phase", "pos", "name")
+    firsts = unknown(keyed_mentions, lookup).groupBy("key").agg(F.min(event).alias("e"))
+    return _registrations(firsts, F.lit(""))
 
 
 def registration_counts(new: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Pairwise cosine similarity over whole tables, tile by tile.
 
 Comparing every pair is quadratic by definition; what is avoided here is moving or storing
-the pairs. Vectors are hashed into tiles of bounded size, each pair of tiles is one group,
-and a group is one matrix product whose result leaves the task only as a histogram, as its
-k best pairs, or as the pairs above a floor. A group never holds more than two tiles, so
-no key, however common its copies, makes a task grow.
+the pairs. Copies of one vector are collapsed first: a group of copies, however large, is
+one row with a count, and its inner pairs are counted, not formed. The distinct vectors are
+hashed into tiles of bounded size, each pair of tiles is one group, and a group is one
+matrix product whose result leaves the task only as a histogram, as its k best pairs, or
+as the pairs above a floor. A group never holds more than two tiles.
 """
 
 from __future__ import annotations
@@ -17,10 +18,27 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomgraph.functions.text import canon, contains_any, join_tasks, or_empty
 from loomgraph.functions.vectors import matrix, unit_rows
+from loomgraph.session import materialize
 
 TILE_ROWS = 2048
 
 
+def distinct_vectors(vectors: DataFrame) -> DataFrame:
+    """field, id, vec, n: one row per different vector, under its smallest id, with the
+    number of nodes that share it. Null and zero vectors have no direction and are left out."""
+    usable = vectors.filter(F.exists("vec", lambda x: x != 0))
+    return usable.groupBy("field", F.col("vec").cast("array<double>").alias("vec")).agg(
+        F.min("id").alias("id"), F.count("*").alias("n")
+    )
+
+
+def copies(vectors: DataFrame) -> DataFrame:
+    """field, rep, id: the nodes behind each distinct vector."""
+    reps = distinct_vectors(vectors).withColumnRenamed("id", "rep").drop("n")
+    nodes = vectors.select("field", F.col("vec").cast("array<double>").alias("vec"), "id")
+    return nodes.join(reps, ["field", "vec"]).select("field", "rep", "id")
+
+
 def _tile_count(vectors: DataFrame, tile_rows: int) -> int:
     """Tiles needed for the row bound, and at least enough tile pairs to use every core."""
     rows = vectors.count()
@@ -29,68 +47,84 @@ def _tile_count(vectors: DataFrame, tile_rows: int) -> int:
     return max(1, math.ceil(rows / tile_rows), min(spread, math.ceil(rows / 64)))
 
 
-def _tile_pairs(vectors: DataFrame, tile_rows: int) -> DataFrame:
+def _tile_pairs(distinct: DataFrame, tile_rows: int) -> DataFrame:
     """Sends each vector to every tile pair its tile takes part in."""
-    usable = vectors.filter("vec is not null")
-    n = _tile_count(usable, tile_rows)
-    tile = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return (
-        usable.withColumn("tile", tile)
-        .withColumn("other", other)
-        .select(
-            "field",
-            F.least("tile", "other").alias("lo"),
-            F.greatest("tile", "other").alias("hi"),
-            (F.col("tile") > F.col("other")).alias("right"),
-            "id",
-            F.col("vec").cast("array<double>").alias("vec"),
-        )
+    tiles = _tile_count(distinct, tile_rows)
+    tile = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    return distinct.withColumn("tile", tile).withColumn("other", other).select(
+        "field",
+        F.least("tile", "other").alias("lo"),
+        F.greatest("tile", "other").alias("hi"),
+        (F.col("tile") > F.col("other")).alias("right"),
+        "id", "n", "vec",
     )
 
 
 def _tile_sims(table: pa.Table):
-    """Ids of both sides and the thousandth-rounded cosines of a tile pair, each unordered
-    pair once; entries that are no pair (or involve a zero vector) are masked out."""
+    """Row numbers of both sides, the thousandth-rounded cosines of a tile pair, and which
+    entries are pairs (each unordered pair once)."""
     right = table["right"].combine_chunks().to_numpy(zero_copy_only=False)
-    ids = table["id"].combine_chunks().to_numpy(zero_copy_only=False)
     units = unit_rows(matrix(table["vec"]))
     if table["lo"][0].as_py() == table["hi"][0].as_py():
+        i = j = np.arange(len(units))
         sims = units @ units.T
-        valid = np.triu(np.ones(sims.shape, dtype=bool), 1) & ~np.isnan(sims)
-        left_ids = right_ids = ids
+        valid = np.triu(np.ones(sims.shape, dtype=bool), 1)
     else:
-        sims = units[~right] @ units[right].T
-        valid = ~np.isnan(sims)
-        left_ids, right_ids = ids[~right], ids[right]
-    return left_ids, right_ids, np.rint(np.nan_to_num(sims) * 1000).astype(np.int32), valid
-
-
-def _oriented(left, right, milli, keep):
-    """The kept pairs as (a, b, milli) with a < b."""
-    i, j = np.nonzero(keep)
-    x, y = left[i], right[j]
-    swap = x > y
-    return np.where(swap, y, x), np.where(swap, x, y), milli[i, j]
+        i, j = np.flatnonzero(~right), np.flatnonzero(right)
+        sims = units[i] @ units[j].T
+        valid = np.ones(sims.shape, dtype=bool)
+    return i, j, np.rint(sims * 1000).astype(np.int32), valid
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _pair_table(table: pa.Table, i, j, milli, keep, best: int | None = None) -> pa.Table:
+    """The kept entries as (a, b, sim, n_a, n_b) with a < b; all, or the best few."""
+    x, y = np.nonzero(keep)
+    ids, n = _column(table, "id"), _column(table, "n")
+    left, right, m = i[x], j[y], milli[x, y]
+    swap = ids[left] > ids[right]
+    left, right = np.where(swap, right, left), np.where(swap, left, right)
+    if best is not None:
+        order = np.lexsort((ids[right], ids[left], -m))[:best]
+        left, right, m = left[order], right[order], m[order]
+    kind = table.schema.field("id").type
+    return pa.table({
+        "a": pa.array(ids[left], kind), "b": pa.array(ids[right], kind), "sim": pa.array(m / 1000.0),
+        "n_a": pa.array(n[left], pa.int64()), "n_b": pa.array(n[right], pa.int64()),
+    })
 
 
 def histogram(vectors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """field, milli, n: how many pairs have each rounded similarity; at most 2001 rows per
-    field, whatever the number of pairs. `vectors` is (field, id, vec)."""
+    """field, milli, n: how many node pairs have each rounded similarity; at most 2001 rows
+    per field, whatever the number of pairs. `vectors` is (field, id, vec)."""
 
     def count(key, table):
-        _, _, milli, valid = _tile_sims(table)
-        value, n = np.unique(milli[valid], return_counts=True)
+        i, j, milli, valid = _tile_sims(table)
+        n = _column(table, "n")
+        total = np.zeros(2001, dtype=np.int64)
+        if (n == 1).all():
+            total += np.bincount(milli[valid] + 1000, minlength=2001)
+        else:
+            np.add.at(total, milli[valid] + 1000, np.outer(n[i], n[j])[valid])
+        seen = np.flatnonzero(total)
         return pa.table({
-            "field": pa.array([key[0].as_py()] * len(value), pa.string()),
-            "milli": pa.array(value, pa.int32()),
-            "n": pa.array(n, pa.int64()),
+            "field": pa.array([key[0].as_py()] * len(seen), pa.string()),
+            "milli": pa.array(seen - 1000, pa.int32()),
+            "n": pa.array(total[seen], pa.int64()),
         })
 
-    per_tile = _tile_pairs(vectors, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
+    distinct = materialize(distinct_vectors(vectors))
+    between = _tile_pairs(distinct, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
         count, "field string, milli int, n bigint"
     )
-    return per_tile.groupBy("field", "milli").agg(F.sum("n").alias("n"))
+    within = distinct.filter("n > 1").select(
+        "field", F.lit(1000).alias("milli"), F.expr("n * (n - 1) div 2").alias("n")
+    )
+    return between.unionByName(within).groupBy("field", "milli").agg(F.sum("n").alias("n"))
 
 
 def stats(vectors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -115,44 +149,68 @@ def stats(vectors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
 
 
 def top_pairs(vectors: DataFrame, k: int = 5, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """The k most similar pairs of one field; ties go to the smaller (a, b). Each tile pair
-    reports its own k best."""
-    id_type = vectors.schema["id"].dataType.simpleString()
+    """The k most similar node pairs of one field; ties go to the smaller (a, b). Each tile
+    pair reports its own k best. Of the copies of one vector only the k + 1 smallest ids can
+    take part in such a pair, so only those are compared."""
+    rank = F.row_number().over(W.partitionBy("field", "vec").orderBy("id"))
+    usable = vectors.filter(F.exists("vec", lambda x: x != 0)).select(
+        "field", "id", F.col("vec").cast("array<double>").alias("vec")
+    )
+    able = materialize(
+        usable.withColumn("rank", rank).filter(F.col("rank") <= k + 1)
+        .select("field", "id", "vec", F.lit(1).cast("bigint").alias("n"))
+    )
 
     def best(table):
-        left, right, milli, valid = _tile_sims(table)
+        i, j, milli, valid = _tile_sims(table)
         values = milli[valid]
-        bar = np.partition(values, -k)[-k] if len(values) > k else -2000
-        a, b, m = _oriented(left, right, milli, valid & (milli >= bar))
-        order = np.lexsort((b, a, -m))[:k]
-        return _pair_table(table, a[order], b[order], m[order])
+        bar = np.partition(values, -k)[-k] if len(values) > k else -1001
+        return _pair_table(table, i, j, milli, valid & (milli >= bar), k)
 
-    per_tile = _tile_pairs(vectors, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
-        best, f"a {id_type}, b {id_type}, sim double"
+    per_tile = _tile_pairs(able, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
+        best, _pair_schema(vectors)
     )
-    return per_tile.orderBy(F.desc("sim"), "a", "b").limit(k)
+    return per_tile.orderBy(F.desc("sim"), "a", "b").limit(k).select("a", "b", "sim")
+
+
+def _pair_schema(vectors: DataFrame) -> str:
+    kind = vectors.schema["id"].dataType.simpleString()
+    return f"a {kind}, b {kind}, sim double, n_a bigint, n_b bigint"
 
 
 def pairs(vectors: DataFrame, floor: float, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """field, a, b, sim of every pair whose rounded similarity reaches the floor (-1 keeps
-    the complete store, whose size is quadratic)."""
-    id_type = vectors.schema["id"].dataType.simpleString()
+    """field, a, b, sim, node_pairs: every pair of distinct vectors whose rounded similarity
+    reaches the floor (-1 keeps the complete store, whose size is quadratic). a and b are
+    the smallest ids of their copies and `node_pairs` counts the node pairs a row stands
+    for; a row with a = b stands for the pairs among the copies of one vector."""
     bar = math.ceil(round(floor * 1000, 6))
 
     def select(key, table):
-        left, right, milli, valid = _tile_sims(table)
-        a, b, m = _oriented(left, right, milli, valid & (milli >= bar))
-        out = _pair_table(table, a, b, m)
+        i, j, milli, valid = _tile_sims(table)
+        out = _pair_table(table, i, j, milli, valid & (milli >= bar))
         return out.add_column(0, "field", pa.array([key[0].as_py()] * len(out), pa.string()))
 
-    return _tile_pairs(vectors, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
-        select, f"field string, a {id_type}, b {id_type}, sim double"
+    distinct = materialize(distinct_vectors(vectors))
+    between = _tile_pairs(distinct, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
+        select, f"field string, {_pair_schema(vectors)}"
+    ).select("field", "a", "b", "sim", F.expr("n_a * n_b").alias("node_pairs"))
+    within = distinct.filter((F.col("n") > 1) & F.lit(bar <= 1000)).select(
+        "field", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"),
+        F.expr("n * (n - 1) div 2").alias("node_pairs"),
     )
+    return between.unionByName(within)
 
 
-def _pair_table(table, a, b, milli):
-    kind = table.schema.field("id").type
-    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "sim": pa.array(milli / 1000.0)})
+def node_pairs(similar: DataFrame, copies: DataFrame) -> DataFrame:
+    """field, a, b, sim with every node pair written out, for the similarity document and
+    the overlay."""
+    left = copies.select("field", F.col("rep").alias("a"), F.col("id").alias("id_a"))
+    right = copies.select("field", F.col("rep").alias("b"), F.col("id").alias("id_b"))
+    return (
+        similar.join(left, ["field", "a"]).join(right, ["field", "b"])
+        .filter("a <> b or id_a < id_b")
+        .select("field", F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "sim")
+    )
 
 
 def family(labels: DataFrame, words: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from loomgraph.operators import (
 from loomgraph.plans import decisions
 from loomgraph.plans.rebuild import rebuild
 from loomgraph.plans.tables import Tables
-from loomgraph.session import ship_package
+from loomgraph.session import materialize, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -277,9 +277,9 @@ def graph_export_nodes(t: Tables) -> DataFrame:
 
 def _lineage(t: Tables, direction: str) -> DataFrame:
     """Closure around the concept with the most targets."""
-    edges = view.builds_on(_v2(t))
-    start = edges.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(1)
-    return G.closure(edges, start.select(F.col("src").alias("id")), direction)
+    edges = materialize(view.builds_on(_v2(t)))
+    most = edges.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(1)
+    return G.closure(edges, most.select(F.col("src").alias("id")), direction)
 
 
 @query
@@ -294,7 +294,7 @@ def lineage_descendants(t: Tables) -> DataFrame:
 
 @query
 def lineage_both(t: Tables) -> DataFrame:
-    return _lineage(t, "both").select("id").distinct()
+    return _lineage(t, "both").groupBy("id").agg(F.count("*").alias("sides"))
 
 
 # --- texts and vectors ------------------------------------------------------------------
@@ -390,7 +390,8 @@ def similarity_family(t: Tables) -> DataFrame:
 def similarity_overlay(t: Tables) -> DataFrame:
     nodes = t.vectors().select(F.col("id").alias("key"))
     papers = t.vectors().select(F.col("id").alias("key"), F.col("label").alias("pid"))
-    return S.overlay(S.pairs(t.vectors(), 0.30), nodes, papers)
+    similar = S.node_pairs(S.pairs(t.vectors(), 0.30), S.copies(t.vectors()))
+    return S.overlay(similar, nodes, papers)
 
 
 def _query_vector(t: Tables) -> list[float]:

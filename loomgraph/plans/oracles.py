@@ -36,8 +36,7 @@ lex as (
 MENTIONS = f"""
 raw as (
   select cast(l_orderkey as varchar) as pid, case when l_linenumber = 1 then 0 else 1 end as phase,
-         row_number() over (order by l_linenumber, l_partkey, l_suppkey, l_returnflag, l_discount,
-                                     l_quantity, l_linestatus) as pos,
+         row_number() over (order by l_linenumber, l_partkey, l_suppkey) as pos,
          case l_returnflag when 'A' then concat('Part-', l_partkey)
            when 'R' then concat(' sku  ', l_partkey) else concat('Maker-', l_suppkey) end as name,
          case when l_linenumber = 1 and l_discount >= 0.05 then
@@ -157,6 +156,16 @@ sims as materialized (
   select a.id as a, b.id as b, round(list_cosine_similarity(a.vec, b.vec), 3) + 0.0 as sim, a.label = b.label as same
   from v a join v b on a.id < b.id)
 """
+REP_SIMS = f"with {VEC}" + """,
+reps as (
+  select min(id) as id, vec, count(*) as n from v left join part on p_partkey = id where {labels} group by vec),
+rows as materialized (
+  select 'problem' as field, a.id as a, b.id as b,
+         round(list_cosine_similarity(a.vec, b.vec), 3) + 0.0 as sim, a.n * b.n as node_pairs
+  from reps a join reps b on a.id < b.id
+  union all
+  select 'problem', id, id, 1.0, n * (n - 1) // 2 from reps where n > 1)
+"""
 HITS = f"with {VEC}" + """,
 scored as (select id, label, list_cosine_similarity(vec, qv) as score from v, q),
 hits as (
@@ -376,10 +385,12 @@ ORACLES: dict[str, str] = {
                 select distinct main.rk as src, res.rk as dst from res join main using (pid)
                 where phase = 1 and ok and res.rk <> main.rk)) as builds_on"""),
     "lineage_ancestors": closure(UP, """
-      select id, case when id = src then 'self' else 'ancestor' end as side from up, start_node"""),
+      select 'ancestor' as side, id from up where id not in (select src from start_node)"""),
     "lineage_descendants": closure(DOWN, """
-      select id, case when id = src then 'self' else 'descendant' end as side from down, start_node"""),
-    "lineage_both": closure(f"{UP}, {DOWN}", "select id from up union select id from down"),
+      select 'descendant' as side, id from down where id not in (select src from start_node)"""),
+    "lineage_both": closure(f"{UP}, {DOWN}", """
+      select id, count(*) as sides from (select id from up union all select id from down)
+      where id not in (select src from start_node) group by id"""),
     "node_texts": v1("""
       select key as id, case when trim(definition) <> '' then concat(canonical, ': ', trim(definition))
              else concat(canonical, ' (', ptype, ')') end as text from v1_nodes"""),
@@ -401,12 +412,10 @@ ORACLES: dict[str, str] = {
       select 'problem' as field, count(*) as pairs, round(min(sim), 6) as min_sim, round(avg(sim), 6) as mean_sim,
              round(median(sim), 6) + 0.0 as median_sim, round(max(sim), 6) as max_sim from sims""",
     "similarity_top": f"{SIMS} select a, b, sim from sims order by sim desc, a, b limit 5",
-    "similarity_pairs": f"{SIMS} select 'problem' as field, a, b, sim from sims where sim >= 0.3",
-    "similarity_family": f"""{SIMS},
-      fam as (select p_partkey as id from part
-              where contains(lower(p_name), 'ring') or contains(lower(p_name), 'bolt'))
-      select 'problem' as field, a, b, sim from sims
-      where sim >= 0.2 and a in (select id from fam) and b in (select id from fam)""",
+    "similarity_pairs": f"""{REP_SIMS.format(labels="true")}
+      select * from rows where sim >= 0.3""",
+    "similarity_family": f"""{REP_SIMS.format(labels="(contains(lower(p_name), 'ring') or contains(lower(p_name), 'bolt'))")}
+      select * from rows where sim >= 0.2""",
     "similarity_overlay": f"""{SIMS}
       select a as source, b as target, sim from sims where sim >= 0.3 and not same""",
     "vector_topk": f"""

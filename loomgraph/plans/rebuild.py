@@ -18,7 +18,7 @@ class Rebuilt:
 
     def counts(self) -> DataFrame:
         """Nodes and lineage edges of the concept view."""
-        n = view.concepts(self.v2).agg(F.count("*").alias("nodes"))
+        n = self.v2.concepts.agg(F.count("*").alias("nodes"))
         return n.withColumn("builds_on", view.builds_on(self.v2).agg(F.count("*")).scalar())
 
 

@@ -51,8 +51,7 @@ class Tables:
         return self.lineitem.select(
             F.col("l_orderkey").cast("string").alias("pid"),
             F.expr("case when l_linenumber = 1 then 0 else 1 end").alias("phase"),
-            F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount",
-                     "l_quantity", "l_linestatus").alias("pos"),
+            F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
             F.expr("case l_returnflag when 'A' then concat('Part-', l_partkey) "
                    "when 'R' then concat(' sku  ', l_partkey) else concat('Maker-', l_suppkey) end"
                    ).alias("name"),

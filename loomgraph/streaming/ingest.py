@@ -37,7 +37,7 @@ def lexicon_stream(spark: SparkSession, mention_folder: str, store: Snapshots,
     def each(batch: DataFrame, _: int) -> None:
         own = Snapshots(batch.sparkSession, store.root)
         lexicon = own.read("lexicon", LEXICON)
-        new = M.register_in_order(M.first_events(M.keyed(batch)), L.names_lookup(lexicon))
+        new = M.register_in_order(M.keyed(batch), L.names_lookup(lexicon))
         own.write("lexicon", L.append_registrations(lexicon, new))
 
     return _run(spark.readStream.schema(MENTIONS).json(mention_folder), checkpoint, each)
