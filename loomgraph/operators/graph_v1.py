@@ -15,6 +15,7 @@ from loomgraph.functions.text import or_empty
 from loomgraph.operators import mentions as M
 from loomgraph.operators.lexicon import names_lookup
 from loomgraph.schemas import BUILDS_ON, DEFINES
+from loomgraph.session import materialize
 
 
 @dataclass
@@ -34,12 +35,17 @@ def undefined_papers(papers: DataFrame, mentions: DataFrame) -> DataFrame:
     return papers.join(defining, "pid", "left_anti")
 
 
-def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame) -> GraphV1:
+def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame, keep: bool = False) -> GraphV1:
+    """`keep` checkpoints the resolved mentions, which nodes, edges and blocked rows share."""
     keyed = M.keyed(mentions)
     lookup = names_lookup(lexicon)
     registered = M.register_defines_first(keyed, lookup)
     names = M.extend_lookup(lookup, registered)
-    resolved = keyed.join(names, "key")
+    resolved = keyed.join(names, "key").select(
+        "pid", "phase", "pos", "name", "definition", "rk", "label", "status", "lex_definition"
+    )
+    if keep:
+        resolved = materialize(resolved)
     ok = admitted(F.col("status"))
 
     defined = resolved.filter((F.col("phase") == DEFINES) & ok)

@@ -11,6 +11,7 @@ from loomgraph.functions.text import or_empty
 from loomgraph.operators import mentions as M
 from loomgraph.operators.lexicon import names_lookup
 from loomgraph.schemas import DEFINES
+from loomgraph.session import materialize
 
 
 @dataclass
@@ -21,14 +22,22 @@ class GraphV2:
     registered: DataFrame  # new lexicon rows
 
 
-def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame) -> GraphV2:
-    """Mentions count only for papers that have a content record."""
+def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame, keep: bool = False) -> GraphV2:
+    """Mentions count only for papers that have a content record.
+
+    `keep` checkpoints the resolved mentions, from which edges, concepts and every view
+    follow; use it when more than one of them is read, so that names are resolved once.
+    """
     with_content = mentions.join(papers.select("pid"), "pid", "left_semi")
     keyed = M.keyed(with_content)
     lookup = names_lookup(lexicon)
     registered = M.register_in_order(keyed, lookup)
     names = M.extend_lookup(lookup, registered).filter(admitted(F.col("status")))
-    resolved = keyed.join(names, "key")
+    resolved = keyed.join(names, "key").select(
+        "pid", "phase", "pos", "rk", "label", "status", "definition"
+    )
+    if keep:
+        resolved = materialize(resolved)
     edges = resolved.select(
         "pid", "phase", "pos",
         F.when(F.col("phase") == DEFINES, "defines").otherwise("builds_on").alias("type"),

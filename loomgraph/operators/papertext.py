@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomgraph.functions.text import find_cut
 from loomgraph.schemas import PAGE_BUDGET_CHARS
+from loomgraph.session import materialize
 
 PAGES_PER_BUCKET = 1024
 
@@ -16,12 +17,13 @@ def page_cutoffs(pages: DataFrame, budget: int = PAGE_BUDGET_CHARS) -> DataFrame
 
     The running sum is taken over buckets of pages first (lengths add up map-side) and over
     single pages only inside the bucket that crosses, so a paper with an extreme number of
-    pages is never one window partition of single pages.
+    pages is never one window partition of single pages. The lengths are checkpointed: they
+    are needed twice, and the texts behind them should be read once.
     """
-    lens = pages.select(
+    lens = materialize(pages.select(
         "paper_id", "page", F.length("text").alias("len"),
         F.floor(F.col("page") / PAGES_PER_BUCKET).alias("bucket"),
-    )
+    ))
     sums = lens.groupBy("paper_id", "bucket").agg(F.sum("len").alias("len"))
     up_to = W.partitionBy("paper_id").orderBy("bucket")
     crossing = (

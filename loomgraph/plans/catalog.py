@@ -31,12 +31,12 @@ def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     return fn
 
 
-def _v1(t: Tables) -> graph_v1.GraphV1:
-    return graph_v1.build(t.papers(), t.mentions(), t.lexicon())
+def _v1(t: Tables, keep: bool = False) -> graph_v1.GraphV1:
+    return graph_v1.build(t.papers(), t.mentions(), t.lexicon(), keep)
 
 
-def _v2(t: Tables) -> graph_v2.GraphV2:
-    return graph_v2.build(t.papers(), t.mentions(), t.lexicon())
+def _v2(t: Tables, keep: bool = False) -> graph_v2.GraphV2:
+    return graph_v2.build(t.papers(), t.mentions(), t.lexicon(), keep)
 
 
 # --- names and lexicon ----------------------------------------------------------------
@@ -196,7 +196,7 @@ def graph_v2_edges(t: Tables) -> DataFrame:
 
 @query
 def graph_v2_counts(t: Tables) -> DataFrame:
-    return graph_v2.counts(_v2(t))
+    return graph_v2.counts(_v2(t, keep=True))
 
 
 @query
@@ -259,14 +259,14 @@ def concept_names(t: Tables) -> DataFrame:
 
 @query
 def induced_subgraph(t: Tables) -> DataFrame:
-    g = _v2(t)
+    g = _v2(t, keep=True)
     picked = view.filter_nodes(view.concepts(g), domain="general")
     return view.induced_edges(view.builds_on(g), picked)
 
 
 @query
 def graph_links(t: Tables) -> DataFrame:
-    g = _v2(t)
+    g = _v2(t, keep=True)
     return view.links(view.builds_on(g), view.concepts(g))
 
 

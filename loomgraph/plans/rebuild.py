@@ -26,11 +26,11 @@ def rebuild(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame,
             store: Snapshots | None = None) -> Rebuilt:
     """With a store, the grown lexicon and every graph table become new snapshots, and the
     typed graph reads the stored lexicon."""
-    v1 = graph_v1.build(papers, mentions, lexicon)
+    v1 = graph_v1.build(papers, mentions, lexicon, keep=store is not None)
     grown = L.append_registrations(lexicon, v1.registered)
     if store is not None:
         grown = store.write("lexicon", grown)
-    v2 = graph_v2.build(papers, mentions, grown)
+    v2 = graph_v2.build(papers, mentions, grown, keep=True)
     if store is not None:
         v1.nodes = store.write("v1_nodes", v1.nodes)
         v1.node_papers = store.write("v1_node_papers", v1.node_papers)
