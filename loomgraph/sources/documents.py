@@ -7,20 +7,28 @@ document. No row set is gathered on the driver or in one task.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loomgraph.operators.ordering import with_row_index
+
 
 @dataclass
 class Section:
-    """A member of the top-level object: an array of rows, or an object when `key` is set."""
+    """A member of the top-level object: an array of rows, or an object when `key` is set.
+    A section without a name puts its entries into the top-level object itself."""
 
     name: str
     rows: DataFrame
-    value: Column            # a struct (or any type to_json takes)
+    value: Column            # a struct, array or map; or a string when `text` is set
     order: Column            # sort key within the section, unique
     key: Column | None = None
+    text: bool = False
+    json_text: bool = False  # the value is JSON text already
+    before: str = ""         # literal text in front of the section and behind it
+    after: str = ""
 
 
 def _quoted(text: Column) -> Column:
@@ -40,8 +48,14 @@ def lines(spark: SparkSession, sections: list[Section], head: str = "", tail: st
     out = mark(-1, 0, head + "{")
     for i, s in enumerate(sections):
         left, right = ("{", "}") if s.key is not None else ("[", "]")
-        out = out.unionByName(mark(i, 0, ("," if i else "") + f'"{s.name}": ' + left))
-        body = F.to_json(s.value, {"ignoreNullFields": "false"})
+        opening = f'"{s.name}": {left}' if s.name else ""
+        out = out.unionByName(mark(i, 0, ("," if i else "") + s.before + opening))
+        if s.json_text:
+            body = s.value
+        elif s.text:
+            body = _quoted(s.value)
+        else:
+            body = F.to_json(s.value, {"ignoreNullFields": "false"})
         if s.key is not None:
             body = F.concat(_quoted(s.key), F.lit(": "), body)
         at = s.order.cast("string")
@@ -50,7 +64,7 @@ def lines(spark: SparkSession, sections: list[Section], head: str = "", tail: st
         out = out.unionByName(
             s.rows.select(F.lit(i).alias("section"), F.lit(1).alias("step"), at.alias("at"),
                           text.alias("value"))
-        ).unionByName(mark(i, 2, right))
+        ).unionByName(mark(i, 2, (right if s.name else "") + s.after))
     return out.unionByName(mark(len(sections), 0, "}" + tail))
 
 
@@ -68,11 +82,48 @@ def lexicon_section(lexicon: DataFrame) -> list[Section]:
     return [Section("techniques", lexicon, fields, F.lpad(F.col("ord").cast("string"), 20, "0"), F.col("name"))]
 
 
-def similarity_sections(labels: DataFrame, similar: DataFrame) -> list[Section]:
-    row = F.struct("field", "a", "b", "sim")
+def similarity_sections(labels: DataFrame, node_pairs: DataFrame,
+                        fields: tuple[str, ...] = ("define", "problem", "task")) -> list[Section]:
+    """Labels by node, and under `sims` one list of pairs per field."""
+    out = [Section("labels", labels, F.col("label"), F.col("key"), F.col("key"), text=True)]
+    for i, f in enumerate(fields):
+        out.append(Section(
+            f, node_pairs.filter(F.col("field") == f), F.struct("a", "b", "sim"),
+            F.concat_ws("\u0000", "a", "b"),
+            before='"sims": {' if i == 0 else "", after="}" if i == len(fields) - 1 else "",
+        ))
+    return out
+
+
+def vector_sections(store: DataFrame, model: str, dim: int) -> list[Section]:
+    rows = store.filter((F.col("model") == model) & F.col("vec").isNotNull())
+    head = f'"model": {json.dumps(model)}, "dim": {dim}, '
+    return [Section("vectors", rows, F.col("vec"), F.col("id"), F.col("id"), before=head)]
+
+
+def ledger_section(ledger: DataFrame) -> list[Section]:
+    value = F.struct("title", "abstract", "published", "categories", "gate", "extracted", "first_seen_query")
+    return [Section("", ledger, value, F.col("aid"), F.col("aid"))]
+
+
+def graph_v2_sections(papers: DataFrame, concepts: DataFrame, edges: DataFrame) -> list[Section]:
+    """Typed nodes by prefixed id, and the edge list in paper order. An edge's place within
+    its paper breaks ties, so duplicates stay."""
+    paper = papers.select(
+        F.concat(F.lit("paper:"), "pid").alias("id"),
+        F.to_json(F.struct(F.lit("paper").alias("type"), "title", "problem", "task", "domain", "paper_type"),
+                  {"ignoreNullFields": "false"}).alias("body"))
+    concept = concepts.select(
+        F.concat(F.lit("concept:"), "rk").alias("id"),
+        F.to_json(F.struct(F.lit("concept").alias("type"), "canonical", "definition", "def_status", "status"),
+                  {"ignoreNullFields": "false"}).alias("body"))
+    nodes = paper.unionByName(concept)
+    numbered = with_row_index(edges, [F.col("pid"), F.col("phase"), F.col("pos")], "i")
+    edge = F.struct("type", F.concat(F.lit("paper:"), "pid").alias("from"),
+                    F.concat(F.lit("concept:"), "rk").alias("to"))
     return [
-        Section("labels", labels, F.struct("label"), F.col("key"), F.col("key")),
-        Section("sims", similar, row, F.concat_ws("\u0000", "field", "a", "b")),
+        Section("nodes", nodes, F.col("body"), F.col("id"), F.col("id"), json_text=True),
+        Section("edges", numbered, edge, F.lpad(F.col("i").cast("string"), 20, "0")),
     ]
 
 

@@ -34,6 +34,11 @@ def read_parsed(spark: SparkSession, folder: str) -> DataFrame:
     return _records(spark, folder, "parsed", PARSED).drop("paper_id")
 
 
+def dry_run(papers: DataFrame, n: int = 2) -> DataFrame:
+    """The first papers in id order, for trying a service before a full run."""
+    return papers.orderBy("pid").limit(n)
+
+
 def texts_of(papers: DataFrame, parsed: DataFrame) -> DataFrame:
     """pid -> parsed text."""
     return papers.select("pid").join(parsed.select("pid", "text"), "pid")

@@ -67,6 +67,41 @@ def test_draw_document(spark, tmp_path):
     assert [(x["source"], x["target"]) for x in doc["links"]] == [("a", "b"), ("b", "a")]
 
 
+def written(folder):
+    return json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+
+
+def test_other_documents(spark, tmp_path):
+    labels = spark.createDataFrame([("a", 'A "q"'), ("b", "B")], "key string, label string")
+    sims = spark.createDataFrame([("define", "a", "b", 0.5), ("task", "a", "b", 0.25)],
+                                 "field string, a string, b string, sim double")
+    D.write_document(spark, str(tmp_path / "s"), D.similarity_sections(labels, sims))
+    assert written(tmp_path / "s") == {
+        "labels": {"a": 'A "q"', "b": "B"},
+        "sims": {"define": [{"a": "a", "b": "b", "sim": 0.5}], "problem": [], "task": [{"a": "a", "b": "b", "sim": 0.25}]}}
+    store = spark.createDataFrame([("m", "concept:a", [0.5, 1.0]), ("old", "x", [1.0])], "model string, id string, vec array<double>")
+    D.write_document(spark, str(tmp_path / "v"), D.vector_sections(store, "m", 2))
+    assert written(tmp_path / "v") == {"model": "m", "dim": 2, "vectors": {"concept:a": [0.5, 1.0]}}
+    from loomgraph.schemas import LEDGER
+    ledger = spark.createDataFrame([("1", "t", "a", "p", ["c"], None, False, "q")], LEDGER)
+    D.write_document(spark, str(tmp_path / "l"), D.ledger_section(ledger))
+    assert written(tmp_path / "l") == {"1": {"title": "t", "abstract": "a", "published": "p", "categories": ["c"],
+                                             "gate": None, "extracted": False, "first_seen_query": "q"}}
+    from test_graphs import World
+    w = World(spark, lex(spark, ("A", [])), {"1": ([("A", "")], ["A", "A"]), "2": ([], ["A"])})
+    D.write_document(spark, str(tmp_path / "g"), D.graph_v2_sections(w.v2.papers, w.v2.concepts, w.v2.edges))
+    doc = written(tmp_path / "g")
+    assert sorted(doc["nodes"]) == ["concept:a", "paper:1", "paper:2"]
+    assert doc["nodes"]["concept:a"] == {"type": "concept", "canonical": "A", "definition": "", "def_status": "ok", "status": "approved"}
+    assert doc["edges"] == [{"type": t, "from": f"paper:{p}", "to": "concept:a"} for t, p in
+                            (("defines", 1), ("builds_on", 1), ("builds_on", 1), ("builds_on", 2))]
+    D.write_document(spark, str(tmp_path / "g1"), D.graph_v1_sections(w.v1.nodes, w.v1.edges))
+    one = written(tmp_path / "g1")
+    assert sorted(one["nodes"]) == ["a", "paper:2"] and one["builds_on"] == [
+        {"from": "a", "to": "a"}, {"from": "paper:2", "to": "a"}]
+    assert rows(RR.dry_run(w.papers, 1), "pid") == [("1",)]
+
+
 def test_snapshots(spark, tmp_path):
     s = Snapshots(spark, str(tmp_path))
     assert not s.exists("t") and s.read("t", "a int").count() == 0
