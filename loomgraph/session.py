@@ -38,6 +38,8 @@ def ship_package(spark: SparkSession) -> None:
     if app in _shipped:
         return
     here = Path(__file__).resolve().parent
+    if not here.is_dir():  # imported from an archive that was shipped already
+        return
     base = Path(tempfile.mkdtemp(prefix="loomgraph-pkg-")) / here.name
     spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", here.parent, here.name))
     _shipped.add(app)
