@@ -4,6 +4,7 @@ one batch of one partition."""
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from typing import Protocol
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.functions.text import or_empty
-from loomgraph.schemas import CONTENT, CONTENT_FIELDS, EMBED_BATCH, LINEAGE
+from loomgraph.schemas import CONTENT, CONTENT_FIELDS, EMBED_BATCH, LINEAGE, PAPER_TYPES
 
 
 class Embedder(Protocol):
@@ -181,3 +182,46 @@ class TemplateAssistant:
             "Papers:", *(paper_lines or ["(none matched)"]),
             f"Coverage: {grade}",
         ])
+
+
+class KeywordTranslator:
+    """Offline command translator: recognizes a few words instead of asking a model."""
+
+    collect_words = ("collect", "fetch", "gather", "find papers")
+    lineage_words = ("lineage", "ancestor", "descendant")
+    reset_words = ("everything", "reset", "show all")
+
+    def __init__(self, domains: tuple[str, ...] = ("general", "medical")):
+        self.domains = domains
+
+    def translate(self, text: str, names: DataFrame) -> dict:
+        low = text.lower()
+        if any(w in low for w in self.collect_words):
+            return {"tool": "collect", "args": {"topic_text": text}}
+        if any(w in low for w in self.lineage_words):
+            return self._lineage(low, names)
+        args = {}
+        for field, values in (("ptype", PAPER_TYPES), ("domain", self.domains)):
+            hit = next((v for v in values if v in low), None)
+            if hit:
+                args[field] = hit
+        date = re.search(r"\b(20\d\d)(-\d\d)?\b", low)
+        if date:
+            args["date_after"] = date[1] + (date[2] or "-01")
+        if args:
+            return {"tool": "filter", "args": args}
+        if any(w in low for w in self.reset_words):
+            return {"tool": "reset", "args": {}}
+        return {"tool": None, "message": "the command was not understood"}
+
+    def _lineage(self, low: str, names: DataFrame) -> dict:
+        """The longest node name the sentence contains."""
+        best = (
+            names.filter(F.lit(low).contains(F.lower("canonical")) & (F.length("canonical") > 0))
+            .orderBy(F.desc(F.length("canonical")), "canonical").first()
+        )
+        if best is None:
+            return {"tool": None, "message": "the node was not found"}
+        up, down = "ancestor" in low, "descendant" in low
+        direction = "both" if up == down else "ancestors" if up else "descendants"
+        return {"tool": "focus_lineage", "args": {"node": best["canonical"], "direction": direction}}

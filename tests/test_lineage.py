@@ -89,3 +89,21 @@ def test_tool_calls(spark):
     assert K.to_request({"tool": "collect", "args": {"topic_text": "x"}}) == K.CollectRequest("x")
     assert K.to_request({"tool": "what"}) is None
     assert K.to_request(ok) == K.LineageRequest("Self-RAG", "both")
+
+
+@pytest.mark.parametrize("text, call", [
+    ("show only benchmark nodes", ("filter", {"ptype": "benchmark"})),
+    ("medical technique nodes after 2024-05", ("filter", {"ptype": "technique", "domain": "medical", "date_after": "2024-05"})),
+    ("what came out since 2024", ("filter", {"date_after": "2024-01"})),
+    ("lineage of self-RAG please", ("focus_lineage", {"node": "Self-RAG", "direction": "both"})),
+    ("ancestors of rag", ("focus_lineage", {"node": "rag", "direction": "ancestors"})),
+    ("lineage of zzz", (None, None)),
+    ("show everything", ("reset", {})),
+    ("collect papers on retrieval", ("collect", {"topic_text": "collect papers on retrieval"})),
+    ("hm", (None, None)),
+])
+def test_offline_translator(spark, text, call):
+    from loomgraph.external import KeywordTranslator
+    names = spark.createDataFrame([("Self-RAG",), ("rag",), ("",)], "canonical string")
+    got = KeywordTranslator().translate(text, names)
+    assert (got["tool"], got.get("args")) == call
