@@ -11,6 +11,7 @@ from loomgraph.llm.decontamination import clean_documents
 from loomgraph.llm.exact_dedup import keep_one_of_each
 from loomgraph.llm.language_id import identify, training_rows
 from loomgraph.llm.mixing import mix_sources
+from loomgraph.llm.ngram_join import keep_one_of_near
 from loomgraph.llm.textops import fold, table
 from loomgraph.session import ensure_checkpoint_dir
 
@@ -26,6 +27,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs)
 
 
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8."""
+    return keep_one_of_near(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark item go."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -39,6 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language_id),
     ("exact_dedup", exact),
+    ("ngram_join", ngram_join),
     ("decontamination", decontamination),
     ("mixing", mixing),
 ]

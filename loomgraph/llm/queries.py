@@ -8,10 +8,19 @@ from loomgraph.llm.decontamination import find_items
 from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.language_id import identify, training_rows
 from loomgraph.llm.line_dedup import line_dedup
+from loomgraph.llm.lm import lm_score
 from loomgraph.llm.mixing import mix_sources
+from loomgraph.llm.ngram_join import near_duplicates
+from loomgraph.llm.pii import find_pii
+from loomgraph.llm.quality import score_quality
+from loomgraph.llm.substring_dedup import substring_dedup
 from loomgraph.llm.textops import fold, table
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, training_rows(docs, fold(F.col("doc_id"), 4) != 2))
@@ -23,6 +32,29 @@ def op3_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_quality_crf(spark, sf_dir):
+    held_out = fold(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    out = score_quality(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_lm_score(spark, sf_dir):
+    held_out = fold(F.col("doc_id"), 5) == 1
+    out = lm_score(table(spark, sf_dir, "documents"), train=~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_pii(spark, sf_dir):
+    out = find_pii(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op7_ngram_jaccard(spark, sf_dir):
+    out = near_duplicates(table(spark, sf_dir, "documents"), size=3, num=9, den=10)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -36,8 +68,13 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality_crf": op4_quality_crf,
+    "op5_lm_score": op5_lm_score,
+    "op6_pii": op6_pii,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
