@@ -9,7 +9,8 @@ boundaries and kinds together; words outside are segments of one word.
 
 The field is fitted by maximum likelihood (forward-backward over segments) on islands of a
 bounded sample, `fit_docs` documents in the order of a hash, whole texts, whose truth is the base spans. Its
-spans are added where they overlap no base span; base spans are never changed.
+spans are added where they overlap no base span; base spans are never changed. For fitting,
+islands are cut into runs of `FIT_WORDS` words.
 
 Defined results: null and empty texts have no spans. Repeated rows get equal spans. Without
 documents to fit on only the base spans remain. Columns other than id and text are not read."""
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from loomgraph.llm.textops import chunks
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_WORDS = 6
+MAX_WORDS, FIT_WORDS = 6, 40
 SPACE = " \t\n\x0b\x0c\r"
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -160,9 +161,18 @@ class SegmentField:
         self.weights = weights or {}
 
     def candidates(self, text: str, island: list[tuple[int, int]]):
-        """(i, j, start, end, feature names) of each segment of words i..j-1."""
+        """(i, j, start, end, feature names) of each segment of words i..j-1 that can be an entity:
+        it holds an @, or no letter and either seven digits or three dots."""
+        words = [text[s:e] for s, e in island]
+        plain = [not any(map(str.isalpha, w)) for w in words]
+        digits = [len(NOT_DIGIT.sub("", w)) for w in words]
         for i in range(len(island)):
+            at, bare, figures, dots = False, True, 0, 0
             for j in range(i + 1, min(len(island), i + MAX_WORDS) + 1):
+                at, bare = at or "@" in words[j - 1], bare and plain[j - 1]
+                figures, dots = figures + digits[j - 1], dots + words[j - 1].count(".")
+                if not at and not (bare and (figures >= 7 or dots >= 3)):
+                    continue
                 start, end = trimmed(text, island[i][0], island[j - 1][1])
                 if end > start:
                     yield i, j, start, end, span_features(text, start, end, j - i)
@@ -205,7 +215,8 @@ def fit_field(texts: list[str], steps: int = 60, rate: float = 0.3, decay: float
     graphs = []
     for text in texts:
         truth = {(s, e): k for k, s, e in base_spans(text)}
-        for island in islands(text):
+        runs = [island[k: k + FIT_WORDS] for island in islands(text) for k in range(0, len(island), FIT_WORDS)]
+        for island in runs:
             if len(graphs) >= max_islands:
                 break
             segs, gold, used = [], [], -1

@@ -95,8 +95,13 @@ class RunHash:
     def grow(self, n: int) -> None:
         if len(self.up) < n:
             n = max(n, 2 * len(self.up))
-            powers = lambda b: np.cumprod(np.concatenate(([1], np.full(n - 1, b, np.uint64))), dtype=np.uint64)
-            self.up, self.down = powers(np.uint64(self.base)), powers(np.uint64(self.inverse))
+            self.up, self.down = self._powers(self.base, n), self._powers(self.inverse, n)
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors, dtype=np.uint64)
 
     def runs(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         self.grow(len(values) + 1)

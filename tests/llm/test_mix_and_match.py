@@ -114,8 +114,8 @@ def edit_distance_within(item, text):
 def mutated(rng, s, n):
     s = list(s)
     for _ in range(n):
-        k = rng.randrange(len(s))
-        s[k: k + 1] = rng.choice([[], ["x"], [s[k], "q"]])
+        k = rng.randrange(len(s) or 1)
+        s[k: k + 1] = rng.choice([[], ["x"], [*s[k: k + 1], "q"]])
     return "".join(s)
 
 

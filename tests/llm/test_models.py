@@ -80,7 +80,7 @@ def test_forward_backward():
 
 def test_line_features_see_lines_words_and_neighbours():
     x, size, counts = line_features(pa.array(["AB c\n\n a|b | c!\r\nAB c", None, " \n", "é é é"]))
-    assert counts.tolist() == [3, 0, 0, 1] and size.tolist() == [4, 10, 4, 8]
+    assert counts.tolist() == [3, 0, 0, 1] and size.tolist() == [4, 8, 4, 8]
     assert x[0, 8] == x[2, 8] == 1 and x[1, 8] == 0  # repeated line
     assert x[3, 7] == pytest.approx(2 / 3)  # words like the one before
     assert x[1, -2] == x[1, -1] == 1 and x[0, -2] == 0 and x[3, -1] == 0
@@ -136,7 +136,7 @@ def test_lm_words_out_of_the_head_are_joined(spark):
         assert (x["doc_id"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (y["doc_id"], y["n_tokens"], y["n_known"], y["train_tokens"])
         assert x["base_score"] == pytest.approx(y["base_score"]) and x["score"] == pytest.approx(y["score"], rel=1e-4)
     none = lm_score(frame(spark, rows), F.lit(False)).collect()
-    assert all(r["score"] == r["base_score"] == 0 and r["train_tokens"] == 0 and r["n_known"] == 0 for r in none)
+    assert all(r["score"] == r["base_score"] and abs(r["score"]) < 1e-9 and r["train_tokens"] == 0 and r["n_known"] == 0 for r in none)
     assert lm_score(frame(spark, rows).limit(0), F.lit(True)).count() == 0
 
 
@@ -219,10 +219,11 @@ def test_long_texts_take_linear_time():
 
 def test_segments_are_chosen_jointly():
     rng = random.Random(8)
-    text = "call: +1 222 333 4444 or 10.0.0.1 x1@y2.zz 77 88 99"
+    text = "call: +1 222 333 4444 10.0.0.1 x1@y2.zz 77 888 9999"
     island = pii.islands(text)[-1]
     field = pii.SegmentField()
     segs = list(field.candidates(text, island))
+    assert len(segs) > 5
     field.weights = {(k, f): rng.gauss(-0.4, 1) for k in pii.KINDS for *_, fs in segs for f in fs}
     got = field.decode(text, island)
 
@@ -254,7 +255,7 @@ def test_pii_keeps_base_spans(spark):
     assert len(got) == len(rows)
     r = next(r for r in got if r["doc_id"] == 7001)
     assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1)
-    assert r["base"] == "email:7:22,ip:70:78,card:29:48,phone:49:65" and set(r["base"].split(",")) <= set(r["spans"].split(","))
+    assert r["base"] == "email:7:22,ip:71:79,card:29:48,phone:49:66" and set(r["base"].split(",")) <= set(r["spans"].split(","))
     assert all(r["base"] == "" and r["spans"] == "" for r in got if r["doc_id"] in (9001, 9002, 9003))
     assert pii.find_pii(frame(spark, rows).limit(0)).count() == 0
 
