@@ -6,13 +6,13 @@ itself is what a piece can refer to; each piece is encoded with every dictionary
 language with the smallest sum wins. The margin is the difference to the second, in bytes
 per byte of text; a text whose margin is below `min_margin` is rejected.
 
-Training is bounded: `docs_per_lang` documents for each of at most `max_langs` languages, in
-the order of a hash of the id, and `dict_bytes` of text per language. Prediction reads the
+Training is bounded: `docs_per_lang` documents for each of the at most `max_langs` most frequent
+languages, in the order of a hash of the id, and `dict_bytes` of text per language. Prediction reads the
 text alone, whole.
 
 Defined results: null text, or text without a letter, is `und` with score 0, rejected. With a
 single learned language every other text has it, with score 1. With none, `und`. A tie goes to the
-first language by code point and is rejected. Repeated rows get equal results. Columns other
+language with more training documents and is rejected. Repeated rows get equal results. Columns other
 than id, text and lang are not read."""
 
 from __future__ import annotations
@@ -27,21 +27,23 @@ from loomgraph.llm.textops import chunks
 
 
 def dictionaries(train: DataFrame, docs_per_lang: int = 60, dict_bytes: int = 16 << 10, max_langs: int = 256) -> dict[str, bytes]:
-    """Training text per language from columns doc_id, text, lang."""
+    """Training text per language from columns doc_id, text, lang; frequent languages first."""
+    known = train.filter("lang is not null")
+    often = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
     order = F.xxhash64(F.lit(3), "doc_id", "text")
-    ranked = (train.filter("lang is not null and text rlike '\\\\p{L}'")
+    ranked = (known.filter(F.col("lang").isin(often) & F.col("text").rlike(r"\p{L}"))
               .select("lang", F.substring("text", 1, 4 * dict_bytes // docs_per_lang + 64).alias("text"), order.alias("o"))
               .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text")))
               .filter(F.col("k") <= docs_per_lang))
     langs: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "k").limit(docs_per_lang * max_langs).collect():
         langs.setdefault(r["lang"], []).append(r["text"].lower())
-    return {lang: "\n".join(texts).encode()[-dict_bytes:] for lang, texts in langs.items()}
+    return {lang: "\n".join(langs[lang]).encode()[-dict_bytes:] for lang in often if lang in langs}
 
 
 class Classifier:
     def __init__(self, texts: dict[str, bytes], piece: int = 2048):
-        self.langs, self.piece = sorted(texts), piece
+        self.langs, self.piece = list(texts), piece
         self.coders = []
         # Lazy matching from four bytes on: words are short, and the dictionary is small.
         how = zstandard.ZstdCompressionParameters(

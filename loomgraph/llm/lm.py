@@ -62,6 +62,24 @@ def token_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words of the largest counts, frequent first, at most `most` of them and none of a
+    class of counts that does not fit whole. The classes, sixteenths of a power of two, are
+    counted first, so that no task sends more than its share."""
+    step = F.floor(F.log2("n") * 16)
+    sizes = counts.groupBy(step.alias("step")).count().collect()  # at most 16 * 64 rows
+    least, total = None, 0
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    found = [(bytes(r["word"]), r["n"]) for r in counts.filter(step >= least).collect()]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
 class Recurrent:
     """One gated recurrent layer with a class-factored softmax.
 
@@ -251,8 +269,10 @@ def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     counts = materialize(token_counts(rows.filter("train")))
     total = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_types, n_train = int(total["v"]), int(total["n"])
-    head = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(head_words).collect()]
+    head = frequent_words(counts, head_words)
     unit = np.log10(n_train + 0.5 * (n_types + 1))
+    if n_train and END not in dict(head):  # a tiny head must hold the end
+        head.append((END, counts.filter(F.col("word") == F.lit(END)).first()["n"]))
     known = {w: i for i, (w, _) in enumerate(head)}
     head_logs = np.log10(np.array([n for _, n in head], float) + 0.5)
     # outcomes: 0 another word, then the end and the most frequent words by count
