@@ -5,13 +5,16 @@ a word sequence that starts anywhere else too. Anchors are shorter runs of words
 positions whose remainder modulo PERIOD is in a difference cover: for any two positions some
 shift below PERIOD brings both to cover remainders, so two equal windows always hold two equal
 anchors at the same shift, both hashed. A repeated anchor is extended: the windows that hold
-it are compared by a 128-bit hash of all their words, and those found more than once are the
+it are compared by an 80-bit hash of all their words, and those found more than once are the
 repeated windows.
 
+Documents with equal words repeat all their windows, so they lose all words and only the first of
+them takes part in the comparison.
+
 Both comparisons are one shuffle of (hash, row, place). What a task sees more than once among
 its own rows is known to be repeated: it sends one token of that hash and spreads the
 rest, so a passage in a third of all documents costs each chunk of documents one row of that key.
-No pairs are formed. Texts travel twice by row number, evenly.
+No pairs are formed. Texts travel once, by row number, evenly; the steps share that exchange.
 
 Defined results: null or blank text has no words and comes out empty. Documents shorter than
 a window keep all words. Copies of a document, also those with equal ids, repeat all its
@@ -25,9 +28,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.llm.textops import chunks, flat_bytes, long_array, mix, window_hashes, word_bounds, word_hashes
+from loomgraph.session import materialize
 
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 
@@ -55,7 +60,7 @@ def _message(h1: np.ndarray, h2: np.ndarray | None, ords: np.ndarray, at: np.nda
     token = firsts[times > 1]
     spread = mix(ords.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64))
     key = np.concatenate((np.where(known, spread, h1), h1[token]))
-    second = [] if h2 is None else [long_array(np.concatenate((np.where(known, np.uint64(0), h2), h2[token])))]
+    second = [] if h2 is None else [pa.array(np.concatenate((np.where(known, np.uint64(0), h2), h2[token])).astype(np.uint16).view(np.int16))]
     none = np.concatenate((np.zeros(len(ords), bool), np.ones(len(token), bool)))
     return [long_array(key), *second, pa.array(np.concatenate((ords, ords[token])), pa.int64(), mask=none),
             pa.array(np.concatenate((at, at[token])).astype(np.int32), pa.int32()), pa.array(np.concatenate((known, np.zeros(len(token), bool))))]
@@ -92,8 +97,29 @@ def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, "row_ord bigint, at int")
 
 
+def equal_documents(rows: DataFrame, window: int) -> DataFrame:
+    """twin_ord and first for documents of at least a window whose words are another row's too:
+    first says whether it is the first of them. Written, since it is joined three times."""
+
+    def run(batches):
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                _, _, _, h, row, first = _words(b.column("text"))
+                counts = np.bincount(row, minlength=b.num_rows)
+                digests = b"".join(xxhash.xxh3_128_digest(h[f: f + n].tobytes()) for f, n in zip(first, counts))
+                d = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([b.column("row_ord"), pa.array(d[:, 0]), pa.array(d[:, 1])], ["row_ord", "d1", "d2"]).filter(pa.array(counts >= window))
+
+    digests = materialize(rows.select("row_ord", "text").mapInArrow(run, "row_ord bigint, d1 bigint, d2 bigint"))
+    groups = materialize(digests.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("row_ord").alias("first")).filter("n > 1")
+                         .select(F.col("d1").alias("g1"), F.col("d2").alias("g2"), "first"))
+    return materialize(digests.join(groups, (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2")))
+                       .select(F.col("row_ord").alias("twin_ord"), (F.col("row_ord") == F.col("first")).alias("first")))
+
+
 def repeated_windows(rows: DataFrame, window: int = 35) -> DataFrame:
-    """row_ord and the places (array of int) of its repeated windows, from columns row_ord, text."""
+    """row_ord and the places (array of int) of its repeated windows, from columns row_ord, text
+    and first; rows whose `first` is false are copies and take no part."""
     size = window - PERIOD + 1
     if size < 1:
         raise ValueError(f"windows have at least {PERIOD} words")
@@ -136,11 +162,10 @@ def repeated_windows(rows: DataFrame, window: int = 35) -> DataFrame:
                         _message(window_hashes(h, at, window), window_hashes(h, at, window, second=True), ords[row[at]], at - first[row[at]]),
                         ["h1", "h2", "row_ord", "at", "known"])
 
-    found = _repeated(rows.select("row_ord", "text").mapInArrow(anchors, "h1 bigint, row_ord bigint, at int, known boolean"), ["h1"])
+    rows = rows.filter("first is null or first")
+    found = _repeated(rows.mapInArrow(anchors, "h1 bigint, row_ord bigint, at int, known boolean"), ["h1"])
     places = found.groupBy("row_ord").agg(F.collect_set("at").alias("places"))
-    # the same columns of `rows` as the last step takes, so that both read one exchange of texts
-    near = rows.join(places, "row_ord")
-    sent = near.mapInArrow(windows, "h1 bigint, h2 bigint, row_ord bigint, at int, known boolean")
+    sent = rows.join(places, "row_ord").mapInArrow(windows, "h1 bigint, h2 smallint, row_ord bigint, at int, known boolean")
     return _repeated(sent, ["h1", "h2"]).groupBy("row_ord").agg(F.collect_set("at").alias("places"))
 
 
@@ -148,6 +173,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_words, n_removed, kept_sha256 of each row; with_text adds `kept`, the words that stay."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_ord"), F.col(id_col).cast("bigint").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
+    twins = equal_documents(rows, window)
+    # every step takes all columns of `rows`, so that they read one exchange of texts
+    rows = rows.join(twins, F.col("row_ord") == F.col("twin_ord"), "left").drop("twin_ord")
     places = repeated_windows(rows, window)
 
     def cut(batches):
@@ -160,7 +188,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 at = np.asarray(lists.flatten(), np.int64) + first[owner]
                 np.add.at(mark, at, 1)
                 np.add.at(mark, at + window, -1)
-                gone = np.cumsum(mark)[:-1] > 0
+                gone = (np.cumsum(mark)[:-1] > 0) | b.column("first").is_valid().to_numpy(zero_copy_only=False)[row]
                 n_words = np.bincount(row, minlength=b.num_rows)
                 n_gone = np.bincount(row, gone, b.num_rows)
                 bytes_of, kept = raw.tobytes(), []
@@ -173,6 +201,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      *[pa.array(kept, pa.binary())] * with_text], ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
 
     out = (rows.join(places, "row_ord", "left")
-           .select("row_ord", "doc_id", "text", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
+           .select("row_ord", "doc_id", "text", "first", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
            .mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept binary" * with_text))
     return out.withColumn("kept", F.col("kept").cast("string")) if with_text else out
