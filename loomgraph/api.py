@@ -38,9 +38,9 @@ class Workbench:
         return graph_v2.GraphV2(r("v2_papers"), r("v2_concepts"), r("v2_edges"), registered=None)
 
     def graph(self, papers: bool = False) -> GraphView:
-        g = self._typed()
-        nodes = view.nodes_with_papers(g) if papers else view.concepts(g)
-        out = GraphView(nodes, view.builds_on(g), view.concept_papers(g))
+        g, r = self._typed(), self.store.read
+        nodes = view.with_papers(r("view_nodes"), g) if papers else r("view_nodes")
+        out = GraphView(nodes, r("view_builds_on"), view.concept_papers(g))
         if papers:
             out.defines, out.paper_builds_on = view.paper_defines(g), view.paper_anchors(g)
         return out

@@ -4,8 +4,8 @@ one batch of one partition."""
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from loomgraph.functions.text import or_empty
+from loomgraph.functions.text import defined_names, or_empty
 from loomgraph.schemas import CONTENT, CONTENT_FIELDS, EMBED_BATCH, LINEAGE, PAPER_TYPES
 
 
@@ -55,7 +55,9 @@ class Assistant(Protocol):
 
 
 class HashingEmbedder:
-    """Deterministic offline embedding: hashed character trigrams, L2-normalized."""
+    """Deterministic offline embedding: character trigrams hashed by the first digits of their
+    MD5, L2-normalized. Trigrams are found as arrays over all texts of a call, and only
+    different ones are hashed."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -63,11 +65,17 @@ class HashingEmbedder:
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            t = f"  {text.lower()} "
-            for i in range(len(t) - 2):
-                h = zlib.crc32(t[i:i + 3].encode())
-                out[row, h % self.dim] += 1.0 if h & 0x10000 else -1.0
+        padded = [f"  {text.lower()} " for text in texts]
+        points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(padded)), [len(t) for t in padded])
+        at = np.flatnonzero(row[:-2] == row[2:]) if len(row) > 2 else np.zeros(0, np.int64)
+        grams, which = np.unique((points[at] << 42) | (points[at + 1] << 21) | points[at + 2], return_inverse=True)
+        hashed = [hashlib.md5("".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0)).encode("utf-8", "surrogatepass")).hexdigest()
+                  for g in grams.tolist()]
+        place = np.array([int(h[:2], 16) % self.dim for h in hashed], np.int64)
+        sign = np.array([1.0 if int(h[2], 16) < 8 else -1.0 for h in hashed])
+        if len(at):
+            np.add.at(out, (row[at], place[which]), sign[which])
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms == 0, 1.0, norms)).tolist()
 
@@ -98,32 +106,43 @@ def _list(value):
 
 
 def extract_contents(parsed: DataFrame, extractor: Extractor) -> DataFrame:
-    """(pid, text) -> content records, through a per-text service."""
+    """(pid, text) -> content records through a per-text service, and `error` where it failed."""
 
     def run(frames):
         for frame in frames:
-            recs = [extractor.content(t) for t in frame["text"]]
-            rows = pd.DataFrame([[r.get(f) for f in CONTENT_FIELDS] for r in recs],
-                                columns=list(CONTENT_FIELDS))
+            recs = [_attempt(extractor.content, t) for t in frame["text"]]
+            rows = pd.DataFrame([[r.get(f) for f in (*CONTENT_FIELDS, "error")] for r in recs],
+                                columns=[*CONTENT_FIELDS, "error"], dtype=object)
             rows.insert(0, "pid", frame["pid"].values)
             yield rows
 
-    return parsed.select("pid", "text").mapInPandas(run, f"pid string, {CONTENT}")
+    return parsed.select("pid", "text").mapInPandas(run, f"pid string, {CONTENT}, error string")
+
+
+def _attempt(service, *args) -> dict:
+    """A record of a service, or one with `error`: a failed text is a result, not a failed job."""
+    try:
+        return {**service(*args), "error": None}
+    except Exception as e:
+        return {"error": str(e) or type(e).__name__}
 
 
 def extract_lineage(contents: DataFrame, parsed: DataFrame, extractor: Extractor) -> DataFrame:
-    """Lineage records from content records and texts."""
-    joined = contents.select("pid", "title", "defines").join(parsed.select("pid", "text"), "pid")
+    """Lineage records from content records and texts, and `error` where the service failed.
+    The service gets the title, the defined names and their comma list."""
+    joined = contents.select("pid", "title", "defines", defined_names("defines").alias("names")).join(
+        parsed.select("pid", "text"), "pid")
 
     def run(frames):
         for frame in frames:
-            out = [
-                _list(extractor.lineage({"title": ti, "defines": _list(d)}, tx).get("builds_on"))
-                for ti, d, tx in zip(frame["title"], frame["defines"], frame["text"])
+            recs = [
+                _attempt(extractor.lineage, {"title": ti, "defines": _list(d), "names": n}, tx)
+                for ti, d, n, tx in zip(frame["title"], frame["defines"], frame["names"], frame["text"])
             ]
-            yield pd.DataFrame({"pid": frame["pid"], "builds_on": out})
+            yield pd.DataFrame({"pid": frame["pid"], "builds_on": [_list(r.get("builds_on")) for r in recs],
+                                "error": pd.Series([r["error"] for r in recs], dtype=object)})
 
-    return joined.mapInPandas(run, f"pid string, {LINEAGE}")
+    return joined.mapInPandas(run, f"pid string, {LINEAGE}, error string")
 
 
 def staged_records(parsed: DataFrame, staged: DataFrame) -> DataFrame:

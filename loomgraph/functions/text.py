@@ -118,11 +118,12 @@ def contains_text(col: Column | str, query: str) -> Column:
     return F.lower(_c(col)).contains(query.strip().lower())
 
 
-def find_cut(col: Column | str) -> Column:
+def find_cut(col: Column | str, head: int | None = HEAD_CHARS) -> Column:
     """Abstract-plus-introduction slice of a paper: struct<text, cut_method>.
 
     Starts at the first word "abstract" (or 0) and ends at the first next-section header
-    that begins a line at least 50 characters later; without one, the head of the text.
+    that begins a line at least 50 characters later; without one, the first `head` characters
+    of the text (None: the whole text).
     The tail handed to the second split begins one character early so that a look-behind
     can tell a real line start, and prefixes come from split() rather than from index
     arithmetic, which would mix UTF-16 units with code points.
@@ -138,6 +139,6 @@ def find_cut(col: Column | str) -> Column:
     )
     found = F.size(parts) > 1
     return F.struct(
-        F.when(found, section).otherwise(F.left(t, F.lit(HEAD_CHARS))).alias("text"),
-        F.when(found, F.lit("section")).otherwise(F.lit("head6000")).alias("cut_method"),
+        F.when(found, section).otherwise(t if head is None else F.left(t, F.lit(head))).alias("text"),
+        F.when(found, F.lit("section")).otherwise(F.lit("whole" if head is None else f"head{head}")).alias("cut_method"),
     )

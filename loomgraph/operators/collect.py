@@ -33,19 +33,21 @@ def in_period(month: Column, period_from: str = "", period_to: str = "") -> Colu
     return (month == "") | ok
 
 
-def newest_per_query(feed: DataFrame, limit: int = MAX_RESULTS_PER_QUERY) -> DataFrame:
-    """What the search service returns: per query the newest entries. Spark trims each
-    task to `limit` rows per query before the shuffle."""
+def newest_per_query(feed: DataFrame, limit: int | None = MAX_RESULTS_PER_QUERY) -> DataFrame:
+    """Adds `rank`, newest first per query. `limit` is the page size of the search service,
+    for a service that returns everything; Spark trims each task to it before the shuffle."""
     rank = F.row_number().over(
         W.partitionBy("query_ord").orderBy(F.desc("published"), "entry_ord")
     )
-    return feed.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    ranked = feed.withColumn("rank", rank)
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def search_results(feed: DataFrame, period_from: str = "", period_to: str = "",
-                   limit: int = MAX_RESULTS_PER_QUERY) -> DataFrame:
+                   limit: int | None = None) -> DataFrame:
     """One row per paper id over all queries; the first query that found it keeps it. The
-    period filter runs after the per-query limit and before the deduplication."""
+    feed is what the service returned, so no limit applies by default; one that is given
+    comes before the period filter and the deduplication."""
     return first_per_id(newest_per_query(feed, limit), period_from, period_to)
 
 

@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from loomgraph.functions.nodes import admitted, v1_def_status
 from loomgraph.functions.text import or_empty
 from loomgraph.operators import mentions as M
-from loomgraph.operators.lexicon import names_lookup
+from loomgraph.operators.ordering import with_row_index
 from loomgraph.schemas import BUILDS_ON, DEFINES
-from loomgraph.session import materialize
 
 
 @dataclass
@@ -35,50 +34,47 @@ def undefined_papers(papers: DataFrame, mentions: DataFrame) -> DataFrame:
     return papers.join(defining, "pid", "left_anti")
 
 
-def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame, keep: bool = False) -> GraphV1:
-    """`keep` checkpoints the resolved mentions, which nodes, edges and blocked rows share."""
-    keyed = M.keyed(mentions)
-    lookup = names_lookup(lexicon)
-    registered = M.register_defines_first(keyed, lookup)
-    names = M.extend_lookup(lookup, registered)
-    resolved = keyed.join(names, "key").select(
-        "pid", "phase", "pos", "name", "definition", "rk", "label", "status", "lex_definition"
+def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame,
+          resolved: M.Resolved | None = None) -> GraphV1:
+    """All outputs read one table of resolved mentions, made here unless given."""
+    r = resolved or M.resolve_mentions(mentions, lexicon, M.register_defines_first)
+    admitted_names = r.names.filter(admitted(F.col("status")))
+    ok = admitted_names.select("rk")
+    define_papers = (
+        r.rows.filter(F.col("phase") == DEFINES).select("rk", "pid").distinct()
+        .join(ok, "rk", "left_semi").select(F.col("rk").alias("key"), "pid")
     )
-    if keep:
-        resolved = materialize(resolved)
-    ok = admitted(F.col("status"))
-
-    defined = resolved.filter((F.col("phase") == DEFINES) & ok)
-    define_papers = defined.select(F.col("rk").alias("key"), "pid").distinct()
-
-    pseudo = undefined_papers(papers, mentions)
-    nodes = _concept_nodes(papers, resolved.filter(ok), define_papers).unionByName(_pseudo_nodes(pseudo))
+    pseudo = undefined_papers(papers, r.rows)
+    nodes = _concept_nodes(papers, r.rows, admitted_names).unionByName(_pseudo_nodes(pseudo))
     node_papers = define_papers.unionByName(
         pseudo.select(F.concat(F.lit("paper:"), "pid").alias("key"), "pid")
     )
+    turned_down = r.names.filter(~admitted(F.col("status"))).select("rk", "status")
     return GraphV1(
         nodes=nodes.withColumn("def_status", v1_def_status(F.col("definition"), F.col("ptype"))),
         node_papers=node_papers,
-        edges=_edges(papers, resolved, pseudo),
-        blocked=resolved.filter((F.col("phase") == BUILDS_ON) & ~ok).select(
+        edges=_edges(r.rows, ok, pseudo),
+        blocked=r.rows.filter(F.col("phase") == BUILDS_ON).join(turned_down, "rk").select(
             "name", "pid", "pos", "status"
         ),
-        registered=registered,
+        registered=r.registered,
     )
 
 
-def _concept_nodes(papers, resolved, define_papers):
-    first = F.min(F.when(
-        F.col("phase") == DEFINES, F.struct("pid", "pos", or_empty("definition").alias("definition"))
-    ))
-    per_rk = resolved.groupBy("rk", "label", "status", "lex_definition").agg(first.alias("d"))
-    counts = define_papers.groupBy(F.col("key").alias("rk")).agg(F.count("*").alias("n_papers"))
+def _concept_nodes(papers, rows, names):
+    """One aggregate per name: its first define and its number of defining papers, counted
+    over (rk, pid) first; label, status and lexicon text are joined to the result."""
+    defines = F.col("phase") == DEFINES
+    pairs = rows.groupBy("rk", "pid").agg(
+        F.min(F.when(defines, F.struct("pos", or_empty("definition").alias("definition")))).alias("d"))
+    per_rk = pairs.groupBy("rk").agg(
+        F.min(F.when(F.col("d").isNotNull(), F.struct("pid", "d"))).alias("d"), F.count("d").alias("n_papers"))
     meta = papers.select(F.col("pid").alias("def_source"), "domain", "paper_type")
     return (
-        per_rk.withColumn("def_source", F.col("d.pid"))
-        .withColumn("written", F.nullif("d.definition", F.lit("")))
+        per_rk.join(names, "rk")
+        .withColumn("def_source", F.col("d.pid"))
+        .withColumn("written", F.nullif("d.d.definition", F.lit("")))
         .join(meta, "def_source", "left")
-        .join(counts, "rk", "left")
         .select(
             F.col("rk").alias("key"),
             F.col("label").alias("canonical"),
@@ -87,7 +83,7 @@ def _concept_nodes(papers, resolved, define_papers):
             F.coalesce("domain", F.lit("general")).alias("domain"),
             F.coalesce("paper_type", F.lit("technique")).alias("ptype"),
             "status",
-            F.coalesce("n_papers", F.lit(0)).alias("n_papers"),
+            "n_papers",
         )
     )
 
@@ -105,26 +101,22 @@ def _pseudo_nodes(pseudo):
     )
 
 
-def _edges(papers, resolved, pseudo):
+def _edges(rows, ok, pseudo):
     """Home of a paper -> each admitted target, distinct. The home is the first name the
     paper defines, admitted or not; edges from a home without a node are dropped."""
-    ok = admitted(F.col("status"))
-    targets = resolved.filter((F.col("phase") == BUILDS_ON) & ok).select("pid", "rk").distinct()
-    first = F.min(F.struct("pos", "rk", ok.alias("ok")))
+    targets = rows.filter(F.col("phase") == BUILDS_ON).select("pid", "rk").distinct().join(ok, "rk", "left_semi")
     homes = (
-        resolved.filter(F.col("phase") == DEFINES)
-        .groupBy("pid").agg(first.alias("h"))
-        .filter("h.ok").select("pid", F.col("h.rk").alias("src"))
+        rows.filter(F.col("phase") == DEFINES)
+        .groupBy("pid").agg(F.min(F.struct("pos", "rk")).alias("h"))
+        .select("pid", F.col("h.rk").alias("rk")).join(ok, "rk", "left_semi")
+        .select("pid", F.col("rk").alias("src"))
         .unionByName(pseudo.select("pid", F.concat(F.lit("paper:"), "pid").alias("src")))
     )
     return targets.join(homes, "pid").select("src", F.col("rk").alias("dst")).distinct()
 
 
 def blocked_counts(blocked: DataFrame) -> DataFrame:
-    """How often each non-admitted name is built on, most frequent first."""
-    return (
-        blocked.groupBy("name")
-        .agg(F.count("*").alias("n"), F.min(F.struct("pid", "pos")).alias("at"))
-        .orderBy(F.desc("n"), "at")
-        .select("name", "n")
-    )
+    """rank, name, n: how often each non-admitted name is built on, most frequent first, then
+    by first occurrence."""
+    counted = blocked.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("pid", "pos")).alias("at"))
+    return with_row_index(counted, [F.desc("n"), F.col("at")], "rank").select("rank", "name", "n")

@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from loomgraph.functions.nodes import admitted
 from loomgraph.functions.text import or_empty
 from loomgraph.operators import mentions as M
-from loomgraph.operators.lexicon import names_lookup
 from loomgraph.schemas import DEFINES
-from loomgraph.session import materialize
 
 
 @dataclass
@@ -22,23 +20,20 @@ class GraphV2:
     registered: DataFrame  # new lexicon rows
 
 
-def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame, keep: bool = False) -> GraphV2:
-    """Mentions count only for papers that have a content record.
-
-    `keep` checkpoints the resolved mentions, from which edges, concepts and every view
-    follow; use it when more than one of them is read, so that names are resolved once.
-    """
-    with_content = mentions.join(papers.select("pid"), "pid", "left_semi")
-    keyed = M.keyed(with_content)
-    lookup = names_lookup(lexicon)
-    registered = M.register_in_order(keyed, lookup)
-    names = M.extend_lookup(lookup, registered).filter(admitted(F.col("status")))
-    resolved = keyed.join(names, "key").select(
-        "pid", "phase", "pos", "rk", "label", "status", "definition"
-    )
-    if keep:
-        resolved = materialize(resolved)
-    edges = resolved.select(
+def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame,
+          resolved: M.Resolved | None = None) -> GraphV2:
+    """Mentions count only for papers that have a content record. All outputs read one table
+    of resolved mentions, made here unless given."""
+    have = papers.select("pid")
+    if resolved is None:
+        r = M.resolve_mentions(mentions.join(have, "pid", "left_semi"), lexicon, M.register_in_order)
+        rows = r.rows
+    else:
+        r = resolved
+        rows = r.rows.join(have, "pid", "left_semi")
+    names = r.names.filter(admitted(F.col("status")))
+    admitted_rows = rows.join(names.select("rk"), "rk", "left_semi")
+    edges = admitted_rows.select(
         "pid", "phase", "pos",
         F.when(F.col("phase") == DEFINES, "defines").otherwise("builds_on").alias("type"),
         "rk",
@@ -52,23 +47,22 @@ def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame, keep: bool
             F.coalesce("domain", F.lit("general")).alias("domain"),
             F.coalesce("paper_type", F.lit("other")).alias("paper_type"),
         ),
-        concepts=_concepts(resolved),
+        concepts=_concepts(rows, names),
         edges=edges,
-        registered=registered,
+        registered=r.registered,
     )
 
 
-def _concepts(resolved):
+def _concepts(rows, names):
     """First non-empty definition in event order; `ok` once any paper defines the concept
     with text, or when its first event is a define."""
-    defines = F.col("phase") == DEFINES
-    written = defines & (or_empty("definition") != "")
-    per_rk = resolved.groupBy("rk", "label", "status").agg(
+    written = (F.col("phase") == DEFINES) & F.col("definition").isNotNull()
+    per_rk = rows.groupBy("rk").agg(
         F.min(F.struct("pid", "phase")).alias("first"),
         F.min(F.when(written, F.struct("pid", "pos", "definition"))).alias("text"),
     )
     ok = F.col("text").isNotNull() | (F.col("first.phase") == DEFINES)
-    return per_rk.select(
+    return per_rk.join(names, "rk").select(
         "rk",
         F.col("label").alias("canonical"),
         or_empty("text.definition").alias("definition"),

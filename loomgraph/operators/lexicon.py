@@ -8,12 +8,14 @@ Edits are pure functions old lexicon -> new lexicon; persisting goes through sna
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomgraph.functions.text import canon, contains_text, or_empty
+from loomgraph.functions.text import canon, contains_text, or_empty, strip
 from loomgraph.schemas import EDITABLE_FIELDS
 from loomgraph.operators.ordering import with_row_index
+from loomgraph.session import materialize
 
 
 class LexiconError(ValueError):
@@ -102,12 +104,21 @@ def with_status(lexicon: DataFrame, status: str = "all") -> DataFrame:
     return lexicon if status == "all" else lexicon.filter(F.col("status") == status)
 
 
-def sorted_by(lexicon: DataFrame, key: str, direction: str = "asc") -> DataFrame:
-    """Sort by a column, case-insensitively, nulls as ''; lexicon order breaks ties."""
+def _order(key: str, direction: str) -> list[Column]:
     if key not in ("name", "status", "source", "first_seen"):
         raise LexiconError("bad_request", f"cannot sort by {key}")
     k = F.lower(or_empty(key))
-    return lexicon.orderBy(k.asc() if direction == "asc" else k.desc(), F.col("ord").asc())
+    return [k.asc() if direction == "asc" else k.desc(), F.col("ord").asc()]
+
+
+def sorted_by(lexicon: DataFrame, key: str, direction: str = "asc") -> DataFrame:
+    """Sort by a column, case-insensitively, nulls as ''; lexicon order breaks ties."""
+    return lexicon.orderBy(*_order(key, direction))
+
+
+def ranked_by(lexicon: DataFrame, key: str, direction: str = "asc") -> DataFrame:
+    """`rank`, the position of every row in that order."""
+    return with_row_index(lexicon, _order(key, direction), "rank")
 
 
 def highlighted(lexicon: DataFrame, query: str) -> DataFrame:
@@ -119,13 +130,14 @@ def highlighted(lexicon: DataFrame, query: str) -> DataFrame:
 # --- edits --------------------------------------------------------------------------------
 
 
-def append_registrations(lexicon: DataFrame, new: DataFrame) -> DataFrame:
+def append_registrations(lexicon: DataFrame, new: DataFrame, known: bool = False) -> DataFrame:
     """Insert-if-absent: adds first-seen names after the existing rows, in event order.
 
     `new` carries rk, label, status, definition, source, first_seen and an `at` ordering
-    column; keys the lexicon already resolves are left untouched.
+    column; keys the lexicon already resolves are left untouched. `known` says that `new`
+    holds no such key, as registrations do, so that the alias map is not built again.
     """
-    fresh = new.join(alias_map(lexicon), new["rk"] == F.col("key"), "left_anti")
+    fresh = new if known else new.join(alias_map(lexicon), new["rk"] == F.col("key"), "left_anti")
     indexed = with_row_index(fresh, [F.col("at"), F.col("rk")], "i")
     last_ord = lexicon.agg(F.coalesce(F.max("ord"), F.lit(-1))).scalar()
     added = indexed.select(
@@ -162,50 +174,81 @@ def patch(lexicon: DataFrame, name: str, changes: dict) -> DataFrame:
 
 
 def patch_many(lexicon: DataFrame, patches: DataFrame) -> DataFrame:
-    """Batch form of `patch`: a table of name plus any editable columns; null = no change."""
+    """Batch form of `patch`: a table of name plus any editable columns; null = no change.
+    Several patches of a name apply one after the other, by the column `seq` where there is
+    one, so each field takes its last value that is not null; without `seq` the largest."""
     fields = [f for f in EDITABLE_FIELDS if f in patches.columns]
-    p = patches.select("name", *[F.col(f).alias(f"new_{f}") for f in fields])
+    at = [F.col("seq")] if "seq" in patches.columns else []
+    last = {f: F.max(F.when(F.col(f).isNotNull(), F.struct(*at, F.col(f).alias("v")))) for f in fields}
+    p = patches.groupBy("name").agg(*[last[f].alias(f"last_{f}") for f in fields])
+    p = p.select("name", *[F.col(f"last_{f}.v").alias(f"new_{f}") for f in fields])
     joined = lexicon.join(p, "name", "left")
     kept = {f: F.coalesce(F.col(f"new_{f}"), F.col(f)) for f in fields}
     return joined.withColumns(kept).select(*lexicon.columns)
 
 
-def union_aliases(dst: Column, incoming: Column, own_name: Column) -> Column:
-    """Appends the incoming aliases not yet present, in order; keeps `dst` as it is."""
-    fresh = F.filter(
-        F.array_distinct(incoming), lambda a: ~F.array_contains(dst, a) & (a != own_name)
+def merge_roots(lexicon: DataFrame, merges: DataFrame) -> DataFrame:
+    """src, root, path for each merge (src, dst, seq) whose ends exist. A target that is itself
+    merged away is followed to the row that stays; `path` lists (seq, name) from the root down,
+    so that it orders a target's sources by seq, each before what was merged into it.
+    Of several merges of one source the first by seq counts. A circle raises an error."""
+    names = lexicon.select("name").distinct()
+    step = materialize(
+        merges.filter("src <> dst").join(names, F.col("src") == F.col("name"), "left_semi")
+        .join(names, F.col("dst") == F.col("name"), "left_semi")
+        .groupBy("src").agg(F.min(F.struct("seq", "dst")).alias("m")).select("src", "m.dst", "m.seq")
+    )
+    up = step.select(F.col("src").alias("via"), F.col("dst").alias("up"), F.col("seq").alias("up_seq"))
+    open_ = step.select("src", F.col("dst").alias("root"), F.array(F.struct("seq", F.col("src").alias("name"))).alias("path"))
+    done = []
+    while True:
+        met = materialize(open_.join(up, F.col("root") == F.col("via"), "left"))
+        done.append(met.filter("via is null").select("src", "root", "path"))
+        above = F.array(F.struct(F.col("up_seq").alias("seq"), F.col("via").alias("name")))
+        open_ = met.filter("via is not null").select("src", F.col("up").alias("root"), F.concat(above, "path").alias("path"))
+        if not open_.filter("root = src").isEmpty():
+            raise LexiconError("bad_request", "merges form a circle")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def merged_aliases(lexicon: DataFrame, merges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """name, place, alias: the aliases of every row that stays, one row each. A row keeps its own
+    as they are; then come names and aliases of its sources, each once. Nothing is gathered
+    by name, so a target of a third of all merges is no single row; places are numbered
+    over a range-partitioned sort."""
+    roots = materialize(merge_roots(lexicon, merges)) if roots is None else roots
+    none = F.array().cast("array<struct<seq:bigint,name:string>>")
+    written = lexicon.select("name", F.posexplode(_list("aliases")).alias("slot", "alias"))
+    kept = written.join(roots.select("src"), F.col("name") == F.col("src"), "left_anti").select(
+        "name", none.alias("path"), F.col("slot").cast("int").alias("slot"), "alias")
+    sources = roots.select(F.col("root").alias("name"), F.col("path").cast("array<struct<seq:bigint,name:string>>").alias("path"), "src")
+    brought = sources.select("name", "path", F.lit(-1).alias("slot"), F.col("src").alias("alias")).unionByName(
+        sources.join(written.withColumnRenamed("name", "of"), F.col("src") == F.col("of")).select("name", "path", "slot", "alias"))
+    fresh = (
+        brought.filter("alias <> name")
+        .join(kept.select("name", "alias"), ["name", "alias"], "left_anti")
+        .groupBy("name", "alias").agg(F.min(F.struct("path", "slot")).alias("at"))
+        .select("name", "at.path", "at.slot", "alias")
     )
-    return F.concat(dst, fresh)
+    ordered = with_row_index(kept.unionByName(fresh), [F.col("name"), F.col("path"), F.col("slot"), F.col("alias")], "i")
+    first = ordered.groupBy(F.col("name").alias("of")).agg(F.min("i").alias("first"))
+    return ordered.join(first, F.col("name") == F.col("of")).select("name", (F.col("i") - F.col("first")).alias("place"), "alias")
 
 
 def merge_many(lexicon: DataFrame, merges: DataFrame) -> DataFrame:
-    """Folds each (src, dst, seq) into dst's aliases and drops the src rows.
-
-    Several sources may share a target; their aliases arrive in seq order. Pairs with an
-    absent end are skipped. Chains (a target that is itself a source) need one call each.
-    """
-    found = (
-        merges.join(
-            lexicon.select(F.col("name").alias("src"), _list("aliases").alias("src_aliases")), "src"
-        )
-        .join(lexicon.select(F.col("name").alias("dst")), "dst", "left_semi")
-        .filter("src <> dst")
-    )
-    per_target = found.groupBy("dst").agg(
-        F.flatten(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("seq", "src", "src_aliases"))),
-                lambda m: F.concat(F.array(m["src"]), m["src_aliases"]),
-            )
-        ).alias("incoming")
-    )
-    grown = F.when(
-        F.col("incoming").isNotNull(), union_aliases(_list("aliases"), F.col("incoming"), F.col("name"))
-    ).otherwise(F.col("aliases"))
+    """Folds each (src, dst, seq) into the aliases of the row it ends in and drops the src
+    rows. Pairs with an absent end are skipped; chains are followed. The alias arrays of the lexicon
+    are built here, at the end; `merged_aliases` has them as rows."""
+    roots = materialize(merge_roots(lexicon, merges))
+    touched = roots.select(F.col("root").alias("name")).distinct()
+    long = merged_aliases(lexicon, merges, roots).join(touched, "name", "left_semi")
+    grown = long.groupBy(F.col("name").alias("of")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "alias"))), lambda x: x["alias"]).alias("grown"))
     return (
-        lexicon.join(found.select("src"), lexicon["name"] == F.col("src"), "left_anti")
-        .join(per_target, F.col("name") == F.col("dst"), "left")
-        .withColumn("aliases", grown)
+        lexicon.join(roots.select("src"), lexicon["name"] == F.col("src"), "left_anti")
+        .join(grown, F.col("name") == F.col("of"), "left")
+        .withColumn("aliases", F.coalesce("grown", "aliases"))
         .select(*lexicon.columns)
     )
 
@@ -225,7 +268,7 @@ def merge(lexicon: DataFrame, src: str, dst: str) -> DataFrame:
 
 def add_alias(aliases: Column, alias: Column) -> Column:
     """Appends a trimmed alias unless it is blank or already listed."""
-    a = F.trim(alias)
+    a = strip(alias)
     keep = (a == "") | F.array_contains(aliases, a)
     return F.when(keep, aliases).otherwise(F.array_append(aliases, a))
 
@@ -274,7 +317,8 @@ def check_plan(lexicon: DataFrame, plan: DataFrame) -> PlanCheck:
 
 
 def apply_plan(lexicon: DataFrame, plan: DataFrame, skip_non_pending: bool = False) -> DataFrame:
-    """Sets the planned statuses and folds the merges; does not check the plan."""
+    """Sets the planned statuses and folds the merges, in the order of the plan's `seq` where it
+    has one; does not check the plan."""
     verdicts = plan.filter("action in ('approve', 'reject')").groupBy("name").agg(
         F.max(F.when(F.col("action") == "approve", "approved").otherwise("rejected")).alias("planned")
     )
@@ -286,8 +330,9 @@ def apply_plan(lexicon: DataFrame, plan: DataFrame, skip_non_pending: bool = Fal
         .withColumn("status", F.when(change, F.col("planned")).otherwise(F.col("status")))
         .select(*lexicon.columns)
     )
+    order = F.col("seq") if "seq" in plan.columns else F.lit(0)
     merges = plan.filter("action = 'merge'").select(
-        F.col("name").alias("src"), F.col("into").alias("dst"), F.lit(0).alias("seq")
+        F.col("name").alias("src"), F.col("into").alias("dst"), order.cast("bigint").alias("seq")
     )
     return merge_many(set_status, merges)
 

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.functions.text import canon
-from loomgraph.session import materialize
+from loomgraph.session import Scratch
 
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
+MERGE_LEVELS = 16
 
 
 @dataclass
@@ -30,44 +30,44 @@ def find_node(nodes: DataFrame, name: str, strict_lower: bool = False) -> str |
 
 def closure(edges: DataFrame, start: DataFrame, direction: str = "both") -> DataFrame:
     """side, id rows reachable from `start` (one column id): ancestors follow src -> dst,
-    descendants dst -> src; the start itself is left out. `edges` should be a stored or
-    checkpointed table, since every level reads it.
+    descendants dst -> src; the start itself is left out.
 
     Breadth-first, both sides in one walk: each level joins the frontier with the edges and
-    drops what was seen. Frontiers are checkpointed per level, so plans stay short and a
-    lost executor costs one level, not the walk. A frontier measured to be small is
-    broadcast to the edges; a large one meets them in a shuffle join, where adaptive
-    execution splits a hot node's edges.
+    drops what was seen. Edges are written once, dealt by (side, id); each frontier is a small
+    written table, so plans stay short, a lost executor costs one level, and adaptive
+    execution knows its size and broadcasts it or splits a hot node's edges. Every MERGE_LEVELS
+    levels what was seen becomes one table and the frontiers before are removed.
     """
+    scratch = Scratch(edges.sparkSession)
     up = edges.select(F.lit("ancestor").alias("side"), F.col("src").alias("id"), F.col("dst").alias("next"))
     down = edges.select(F.lit("descendant").alias("side"), F.col("dst").alias("id"), F.col("src").alias("next"))
     steps = {"ancestors": up, "descendants": down}.get(direction, up.unionByName(down))
+    steps = scratch.write("edges", steps.repartition("side", "id").sortWithinPartitions("side", "id"))
     sides = {"ancestors": ["ancestor"], "descendants": ["descendant"]}.get(direction, ["ancestor", "descendant"])
 
     origin = start.select(F.explode(F.array(*[F.lit(s) for s in sides])).alias("side"), "id").distinct()
-    frontier = visited = materialize(origin)
-    level = 0
-    while True:
-        rows, volume = frontier.agg(
-            F.count("*"), F.coalesce(F.sum(F.octet_length("id")), F.lit(0))
-        ).first()
-        if rows == 0:
-            break
-        small = rows <= BROADCAST_ROWS and volume <= BROADCAST_BYTES
-        probe = F.broadcast(frontier) if small else frontier
-        frontier = materialize(
-            steps.join(probe, ["side", "id"], "left_semi")
-            .select("side", F.col("next").alias("id"))
-            .distinct()
-            .join(visited, ["side", "id"], "left_anti")
-        )
-        visited = visited.unionByName(frontier)
+    frontier = visited = scratch.write("level-0", origin)
+    names, level = ["level-0"], 0
+    while not frontier.isEmpty():
         level += 1
-        if level % 16 == 0:
-            visited = materialize(visited)
+        reached = steps.join(frontier, ["side", "id"], "left_semi").select("side", F.col("next").alias("id")).distinct()
+        frontier = scratch.write(f"level-{level}", reached.join(visited, ["side", "id"], "left_anti"))
+        visited = visited.unionByName(frontier)
+        names.append(f"level-{level}")
+        if level % MERGE_LEVELS == 0:
+            visited = scratch.write(f"seen-{level}", visited)
+            for old in names[:-1]:  # the frontier is still read
+                scratch.remove(old)
+            names = [f"seen-{level}", names[-1]]
+    scratch.remove("edges")
     return visited.join(start.select("id"), "id", "left_anti").select("side", "id")
 
 
+def side_counts(reached: DataFrame) -> DataFrame:
+    """ancestors, descendants: how many rows of a closure each side has."""
+    return reached.agg(F.count_if(F.col("side") == "ancestor").alias("ancestors"), F.count_if(F.col("side") == "descendant").alias("descendants"))
+
+
 def lineage(edges: DataFrame, nodes: DataFrame, name: str, direction: str = "both",
             strict_lower: bool = False) -> Lineage | None:
     """Selection around one node; None when it does not exist. `both` is the union of the
@@ -77,10 +77,8 @@ def lineage(edges: DataFrame, nodes: DataFrame, name: str, direction: str = "bot
     if key is None:
         return None
     start = nodes.sparkSession.range(1).select(F.lit(key).alias("id"))
-    reached = closure(materialize(edges.select("src", "dst")), start)
+    reached = closure(edges.select("src", "dst"), start)
     wanted = {"ancestors": ["ancestor"], "descendants": ["descendant"]}.get(direction, ["ancestor", "descendant"])
     ids = reached.filter(F.col("side").isin(wanted)).select("id").unionByName(start).distinct()
-    n = reached.agg(
-        F.count_if(F.col("side") == "ancestor"), F.count_if(F.col("side") == "descendant")
-    ).first()
+    n = side_counts(reached).first()
     return Lineage(key, ids, n[0], n[1])

@@ -7,10 +7,14 @@ that combines map-side, so a name in a third of all rows never lands whole in on
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.text import canon, or_empty
+from loomgraph.operators.lexicon import alias_map, representatives
 from loomgraph.schemas import BUILDS_ON, DEFINES
+from loomgraph.session import materialize
 
 
 def from_records(contents: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -37,6 +41,30 @@ def keyed(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("key", canon("name"))
 
 
+@dataclass
+class Resolved:
+    """Mentions resolved once, as a written table that every output of a graph reads."""
+
+    rows: DataFrame        # pid, phase, pos, name, definition (null when blank), rk
+    names: DataFrame       # rk, label, status, lex_definition: one row per name that occurs or is known
+    registered: DataFrame  # new lexicon rows, with `at`
+
+
+def resolve_mentions(mentions: DataFrame, lexicon: DataFrame, register) -> Resolved:
+    """Reads the mentions and builds their keys in one pass; what the lexicon says about a
+    name stays in `names` and is joined once per name, after aggregation, never carried by mentions.
+    `register` is one of the two registrations below."""
+    keyed_rows = keyed(mentions).join(alias_map(lexicon).withColumnRenamed("rk", "known"), "key", "left")
+    rows = materialize(keyed_rows.select(
+        "pid", "phase", "pos", "name", F.nullif("definition", F.lit("")).alias("definition"),
+        F.coalesce("known", "key").alias("rk"), F.col("known").isNull().alias("unknown"),
+    ))
+    registered = materialize(register(rows.filter("unknown").withColumnRenamed("rk", "key")))
+    names = materialize(representatives(lexicon).unionByName(registered.select(
+        "rk", "label", "status", F.col("definition").alias("lex_definition"))))
+    return Resolved(rows.drop("unknown"), names, registered)
+
+
 def unknown(keyed_mentions: DataFrame, lookup: DataFrame) -> DataFrame:
     """Mentions whose key the lexicon does not resolve. Dropping the known ones before any
     aggregation leaves the new names only; a lexicon of ordinary size is broadcast."""
@@ -57,34 +85,23 @@ def _registrations(firsts: DataFrame, definition: Column) -> DataFrame:
     )
 
 
-def register_defines_first(keyed_mentions: DataFrame, lookup: DataFrame) -> DataFrame:
+def register_defines_first(unknown_mentions: DataFrame) -> DataFrame:
     """New names when all defines are seen before any build: a name that anyone defines is
     unreviewed and keeps its first definition; a name only built on is pending."""
     text = F.when(F.col("phase") == DEFINES, or_empty("definition")).otherwise(F.lit(""))
     event = F.struct("phase", "pid", "pos", "name", text.alias("definition"))
-    firsts = unknown(keyed_mentions, lookup).groupBy("key").agg(F.min(event).alias("e"))
+    firsts = unknown_mentions.groupBy("key").agg(F.min(event).alias("e"))
     return _registrations(firsts, F.col("e.definition"))
 
 
-def register_in_order(keyed_mentions: DataFrame, lookup: DataFrame) -> DataFrame:
+def register_in_order(unknown_mentions: DataFrame) -> DataFrame:
     """New names when each paper's defines and builds are seen together, paper by paper:
     the very first mention decides, and no definition is kept."""
     event = F.struct("pid", "phase", "pos", "name")
-    firsts = unknown(keyed_mentions, lookup).groupBy("key").agg(F.min(event).alias("e"))
+    firsts = unknown_mentions.groupBy("key").agg(F.min(event).alias("e"))
     return _registrations(firsts, F.lit(""))
 
 
 def registration_counts(new: DataFrame) -> DataFrame:
     """New names by status."""
     return new.groupBy("status").agg(F.count("*").alias("n"))
-
-
-def extend_lookup(lookup: DataFrame, new: DataFrame) -> DataFrame:
-    """Lookup rows for the lexicon plus the newly registered names (they resolve to
-    themselves and have no aliases)."""
-    return lookup.unionByName(
-        new.select(
-            F.col("rk").alias("key"), "rk", "label", "status",
-            F.col("definition").alias("lex_definition"),
-        )
-    )

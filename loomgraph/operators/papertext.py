@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomgraph.functions.text import find_cut
-from loomgraph.schemas import PAGE_BUDGET_CHARS
+from loomgraph.schemas import HEAD_CHARS, PAGE_BUDGET_CHARS
 from loomgraph.session import materialize
 
 PAGES_PER_BUCKET = 1024
@@ -40,8 +40,10 @@ def page_cutoffs(pages: DataFrame, budget: int = PAGE_BUDGET_CHARS) -> DataFrame
     )
 
 
-def leading_pages(pages: DataFrame, budget: int = PAGE_BUDGET_CHARS) -> DataFrame:
-    """Pages up to and including the one that crosses the budget."""
+def leading_pages(pages: DataFrame, budget: int | None = PAGE_BUDGET_CHARS) -> DataFrame:
+    """Pages up to and including the one that crosses the budget; all pages without one."""
+    if budget is None:
+        return pages
     return (
         pages.join(page_cutoffs(pages, budget), "paper_id", "left")
         .filter("last_page is null or page <= last_page")
@@ -49,9 +51,9 @@ def leading_pages(pages: DataFrame, budget: int = PAGE_BUDGET_CHARS) -> DataFram
     )
 
 
-def full_texts(pages: DataFrame, budget: int = PAGE_BUDGET_CHARS) -> DataFrame:
+def full_texts(pages: DataFrame, budget: int | None = PAGE_BUDGET_CHARS) -> DataFrame:
     """paper_id, full: the leading pages joined in order. What is gathered per paper is
-    bounded by the budget plus one page; empty pages add nothing and are left out."""
+    bounded by the budget plus one page, or is the paper's text; empty pages add nothing and are left out."""
     kept = leading_pages(pages, budget)
     listed = F.sort_array(F.collect_list(F.when(F.length("text") > 0, F.struct("page", "text"))))
     return kept.groupBy("paper_id").agg(
@@ -59,11 +61,11 @@ def full_texts(pages: DataFrame, budget: int = PAGE_BUDGET_CHARS) -> DataFrame:
     )
 
 
-def parsed(texts: DataFrame, column: str = "full") -> DataFrame:
+def parsed(texts: DataFrame, column: str = "full", head: int | None = HEAD_CHARS) -> DataFrame:
     """paper_id, ok, reason, cut_method, char_count, text from whole texts; a null text is
     a paper whose file is missing."""
     have = F.col(column).isNotNull()
-    cut = texts.withColumn("cut", find_cut(column))
+    cut = texts.withColumn("cut", find_cut(column, head))
     return cut.select(
         "paper_id",
         have.alias("ok"),

@@ -1,16 +1,21 @@
 """Pairwise cosine similarity over whole tables, tile by tile.
 
-Comparing every pair is quadratic by definition; what is avoided here is moving or storing
-the pairs. Copies of one vector are collapsed first: a group of copies, however large, is
-one row with a count, and its inner pairs are counted, not formed. The distinct vectors are
-hashed into tiles of bounded size, each pair of tiles is one group, and a group is one
-matrix product whose result leaves the task only as a histogram, as its k best pairs, or
-as the pairs above a floor. A group never holds more than two tiles.
+Copies of one vector are collapsed first: a group of copies, however large, is one row with a
+count, and its inner pairs are counted, not formed. The distinct vectors lie in tiles of
+bounded size, each pair of tiles is one group, and a group is one matrix product whose
+result leaves the task only as a histogram, as its k best pairs, or as the pairs above a
+floor. A group never holds more than two tiles.
+
+Statistics over all pairs need every pair of tiles: each vector is sent N / TILE_ROWS times,
+quadratic work by definition. Pairs above a floor and the best pairs do not: vectors lie with their
+nearest pivot, and two tiles are compared only if the angle between their pivots, less the
+largest angles inside them, can reach the floor.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +37,19 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
-def copies(vectors: DataFrame) -> DataFrame:
-    """field, rep, id: the nodes behind each distinct vector."""
-    reps = distinct_vectors(vectors).withColumnRenamed("id", "rep").drop("n")
-    nodes = vectors.select("field", F.col("vec").cast("array<double>").alias("vec"), "id")
-    return nodes.join(reps, ["field", "vec"]).select("field", "rep", "id")
+def checked(distinct: DataFrame) -> DataFrame:
+    """Written distinct vectors; raises when lengths differ within a field or a value is not a number."""
+    kept = materialize(distinct)
+    bad = F.exists("vec", lambda x: F.isnan(x) | x.isNull())
+    for r in kept.groupBy("field").agg(
+        F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi"), F.min(F.when(bad, F.col("id"))).alias("nan"),
+        F.min_by("id", F.size("vec")).alias("short"), F.max_by("id", F.size("vec")).alias("long"),
+    ).collect():
+        if r["lo"] != r["hi"]:
+            raise ValueError(f"vectors of {r['field']} have {r['lo']} to {r['hi']} elements, as {r['short']} and {r['long']}")
+        if r["nan"] is not None:
+            raise ValueError(f"vector {r['nan']} of {r['field']} holds a value that is not a number")
+    return kept
 
 
 def _tile_count(vectors: DataFrame, tile_rows: int) -> int:
@@ -61,6 +74,75 @@ def _tile_pairs(distinct: DataFrame, tile_rows: int) -> DataFrame:
     )
 
 
+MAX_PIVOTS = 512
+
+
+@dataclass
+class TilePlan:
+    """Vectors by nearest pivot, the angle each tile spans, and the pairs of tiles that can matter."""
+
+    rows: DataFrame                        # field, id, n, vec, tile
+    tiles: dict[str, np.ndarray]           # per field: rows of each tile
+    spans: dict[str, np.ndarray]           # per field: largest angle to the pivot
+    between: dict[str, np.ndarray]         # per field: angles between pivots
+
+    def reachable(self, field: str, floor: float) -> np.ndarray:
+        """Which pairs of tiles may hold a pair of rounded cosine `floor` or more."""
+        apart = self.between[field] - self.spans[field][:, None] - self.spans[field][None, :]
+        limit = math.acos(min(1.0, max(-1.0, floor - 0.0005))) + 1e-6
+        return (apart <= limit) & (self.tiles[field][:, None] > 0) & (self.tiles[field][None, :] > 0)
+
+    def groups(self, chosen: dict[str, np.ndarray], tile_rows: int) -> DataFrame:
+        """Sends each vector to every chosen pair of tiles; large tiles are cut into parts."""
+        spark = self.rows.sparkSession
+        listed = [(f, int(a), int(b), self._parts(f, a, tile_rows), self._parts(f, b, tile_rows))
+                  for f, m in chosen.items() for a, b in zip(*np.nonzero(m))]
+        plan = spark.createDataFrame(listed, "field string, tile int, other int, parts int, other_parts int")
+        part = F.pmod(F.xxhash64("id"), F.col("parts"))
+        mine, theirs = F.struct("tile", part.cast("int").alias("part")), F.struct(F.col("other").alias("tile"), F.col("other_part").alias("part"))
+        return (
+            self.rows.join(plan, ["field", "tile"])
+            .withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
+            .withColumns({"mine": mine, "theirs": theirs})
+            .select("field", F.least("mine", "theirs").alias("lo"), F.greatest("mine", "theirs").alias("hi"),
+                    (F.col("mine") > F.col("theirs")).alias("right"), "id", "n", "vec")
+        )
+
+    def _parts(self, field: str, tile: int, tile_rows: int) -> int:
+        return max(1, math.ceil(self.tiles[field][tile] / tile_rows))
+
+
+def tile_plan(distinct: DataFrame, tile_rows: int) -> TilePlan:
+    """Pivots are at most MAX_PIVOTS vectors per field, in the order of a hash of the id."""
+    wanted = min(MAX_PIVOTS, _tile_count(distinct, tile_rows))
+    rank = F.row_number().over(W.partitionBy("field").orderBy(F.xxhash64("id"), "id"))
+    pivots: dict[str, list] = {}
+    for r in distinct.withColumn("rank", rank).filter(F.col("rank") <= wanted).select("field", "vec").collect():
+        pivots.setdefault(r["field"], []).append(r["vec"])
+    units = {f: unit_rows(np.asarray(v, dtype=np.float64)) for f, v in pivots.items()}
+
+    def assign(batches):
+        for b in batches:
+            fields = np.asarray(b.column("field").to_pylist(), dtype=object)
+            tile, angle = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for f in set(fields.tolist()):
+                at = np.flatnonzero(fields == f)
+                cos = unit_rows(matrix(b.column("vec").take(pa.array(at)))) @ units[f].T
+                tile[at] = cos.argmax(axis=1)
+                angle[at] = np.arccos(np.clip(cos.max(axis=1), -1, 1))
+            yield b.append_column("tile", pa.array(tile)).append_column("angle", pa.array(angle))
+
+    kind = distinct.schema["id"].dataType.simpleString()
+    rows = materialize(distinct.select("field", "id", "n", "vec").mapInArrow(
+        assign, f"field string, id {kind}, n bigint, vec array<double>, tile int, angle double"))
+    tiles = {f: np.zeros(len(u), np.int64) for f, u in units.items()}
+    spans = {f: np.zeros(len(u)) for f, u in units.items()}
+    for r in rows.groupBy("field", "tile").agg(F.count("*").alias("n"), F.max("angle").alias("span")).collect():
+        tiles[r["field"]][r["tile"]], spans[r["field"]][r["tile"]] = r["n"], r["span"]
+    between = {f: np.arccos(np.clip(u @ u.T, -1, 1)) for f, u in units.items()}
+    return TilePlan(rows.drop("angle"), tiles, spans, between)
+
+
 def _tile_sims(table: pa.Table):
     """Row numbers of both sides, the thousandth-rounded cosines of a tile pair, and which
     entries are pairs (each unordered pair once)."""
@@ -117,7 +199,7 @@ def histogram(vectors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
             "n": pa.array(total[seen], pa.int64()),
         })
 
-    distinct = materialize(distinct_vectors(vectors))
+    distinct = checked(distinct_vectors(vectors))
     between = _tile_pairs(distinct, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
         count, "field string, milli int, n bigint"
     )
@@ -149,28 +231,39 @@ def stats(vectors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
 
 
 def top_pairs(vectors: DataFrame, k: int = 5, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """The k most similar node pairs of one field; ties go to the smaller (a, b). Each tile
-    pair reports its own k best. Of the copies of one vector only the k + 1 smallest ids can
-    take part in such a pair, so only those are compared."""
+    """field, a, b, sim: the k most similar node pairs of each field; ties go to the smaller
+    (a, b). Of the copies of one vector only the k + 1 smallest ids can take part in such a
+    pair, so only those are compared. Pairs within tiles come first; their k-th best is a
+    floor that rules out most pairs of tiles."""
     rank = F.row_number().over(W.partitionBy("field", "vec").orderBy("id"))
     usable = vectors.filter(F.exists("vec", lambda x: x != 0)).select(
         "field", "id", F.col("vec").cast("array<double>").alias("vec")
     )
-    able = materialize(
+    plan = tile_plan(checked(
         usable.withColumn("rank", rank).filter(F.col("rank") <= k + 1)
         .select("field", "id", "vec", F.lit(1).cast("bigint").alias("n"))
-    )
+    ), tile_rows)
 
-    def best(table):
+    def best(key, table):
         i, j, milli, valid = _tile_sims(table)
         values = milli[valid]
         bar = np.partition(values, -k)[-k] if len(values) > k else -1001
-        return _pair_table(table, i, j, milli, valid & (milli >= bar), k)
+        return _with_field(key, _pair_table(table, i, j, milli, valid & (milli >= bar), k))
+
+    def of(chosen):
+        return materialize(plan.groups(chosen, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
+            best, f"field string, {_pair_schema(vectors)}"))
+
+    ranked = F.row_number().over(W.partitionBy("field").orderBy(F.desc("sim"), "a", "b"))
+    inside = of({f: np.eye(len(n), dtype=bool) & (n > 0)[:, None] for f, n in plan.tiles.items()})
+    floors = {r["field"]: r["sim"] for r in inside.withColumn("rank", ranked).filter(F.col("rank") == k).collect()}
+    across = {f: plan.reachable(f, floors.get(f, -1.0)) & ~np.eye(len(n), dtype=bool) for f, n in plan.tiles.items()}
+    both = inside.unionByName(of(across)).withColumn("rank", ranked).filter(F.col("rank") <= k)
+    return both.select("field", "a", "b", "sim")
 
-    per_tile = _tile_pairs(able, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
-        best, _pair_schema(vectors)
-    )
-    return per_tile.orderBy(F.desc("sim"), "a", "b").limit(k).select("a", "b", "sim")
+
+def _with_field(key, table: pa.Table) -> pa.Table:
+    return table.add_column(0, "field", pa.array([key[0].as_py()] * len(table), pa.string()))
 
 
 def _pair_schema(vectors: DataFrame) -> str:
@@ -187,11 +280,11 @@ def pairs(vectors: DataFrame, floor: float, tile_rows: int = TILE_ROWS) -> DataF
 
     def select(key, table):
         i, j, milli, valid = _tile_sims(table)
-        out = _pair_table(table, i, j, milli, valid & (milli >= bar))
-        return out.add_column(0, "field", pa.array([key[0].as_py()] * len(out), pa.string()))
+        return _with_field(key, _pair_table(table, i, j, milli, valid & (milli >= bar)))
 
-    distinct = materialize(distinct_vectors(vectors))
-    between = _tile_pairs(distinct, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
+    distinct = checked(distinct_vectors(vectors))
+    plan = tile_plan(distinct, tile_rows)
+    between = plan.groups({f: plan.reachable(f, bar / 1000) for f in plan.tiles}, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
         select, f"field string, {_pair_schema(vectors)}"
     ).select("field", "a", "b", "sim", F.expr("n_a * n_b").alias("node_pairs"))
     within = distinct.filter((F.col("n") > 1) & F.lit(bar <= 1000)).select(
@@ -201,9 +294,12 @@ def pairs(vectors: DataFrame, floor: float, tile_rows: int = TILE_ROWS) -> DataF
     return between.unionByName(within)
 
 
-def node_pairs(similar: DataFrame, copies: DataFrame) -> DataFrame:
-    """field, a, b, sim with every node pair written out, for the similarity document and
-    the overlay."""
+def node_pairs(similar: DataFrame, vectors: DataFrame) -> DataFrame:
+    """field, a, b, sim with every node pair written out, for the similarity document alone,
+    whose form lists them."""
+    nodes = vectors.select("field", F.col("vec").cast("array<double>").alias("vec"), "id")
+    reps = distinct_vectors(vectors).select("field", "vec", F.col("id").alias("rep"))
+    copies = nodes.join(reps, ["field", "vec"]).select("field", "rep", "id")
     left = copies.select("field", F.col("rep").alias("a"), F.col("id").alias("id_a"))
     right = copies.select("field", F.col("rep").alias("b"), F.col("id").alias("id_b"))
     return (
@@ -250,39 +346,39 @@ def long_fields(texts: DataFrame) -> DataFrame:
     ).select("field", "id", "text")
 
 
-def same_paper_pairs(pairs: DataFrame, node_papers: DataFrame) -> DataFrame:
-    """a, b of pairs whose nodes come from exactly the same, non-empty set of papers.
-
-    A set fingerprint finds suspects without gathering any set; suspects are then verified
-    by counting the papers both nodes share.
-    """
-    papers = node_papers.select("key", "pid").distinct()
-    prints = papers.groupBy("key").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("pid")).alias("h")
-    )
-    left = prints.select(F.col("key").alias("a"), F.col("n").alias("n"), F.col("h").alias("h"))
-    right = prints.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"))
-    suspects = pairs.select("a", "b").join(left, "a").join(right, "b").filter("n = n_b and h = h_b")
-    shared = (
-        suspects.select("a", "b", "n")
-        .join(papers.select(F.col("key").alias("a"), "pid"), "a")
-        .join(papers.select(F.col("key").alias("b"), "pid"), ["b", "pid"])
+def paper_sets(node_papers: DataFrame) -> DataFrame:
+    """key, papers: a 128-bit hash of each node's set of papers together with its size; nodes
+    without papers have no row."""
+    pairs = node_papers.select("key", "pid").distinct()
+    return pairs.groupBy("key").agg(F.struct(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("pid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "pid")).alias("h2")
+    ).alias("papers"))
+
+
+def overlay(vectors: DataFrame, node_papers: DataFrame, floor: float, nodes: DataFrame | None = None,
+            field: str = "problem", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """source, target, sim, node_pairs: similarities drawn over the graph, between nodes that do
+    not merely stem from the same papers. One row per pair of distinct vectors, under their
+    smallest ids, with the number of node pairs it stands for; pairs of nodes with equal
+    paper sets are taken off by counting nodes per vector and paper set."""
+    known = vectors.filter(F.col("field") == field)
+    if nodes is not None:
+        known = known.join(nodes.select(F.col("key").alias("id")), "id", "left_semi")
+    known = materialize(known.select("field", "id", F.col("vec").cast("array<double>").alias("vec")))
+    similar = pairs(known, floor, tile_rows)
+    reps = distinct_vectors(known).select("vec", F.col("id").alias("rep"))
+    members = (
+        known.join(reps, "vec").join(paper_sets(node_papers).withColumnRenamed("key", "id"), "id")
+        .groupBy("rep", "papers").agg(F.count("*").alias("m"))
     )
-    return shared.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("n").alias("n")).filter(
-        "m = n"
-    ).select("a", "b")
-
-
-def overlay(similar: DataFrame, nodes: DataFrame, node_papers: DataFrame,
-            field: str = "problem") -> DataFrame:
-    """source, target, sim pairs drawn over the graph: both nodes exist and they do not
-    merely stem from the same papers."""
-    keys = nodes.select("key")
-    known = (
-        similar.filter(F.col("field") == field).select("a", "b", "sim")
-        .join(keys.withColumnRenamed("key", "a"), "a", "left_semi")
-        .join(keys.withColumnRenamed("key", "b"), "b", "left_semi")
+    members = materialize(members)
+    left = members.select(F.col("rep").alias("a"), "papers", F.col("m").alias("m_a"))
+    right = members.select(F.col("rep").alias("b"), "papers", F.col("m").alias("m_b"))
+    same = (
+        similar.select("a", "b").join(left, "a").join(right, ["b", "papers"]).groupBy("a", "b")
+        .agg(F.sum(F.when(F.col("a") == F.col("b"), F.expr("m_a * (m_a - 1) div 2")).otherwise(F.expr("m_a * m_b"))).alias("same"))
     )
-    return known.join(same_paper_pairs(known, node_papers), ["a", "b"], "left_anti").select(
-        F.col("a").alias("source"), F.col("b").alias("target"), "sim"
+    left_over = F.col("node_pairs") - F.coalesce("same", F.lit(0))
+    return similar.join(same, ["a", "b"], "left").filter(left_over > 0).select(
+        F.col("a").alias("source"), F.col("b").alias("target"), "sim", left_over.alias("node_pairs")
     )

@@ -66,6 +66,11 @@ def summary(store: DataFrame) -> DataFrame:
     )
 
 
+def skipped_count(texts: DataFrame) -> DataFrame:
+    """How many typed nodes have nothing to embed."""
+    return texts.agg(F.count_if(F.col("text").isNull()).alias("skipped"))
+
+
 def fallback_count(nodes: DataFrame) -> DataFrame:
     """How many nodes have no definition of their own to embed."""
     return nodes.agg(F.count_if(is_blank("definition")).alias("without_definition"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from loomgraph.functions.nodes import has_definition
 from loomgraph.functions.text import arxiv_month, contains_text
 from loomgraph.operators.graph_v2 import GraphV2
+from loomgraph.operators.ordering import with_row_index
 from loomgraph.schemas import DEFINES
 
 
@@ -73,7 +74,11 @@ def paper_nodes(graph: GraphV2) -> DataFrame:
 
 def nodes_with_papers(graph: GraphV2) -> DataFrame:
     """Concept and paper nodes in one table; columns of the other kind are null."""
-    c = concepts(graph).withColumn("type", F.lit("concept"))
+    return with_papers(concepts(graph), graph)
+
+
+def with_papers(concept_nodes: DataFrame, graph: GraphV2) -> DataFrame:
+    c = concept_nodes.withColumn("type", F.lit("concept"))
     p = paper_nodes(graph).withColumn("type", F.lit("paper"))
     return c.unionByName(p, allowMissingColumns=True)
 
@@ -131,6 +136,11 @@ def names(nodes: DataFrame) -> DataFrame:
     return nodes.select("canonical").orderBy("canonical")
 
 
+def ranked_names(nodes: DataFrame) -> DataFrame:
+    """rank, canonical: the position of every name in that order."""
+    return with_row_index(nodes.select("canonical"), [F.col("canonical")], "rank").select("rank", "canonical")
+
+
 def induced_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges whose both ends are among `ids` (a one-column table `id`)."""
     keep = ids.select("id").distinct()

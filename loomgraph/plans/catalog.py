@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomgraph.external import HashingEmbedder, KeywordClassifier, embed_texts
 from loomgraph.functions import nodes as N, text as X, vectors as V
@@ -12,6 +12,7 @@ from loomgraph.operators import (
     collect as C, graph_v1, graph_v2, lexicon as L, lineage as G, mentions as M,
     papertext as P, retrieval as R, similarity as S, vector_store as VS, view,
 )
+from loomgraph.operators.ordering import with_row_index
 from loomgraph.plans import decisions
 from loomgraph.plans.rebuild import rebuild
 from loomgraph.plans.tables import Tables
@@ -31,12 +32,12 @@ def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     return fn
 
 
-def _v1(t: Tables, keep: bool = False) -> graph_v1.GraphV1:
-    return graph_v1.build(t.papers(), t.mentions(), t.lexicon(), keep)
+def _v1(t: Tables) -> graph_v1.GraphV1:
+    return graph_v1.build(t.papers(), t.mentions(), t.lexicon())
 
 
-def _v2(t: Tables, keep: bool = False) -> graph_v2.GraphV2:
-    return graph_v2.build(t.papers(), t.mentions(), t.lexicon(), keep)
+def _v2(t: Tables) -> graph_v2.GraphV2:
+    return graph_v2.build(t.papers(), t.mentions(), t.lexicon())
 
 
 # --- names and lexicon ----------------------------------------------------------------
@@ -81,7 +82,7 @@ def registration_counts(t: Tables) -> DataFrame:
 @query
 def lexicon_after_rebuild(t: Tables) -> DataFrame:
     g = _v1(t)
-    return L.append_registrations(t.lexicon(), g.registered).select(
+    return L.append_registrations(t.lexicon(), g.registered, known=True).select(
         "ord", "name", "status", "definition", "source", "first_seen"
     )
 
@@ -93,8 +94,8 @@ def status_counts(t: Tables) -> DataFrame:
 
 @query
 def lexicon_sorted(t: Tables) -> DataFrame:
-    return L.sorted_by(L.with_status(t.lexicon(), "pending"), "source", "desc").select(
-        "name", "source", "ord"
+    return L.ranked_by(L.with_status(t.lexicon(), "pending"), "source", "desc").select(
+        "rank", "name", "source", "ord"
     )
 
 
@@ -106,7 +107,7 @@ def lexicon_search(t: Tables) -> DataFrame:
 @query
 def lexicon_patch(t: Tables) -> DataFrame:
     patches = t.supplier.select(
-        F.expr("concat('Part-', s_suppkey)").alias("name"),
+        F.expr("concat('Part-', s_suppkey % 40 + 1)").alias("name"), F.col("s_suppkey").alias("seq"),
         F.expr("case when s_acctbal < 5000 then 'approved' end").alias("status"),
         F.col("s_name").alias("definition"),
     )
@@ -115,17 +116,17 @@ def lexicon_patch(t: Tables) -> DataFrame:
 
 @query
 def lexicon_merge(t: Tables) -> DataFrame:
+    """Chains of merges with several sources per target; aliases as rows."""
     merges = t.customer.select(
         F.expr("concat('Part-', c_custkey + 25)").alias("src"),
-        F.expr("concat('Part-', c_nationkey)").alias("dst"),
+        F.expr("concat('Part-', (c_custkey + 25) div 5)").alias("dst"),
         F.col("c_custkey").alias("seq"),
     )
-    return L.merge_many(t.lexicon(), merges).select(
-        "name", F.array_join("aliases", "|").alias("aliases"), "status"
-    )
+    return L.merged_aliases(t.lexicon(), merges)
 
 
 def _plan(t: Tables) -> DataFrame:
+    """A made-up plan: all pending names and those of one size that is not pending."""
     return t.part.filter("p_size between 36 and 42 or p_size = 50").select(
         F.expr("concat('Part-', p_partkey)").alias("name"),
         F.expr("case when p_retailprice < 1000 then 'approve' else 'reject' end").alias("action"),
@@ -135,12 +136,21 @@ def _plan(t: Tables) -> DataFrame:
 
 @query
 def bulk_plan_check(t: Tables) -> DataFrame:
-    return L.plan_differences(t.lexicon(), _plan(t).filter("name <> 'Part-1'"))
+    """A plan that leaves one name out."""
+    found = L.plan_differences(t.lexicon(), _plan(t).filter("name <> 'Part-1'"))
+    return with_row_index(found, [F.col("problem"), F.col("name")], "rank")
 
 
 @query
 def bulk_classify(t: Tables) -> DataFrame:
-    return L.status_counts(L.apply_plan(t.lexicon(), _plan(t), skip_non_pending=True))
+    """Statuses and aliases after a plan that folds the names of one size into one target."""
+    goal = t.part.filter("p_size = 20").agg(F.min("p_partkey").alias("goal"))
+    merges = t.part.filter("p_size = 42").select("p_partkey").join(F.broadcast(goal)).select(  # one row
+        F.expr("concat('Part-', p_partkey)").alias("name"), F.lit("merge").alias("action"),
+        F.expr("concat('Part-', goal)").alias("into"))
+    rest = _plan(t).join(merges.select("name"), "name", "left_anti")
+    done = L.apply_plan(t.lexicon(), rest.unionByName(merges), skip_non_pending=True)
+    return done.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("aliases")).alias("n_aliases"))
 
 
 @query
@@ -196,7 +206,7 @@ def graph_v2_edges(t: Tables) -> DataFrame:
 
 @query
 def graph_v2_counts(t: Tables) -> DataFrame:
-    return graph_v2.counts(_v2(t, keep=True))
+    return graph_v2.counts(_v2(t))
 
 
 @query
@@ -254,19 +264,19 @@ def concept_search(t: Tables) -> DataFrame:
 
 @query
 def concept_names(t: Tables) -> DataFrame:
-    return view.names(_v2(t).concepts)
+    return view.ranked_names(_v2(t).concepts)
 
 
 @query
 def induced_subgraph(t: Tables) -> DataFrame:
-    g = _v2(t, keep=True)
+    g = _v2(t)
     picked = view.filter_nodes(view.concepts(g), domain="general")
     return view.induced_edges(view.builds_on(g), picked)
 
 
 @query
 def graph_links(t: Tables) -> DataFrame:
-    g = _v2(t, keep=True)
+    g = _v2(t)
     return view.links(view.builds_on(g), view.concepts(g))
 
 
@@ -277,7 +287,7 @@ def graph_export_nodes(t: Tables) -> DataFrame:
 
 def _lineage(t: Tables, direction: str) -> DataFrame:
     """Closure around the concept with the most targets."""
-    edges = materialize(view.builds_on(_v2(t)))
+    edges = materialize(view.builds_on(_v2(t)))  # the start and the walk read it
     most = edges.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(1)
     return G.closure(edges, most.select(F.col("src").alias("id")), direction)
 
@@ -297,6 +307,12 @@ def lineage_both(t: Tables) -> DataFrame:
     return _lineage(t, "both").groupBy("id").agg(F.count("*").alias("sides"))
 
 
+@query
+def lineage_counts(t: Tables) -> DataFrame:
+    """How many ancestors and descendants the concept with the most targets has."""
+    return G.side_counts(_lineage(t, "both"))
+
+
 # --- texts and vectors ------------------------------------------------------------------
 
 
@@ -330,6 +346,36 @@ def _contents(t: Tables) -> DataFrame:
     )
 
 
+@query
+def records_to_mentions(t: Tables) -> DataFrame:
+    """Content and lineage records as mentions; a part builds on the words of its name."""
+    contents = _contents(t)
+    return M.from_records(contents, contents.select("pid", F.col("task").alias("builds_on")))
+
+
+@query
+def defined_name_lists(t: Tables) -> DataFrame:
+    return _contents(t).select("pid", X.defined_names("defines").alias("names"))
+
+
+@query
+def plain_ids(t: Tables) -> DataFrame:
+    g = _v2(t)
+    return VS.v2_texts(g.concepts, g.papers).select("id", X.strip_prefix("id").alias("plain"))
+
+
+@query
+def text_skips(t: Tables) -> DataFrame:
+    g = _v2(t)
+    return VS.skipped_count(VS.v2_texts(g.concepts, g.papers))
+
+
+@query
+def field_texts_of_graph(t: Tables) -> DataFrame:
+    """Field texts of the names that are nodes, here the brands of small parts."""
+    return S.field_texts(_contents(t), t.part.filter("p_size <= 20").select(X.canon("p_brand").alias("key")).distinct())
+
+
 @query
 def field_texts(t: Tables) -> DataFrame:
     return S.field_texts(_contents(t))
@@ -341,15 +387,33 @@ def field_similarity(t: Tables) -> DataFrame:
     texts = S.long_fields(S.field_texts(_contents(t)))
     keyed = texts.select(F.struct("field", "id").alias("id"), "text")
     vectors = embed_texts(keyed, HashingEmbedder()).select("id.field", "id.id", "vec")
-    return S.stats(vectors)
+    return S.stats(vectors).withColumns({c: F.round(c, 6) for c in ("mean_sim", "median_sim")})
+
+
+def _new_store(t: Tables, texts: DataFrame) -> DataFrame:
+    empty = t.spark.createDataFrame([], "model string, id string, vec array<double>")
+    return VS.refresh(texts, empty, HashingEmbedder())
+
+
+def _ends() -> Column:
+    """Sum of the first and last elements, a figure of the whole store."""
+    return F.round(F.sum(F.col("vec")[0]) + F.sum(F.col("vec")[63]), 6).alias("ends")
 
 
 @query
 def node_vectors(t: Tables) -> DataFrame:
     """Vector store of the typed graph, built from nothing."""
     g = _v2(t)
-    empty = t.spark.createDataFrame([], "model string, id string, vec array<double>")
-    return VS.summary(VS.refresh(VS.v2_texts(g.concepts, g.papers), empty, HashingEmbedder()))
+    store = _new_store(t, VS.v2_texts(g.concepts, g.papers))
+    return store.groupBy(F.substring_index("id", ":", 1).alias("type")).agg(
+        F.count("*").alias("n"), F.max(F.size("vec")).cast("bigint").alias("dim"), F.round(F.sum(V.dot("vec", "vec")), 3).alias("norms"), _ends())
+
+
+@query
+def node_vectors_v1(t: Tables) -> DataFrame:
+    """Vector store of the single-type graph, built from nothing."""
+    store = _new_store(t, VS.v1_texts(_v1(t).nodes))
+    return store.agg(F.count("*").alias("n"), F.max(F.size("vec")).cast("bigint").alias("dim"), _ends())
 
 
 @query
@@ -370,7 +434,8 @@ def similarity_stats(t: Tables) -> DataFrame:
 
 @query
 def similarity_top(t: Tables) -> DataFrame:
-    return S.top_pairs(t.vectors(), 5)
+    """Best pairs of each field; every label is a field."""
+    return S.top_pairs(t.vectors().withColumn("field", F.concat(F.lit("label "), "label")), 5)
 
 
 @query
@@ -380,18 +445,15 @@ def similarity_pairs(t: Tables) -> DataFrame:
 
 @query
 def similarity_family(t: Tables) -> DataFrame:
-    labels = t.vectors().join(
-        t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label_text")), "id"
-    ).drop("label").withColumnRenamed("label_text", "label")
+    names = "array('small ring', 'BOLT 3', 'plate', 'ring bolt', 'nut')"
+    labels = t.vectors().withColumn("label", F.expr(f"{names}[label % 5]"))
     return S.pairs(S.family(labels, ["Ring", "bolt"]), 0.20)
 
 
 @query
 def similarity_overlay(t: Tables) -> DataFrame:
-    nodes = t.vectors().select(F.col("id").alias("key"))
     papers = t.vectors().select(F.col("id").alias("key"), F.col("label").alias("pid"))
-    similar = S.node_pairs(S.pairs(t.vectors(), 0.30), S.copies(t.vectors()))
-    return S.overlay(similar, nodes, papers)
+    return S.overlay(t.vectors(), papers, 0.30)
 
 
 def _query_vector(t: Tables) -> list[float]:
@@ -406,8 +468,8 @@ def vector_topk(t: Tables) -> DataFrame:
 
 @query
 def vector_cosine(t: Tables) -> DataFrame:
-    q = F.array(*[F.lit(x) for x in _query_vector(t)])
-    return t.vectors().select("id", V.round3(V.cosine("vec", q)).alias("sim"))
+    score = V.score_against(_query_vector(t))
+    return t.vectors().select("id", V.round3(score("vec")).alias("sim"))
 
 
 def _hits(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -467,6 +529,12 @@ def paper_search(t: Tables) -> DataFrame:
     )
 
 
+@query
+def search_page(t: Tables) -> DataFrame:
+    """What a service that returns pages of 50, newest first, gives for each query."""
+    return C.newest_per_query(t.feed()).select("query_ord", "rank", "entry_ord")
+
+
 @query
 def paper_months(t: Tables) -> DataFrame:
     """Hits per normalized id and arXiv month."""
@@ -552,7 +620,8 @@ def paper_texts(t: Tables) -> DataFrame:
 
 @query
 def text_cut(t: Tables) -> DataFrame:
-    out = P.parsed(P.full_texts(t.talk_pages(), 2500))
+    """Whole texts, without page budget or head."""
+    out = P.parsed(P.full_texts(t.talk_pages(), None), head=None)
     return out.select("paper_id", "ok", "cut_method", "char_count", F.md5("text").alias("digest"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from loomgraph.functions.text import strip
+
 STAGES = ("interpret", "approve", "extract_confirm")
 AFTER_PROCEED = {"interpret": "expand_search", "approve": "gate", "extract_confirm": "extract"}
 
@@ -31,6 +33,14 @@ def next_step_column(stage: Column, decision: Column, strict_parity: bool = Fals
     )
 
 
+REVISE = "revise:"
+
+
+def revised_text(decision: str) -> str:
+    """New command carried by a revise decision."""
+    return decision.removeprefix(REVISE).strip()
+
+
 def revised_query(decision: Column) -> Column:
-    """New command carried by a revise decision, else null."""
-    return F.when(decision.startswith("revise:"), F.trim(F.regexp_replace(decision, "^revise:", "")))
+    """`revised_text` of revise decisions, else null."""
+    return F.when(decision.startswith(REVISE), strip(F.substr(decision, F.lit(len(REVISE) + 1))))

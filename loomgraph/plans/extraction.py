@@ -7,21 +7,45 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.external import Extractor, Fetcher, PageDecoder, extract_contents, extract_lineage
-from loomgraph.operators import papertext as P
+from loomgraph.operators import mentions as M, papertext as P
+from loomgraph.schemas import DOWNLOAD_PAUSE_SECONDS, MENTIONS, PAPERS
+from loomgraph.session import materialize
 from loomgraph.sources.papers import decode_pages, download_missing
+from loomgraph.sources.records import read_contents, read_lineage
 from loomgraph.sources.snapshots import Snapshots
 
 
+def add_records(store: Snapshots, contents: DataFrame, lineage: DataFrame, force: bool = False) -> None:
+    """Makes records part of the tables `papers` and `mentions` that a rebuild reads. Papers
+    stored already stay as they are, or are replaced when forced."""
+    papers, mentions = store.read("papers", PAPERS), store.read("mentions", MENTIONS)
+    fresh = contents.select("pid").distinct()
+    fresh = materialize(fresh if force else fresh.join(papers.select("pid"), "pid", "left_anti"))
+    new = contents.join(fresh, "pid", "left_semi").dropDuplicates(["pid"])
+    rows = M.from_records(new, lineage.join(fresh, "pid", "left_semi").dropDuplicates(["pid"]))
+    for name, old, added in (("papers", papers, M.papers_of(new)), ("mentions", mentions, rows)):
+        kept = old.join(fresh, "pid", "left_anti")
+        store.write(name, kept.unionByName(added.select(*(F.col(f.name).cast(f.dataType) for f in kept.schema))))
+
+
+def import_records(store: Snapshots, folder: str, force: bool = False) -> None:
+    """Adds the content and lineage records of a folder of JSON files."""
+    add_records(store, read_contents(store.spark, folder), read_lineage(store.spark, folder), force)
+
+
 @dataclass
 class Extraction:
-    """Runs the stages for a set of papers. A paper that fails a stage becomes a row with
-    the reason; it never stops the others."""
+    """Runs the stages for a set of papers and adds their records to the store. A paper that
+    fails a stage becomes a row with the reason; it never stops the others. Papers whose
+    records are stored are skipped unless forced."""
 
     store: Snapshots
     fetcher: Fetcher
     decoder: PageDecoder
     extractor: Extractor
     stored_pdfs: DataFrame | None = None  # paper_id, content already on disk
+    force: bool = False
+    pause: float = DOWNLOAD_PAUSE_SECONDS  # between two downloads
 
     def run(self, wanted: DataFrame, run_id: str) -> DataFrame:
         """aid, ok, message for each wanted aid. Service results are written as soon as they
@@ -33,27 +57,41 @@ class Extraction:
             df.write.mode("overwrite").parquet(f"{base}/{name}")
             return spark.read.parquet(f"{base}/{name}")
 
+        known = self.store.read("papers", PAPERS).select("pid")
         pids = wanted.select(F.col("aid").alias("pid"))
+        if not self.force:
+            pids = pids.join(known, "pid", "left_anti")
+        pids = keep("wanted", pids)
         none = spark.createDataFrame([], "paper_id string, content binary")
         stored = self.stored_pdfs if self.stored_pdfs is not None else none
-        fetched = keep("downloads", download_missing(pids, stored, self.fetcher))
+        fetched = keep("downloads", download_missing(pids, stored, self.fetcher, pause=self.pause))
         have = stored.join(pids.withColumnRenamed("pid", "paper_id"), "paper_id", "left_semi")
         files = fetched.filter("ok").select("paper_id", "content").unionByName(have)
-        texts = P.full_texts(decode_pages(files, self.decoder))
-        parsed = keep("parsed", P.parsed(texts))
+        pages = keep("pages", decode_pages(files, self.decoder))
+        parsed = keep("parsed", P.parsed(P.full_texts(pages.filter("error is null"))))
 
         ready = parsed.filter("ok").select(F.col("paper_id").alias("pid"), "text")
         contents = keep("contents", extract_contents(ready, self.extractor))
-        lineage = keep("lineage", extract_lineage(contents, ready, self.extractor))
+        good = contents.filter("error is null").drop("error")
+        lineage = keep("lineage", extract_lineage(good, ready, self.extractor))
+        linked = lineage.filter("error is null").drop("error")
+        add_records(self.store, good.join(linked.select("pid"), "pid", "left_semi"), linked, self.force)
 
-        done = lineage.select(F.col("pid").alias("aid"), F.lit(True).alias("done"))
-        reasons = fetched.select(F.col("paper_id").alias("aid"), F.col("ok").alias("got"), "message")
-        outcome = wanted.select("aid").join(reasons, "aid", "left").join(done, "aid", "left")
-        ok = F.coalesce("done", F.lit(False))
-        failed_download = ~F.coalesce("got", F.lit(True))
+        failures = (
+            fetched.filter("not ok").select(F.col("paper_id").alias("aid"), F.concat(F.lit("download failed: "), "message").alias("failure"))
+            .unionByName(pages.filter("error is not null").select(F.col("paper_id").alias("aid"), F.concat(F.lit("unreadable file: "), "error").alias("failure")))
+            .unionByName(contents.unionByName(lineage, allowMissingColumns=True).filter("error is not null")
+                         .select(F.col("pid").alias("aid"), F.concat(F.lit("extraction failed: "), "error").alias("failure")))
+        )
+        done = linked.select(F.col("pid").alias("aid"), F.lit(True).alias("done"))
+        got = fetched.filter("ok").select(F.col("paper_id").alias("aid"), "message")
+        skipped = wanted.select("aid").join(pids.withColumnRenamed("pid", "aid"), "aid", "left_anti").withColumn("skipped", F.lit(True))
+        outcome = (wanted.select("aid").join(got, "aid", "left").join(done, "aid", "left")
+                   .join(failures.groupBy("aid").agg(F.min("failure").alias("failure")), "aid", "left").join(skipped, "aid", "left"))
+        ok = F.coalesce("done", "skipped", F.lit(False))
         return outcome.select(
             "aid", ok.alias("ok"),
-            F.when(ok, F.concat(F.lit("extracted: "), F.coalesce("message", F.lit("stored file"))))
-            .when(failed_download, F.concat(F.lit("download failed: "), "message"))
-            .otherwise(F.lit("no text")).alias("message"),
+            F.when(F.col("skipped"), F.lit("already stored"))
+            .when(ok, F.concat(F.lit("extracted: "), F.coalesce("message", F.lit("stored file"))))
+            .otherwise(F.coalesce("failure", F.lit("no text"))).alias("message"),
         )

@@ -31,14 +31,15 @@ lex as (
            when p_size <= 42 then 'pending' else 'rejected' end as status,
          case when p_type in ('SMALL', 'MEDIUM') then p_name else '' end as definition,
          case when p_size <= 20 then 'seed' else p_brand end as source, '' as first_seen
-  from part where p_type <> 'PROMO')"""
+  from part)"""
 
 MENTIONS = f"""
 raw as (
   select cast(l_orderkey as varchar) as pid, case when l_linenumber = 1 then 0 else 1 end as phase,
          row_number() over (order by l_linenumber, l_partkey, l_suppkey) as pos,
          case l_returnflag when 'A' then concat('Part-', l_partkey)
-           when 'R' then concat(' sku  ', l_partkey) else concat('Maker-', l_suppkey) end as name,
+           when 'R' then concat(' sku  ', l_partkey) when 'N' then case when l_suppkey % 2 = 0
+           then concat('Maker-', l_suppkey) else concat('Tool-', l_suppkey, '-', l_partkey % 7) end end as name,
          case when l_linenumber = 1 and l_discount >= 0.05 then
            concat('uses ', cast(l_quantity as bigint), ' ', l_linestatus) else '' end as definition
   from lineitem),
@@ -158,7 +159,7 @@ sims as materialized (
 """
 REP_SIMS = f"with {VEC}" + """,
 reps as (
-  select min(id) as id, vec, count(*) as n from v left join part on p_partkey = id where {labels} group by vec),
+  select min(id) as id, vec, count(*) as n from v where {labels} group by vec),
 rows as materialized (
   select 'problem' as field, a.id as a, b.id as b,
          round(list_cosine_similarity(a.vec, b.vec), 3) + 0.0 as sim, a.n * b.n as node_pairs
@@ -178,7 +179,7 @@ k as (select *, cast(json_extract_string(props, '$.k') as integer) as k from eve
 feed as (
   select list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) * 1000 + k as query_ord,
          concat(event_type, ' ', k) as query, event_id as entry_ord,
-         concat('2401.', user_id) as aid, concat('Paper number ', user_id) as title, event_type as abstract,
+         concat('24', lpad(cast(user_id % 12 + 1 as varchar), 2, '0'), '.', user_id) as aid, concat('Paper number ', user_id) as title, event_type as abstract,
          strftime(ts + to_days(k * 10), '%Y-%m-%dT%H:%M:%SZ') as stamp
   from k),
 ranked as (
@@ -246,7 +247,7 @@ pages_of as (
 HEADS = r"(?:2\s+[A-Z]|2\.\s+[A-Z]|##?\s*2\b|related work|background|preliminaries|2\s+related)"
 
 
-def cut(source: str, key: str, column: str) -> str:
+def cut(source: str, key: str, column: str, rest: str = "head6000", head: str = "left(t, 6000)") -> str:
     """Start at the word "abstract"; the end is the first newline, at least 50 characters
     later, that a section head follows."""
     return f"""
@@ -262,8 +263,24 @@ cuts as (
                             regexp_extract(tail, '(?is)^(.*?\\n)\\s*{HEADS}', 1)) end as section, t
   from tails),
 done as (
-  select {key}, case when section is not null then 'section' else 'head6000' end as cut_method,
-         coalesce(section, left(t, 6000)) as text from cuts)"""
+  select {key}, case when section is not null then 'section' else '{rest}' end as cut_method,
+         coalesce(section, {head}) as text from cuts)"""
+
+
+def embedded(source: str, keys: str) -> str:
+    """vectors(keys, vec): hashed character trigrams with unit length."""
+    digit = "(strpos('0123456789abcdef', substr(h, {}, 1)) - 1)"
+    return f"""
+grams as (
+  select {keys}, md5(substr(t, cast(spot as int), 3)) as h from (
+    select {keys}, concat('  ', lower(text), ' ') as t, unnest(range(1, length(text) + 2)) as spot from {source} where trim(text) <> '')),
+counts as (
+  select {keys}, ({digit.format(1)} * 16 + {digit.format(2)}) % 64 as place,
+         sum(case when {digit.format(3)} < 8 then 1 else -1 end) as n from grams group by all),
+lengths as (select {keys}, sqrt(sum(n * n)::double) as length from counts group by all),
+vectors as (
+  select {keys}, list(coalesce(n, 0) / case when length = 0 then 1 else length end order by place) as vec
+  from (select *, unnest(range(64)) as place from lengths) left join counts using ({keys}, place) group by {keys})"""
 
 
 ORACLES: dict[str, str] = {
@@ -293,43 +310,59 @@ ORACLES: dict[str, str] = {
       from fresh join firsts f on fresh.rk = f.key"""),
     "status_counts": f"{LEX_ONLY} select status, count(*) as n from lex group by 1",
     "lexicon_sorted": f"""{LEX_ONLY}
-      select name, source, ord from lex where status = 'pending' order by lower(source) desc, ord""",
+      select row_number() over (order by lower(source) desc, ord) - 1 as rank, name, source, ord
+      from lex where status = 'pending'""",
     "lexicon_search": f"""{LEX_ONLY}
       select status, contains(lower(name), 'rt-1') as matched, count(*) as n from lex group by all""",
     "lexicon_patch": f"""{LEX_ONLY}
-      select name, coalesce(case when s_acctbal < 5000 then 'approved' end, status) as status,
-             coalesce(s_name, definition) as definition, source
-      from lex left join supplier on name = concat('Part-', s_suppkey)""",
-    "lexicon_merge": f"""{LEX_ONLY},
-      mg as (select concat('Part-', c_custkey + 25) as src, concat('Part-', c_nationkey) as dst, c_custkey as seq
-             from customer
-             where concat('Part-', c_custkey + 25) in (select name from lex)
-               and concat('Part-', c_nationkey) in (select name from lex)),
-      own as (select name, [a1, a2] as have from lex),
-      incoming as (
-        select dst, seq, 0 as slot, src as alias from mg
-        union all select dst, seq, 1, l.a1 from mg join lex l on l.name = mg.src
-        union all select dst, seq, 2, l.a2 from mg join lex l on l.name = mg.src),
+      , patches as (
+        select concat('Part-', s_suppkey % 40 + 1) as name,
+               max(s_suppkey) filter (where s_acctbal < 5000) is not null as approve, max_by(s_name, s_suppkey) as text
+        from supplier group by 1)
+      select name, case when approve then 'approved' else status end as status,
+             coalesce(text, definition) as definition, source
+      from lex left join patches using (name)""",
+    "lexicon_merge": LEX_ONLY.replace("with", "with recursive", 1) + """,
+      step as (select c_custkey + 25 as src, (c_custkey + 25) // 5 as dst, c_custkey as seq from customer
+               where c_custkey + 25 in (select ord from lex) and (c_custkey + 25) // 5 in (select ord from lex)),
+      up as (
+        select src, dst as root, [struct_pack(seq := seq, name := concat('Part-', src))] as path from step
+        union all
+        select u.src, s.dst, list_concat([struct_pack(seq := s.seq, name := concat('Part-', s.src))], u.path)
+        from up u join step s on s.src = u.root),
+      found as (select * from up where root not in (select src from step)),
+      own as (select concat('Part-', ord) as name, slot, alias
+              from (select ord, 0 as slot, a1 as alias from lex union all select ord, 1, a2 from lex)
+              where ord not in (select src from step)),
+      brought as (
+        select concat('Part-', root) as name, path, -1 as slot, concat('Part-', src) as alias from found
+        union all select concat('Part-', root), path, 0, a1 from found join lex on ord = src
+        union all select concat('Part-', root), path, 1, a2 from found join lex on ord = src),
       fresh as (
-        select i.* from incoming i join own o on o.name = i.dst
-        where not list_contains(o.have, i.alias) and i.alias <> i.dst
-        qualify row_number() over (partition by dst, alias order by seq, slot) = 1),
-      grown as (select dst, string_agg(alias, '|' order by seq, slot) as more from fresh group by dst)
-      select name, concat(a1, '|', a2, coalesce('|' || more, '')) as aliases, status
-      from lex left join grown on dst = name where name not in (select src from mg)""",
+        select name, path, slot, alias from brought
+        where alias <> name and (name, alias) not in (select (name, alias) from own)
+        qualify row_number() over (partition by name, alias order by path, slot) = 1),
+      every as (select name, []::struct(seq bigint, name varchar)[] as path, slot, alias from own union all select * from fresh)
+      select name, row_number() over (partition by name order by path, slot, alias) - 1 as place, alias from every""",
     "bulk_plan_check": f"""{LEX_ONLY},
       plan as (select concat('Part-', p_partkey) as name from part
-               where (p_size between 36 and 42 or p_size = 50) and p_partkey <> 1)
-      select name, 'missing' as problem from plan where name not in (select name from lex)
-      union all select name, 'unplanned' from lex where status = 'pending' and name not in (select name from plan)
-      union all select name, 'not_pending' from lex
-                where status <> 'pending' and name in (select name from plan)""",
+               where (p_size between 36 and 42 or p_size = 50) and p_partkey <> 1),
+      d as (
+        select name, 'missing' as problem from plan where name not in (select name from lex)
+        union all select name, 'unplanned' from lex where status = 'pending' and name not in (select name from plan)
+        union all select name, 'not_pending' from lex
+                  where status <> 'pending' and name in (select name from plan))
+      select *, row_number() over (order by problem, name) - 1 as rank from d""",
     "bulk_classify": f"""{LEX_ONLY},
+      goal as (select min(ord) as goal from lex where p_size = 20),
+      gone as (select name, a1, a2 from lex where p_size = 42),
       changed as (
         select case when l.status = 'pending' then
-                 case when p_retailprice < 1000 then 'approved' else 'rejected' end else l.status end as status
-        from lex l join part on p_partkey = ord)
-      select status, count(*) as n from changed group by 1""",
+                 case when p_retailprice < 1000 then 'approved' else 'rejected' end else l.status end as status,
+               2 + case when ord = goal then (select count(distinct x) from (
+                 select name as x from gone union all select a1 from gone union all select a2 from gone)) else 0 end as n_aliases
+        from lex l join part on p_partkey = ord, goal where l.p_size <> 42 or l.status <> 'pending')
+      select status, count(*) as n, cast(sum(n_aliases) as bigint) as n_aliases from changed group by 1""",
     "alias_edit": f"""{LEX_ONLY}
       select name, concat(a1, '|', a2) as same, concat(a1, '|', a2, '|', source) as added, a2 as removed from lex""",
     "graph_v1_nodes": v1("select * from v1_nodes"),
@@ -343,7 +376,10 @@ ORACLES: dict[str, str] = {
         union all select pid, concat('paper:', pid) from pseudo)
       select distinct src, rk as dst from res join home using (pid)
       where phase = 1 and ok and src in (select key from v1_nodes)"""),
-    "blocked_refs": v1("select name, count(*) as n from res where phase = 1 and not ok group by 1"),
+    "blocked_refs": v1("""
+      , b as (select name, count(*) as n, min(struct_pack(pid := pid, pos := pos)) as spot
+              from res where phase = 1 and not ok group by 1)
+      select row_number() over (order by n desc, spot) - 1 as rank, name, n from b"""),
     "graph_v2_concepts": v2("select * from concepts"),
     "graph_v2_papers": f"with {PAPERS} select * from papers",
     "graph_v2_edges": v2("select pid, type, rk, count(*) as n from edges group by all"),
@@ -367,7 +403,7 @@ ORACLES: dict[str, str] = {
       select id, canonical, month from view_nodes
       where ptype = 'technique' and domain = 'medical' and month >= '2010-05'"""),
     "concept_search": v2("select id, canonical from view_nodes where contains(lower(canonical), 'rt-12')"),
-    "concept_names": v2("select canonical from concepts order by 1"),
+    "concept_names": v2("select row_number() over (order by canonical) - 1 as rank, canonical from concepts"),
     "induced_subgraph": v2("""
       select src, dst from lineage where src in (select id from view_nodes where domain = 'general')
         and dst in (select id from view_nodes where domain = 'general')"""),
@@ -404,6 +440,62 @@ ORACLES: dict[str, str] = {
       qualify row_number() over (partition by {canon('name')} order by pid desc) = 1
       union all
       select concat('paper:', pid), left(title, 30), title, problem, task from parts where not defines""",
+    "records_to_mentions": f"""
+      with {CONTENTS}
+      select pid, 0 as phase, 0 as pos, name, definition from parts where defines
+      union all
+      select pid, 1, cast(u.at - 1 as int), u.word, '' from (
+        select pid, unnest(string_split(task, ' ')) as word, generate_subscripts(string_split(task, ' '), 1) as at from parts) u""",
+    "defined_name_lists": f"with {CONTENTS} select pid, case when defines then name else '(none)' end as names from parts",
+    "plain_ids": v2("""
+      select id, case when id like 'concept:%' then substr(id, 9) else substr(id, 7) end as plain
+      from (select concat('concept:', rk) as id from concepts union all select concat('paper:', pid) from papers)"""),
+    "field_texts_of_graph": f"""
+      with {CONTENTS},
+      texts as (
+        select {canon('name')} as key, name as label, definition as define, problem, task from parts where defines
+        qualify row_number() over (partition by {canon('name')} order by pid desc) = 1)
+      select * from texts where key in (select {canon('p_brand')} from part where p_size <= 20)""",
+    "lineage_counts": closure(f"{UP}, {DOWN}", """
+      select (select count(*) - 1 from up) as ancestors, (select count(*) - 1 from down) as descendants"""),
+    "text_skips": v2("""
+      select count(*) filter (where trim(coalesce(text, '')) = '') as skipped from (
+        select definition as text from concepts union all select problem from papers)"""),
+    "field_similarity": f"""
+      with {CONTENTS},
+      texts as (
+        select {canon('name')} as key, definition as define, problem, task from parts where defines
+        qualify row_number() over (partition by {canon('name')} order by pid desc) = 1
+        union all select concat('paper:', pid), title, problem, task from parts where not defines),
+      long as (
+        select 'define' as field, key as id, define as text from texts
+        union all select 'problem', key, problem from texts union all select 'task', key, task from texts),
+      {embedded('long', 'field, id')},
+      same as (select field, min(id) as id, vec, count(*) as n from vectors group by field, vec),
+      sims as (
+        select a.field, round(list_cosine_similarity(a.vec, b.vec), 3) + 0.0 as sim, a.n * b.n as n
+        from same a join same b on a.field = b.field and a.id < b.id
+        union all select field, 1.0, n * (n - 1) // 2 from same where n > 1),
+      hist as (select field, sim, sum(n) as n from sims group by field, sim),
+      upto as (select *, sum(n) over (partition by field order by sim) as upto, sum(n) over (partition by field) as total from hist)
+      select field, cast(max(total) as bigint) as pairs, min(sim) as min_sim, round(sum(sim * n) / max(total), 6) as mean_sim,
+             round((min(sim) filter (where upto >= (total + 1) // 2) + min(sim) filter (where upto >= total // 2 + 1)) / 2, 6) as median_sim,
+             max(sim) as max_sim
+      from upto group by field""",
+    "node_vectors": v2(f"""
+      , to_embed as (
+        select concat('concept:', rk) as id, nullif(trim(definition), '') as text from concepts
+        union all select concat('paper:', pid), nullif(trim(problem), '') from papers),
+      {embedded("(select * from to_embed where text is not null)", "id")}
+      select split_part(id, ':', 1) as type, count(*) as n, max(len(vec)) as dim,
+             round(sum(list_dot_product(vec, vec)), 3) as norms, round(sum(vec[1]) + sum(vec[64]), 6) as ends
+      from vectors group by 1"""),
+    "node_vectors_v1": v1(f"""
+      , texts as (
+        select key as id, case when trim(definition) <> '' then concat(canonical, ': ', trim(definition))
+               else concat(canonical, ' (', ptype, ')') end as text from v1_nodes),
+      {embedded("texts", "id")}
+      select count(*) as n, max(len(vec)) as dim, round(sum(vec[1]) + sum(vec[64]), 6) as ends from vectors"""),
     "vector_incremental": """
       with todo as (select doc_id as id from documents where trim(text) <> ''
                       and doc_id not in (select vec_id from embeddings where label < 7))
@@ -411,13 +503,17 @@ ORACLES: dict[str, str] = {
     "similarity_stats": f"""{SIMS}
       select 'problem' as field, count(*) as pairs, round(min(sim), 6) as min_sim, round(avg(sim), 6) as mean_sim,
              round(median(sim), 6) + 0.0 as median_sim, round(max(sim), 6) as max_sim from sims""",
-    "similarity_top": f"{SIMS} select a, b, sim from sims order by sim desc, a, b limit 5",
+    "similarity_top": f"""{SIMS}
+      select concat('label ', la) as field, a, b, sim from sims join (select id, label as la from v) x on x.id = a
+      where same qualify row_number() over (partition by la order by sim desc, a, b) <= 5""",
     "similarity_pairs": f"""{REP_SIMS.format(labels="true")}
       select * from rows where sim >= 0.3""",
-    "similarity_family": f"""{REP_SIMS.format(labels="(contains(lower(p_name), 'ring') or contains(lower(p_name), 'bolt'))")}
+    "similarity_family": f"""{REP_SIMS.format(labels="label % 5 in (0, 1, 3)")}
       select * from rows where sim >= 0.2""",
     "similarity_overlay": f"""{SIMS}
-      select a as source, b as target, sim from sims where sim >= 0.3 and not same""",
+      , reps as (select id, min(id) over (partition by vec) as rep from v)
+      select least(x.rep, y.rep) as source, greatest(x.rep, y.rep) as target, sim, count(*) as node_pairs
+      from sims join reps x on a = x.id join reps y on b = y.id where sim >= 0.3 and not same group by all""",
     "vector_topk": f"""
       with {VEC}, scored as (select id, label, list_cosine_similarity(vec, qv) as score from v, q),
       ranked as (select *, cast(row_number() over (partition by label order by score desc, id) as integer) as rank
@@ -451,11 +547,13 @@ ORACLES: dict[str, str] = {
       with {FEED}
       select aid, query_ord, rank, title, abstract, left(stamp, 10) as published, abstract as categories,
              query as first_seen_query
-      from ranked where rank <= 50 and left(stamp, 7) between '2024-03' and '2025-06'
+      from ranked where left(stamp, 7) between '2024-03' and '2025-06'
       qualify row_number() over (partition by aid order by query_ord, rank) = 1""",
+    "search_page": f"""
+      with {FEED} select query_ord, rank, entry_ord from ranked where rank <= 50""",
     "paper_months": f"""
       with {FEED}
-      select aid, '2024-01' as month, count(*) as n, min(left(stamp, 7)) as first_published
+      select aid, concat('20', aid[1:2], '-', aid[3:4]) as month, count(*) as n, min(left(stamp, 7)) as first_published
       from feed group by aid""",
     "candidate_funnel": f"""{FATE}
       select count(*) as found, count(*) filter (where fate = 'owned') as owned_excluded,
@@ -494,7 +592,9 @@ ORACLES: dict[str, str] = {
       from kept group by paper_id""",
     "paper_texts": f"""with {LINE_PAGES}, {PAGE_SUMS.format(budget=20000)}
       select paper_id, md5(t) as digest from whole""",
-    "text_cut": f"""with {TALK_PAGES}, {PAGE_SUMS.format(budget=2500)}, {cut('whole', 'paper_id', 't')}
+    "text_cut": f"""with {TALK_PAGES}, 
+      whole as (select paper_id, string_agg(text, '' order by page) as t from pages_of group by paper_id),
+      {cut('whole', 'paper_id', 't', 'whole', 't')}
       select paper_id, true as ok, cut_method, length(text) as char_count, md5(text) as digest from done""",
     "document_cut": f"""with {cut('documents', 'doc_id', 'text')}
       select doc_id, cut_method, md5(text) as digest from done""",

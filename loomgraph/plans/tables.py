@@ -36,7 +36,7 @@ class Tables:
         )
 
     def lexicon(self) -> DataFrame:
-        return self.part.filter("p_type <> 'PROMO'").select(
+        return self.part.select(
             F.col("p_partkey").alias("ord"),
             F.expr("concat('Part-', p_partkey)").alias("name"),
             F.expr("array(concat('maker ', p_size), concat('SKU-', p_partkey))").alias("aliases"),
@@ -53,7 +53,8 @@ class Tables:
             F.expr("case when l_linenumber = 1 then 0 else 1 end").alias("phase"),
             F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
             F.expr("case l_returnflag when 'A' then concat('Part-', l_partkey) "
-                   "when 'R' then concat(' sku  ', l_partkey) else concat('Maker-', l_suppkey) end"
+                   "when 'R' then concat(' sku  ', l_partkey) else case when l_suppkey % 2 = 0 "
+                   "then concat('Maker-', l_suppkey) else concat('Tool-', l_suppkey, '-', l_partkey % 7) end end"
                    ).alias("name"),
             F.expr("case when l_linenumber = 1 and l_discount >= 0.05 then "
                    "concat('uses ', cast(l_quantity as bigint), ' ', l_linestatus) else '' end"
@@ -67,7 +68,8 @@ class Tables:
             (F.expr(f"array_position({kinds}, event_type)") * 1000 + F.col("k")).cast("int").alias("query_ord"),
             F.expr("concat(event_type, ' ', k)").alias("query"),
             F.col("event_id").alias("entry_ord"),
-            F.expr("concat('http://papers.example.org/abs/2401.', user_id, 'v', k)").alias("id"),
+            F.expr("concat('http://papers.example.org/abs/24', lpad(user_id % 12 + 1, 2, '0'), '.', user_id, 'v', k)"
+                   ).alias("id"),
             F.expr("concat('  Paper   number ', user_id, ' ')").alias("title"),
             F.col("event_type").alias("summary"),
             F.date_format(F.expr("ts + make_dt_interval(k * 10)"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published"),

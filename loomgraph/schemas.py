@@ -14,6 +14,7 @@ EDITABLE_FIELDS = ("status", "aliases", "definition", "source", "first_seen")
 PAGE_BUDGET_CHARS = 20000
 HEAD_CHARS = 6000
 MIN_PDF_BYTES = 10000
+DOWNLOAD_PAUSE_SECONDS = 3.0
 TOP_K, SCORE_FLOOR = 8, 0.30
 EMBED_BATCH = 256
 MAX_RESULTS_PER_QUERY = 50

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +55,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-ckpt-"))
     return sc.getCheckpointDir()
 
 
+class Scratch:
+    """Written tables of one computation, in a folder of their own under the checkpoint folder.
+    They outlive the loss of an executor, and superseded ones can be removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def remove(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, which outlives the loss of an executor."""
     ensure_checkpoint_dir(df.sparkSession)

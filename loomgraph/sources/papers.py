@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from loomgraph.external import Fetcher, PageDecoder
-from loomgraph.schemas import FEED, MIN_PDF_BYTES
+from loomgraph.schemas import DOWNLOAD_PAUSE_SECONDS, FEED, MIN_PDF_BYTES
 
 
 def read_pdfs(spark: SparkSession, folder: str, minimum: int = MIN_PDF_BYTES) -> DataFrame:
@@ -19,16 +21,21 @@ def read_pdfs(spark: SparkSession, folder: str, minimum: int = MIN_PDF_BYTES) ->
 
 
 def download_missing(papers: DataFrame, stored: DataFrame, fetcher: Fetcher,
-                     minimum: int = MIN_PDF_BYTES) -> DataFrame:
-    """paper_id, ok, message, content for papers not stored yet. Failures become rows."""
+                     minimum: int = MIN_PDF_BYTES, pause: float = DOWNLOAD_PAUSE_SECONDS) -> DataFrame:
+    """paper_id, ok, message, content for papers not stored yet. Failures become rows. All
+    downloads run in one task with a pause between them, as the remote service asks."""
     wanted = papers.select(F.col("pid").alias("paper_id")).join(
         stored.select("paper_id"), "paper_id", "left_anti"
     )
 
     def run(frames):
+        waited = False
         for frame in frames:
             out = []
             for pid in frame["paper_id"]:
+                if waited:
+                    time.sleep(pause)
+                waited = True
                 try:
                     data = fetcher.fetch(pid)
                     ok = len(data) >= minimum
@@ -37,21 +44,23 @@ def download_missing(papers: DataFrame, stored: DataFrame, fetcher: Fetcher,
                     out.append((pid, False, str(e), None))
             yield pd.DataFrame(out, columns=["paper_id", "ok", "message", "content"])
 
-    return wanted.mapInPandas(run, "paper_id string, ok boolean, message string, content binary")
+    return wanted.coalesce(1).mapInPandas(run, "paper_id string, ok boolean, message string, content binary")
 
 
 def decode_pages(pdfs: DataFrame, decoder: PageDecoder) -> DataFrame:
-    """paper_id, page, text rows of binary files."""
+    """paper_id, page, text, error rows of binary files; a file that cannot be read is one row
+    with the error."""
 
     def run(frames):
         for frame in frames:
             for pid, content in zip(frame["paper_id"], frame["content"]):
-                texts = list(decoder.pages(content))
-                yield pd.DataFrame(
-                    {"paper_id": pid, "page": range(len(texts)), "text": texts}
-                ).astype({"page": "int32"})
+                try:
+                    out = [(pid, i, t, None) for i, t in enumerate(decoder.pages(content))]
+                except Exception as e:  # a broken file is a result, not a failed job
+                    out = [(pid, None, None, str(e) or type(e).__name__)]
+                yield pd.DataFrame(out, columns=["paper_id", "page", "text", "error"]).astype({"page": "Int32"})
 
-    return pdfs.select("paper_id", "content").mapInPandas(run, "paper_id string, page int, text string")
+    return pdfs.select("paper_id", "content").mapInPandas(run, "paper_id string, page int, text string, error string")
 
 
 class PdfDecoder:

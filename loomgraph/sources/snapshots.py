@@ -12,6 +12,11 @@ from pyspark.errors import AnalysisException
 POINTERS = "name string, version bigint, path string"
 
 
+def missing(error: AnalysisException) -> bool:
+    """Did a read fail because nothing is at its path?"""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 class Snapshots:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -19,8 +24,10 @@ class Snapshots:
     def _pointers(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(POINTERS).json(f"{self.root}/_pointers")
-        except AnalysisException:  # nothing written yet
-            return None
+        except AnalysisException as e:
+            if missing(e):  # nothing written yet
+                return None
+            raise
 
     def current(self, name: str) -> tuple[int, str] | None:
         pointers = self._pointers()
@@ -65,7 +72,8 @@ def append_new(df: DataFrame, path: str, key: str, force: bool = False,
         try:
             stored = df.sparkSession.read.parquet(path).select(key)
             df = df.join(stored, key, "left_anti")
-        except AnalysisException:  # first write
-            pass
+        except AnalysisException as e:
+            if not missing(e):  # else the first write
+                raise
     writer = df.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

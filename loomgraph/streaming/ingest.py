@@ -3,7 +3,7 @@ batch is an upsert or insert-if-absent, so a replayed batch changes nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.operators import collect as C, lexicon as L, mentions as M
@@ -20,12 +20,11 @@ def _run(stream: DataFrame, checkpoint: str, each) -> StreamingQuery:
 
 def ledger_stream(spark: SparkSession, feed_folder: str, store: Snapshots, checkpoint: str,
                   period_from: str = "", period_to: str = "") -> StreamingQuery:
-    """New search entries -> ledger. The entries of a batch are what the service returned,
-    so no per-query limit is applied again."""
+    """New search entries -> ledger, by the same path as a batch search."""
 
     def each(batch: DataFrame, _: int) -> None:
         own = Snapshots(batch.sparkSession, store.root)
-        found = C.first_per_id(batch.withColumn("rank", F.col("entry_ord")), period_from, period_to)
+        found = C.search_results(batch, period_from, period_to)
         own.write("ledger", C.upsert_ledger(own.read("ledger", LEDGER), found))
 
     return _run(spark.readStream.schema(FEED).json(feed_folder), checkpoint, each)
@@ -38,7 +37,7 @@ def lexicon_stream(spark: SparkSession, mention_folder: str, store: Snapshots,
     def each(batch: DataFrame, _: int) -> None:
         own = Snapshots(batch.sparkSession, store.root)
         lexicon = own.read("lexicon", LEXICON)
-        new = M.register_in_order(M.keyed(batch), L.names_lookup(lexicon))
+        new = M.register_in_order(M.unknown(M.keyed(batch), L.alias_map(lexicon)))
         own.write("lexicon", L.append_registrations(lexicon, new))
 
     return _run(spark.readStream.schema(MENTIONS).json(mention_folder), checkpoint, each)

@@ -77,6 +77,29 @@ def test_merge(spark):
         assert e.value.kind == kind
 
 
+def merges(spark, *items):
+    return spark.createDataFrame(list(items), "src string, dst string, seq bigint")
+
+
+def test_merge_chains(spark):
+    lx = lex(spark, ("A", ["a1"]), ("B", ["b1"]), ("C", ["c1", "c1"]), ("E", ["b1", "C", "e1"]), ("F", []))
+    chain = merges(spark, ("A", "B", 1), ("B", "C", 2), ("E", "C", 3), ("F", "gone", 4), ("zz", "A", 5))
+    assert rows(L.merge_many(lx, chain), "name", "aliases") == [("C", ["c1", "c1", "B", "b1", "A", "a1", "E", "e1"]), ("F", [])]
+    assert rows(L.merged_aliases(lx, chain)) == [
+        ("C", i, a) for i, a in enumerate(["c1", "c1", "B", "b1", "A", "a1", "E", "e1"])]
+    first = merges(spark, ("A", "B", 1), ("A", "C", 2))
+    assert rows(L.merge_many(lx, first), "name", "aliases")[:2] == [("B", ["b1", "A", "a1"]), ("C", ["c1", "c1"])]
+    with pytest.raises(L.LexiconError, match="circle"):
+        L.merge_many(lx, merges(spark, ("F", "A", 0), ("A", "B", 1), ("B", "C", 2), ("C", "A", 3)))
+
+
+def test_patches_of_one_name_apply_in_order(spark):
+    lx = lex(spark, ("A", ["x"], "pending"), ("B", [], "pending"))
+    p = spark.createDataFrame([("A", 2, "rejected", None), ("A", 1, "approved", "old"), ("A", 3, None, "new")],
+                              "name string, seq int, status string, definition string")
+    assert rows(L.patch_many(lx, p), "name", "status", "definition") == [("A", "rejected", "new"), ("B", "pending", "")]
+
+
 def test_merge_keeps_names_resolvable(spark):
     lx = lex(spark, ("S", ["p"]), ("D", []))
     got = L.resolve(names(spark, "s", "p", "d"), L.merge(lx, "S", "D"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 
@@ -41,28 +42,47 @@ def test_random_closure(spark, seed):
     pairs = list({(f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for _ in range(45)} | {("n0", "n1")})
     e, n = graph(spark, pairs)
 
-    def walk(step):
-        seen, todo = {"n0"}, ["n0"]
-        while todo:
-            cur = todo.pop()
-            for nxt in (step(p) for p in pairs if step((cur, cur)) and p[0 if step is fwd else 1] == cur):
-                if nxt not in seen:
-                    seen.add(nxt)
-                    todo.append(nxt)
-        return seen
-
-    def fwd(p):
-        return p[1]
-
-    def back(p):
-        return p[0]
+    reach = np.eye(30, dtype=bool)
+    for a, b in pairs:
+        reach[int(a[1:]), int(b[1:])] = True
+    for _ in range(5):  # paths of up to 2**5 edges
+        reach = reach @ reach
+    up, down = ({f"n{i}" for i in np.flatnonzero(r)} for r in (reach[0], reach[:, 0]))
 
     got = G.lineage(e, n, "n0")
-    up, down = walk(fwd), walk(back)
     assert {r["id"] for r in got.ids.collect()} == up | down
     assert (got.ancestors, got.descendants) == (len(up) - 1, len(down) - 1)
 
 
+def test_long_chain_keeps_few_tables(spark, monkeypatch, tmp_path):
+    from loomgraph import session
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda s: f"file://{tmp_path}")
+    e, _ = graph(spark, [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)])
+    start = spark.createDataFrame([("n00",)], "id string")
+    assert G.closure(e, start, "ancestors").count() == 40
+    assert sum(1 for _ in tmp_path.glob("tables-*/*")) <= G.MERGE_LEVELS + 2
+
+
+def test_checkpoints_need_a_shared_folder(monkeypatch):
+    from loomgraph import session
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.ensure_checkpoint_dir(Session())
+
+
 def test_commands(spark):
     e, n = graph(spark, [("self rag", "rag"), ("rag", "bm25")], {"self rag": "Self-RAG"})
     none = K.run(K.FilterRequest(ptype="survey"), n, e)

@@ -1,4 +1,6 @@
 import random
+from bisect import bisect_left
+from itertools import accumulate
 
 from conftest import rows
 
@@ -10,14 +12,10 @@ def pages(spark, data):
     return spark.createDataFrame([(p, i, t) for p, ts in data.items() for i, t in enumerate(ts)], PAGES)
 
 
-def by_hand(texts, budget):
-    kept, total = [], 0
-    for t in texts:
-        kept.append(t)
-        total += len(t)
-        if total >= budget:
-            break
-    return kept
+def pages_kept(texts, budget):
+    """Pages before which the budget is not reached yet, from prefix sums."""
+    before = [0, *accumulate(map(len, texts))][:-1]
+    return bisect_left(before, budget)
 
 
 def test_page_budget(spark):
@@ -35,7 +33,7 @@ def test_budget_across_buckets(spark, monkeypatch):
     df = pages(spark, data)
     got = {r["paper_id"]: r["n"] for r in
            P.leading_pages(df, 50).groupBy("paper_id").count().withColumnRenamed("count", "n").collect()}
-    assert got == {p: len(by_hand(ts, 50)) for p, ts in data.items()}
+    assert got == {p: pages_kept(ts, 50) for p, ts in data.items()}
 
 
 def test_parsed(spark):

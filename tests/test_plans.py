@@ -13,7 +13,7 @@ def plan(spark, name):
 
 @pytest.mark.parametrize("name", [
     "view_builds_on", "graph_v1_edges", "view_concepts", "view_paper_anchors", "paper_search", "candidate_ids",
-    "ledger_upsert", "gate_verdicts", "lexicon_merge", "similarity_overlay", "page_window",
+    "ledger_upsert", "gate_verdicts", "lexicon_merge", "similarity_overlay", "page_window", "lineage_both", "similarity_top",
 ])
 def test_no_nested_loops_and_no_row_udfs(spark, name):
     p = plan(spark, name)
@@ -32,14 +32,36 @@ def test_top_k_is_not_a_sort(spark):
 
 
 def test_scans_read_only_needed_columns(spark):
-    schemas = [line.split("ReadSchema: ")[1] for line in plan(spark, "view_builds_on").splitlines()
+    schemas = [line.split("ReadSchema: ")[1] for line in plan(spark, "alias_resolve").splitlines()
                if "lineitem.parquet" in line]
     assert schemas and not any("l_extendedprice" in s or "l_shipdate" in s for s in schemas)
 
 
 def test_filters_reach_the_scan(spark):
-    p = plan(spark, "status_counts")
-    assert "PushedFilters: [IsNotNull(p_type), Not(EqualTo(p_type,PROMO))]" in p
+    assert "PushedFilters: [IsNotNull(p_size), LessThanOrEqual(p_size,20)]" in plan(spark, "field_texts_of_graph")
+
+
+GRAPH_QUERIES = [
+    "graph_v1_nodes", "graph_v1_node_papers", "graph_v1_edges", "blocked_refs", "graph_v2_concepts", "graph_v2_edges",
+    "graph_v2_counts", "view_concepts", "view_concept_papers", "view_builds_on", "view_nodes_by_type",
+    "view_paper_defines", "view_paper_anchors", "graph_filter", "induced_subgraph", "graph_links",
+]
+
+
+@pytest.mark.parametrize("name", GRAPH_QUERIES)
+def test_mentions_are_read_once(spark, name):
+    """Names are resolved in one pass over the mentions, before the plan; few sorts remain."""
+    p = plan(spark, name).split("Initial Plan")[0]
+    assert "lineitem.parquet" not in p and p.count("SortAggregate(") <= 4
+
+
+def test_every_plan_is_free_of_nested_loops(spark):
+    for name in entry.queries():
+        if name.startswith("op") or name == "pipeline":
+            continue
+        p = plan(spark, name)
+        for bad in ("CartesianProduct", "BatchEvalPython"):
+            assert bad not in p, name
 
 
 def test_jvm_only(spark):

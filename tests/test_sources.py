@@ -2,6 +2,7 @@ import json
 
 import pytest
 from conftest import rows
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from test_lexicon import lex
 
@@ -120,6 +121,8 @@ def test_append_new(spark, tmp_path):
     append_new(one, path, "pid", partition_by=["map_name"])
     append_new(more, path, "pid", partition_by=["map_name"])
     assert rows(spark.read.parquet(path), "pid", "v") == [("1", "a"), ("2", "b")]
+    with pytest.raises(AnalysisException):  # a wrong key is no first write
+        append_new(more.withColumn("other", F.lit(1)), path, "other")
     append_new(more, path, "pid", force=True, partition_by=["map_name"])
     assert spark.read.parquet(path).count() == 4
 
@@ -152,8 +155,15 @@ def test_pdf_files(spark, tmp_path):
     assert rows(stored, "paper_id") == [("p",)]
     got = PP.decode_pages(stored, Pages())
     assert [(r["page"], r["text"].strip()) for r in got.orderBy("page").collect()] == [(0, "one"), (1, "two")]
+    assert got.filter("error is not null").count() == 0
+
+    class Broken:
+        def pages(self, content):
+            raise ValueError("no pdf")
+
+    assert rows(PP.decode_pages(stored, Broken())) == [("p", None, None, "no pdf")]
     want = spark.createDataFrame([("p",), ("new",), ("bad",), ("small",)], "pid string")
-    assert rows(PP.download_missing(want, stored, Web()), "paper_id", "ok", "message") == [
+    assert rows(PP.download_missing(want, stored, Web(), pause=0), "paper_id", "ok", "message") == [
         ("bad", False, "timeout"), ("new", True, "downloaded"), ("small", False, "too small")]
 
 
@@ -161,7 +171,39 @@ def test_extraction_service(spark):
     parsed = spark.createDataFrame([("1", "abc"), ("2", "xyz")], "pid string, text string")
     contents = extract_contents(parsed, Reader())
     assert rows(contents, "pid", "title", "paper_type") == [("1", "abc", "technique"), ("2", "xyz", "technique")]
-    assert rows(extract_lineage(contents, parsed, Reader())) == [("1", ["a0"]), ("2", ["x0"])]
+    assert rows(extract_lineage(contents, parsed, Reader())) == [("1", ["a0"], None), ("2", ["x0"], None)]
+
+    class Moody(Reader):
+        def content(self, text):
+            if text == "xyz":
+                raise RuntimeError("busy")
+            return super().content(text)
+
+        def lineage(self, content, text):
+            assert content["names"] == "a"
+            raise RuntimeError("later")
+
+    contents = extract_contents(parsed, Moody())
+    assert rows(contents, "pid", "title", "error") == [("1", "abc", None), ("2", None, "busy")]
+    assert rows(extract_lineage(contents.filter("error is null"), parsed, Moody())) == [("1", [], "later")]
+
+
+def test_import_of_record_files(spark, tmp_path):
+    from loomgraph.plans.extraction import import_records
+    store = Snapshots(spark, str(tmp_path / "store"))
+    folder = tmp_path / "records"
+    folder.mkdir()
+    for pid, title in (("1", "one"), ("2", "two")):
+        put(folder, f"{pid}.concepts.json", {"title": title, "task": [], "defines": [{"name": f"N{pid}", "definition": ""}],
+                                             "uses": [], "problem": "", "domain": "general", "paper_type": "technique"})
+        put(folder, f"{pid}.relations.json", {"builds_on": ["N1"]})
+    import_records(store, str(folder))
+    assert rows(store.read("papers"), "pid", "title") == [("1", "one"), ("2", "two")]
+    put(folder, "1.relations.json", {"builds_on": []})
+    import_records(store, str(folder))
+    assert store.read("mentions").count() == 4
+    import_records(store, str(folder), force=True)
+    assert rows(store.read("mentions"), "pid", "phase", "name") == [("1", 0, "N1"), ("2", 0, "N2"), ("2", 1, "N1")]
 
 
 ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">

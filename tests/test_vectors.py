@@ -43,9 +43,9 @@ def test_all_pairs(spark, table, tile):
     want = by_hand(data)
     grouped = S.pairs(df, -1.0, tile)
     assert grouped.count() < len(want) and grouped.agg(F.sum("node_pairs")).first()[0] == len(want)
-    got = {(r["field"], r["a"], r["b"]): r["sim"] for r in S.node_pairs(grouped, S.copies(df)).collect()}
+    got = {(r["field"], r["a"], r["b"]): r["sim"] for r in S.node_pairs(grouped, df).collect()}
     assert got == pytest.approx(want)
-    some = {(r["field"], r["a"], r["b"]) for r in S.node_pairs(S.pairs(df, 0.3, tile), S.copies(df)).collect()}
+    some = {(r["field"], r["a"], r["b"]) for r in S.node_pairs(S.pairs(df, 0.3, tile), df).collect()}
     assert some == {k for k, s in want.items() if s >= 0.3}
 
 
@@ -59,9 +59,36 @@ def test_stats_and_top(spark, table, tile):
         assert (r["min_sim"], r["max_sim"]) == (min(sims), max(sims))
         assert r["mean_sim"] == pytest.approx(statistics.mean(sims))
         assert r["median_sim"] == pytest.approx(statistics.median(sims))
-    top = S.top_pairs(df.filter("field = 'problem'"), 25, tile)
-    pairs = sorted((-s, a, b) for (f, a, b), s in want.items() if f == "problem")[:25]
-    assert [(-r["sim"], r["a"], r["b"]) for r in top.collect()] == pairs
+    top = S.top_pairs(df, 25, tile).collect()
+    for field in ("define", "problem"):
+        pairs = sorted((-s, a, b) for (f, a, b), s in want.items() if f == field)[:25]
+        assert sorted((-r["sim"], r["a"], r["b"]) for r in top if r["field"] == field) == pairs
+
+
+def test_far_tiles_are_skipped(spark):
+    """Vectors in narrow cones: few pairs of tiles can reach the floor, and none is missed."""
+    rng = np.random.default_rng(5)
+    cones = rng.normal(size=(12, 8))
+    data = [("f", i, (cones[i % 12] + 0.02 * rng.normal(size=8)).tolist()) for i in range(360)]
+    df = spark.createDataFrame(data, "field string, id int, vec array<double>")
+    plan = S.tile_plan(S.checked(S.distinct_vectors(df)), 8)
+    reach = plan.reachable("f", 0.98)
+    assert (reach == reach.T).all() and reach.sum() < reach.size / 4
+    got = {(r["a"], r["b"]) for r in S.pairs(df, 0.98, 8).collect()}
+    units = np.array([v for _, _, v in data])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    sims = np.round(units @ units.T, 3)
+    assert got == {(i, j) for i in range(360) for j in range(i + 1, 360) if sims[i, j] >= 0.98}
+    best = sorted((-sims[i, j], i, j) for i in range(360) for j in range(i + 1, 360))[:7]
+    assert sorted((-r["sim"], r["a"], r["b"]) for r in S.top_pairs(df, 7, 8).collect()) == best
+
+
+@pytest.mark.parametrize("vec", [[1.0], [1.0, float("nan")]])
+def test_bad_vectors_are_named(spark, vec):
+    df = spark.createDataFrame([("f", "a", [1.0, 2.0]), ("f", "bad", vec)], "field string, id string, vec array<double>")
+    for run in (S.stats, S.top_pairs, lambda d: S.pairs(d, 0.1)):
+        with pytest.raises(ValueError, match="bad"):
+            run(df)
 
 
 def test_family(spark):
@@ -70,14 +97,16 @@ def test_family(spark):
 
 
 def test_overlay_leaves_out_pairs_of_the_same_papers(spark):
-    sims = spark.createDataFrame(
-        [("problem", "a", "b", 1.0), ("problem", "a", "c", 0.5), ("problem", "c", "d", 0.4),
-         ("problem", "d", "e", 0.4), ("problem", "a", "gone", 0.9), ("define", "a", "c", 0.7)],
-        "field string, a string, b string, sim double")
+    x, y = [1.0, 0.0], [0.6, 0.8]
+    vectors = spark.createDataFrame(
+        [("problem", k, v) for k, v in (("a", x), ("b", x), ("c", y), ("d", x), ("e", [0.0, 1.0]), ("gone", x))]
+        + [("define", "a", x), ("define", "e", x)], "field string, id string, vec array<double>")
     nodes = spark.createDataFrame([(k,) for k in "abcde"], "key string")
     papers = spark.createDataFrame(
-        [("a", "1"), ("a", "2"), ("b", "2"), ("b", "1"), ("c", "1"), ("c", "1")], "key string, pid string")
-    assert rows(S.overlay(sims, nodes, papers)) == [("a", "c", 0.5), ("c", "d", 0.4), ("d", "e", 0.4)]
+        [("a", "1"), ("a", "2"), ("b", "2"), ("b", "1"), ("c", "1"), ("c", "1"), ("d", "1")], "key string, pid string")
+    # a, b, d are one vector: a-b stem from the same papers, a-d and b-d do not; c-d do
+    assert rows(S.overlay(vectors, papers, 0.5, nodes)) == [("a", "a", 1.0, 2), ("a", "c", 0.6, 2), ("c", "e", 0.8, 1)]
+    assert rows(S.overlay(vectors, papers.limit(0), 0.99)) == [("a", "a", 1.0, 6)]
 
 
 def test_field_texts(spark):

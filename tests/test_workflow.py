@@ -56,7 +56,7 @@ def workflow(spark, root, calls, **more):
         calls.append("search")
         return spark.createDataFrame(ENTRIES, FEED)
 
-    extraction = Extraction(store, Web(), Pages(), Reader())
+    extraction = Extraction(store, Web(), Pages(), Reader(), pause=0)
 
     def extract(wanted, run):
         calls.append("extract")
@@ -96,6 +96,27 @@ def test_whole_run(spark, tmp_path):
         ("2401.3", False, "technique", "2024-06-01"), ("2401.4", False, "technique", "2024-06-01"),
         ("9", False, None, None)]
     assert w.resume(thread, "proceed") == done
+    assert rows(w.table(thread, "left_over"), "aid") == [("2401.4",)]
+    # what was extracted is in the graph after a rebuild, and is not extracted again
+    assert Workbench(spark, str(tmp_path)).rebuild() == {"ok": True, "nodes": 1, "builds_on": 0}
+    assert rows(w.store.read("v2_concepts"), "canonical") == [("A",)]
+    again = Extraction(w.store, None, None, None).run(spark.createDataFrame([("2401.1",)], "aid string"), "again")
+    assert rows(again) == [("2401.1", True, "already stored")]
+
+
+def test_uncapped_run(spark, tmp_path):
+    w = workflow(spark, tmp_path, [], max_extract=None)
+    t = w.start("graph retrieval")["thread_id"]
+    w.resume(t, "proceed")
+    confirm = w.resume(t, "proceed")
+    assert [r["aid"] for r in confirm["to_extract"].collect()] == ["2401.1", "2401.3", "2401.4"]
+    assert w.resume(t, "proceed")["extracted"] == 2 and w.table(t, "left_over").count() == 0
+
+
+def test_search_has_one_path(spark):
+    from loomgraph.operators import collect as C
+    feed = spark.createDataFrame([(0, "q", i, f"24{i % 12 + 1:02d}.{i}", "t", "s", f"2024-01-{i % 28 + 1:02d}", []) for i in range(60)], FEED)
+    assert C.search_results(feed).count() == 60 and C.search_results(feed, limit=50).count() == 50
 
 
 def test_cancel_at_each_stage(spark, tmp_path):
