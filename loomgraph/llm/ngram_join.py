@@ -8,14 +8,21 @@ all 2-subsets of that prefix; large (heavy) sets enter inverted lists with the s
 elements of the prefix that is one shorter. Sets of sizes that can pair across the boundary do both.
 The boundary is the size with the least cost, counted over the sizes of all sets.
 
-The order puts frequent shingles last, so lists stay short. Frequencies come from a sketch of
-all documents, of fixed size; it only orders, so its collisions change no result.
-
-No group is expanded into all its pairs. Equal sets are one class. In each list every class is
-compared with the least class only; components are formed; then the pairs of a list that are still in
-different components are compared, which is what an exact answer needs. A bitmap of
-about one bit per element bounds the overlap from above and drops most pairs before whole
-sets are fetched; what remains is compared exactly.
+The order puts frequent shingles last, then shingles of frequent words, so lists stay short.
+Frequencies come from sketches of all documents, of fixed size; they only order, so their
+collisions change no result.
+
+No group is expanded into all its pairs. Equal sets are one class. Short lists are compared pair by
+pair. In a long list every class is compared with one hub, the class with the most company. Let d be
+the number of elements in which a class differs from the hub. Two linked classes
+that are both near the hub either both link with it, and are connected, or differ from
+it in a common element: so near classes enter new lists by the rarest of those elements. Linked classes that
+are not both near are both far, and stay in a list without the hub. The new lists are treated in the
+same way, leaving out lists whose classes are connected already; lists of few classes in all, and
+what is left after ROUNDS rounds, are compared pair by pair. Every linked pair thus meets or is connected.
+
+A bitmap of about one bit per element bounds d from below and settles most comparisons
+before whole sets are fetched; what remains is compared exactly.
 
 Defined results: null and blank text has an empty set, links with nothing and is its own
 component. Texts with fewer words than a shingle have one element, their whole sequence.
@@ -27,18 +34,21 @@ from __future__ import annotations
 
 import itertools
 import math
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomgraph.llm.textops import chunks, flat_bytes, long_array, mix, word_bounds, word_hashes, _runs
-from loomgraph.session import materialize
+from loomgraph.session import Scratch, materialize
 
 SKETCH_BITS, BLOCK_BITS = 21, 15
 LIGHT_MOST = 512
+SHORT_LIST, FEW_CLASSES, ROUNDS = 48, 512, 5
 
 
 class Rule:
@@ -69,8 +79,8 @@ class Rule:
         return -(-self.num * (a + b) // (self.num + self.den))
 
 
-def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row."""
+def shingles(column: pa.Array, size: int):
+    """Word hashes of all rows, the words each shingle spans, its hash, and shingles per row."""
     raw, offs = flat_bytes(column)
     starts, ends, counts = word_bounds(raw, offs)
     h = word_hashes(raw, starts, ends, lower=True)
@@ -78,10 +88,33 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     n = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     base = np.cumsum(n) - n
     at = np.arange(n.sum()) - np.repeat(base - first, n)
-    runs = _runs.runs(h, at, np.minimum(at + size, np.repeat(first + counts, n)))
+    to = np.minimum(at + size, np.repeat(first + counts, n))
+    return h, at, to, _runs.runs(h, at, to), base, n
+
+
+def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each row."""
+    _, _, _, runs, base, n = shingles(column, size)
     return [np.unique(runs[i: i + k]) for i, k in zip(base, n)]
 
 
+def cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def ranked_sets(column: pa.Array, size: int, levels: np.ndarray, word_levels: np.ndarray):
+    """Sorted distinct shingle hashes of each row, and their ranks in the order of frequency:
+    level of the shingle, then levels of its words, which are whole numbers and so the same
+    wherever the shingle stands."""
+    h, at, to, runs, base, n = shingles(column, size)
+    sums = np.zeros(len(h) + 1, np.int64)
+    np.cumsum(word_levels[cells(h)], out=sums[1:])
+    rank = levels[cells(runs)].astype(np.int64) << 32 | (sums[to] - sums[at])
+    for i, k in zip(base, n):
+        s, where = np.unique(runs[i: i + k], return_index=True)
+        yield s, rank[i: i + k][where]
+
+
 def bitmap(s: np.ndarray) -> bytes:
     """One bit per hash modulo the power of two at or above the set's size, 64 at least."""
     bits = 1 << max(6, (len(s) - 1).bit_length() if len(s) else 0)
@@ -90,48 +123,55 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def may_link(a: bytes, b: bytes, na: int, nb: int, rule: Rule) -> int:
-    """Least number of elements that differ if the pair may link, else -1. A bit set on one side only is
-    at least one element of that side only."""
-    need = rule.overlap(na, nb)
-    if need > min(na, nb):
-        return -1
+def least_apart(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """Least number of elements that are in one of two sets only. A bit set on one side only is at
+    least one element of that side only."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     while len(x) > len(y):
         x = x[: len(x) // 2] | x[len(x) // 2:]
     while len(y) > len(x):
         y = y[: len(y) // 2] | y[len(y) // 2:]
     only_a, only_b = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
-    return only_a + only_b if only_a <= na - need and only_b <= nb - need else -1
+    # the two numbers differ by as much as the sizes do
+    only_a, only_b = max(only_a, only_b + na - nb), max(only_b, only_a + nb - na)
+    return only_a + only_b
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int, rule: Rule) -> bool:
+    return na + nb - least_apart(a, b, na, nb) >= 2 * rule.overlap(na, nb)
 
 
 def read_sets(rows: DataFrame, rule: Rule, seed: int) -> DataFrame:
     """For each row row_ord, doc_id, n, id and check (halves of the set's digest), bits; and from
-    each task its part of the frequency sketch as (block, cells)."""
+    each task its part of the sketches of shingles, then words, as (block, cells)."""
     names = ["row_ord", "doc_id", "n", "id", "check", "bits", "block", "cells"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
         for whole in batches:
             for b in chunks(whole, "text"):
-                sets = shingle_sets(b.column("text"), rule.size)
-                sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                h, _, _, runs, base, n = shingles(b.column("text"), rule.size)
+                sets = [np.unique(runs[i: i + k]) for i, k in zip(base, n)]
+                np.add.at(sketch[0], cells(np.concatenate(sets)), np.uint32(1))
+                np.add.at(sketch[1], cells(h), np.uint32(1))
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), seed) for s in sets), np.int64).reshape(-1, 2)
                 k = b.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [b.column("row_ord"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
                      pa.array([bitmap(s) for s in sets], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
-        cells = sketch.reshape(-1, 1 << BLOCK_BITS)
+        blocks = sketch.reshape(-1, 1 << BLOCK_BITS)
         pack = zstandard.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(len(cells), t) for t in types[:6]), pa.array(range(len(cells)), pa.int64()), pa.array([pack.compress(c.tobytes()) for c in cells], pa.binary())], names)
+            [*(pa.nulls(len(blocks), t) for t in types[:6]), pa.array(range(len(blocks)), pa.int64()),
+             pa.array([pack.compress(c.tobytes()) for c in blocks], pa.binary())], names)
 
     return rows.mapInArrow(run, "row_ord bigint, doc_id bigint, n bigint, id bigint, check bigint, bits binary, block bigint, cells binary")
 
 
-def frequency_levels(parts: DataFrame) -> np.ndarray:
-    """Per sketch cell 0, or the power of two by which it exceeds twice the mean."""
+def frequency_levels(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Per cell of the shingle sketch 0, or the power of two by which it exceeds twice the mean;
+    per cell of the word sketch four times the power of two."""
 
     def add(key, group):
         total = np.zeros(1 << BLOCK_BITS, np.uint64)
@@ -139,10 +179,11 @@ def frequency_levels(parts: DataFrame) -> np.ndarray:
             total += np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint32)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "cells": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros(1 << SKETCH_BITS, np.uint64)
+    out = np.zeros((2, 1 << SKETCH_BITS), np.uint64)
     for r in parts.filter("block is not null").select("block", "cells").groupBy("block").applyInArrow(add, "block bigint, cells binary").collect():
-        out[r["block"] << BLOCK_BITS:][: 1 << BLOCK_BITS] = np.frombuffer(r["cells"], np.uint64)  # 8 bytes a cell in all
-    return np.maximum(0, np.ceil(np.log2((out + 1) / (2 * out.mean() + 4)))).astype(np.uint8)
+        out.reshape(-1, 1 << BLOCK_BITS)[r["block"]] = np.frombuffer(r["cells"], np.uint64)  # 8 bytes a cell in all
+    runs = np.maximum(0, np.ceil(np.log2((out[0] + 1) / (2 * out[0].mean() + 4)))).astype(np.uint8)
+    return runs, np.rint(4 * np.log2(out[1] + 1.0)).astype(np.uint8)
 
 
 def boundary(sizes: list[tuple[int, int]], heavier: int, rule: Rule, scan_cost: float = 4.0) -> int:
@@ -160,11 +201,11 @@ def boundary(sizes: list[tuple[int, int]], heavier: int, rule: Rule, scan_cost:
     return found
 
 
-def signatures(s: np.ndarray, levels: np.ndarray, light: int, rule: Rule) -> np.ndarray:
+def signatures(s: np.ndarray, rank: np.ndarray, light: int, rule: Rule) -> np.ndarray:
     n = len(s)
     if n < rule.smallest:
         return s[:0]
-    ordered = s[np.lexsort((s, levels[s >> np.uint64(64 - SKETCH_BITS)]))[: rule.prefix(n, 2)]]
+    ordered = s[np.lexsort((s, rank))[: rule.prefix(n, 2)]]
     out = []
     if n <= light:
         pairs = np.array(list(itertools.combinations(range(len(ordered)), 2)))
@@ -175,19 +216,18 @@ def signatures(s: np.ndarray, levels: np.ndarray, light: int, rule: Rule) -> np.
     return np.concatenate(out)
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """id, label (least id of its component) of every id in `nodes`, from links a, b. Labels
-    spread along links and then jump to the label of their label; a written table cuts each round."""
-    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = materialize(nodes.select("id", F.col("id").alias("label")))
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """id, label (least id of its component) of every id in the links a, b. Labels spread along
+    links and then jump to the label of their label; a written table cuts each round."""
+    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("label")))
     for _ in range(rounds):
-        heard = (edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("label").alias("heard")))
+        heard = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("label").alias("heard"))
         spread = materialize(labels.join(heard, labels.id == heard.a, "left").select("id", "label", F.least("label", "heard").alias("next")))
-        up = spread.select(F.col("id").alias("up_id"), F.col("next").alias("up"))
-        after = materialize(spread.join(up, spread.next == up.up_id, "left").select("id", F.least("next", "up").alias("label"), (F.col("label") != F.least("next", "up")).alias("moved")))
-        labels = after.select("id", "label")
-        if not after.filter("moved").limit(1).count():
+        if spread.filter("next <> label").isEmpty():
             return labels
+        up = spread.select(F.col("id").alias("up_id"), F.col("next").alias("up"))
+        labels = materialize(spread.join(up, spread.next == up.up_id, "left").select("id", F.least("next", "up").alias("label")))
     raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
@@ -196,7 +236,7 @@ class Join:
 
     def __init__(self, rows: DataFrame, rule: Rule):
         self.rows, self.rule = rows, rule
-        self.sc = rows.sparkSession.sparkContext
+        self.sc, self.scratch = rows.sparkSession.sparkContext, Scratch(rows.sparkSession)
         for seed in range(1, 9):
             parts = materialize(read_sets(rows, rule, seed))
             self.docs = parts.filter("row_ord is not null").drop("block", "cells")
@@ -205,14 +245,14 @@ class Join:
             self.seed = seed
             if not self.classes.groupBy("id").count().filter("count > 1").limit(1).count():
                 break
-        self.levels = self.sc.broadcast(frequency_levels(parts))
+        self.levels = self.sc.broadcast(frequency_levels(parts))  # of fixed size
         wide = self.classes.filter(F.col("n") >= rule.smallest)
         sizes = [(r["n"], r["count"]) for r in wide.filter(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()]
         above = wide.filter(F.col("n") > LIGHT_MOST).agg(F.sum(F.col("n") - F.ceil(F.col("n") * rule.num / rule.den) + 1)).first()[0]
         self.light = boundary(sizes, int(above or 0), rule)
 
     def postings(self) -> DataFrame:
-        """sig, id, n of the lists with at least two classes, and lo, the least class of the list."""
+        """list, id, n: the elements of all lists with at least two classes."""
         rule, levels, light, seed = self.rule, self.levels, self.light, self.seed
 
         def run(batches):
@@ -220,41 +260,49 @@ class Join:
             for whole in batches:
                 for b in chunks(whole, "text"):
                     sigs, ids, ns = [], [], []
-                    for s in shingle_sets(b.column("text"), rule.size):
+                    for s, rank in ranked_sets(b.column("text"), rule.size, *levels.value):
                         i = class_id(s, seed)
                         if i in seen:  # a copy of a document this task has sent
                             continue
                         if len(seen) < 1_000_000:
                             seen.add(i)
-                        sigs.append(signatures(s, levels.value, light, rule))
+                        sigs.append(signatures(s, rank, light, rule))
                         ids.append(i), ns.append(len(s))
                     if sigs:
                         k = [len(x) for x in sigs]
                         yield pa.RecordBatch.from_arrays(
                             [long_array(np.concatenate(sigs)), pa.array(np.repeat(ids, k), pa.int64()), pa.array(np.repeat(ns, k), pa.int64())], ["sig", "id", "n"])
 
-        sent = materialize(self.rows.select("text").mapInArrow(run, "sig bigint, id bigint, n bigint"))
-        lists = materialize(sent.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-                            .filter("lo <> hi").select(F.col("sig").alias("list"), "lo"))
-        return materialize(sent.join(lists, F.col("sig") == F.col("list")).select("sig", "id", "n", "lo"))
+        # written in columns: the ids of neighbouring rows are equal and take next to no room
+        sent = self.scratch.write("sent", self.rows.select("text").mapInArrow(run, "sig bigint, id bigint, n bigint"))
+        shared = materialize(sent.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+                             .filter("lo <> hi").select(F.col("sig").alias("list")))
+        lists = self.scratch.write("lists", sent.join(shared, F.col("sig") == F.col("list"))
+                                   .select("list", "id", "n").distinct())
+        self.scratch.remove("sent")
+        return lists
 
-    def candidates(self, pairs: DataFrame) -> DataFrame:
-        """a, b, apart of the distinct pairs that their bitmaps let through; apart is the least number
-        of elements they differ in."""
-        rule = self.rule
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """a, b, n_a, n_b, apart of distinct pairs: the least number of differing elements by bitmap."""
 
         def run(batches):
             for batch in batches:
-                apart = [may_link(x, y, m, n, rule) for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")))]
-                out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int64())], ["a", "b", "apart"])
-                yield out.filter(pa.array([x >= 0 for x in apart], pa.bool_()))
+                apart = [least_apart(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")))]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(apart, pa.int64())], ["a", "b", "n_a", "n_b", "apart"])
 
         info = {x: self.classes.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"}
         wide = pairs.join(info["a"], F.col("a") == F.col("id_a")).join(info["b"], F.col("b") == F.col("id_b"))
-        return materialize(wide.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint, apart bigint"))
+        return wide.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, apart bigint")
+
+    def may_link(self) -> Column:
+        """Condition on the columns of `apart`: the bitmaps do not rule a link out."""
+        need = F.ceil(F.lit(self.rule.num) * (F.col("n_a") + F.col("n_b")) / F.lit(self.rule.num + self.rule.den))
+        return F.col("n_a") + F.col("n_b") - F.col("apart") >= 2 * need
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets link. Only documents of these pairs send their sets."""
+    def compared(self, pairs: DataFrame, name: str) -> DataFrame:
+        """a, b, linked, d and the differing elements (only of pairs with d <= `most`, a column of
+        `pairs`), from whole sets. Only documents of these pairs send their sets."""
         rule = self.rule
         ids = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
         wanted = materialize(self.classes.join(ids, F.col("id") == F.col("need")).select("id", F.col("row_ord").alias("ord")))
@@ -267,38 +315,106 @@ class Join:
 
         def compare(batches):
             for b in batches:
-                for part in chunks(b, "set_a", 16 << 20):
-                    good = []
-                    for x, y in zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist()):
+                for part in chunks(b, "set_a", 8 << 20):
+                    linked, d, diff = [], [], []
+                    for x, y, most in zip(*(part.column(c).to_pylist() for c in ("set_a", "set_b", "most"))):
                         s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                        good.append(rule.links(len(s), len(t), len(np.intersect1d(s, t, assume_unique=True))))
-                    yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                        only = np.setxor1d(s, t, assume_unique=True)
+                        linked.append(rule.links(len(s), len(t), (len(s) + len(t) - len(only)) // 2))
+                        d.append(len(only))
+                        diff.append(only.view(np.int64) if len(only) <= most else None)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("a"), part.column("b"), pa.array(linked, pa.bool_()), pa.array(d, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
+                        ["a", "b", "linked", "d", "diff"])
 
         sets = rows.mapInArrow(read, "id bigint, elements binary")
         side = {x: sets.select(F.col("id").alias(f"id_{x}"), F.col("elements").alias(f"set_{x}")) for x in "ab"}
-        both = pairs.select("a", "b").join(side["a"], F.col("a") == F.col("id_a")).join(side["b"], F.col("b") == F.col("id_b"))
-        return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint")
+        both = pairs.select("a", "b", "most").join(side["a"], F.col("a") == F.col("id_a")).join(side["b"], F.col("b") == F.col("id_b"))
+        both = both.select("a", "b", "most", "set_a", "set_b")
+        return self.scratch.write(name, both.mapInArrow(compare, "a bigint, b bigint, linked boolean, d bigint, diff array<bigint>"))
 
-    def labelled(self) -> DataFrame:
-        """id, label of the classes that are linked with another class."""
-        lists = self.postings()
-        stars = self.candidates(lists.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
-        # of the least classes it met, each class tries the nearest; the rest follows below
-        near = stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-        links = materialize(self.verified(near))
-        nodes = lists.select("id").distinct()
-        labels = components(nodes, links)
-        tagged = materialize(lists.join(labels, "id").select("sig", "id", "n", "label"))
-        open_ = materialize(tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("sig").alias("list")))
-        side = materialize(tagged.join(open_, F.col("sig") == F.col("list")).select("sig", "id", "n", "label"))
-        x, y = (side.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "label"))) for k in "ab")
+    def pair_by_pair(self, lists: DataFrame, name: str) -> DataFrame:
+        """Links a, b between classes of one list that are not connected yet."""
+        x, y = (lists.select("list", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "label"))) for k in "ab")
         num, den = self.rule.num, self.rule.den
-        across = x.join(y, "sig").filter((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
+        pairs = x.join(y, "list").filter((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
                                          & (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num))
-        rest = self.candidates(across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-        more = materialize(self.verified(rest))
-        both = links.unionByName(more)
-        return components(nodes, both) if more.limit(1).count() else labels
+        rest = materialize(self.apart(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+                           .filter(self.may_link()).select("a", "b", F.lit(-1).cast("bigint").alias("most")))
+        return self.compared(rest, name).filter("linked").select("a", "b")
+
+    def with_hubs(self, lists: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Links of the classes of long lists with their hubs, and the lists that remain to be treated."""
+        # A hub of n elements: a class is near within 3 * n * (1 - t) / t differing elements. Linked sets of a
+        # and b elements differ in at most a * (1 - t) / t, and a <= n + near: so what links with a
+        # class within `inner` is near as well, and such a class can leave the list.
+        rule = self.rule
+        company = lists.groupBy(F.col("id").alias("of")).agg(F.avg("size").alias("company"))
+        hubs = (lists.join(company, F.col("id") == F.col("of"))
+                .groupBy(F.col("list").alias("hub_list")).agg(F.max_by("id", F.struct("company", "id")).alias("hub")))
+        members = self.scratch.write(f"members-{name}", lists.join(hubs, F.col("list") == F.col("hub_list"))
+                                     .filter("id <> hub").select("list", "hub", "id", "n"))
+        near = F.floor(3 * F.col("n_a") * F.lit(rule.den - rule.num) / F.lit(rule.num))
+        tests = materialize(self.apart(members.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+                            .select("a", "b", "n_a", "apart", near.alias("most")))
+        found = self.compared(tests.filter("apart <= most").select("a", "b", "most"), f"compared-{name}")
+        known = tests.join(found.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "d"), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left")
+        inner = F.col("most") - F.floor((F.col("n_a") + F.col("most")) * F.lit(rule.den - rule.num) / F.lit(rule.num)) - 1
+        settled = known.filter(F.col("d") <= inner).select(F.col("a").alias("sa"), F.col("b").alias("sb"))
+        away = members.join(settled, (F.col("hub") == F.col("sa")) & (F.col("id") == F.col("sb")), "left_anti").select("list", "id", "n")
+        # With d and d' differing elements two classes that link have at least max(1, d - most) of them in
+        # common, where most is what linked sets differ in; so these meet in the rarest most + 1.
+        sizes = self.classes.select(F.col("id").alias("of"), "n")
+        elements = self.scratch.write(f"elements-{name}", found.filter("diff is not null").join(sizes, F.col("b") == F.col("of"))
+                                      .select(F.col("b").alias("id"), "n", "a", F.explode("diff").alias("e"))
+                                      .select("id", "n", "a", F.xxhash64("a", "e").alias("list")))
+        shared = elements.groupBy(F.col("list").alias("of")).agg(F.count(F.lit(1)).alias("size"))
+        rank = F.row_number().over(Window.partitionBy("a", "id").orderBy("size", "list"))
+        most = F.floor(F.col("n") * F.lit(rule.den - rule.num) / F.lit(rule.num))
+        by_element = (elements.join(shared, F.col("list") == F.col("of")).withColumn("rank", rank)
+                      .filter((F.col("rank") <= most + 1) & (F.col("size") > 1)).select("list", "id", "n"))
+        return found.filter("linked").select("a", "b"), away.unionByName(by_element)
+
+    def labelled(self) -> DataFrame:
+        """id, label of the classes that are linked with another class."""
+        lists, links, labels = self.postings(), [], None
+        for k in range(ROUNDS + 1):
+            tagged = lists.withColumn("label", F.col("id")) if labels is None else (
+                lists.join(labels.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left")
+                .select("list", "id", "n", F.coalesce("label", "id").alias("label")))
+            tagged = self.scratch.write(f"tagged-{k}", tagged)
+            sizes = (tagged.groupBy(F.col("list").alias("of")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
+                     .filter("lo <> hi").select("of", "size"))
+            sizes = materialize(sizes)
+            open_ = self.scratch.write(f"open-{k}", tagged.join(sizes, F.col("list") == F.col("of")).select("list", "id", "n", "label", "size"))
+            self.scratch.remove(f"tagged-{k}")
+            # long lists of few classes make few pairs, in however many lists these meet
+            long = F.col("size") > SHORT_LIST
+            if k == ROUNDS or open_.filter(long).select("id").distinct().limit(FEW_CLASSES + 1).count() <= FEW_CLASSES:
+                long = F.lit(False)
+            more = [self.pair_by_pair(open_.filter(~long), f"pairs-{k}")]
+            again = not open_.filter(long).isEmpty()
+            if again:
+                star, lists = self.with_hubs(open_.filter(long), str(k))
+                more.append(star)
+            links += more
+            every = reduce(DataFrame.unionByName, links)
+            labels = components(every)
+            if not again:
+                return labels
+        return labels
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """At most `rows` rows in an Arrow batch of the jobs inside, as a bound of the tasks' memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def class_id(s: np.ndarray, seed: int) -> int:
@@ -311,8 +427,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similarity of at least num / den link."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_ord"), F.col(id_col).cast("bigint").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
-    join = Join(rows, Rule(size, num, den))
-    labels = join.labelled()
+    with arrow_rows(docs.sparkSession, 2000):  # rows here hold two whole sets
+        join = Join(rows, Rule(size, num, den))
+        labels = join.labelled()
     member = (join.docs.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("first"))
               .join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "first"))
     member = materialize(member)

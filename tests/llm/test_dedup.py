@@ -11,7 +11,7 @@ from llm.helpers import WORD, corpus, frame, words
 from loomgraph.llm import ngram_join
 from loomgraph.llm.exact_dedup import exact_dedup, keep_one_of_each
 from loomgraph.llm.line_dedup import line_dedup
-from loomgraph.llm.ngram_join import Rule, bitmap, boundary, keep_one_of_near, may_link, near_duplicates, signatures
+from loomgraph.llm.ngram_join import Rule, bitmap, boundary, keep_one_of_near, least_apart, may_link, near_duplicates, signatures
 from loomgraph.llm.substring_dedup import COVER, PERIOD, substring_dedup
 
 BLANK = str.maketrans("", "", " \t\n\x0b\x0c\r")
@@ -137,8 +137,10 @@ def linked(rows, size, num, den):
     return out
 
 
-@pytest.mark.parametrize("size, num, den", [(3, 9, 10), (5, 4, 5)])
-def test_near_duplicates(spark, size, num, den):
+@pytest.mark.parametrize("size, num, den, short", [(3, 9, 10, 48), (5, 4, 5, 3)])
+def test_near_duplicates(spark, monkeypatch, size, num, den, short):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
+    monkeypatch.setattr(ngram_join, "FEW_CLASSES", 512 if short > 3 else 3)
     rng = random.Random(9)
     rows = corpus(n=70)
     base = words(rng, 120)
@@ -147,6 +149,11 @@ def test_near_duplicates(spark, size, num, den):
         for _ in range(rng.randrange(4)):
             w[rng.randrange(120)] = f"x{rng.randrange(50)}"
         rows.append((3000 + i, " ".join(w).upper() if i % 4 else " ".join(w), "en", "s1"))
+    for i in range(30):  # a second generation that is linked below the threshold of the first
+        w = list(base)
+        w[10:22] = [f"y{i % 3}{k}" for k in range(12)]
+        w[60 + i] = "z"
+        rows.append((3500 + i, " ".join(w), "en", "s1"))
     for n in (8, 9, 10, 11, 12, 13, 24):  # chains of growing prefixes, small and at the boundary
         rows += [(4000 + 10 * n + k, " ".join(base[: n + k]), "en", "s1") for k in range(3)]
     rows += [(5000 + i, " ".join(words(rng, 30) + base[:25]), "en", "s1") for i in range(20)]
@@ -161,7 +168,6 @@ def test_near_duplicates(spark, size, num, den):
 
 def test_prefix_signatures_find_every_linked_pair():
     rng = np.random.default_rng(2)
-    levels = (np.arange(1 << ngram_join.SKETCH_BITS) % 5 == 0).astype(np.uint8)
     for num, den in ((9, 10), (4, 5)):
         rule = Rule(3, num, den)
         for _ in range(400):
@@ -173,8 +179,9 @@ def test_prefix_signatures_find_every_linked_pair():
             common = len(np.intersect1d(a, b))
             if rule.links(len(a), len(b), common) and len(a) != common:
                 for light in (0, 16, 64, 512):
-                    assert np.intersect1d(signatures(a, levels, light, rule), signatures(b, levels, light, rule)).size
-                assert may_link(bitmap(a), bitmap(b), len(a), len(b), rule) >= 0
+                    assert np.intersect1d(signatures(a, a % np.uint64(7), light, rule), signatures(b, b % np.uint64(7), light, rule)).size
+                assert may_link(bitmap(a), bitmap(b), len(a), len(b), rule)
+            assert least_apart(bitmap(a), bitmap(b), len(a), len(b)) <= len(a) + len(b) - 2 * common
 
 
 def test_boundary_follows_cost():
