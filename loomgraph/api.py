@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomgraph.operators import graph_v2, lexicon as L, view
+from loomgraph.external import Embedder, embed_texts
+from loomgraph.operators import graph_v2, lexicon as L, similarity as S, vector_store as VS, view
 from loomgraph.plans import commands
 from loomgraph.plans.rebuild import rebuild
 from loomgraph.plans.workflow import CollectWorkflow
-from loomgraph.schemas import LEXICON, MENTIONS, PAPERS
+from loomgraph.schemas import LEXICON, MENTIONS, PAPERS, VECTORS
 from loomgraph.sources.snapshots import Snapshots
 
 
@@ -23,6 +24,13 @@ class GraphView:
     paper_builds_on: DataFrame | None = None
 
 
+@dataclass
+class FieldSimilarity:
+    pairs: DataFrame    # field, a, b, sim, node_pairs
+    summary: DataFrame  # per field
+    top: DataFrame      # field, a, b, sim
+
+
 class Workbench:
     """Reads and edits the tables of one store. Edits write a new lexicon snapshot; the
     graph shows them after a rebuild."""
@@ -50,6 +58,20 @@ class Workbench:
         built = rebuild(r("papers", PAPERS), r("mentions", MENTIONS), r("lexicon", LEXICON), self.store)
         return {"ok": True, **built.counts().first().asDict()}
 
+    def refresh_vectors(self, embedder: Embedder, force: bool = False) -> DataFrame:
+        """Grows the stored vectors of the typed graph; returns counts per node type."""
+        g = self._typed()
+        store = self.store.read("vectors", VECTORS)
+        return VS.summary(self.store.write("vectors", VS.refresh(VS.v2_texts(g.concepts, g.papers), store, embedder, force)))
+
+    def similarity(self, contents: DataFrame, embedder: Embedder, floor: float = -1.0, top: int = 5) -> FieldSimilarity:
+        """Pairs of content records per text field, stored as `similarity`, with summary and best pairs."""
+        texts = S.long_fields(S.field_texts(contents))
+        keyed = texts.select(F.struct("field", "id").alias("id"), "text")
+        vectors = self.store.write("field_vectors", embed_texts(keyed, embedder).select("id.field", "id.id", "vec"))
+        pairs = self.store.write("similarity", S.pairs(vectors, floor))
+        return FieldSimilarity(pairs, S.stats(vectors), S.top_pairs(vectors, top))
+
     # lexicon
     def lexicon(self) -> DataFrame:
         return L.rows(self.store.read("lexicon"))
@@ -78,6 +100,10 @@ class Workbench:
         call = self.translator.translate(text.strip(), view.names(nodes))
         return commands.checked_call(call, nodes)
 
+    def resume(self, thread_id: str, decision: str) -> dict:
+        """Takes a collection run to its next question."""
+        return self.workflow.resume(thread_id, decision)
+
     def run(self, request: commands.Request) -> commands.CommandResult | dict:
         if isinstance(request, commands.CollectRequest):
             return self.workflow.start(request.topic_text)

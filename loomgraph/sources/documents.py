@@ -29,6 +29,9 @@ class Section:
     json_text: bool = False  # the value is JSON text already
     before: str = ""         # literal text in front of the section and behind it
     after: str = ""
+    list_name: str = ""      # a member of every row's object that is a list of strings,
+    items: DataFrame | None = None  # from rows (of, item): one line each, never an array
+    item_key: Column | None = None  # what `of` refers to
 
 
 def _quoted(text: Column) -> Column:
@@ -58,16 +61,35 @@ def lines(spark: SparkSession, sections: list[Section], head: str = "", tail: st
             body = F.to_json(s.value, {"ignoreNullFields": "false"})
         if s.key is not None:
             body = F.concat(_quoted(s.key), F.lit(": "), body)
-        at = s.order.cast("string")
-        first = s.rows.agg(F.min(at)).scalar()
-        text = F.when(at == first, body).otherwise(F.concat(F.lit(","), body))
+        of = F.lit(None).cast("string") if s.item_key is None else s.item_key
+        picked = s.rows.select(s.order.cast("string").alias("key"), body.alias("body"), of.alias("of"))
+        # numbered once, so that a section is computed once and equal keys stay apart
+        placed = with_row_index(picked, [F.col("key"), F.col("body")], "i").select(
+            F.concat(F.when(F.col("i") > 0, ",").otherwise(""), "body").alias("value"), "of",
+            F.lpad(F.col("i").cast("string"), 20, "0").alias("at"))
+        if s.items is not None:
+            placed = _with_lists(placed, s)
         out = out.unionByName(
-            s.rows.select(F.lit(i).alias("section"), F.lit(1).alias("step"), at.alias("at"),
-                          text.alias("value"))
+            placed.select(F.lit(i).alias("section"), F.lit(1).alias("step"), "at", "value")
         ).unionByName(mark(i, 2, (right if s.name else "") + s.after))
     return out.unionByName(mark(len(sections), 0, "}" + tail))
 
 
+def _with_lists(placed: DataFrame, s: Section) -> DataFrame:
+    """Opens the list in each row's object, adds its items as lines in order, and closes it."""
+    items = s.items.select("of", "item").distinct()
+    least = items.groupBy("of").agg(F.min("item").alias("least"))
+    inner = items.join(least, "of").join(placed.select("of", "at"), "of").select(
+        F.concat("at", F.lit("1"), "item").alias("at"),
+        F.concat(F.when(F.col("item") == F.col("least"), "").otherwise(","), _quoted(F.col("item"))).alias("value"))
+    opened = F.concat(F.regexp_replace("value", r"\}$", ""), F.lit(f', "{s.list_name}": ['))
+    return (
+        placed.select(F.concat("at", F.lit("0")).alias("at"), opened.alias("value"))
+        .unionByName(inner)
+        .unionByName(placed.select(F.concat("at", F.lit("2")).alias("at"), F.lit("]}").alias("value")))
+    )
+
+
 def write_document(spark: SparkSession, path: str, sections: list[Section],
                    template: str | None = None, marker: str = "__DATA__") -> None:
     """Writes the document under `path`; with a template, around its marker."""
@@ -127,21 +149,24 @@ def graph_v2_sections(papers: DataFrame, concepts: DataFrame, edges: DataFrame)
     ]
 
 
-def graph_v1_sections(nodes: DataFrame, edges: DataFrame) -> list[Section]:
-    value = F.struct("canonical", "definition", "def_source", "n_papers", "domain", "ptype",
-                     "status", "def_status")
+def graph_v1_sections(nodes: DataFrame, edges: DataFrame, node_papers: DataFrame) -> list[Section]:
+    """Nodes by key, each with the ordered list of its papers (`node_papers`: key, pid)."""
+    value = F.struct("canonical", "definition", "def_source", "domain", "ptype", "status", "def_status")
+    papers = node_papers.select(F.col("key").alias("of"), F.col("pid").alias("item"))
     return [
-        Section("nodes", nodes, value, F.col("key"), F.col("key")),
+        Section("nodes", nodes, value, F.col("key"), F.col("key"), list_name="papers", items=papers, item_key=F.col("key")),
         Section("builds_on", edges, F.struct(F.col("src").alias("from"), F.col("dst").alias("to")),
                 F.concat_ws("\u0000", "src", "dst")),
     ]
 
 
-def draw_sections(nodes: DataFrame, links: DataFrame, sim_pairs: DataFrame) -> list[Section]:
-    """Node, link and similarity arrays of the drawing."""
+def draw_sections(nodes: DataFrame, links: DataFrame, sim_pairs: DataFrame, concept_papers: DataFrame) -> list[Section]:
+    """Node, link and similarity arrays of the drawing; nodes list their papers
+    (`concept_papers`: rk, pid)."""
     node = F.struct("id", "label", "def_status", "ptype", "has_def", "definition", "n_papers", "domain")
+    papers = concept_papers.select(F.col("rk").alias("of"), F.col("pid").alias("item"))
     return [
-        Section("nodes", nodes, node, F.col("id")),
+        Section("nodes", nodes, node, F.col("id"), list_name="papers", items=papers, item_key=F.col("id")),
         Section("links", links, F.struct("source", "target", "kind", "from_type"),
                 F.concat_ws("\u0000", "source", "target", "kind")),
         Section("sim_pairs", sim_pairs, F.struct("source", "target", "sim"),

@@ -60,11 +60,13 @@ def test_draw_document(spark, tmp_path):
     links = spark.createDataFrame([("b", "a", "builds_on", "technique"), ("a", "b", "builds_on", "survey")],
                                   "source string, target string, kind string, from_type string")
     sims = spark.createDataFrame([], "source string, target string, sim double")
-    D.write_document(spark, str(tmp_path / "o"), D.draw_sections(nodes, links, sims), "<p>__DATA__</p>")
+    papers = spark.createDataFrame([("b", "2"), ("b", "1"), ("b", "10")], "rk string, pid string")
+    D.write_document(spark, str(tmp_path / "o"), D.draw_sections(nodes, links, sims, papers), "<p>__DATA__</p>")
     text = "".join(p.read_text() for p in sorted((tmp_path / "o").glob("part-*")))
     assert text.startswith("<p>{") and text.rstrip().endswith("}</p>")
     doc = json.loads(text.strip()[3:-4])
     assert [n["id"] for n in doc["nodes"]] == ["b"] and doc["sim_pairs"] == []
+    assert doc["nodes"][0]["papers"] == ["1", "10", "2"]
     assert [(x["source"], x["target"]) for x in doc["links"]] == [("a", "b"), ("b", "a")]
 
 
@@ -96,8 +98,9 @@ def test_other_documents(spark, tmp_path):
     assert doc["nodes"]["concept:a"] == {"type": "concept", "canonical": "A", "definition": "", "def_status": "ok", "status": "approved"}
     assert doc["edges"] == [{"type": t, "from": f"paper:{p}", "to": "concept:a"} for t, p in
                             (("defines", 1), ("builds_on", 1), ("builds_on", 1), ("builds_on", 2))]
-    D.write_document(spark, str(tmp_path / "g1"), D.graph_v1_sections(w.v1.nodes, w.v1.edges))
+    D.write_document(spark, str(tmp_path / "g1"), D.graph_v1_sections(w.v1.nodes, w.v1.edges, w.v1.node_papers))
     one = written(tmp_path / "g1")
+    assert [one["nodes"][k]["papers"] for k in ("a", "paper:2")] == [["1"], ["2"]]
     assert sorted(one["nodes"]) == ["a", "paper:2"] and one["builds_on"] == [
         {"from": "a", "to": "a"}, {"from": "paper:2", "to": "a"}]
     assert rows(RR.dry_run(w.papers, 1), "pid") == [("1",)]

@@ -8,7 +8,7 @@ from loomgraph.plans import commands as K
 from loomgraph.plans.decisions import next_step
 from loomgraph.plans.extraction import Extraction
 from loomgraph.plans.workflow import CollectWorkflow, Graph, WorkflowError
-from loomgraph.schemas import FEED, LEXICON, MENTIONS, PAPERS
+from loomgraph.schemas import CONTENT, FEED, LEXICON, MENTIONS, PAPERS
 from loomgraph.sources.snapshots import Snapshots
 from loomgraph.streaming.ingest import ledger_stream, lexicon_stream
 
@@ -177,6 +177,12 @@ def test_workbench(spark, tmp_path):
     plan = spark.createDataFrame([], "name string, action string, into string")
     assert rows(b.classify_pending(plan)) == [("approved", 1), ("rejected", 1)]
     assert rows(b.lexicon(), "name") == [("BASE model",), ("New-Thing",)]
+    assert rows(b.refresh_vectors(HashingEmbedder(8)), "type", "n", "dim") == [("paper", 1, 8)]
+    contents = spark.createDataFrame([(str(i), "T", [], [(f"N{i}", f"text {i}")], [], "same", "general", "technique") for i in range(3)],
+                                     f"pid string, {CONTENT}")
+    sims = b.similarity(contents, HashingEmbedder(8), top=2)
+    assert rows(sims.summary, "field", "pairs") == [("define", 3), ("problem", 3)]
+    assert rows(sims.top.groupBy("field").count()) == [("define", 2), ("problem", 2)] and b.store.read("similarity").count() == 4
 
 
 def test_streams(spark, tmp_path):
