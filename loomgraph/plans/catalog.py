@@ -270,14 +270,15 @@ def concept_names(t: Tables) -> DataFrame:
 @query
 def induced_subgraph(t: Tables) -> DataFrame:
     g = _v2(t)
-    picked = view.filter_nodes(view.concepts(g), domain="general")
+    picked = materialize(view.filter_nodes(view.concepts(g), domain="general").select("id"))  # for both ends
     return view.induced_edges(view.builds_on(g), picked)
 
 
 @query
 def graph_links(t: Tables) -> DataFrame:
     g = _v2(t)
-    return view.links(view.builds_on(g), view.concepts(g))
+    nodes = materialize(view.concepts(g).select("id", "ptype"))  # for both ends
+    return view.links(view.builds_on(g), nodes)
 
 
 @query

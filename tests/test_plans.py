@@ -21,7 +21,7 @@ def test_no_nested_loops_and_no_row_udfs(spark, name):
         assert bad not in p
 
 
-@pytest.mark.parametrize("name", ["paper_search", "vector_topk"])
+@pytest.mark.parametrize("name", ["search_page", "vector_topk"])
 def test_ranked_limits_cut_before_the_shuffle(spark, name):
     p = plan(spark, name)
     assert "Partial" in p and "WindowGroupLimit" in p
