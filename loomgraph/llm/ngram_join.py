@@ -12,17 +12,11 @@ The order puts frequent shingles last, then shingles of frequent words, so lists
 Frequencies come from sketches of all documents, of fixed size; they only order, so their
 collisions change no result.
 
-No group is expanded into all its pairs. Equal sets are one class. Short lists are compared pair by
-pair. In a long list every class is compared with one hub, the class with the most company. Let d be
-the number of elements in which a class differs from the hub. Two linked classes
-that are both near the hub either both link with it, and are connected, or differ from
-it in a common element: so near classes enter new lists by the rarest of those elements. Linked classes that
-are not both near are both far, and stay in a list without the hub. The new lists are treated in the
-same way, leaving out lists whose classes are connected already; lists of few classes in all, and
-what is left after ROUNDS rounds, are compared pair by pair. Every linked pair thus meets or is connected.
-
-A bitmap of about one bit per element bounds d from below and settles most comparisons
-before whole sets are fetched; what remains is compared exactly.
+Equal sets are one class. In each list every class is first compared with one hub only, the class
+with the most company, and components are formed. Then the pairs of a list that are still in different
+components are compared, which is what an exact answer needs; a group of near copies is by
+then one component and makes no pairs. A bitmap of about four bits per element bounds the overlap from
+above and drops most pairs before whole sets are fetched; what remains is compared exactly.
 
 Defined results: null and blank text has an empty set, links with nothing and is its own
 component. Texts with fewer words than a shingle have one element, their whole sequence.
@@ -35,20 +29,18 @@ from __future__ import annotations
 import itertools
 import math
 from contextlib import contextmanager
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomgraph.llm.textops import chunks, flat_bytes, long_array, mix, word_bounds, word_hashes, _runs
 from loomgraph.session import Scratch, materialize
 
 SKETCH_BITS, BLOCK_BITS = 21, 15
 LIGHT_MOST = 512
-SHORT_LIST, FEW_CLASSES, ROUNDS = 48, 512, 5
 
 
 class Rule:
@@ -116,8 +108,8 @@ def ranked_sets(column: pa.Array, size: int, levels: np.ndarray, word_levels: np
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One bit per hash modulo the power of two at or above the set's size, 64 at least."""
-    bits = 1 << max(6, (len(s) - 1).bit_length() if len(s) else 0)
+    """One bit per hash modulo the power of two at or above four times the set's size, 64 at least."""
+    bits = 1 << max(6, (4 * len(s) - 1).bit_length() if len(s) else 0)
     out = np.zeros(bits, bool)
     out[(s >> np.uint64(20)) & np.uint64(bits - 1)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -301,8 +293,7 @@ class Join:
         return F.col("n_a") + F.col("n_b") - F.col("apart") >= 2 * need
 
     def compared(self, pairs: DataFrame, name: str) -> DataFrame:
-        """a, b, linked, d and the differing elements (only of pairs with d <= `most`, a column of
-        `pairs`), from whole sets. Only documents of these pairs send their sets."""
+        """The pairs a, b that link, from whole sets. Only documents of these pairs send their sets."""
         rule = self.rule
         ids = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
         wanted = materialize(self.classes.join(ids, F.col("id") == F.col("need")).select("id", F.col("row_ord").alias("ord")))
@@ -316,93 +307,48 @@ class Join:
         def compare(batches):
             for b in batches:
                 for part in chunks(b, "set_a", 8 << 20):
-                    linked, d, diff = [], [], []
-                    for x, y, most in zip(*(part.column(c).to_pylist() for c in ("set_a", "set_b", "most"))):
+                    good = []
+                    for x, y in zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist()):
                         s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                        only = np.setxor1d(s, t, assume_unique=True)
-                        linked.append(rule.links(len(s), len(t), (len(s) + len(t) - len(only)) // 2))
-                        d.append(len(only))
-                        diff.append(only.view(np.int64) if len(only) <= most else None)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("a"), part.column("b"), pa.array(linked, pa.bool_()), pa.array(d, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
-                        ["a", "b", "linked", "d", "diff"])
+                        good.append(rule.links(len(s), len(t), len(np.intersect1d(s, t, assume_unique=True))))
+                    yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         sets = rows.mapInArrow(read, "id bigint, elements binary")
         side = {x: sets.select(F.col("id").alias(f"id_{x}"), F.col("elements").alias(f"set_{x}")) for x in "ab"}
-        both = pairs.select("a", "b", "most").join(side["a"], F.col("a") == F.col("id_a")).join(side["b"], F.col("b") == F.col("id_b"))
-        both = both.select("a", "b", "most", "set_a", "set_b")
-        return self.scratch.write(name, both.mapInArrow(compare, "a bigint, b bigint, linked boolean, d bigint, diff array<bigint>"))
-
-    def pair_by_pair(self, lists: DataFrame, name: str) -> DataFrame:
+        both = pairs.select("a", "b").join(side["a"], F.col("a") == F.col("id_a")).join(side["b"], F.col("b") == F.col("id_b"))
+        return self.scratch.write(name, both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint"))
+
+    def with_hubs(self, lists: DataFrame) -> DataFrame:
+        """Links of classes with a hub of one of their lists: each tries the nearest by bitmap."""
+        sizes = lists.groupBy(F.col("list").alias("of")).agg(F.count(F.lit(1)).alias("size"))
+        company = lists.join(sizes, F.col("list") == F.col("of")).groupBy("id").agg(F.avg("size").alias("company"))
+        hubs = (lists.join(company, "id").groupBy(F.col("list").alias("hub_list"))
+                .agg(F.max_by("id", F.struct("company", "id")).alias("hub")))
+        pairs = lists.join(hubs, F.col("list") == F.col("hub_list")).filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        near = (self.apart(pairs.distinct()).filter(self.may_link()).groupBy("b")
+                .agg(F.min(F.struct("apart", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
+        return self.compared(materialize(near), "hubs")
+
+    def pair_by_pair(self, lists: DataFrame) -> DataFrame:
         """Links a, b between classes of one list that are not connected yet."""
         x, y = (lists.select("list", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "label"))) for k in "ab")
         num, den = self.rule.num, self.rule.den
         pairs = x.join(y, "list").filter((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
                                          & (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num))
-        rest = materialize(self.apart(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-                           .filter(self.may_link()).select("a", "b", F.lit(-1).cast("bigint").alias("most")))
-        return self.compared(rest, name).filter("linked").select("a", "b")
-
-    def with_hubs(self, lists: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Links of the classes of long lists with their hubs, and the lists that remain to be treated."""
-        # A hub of n elements: a class is near within 3 * n * (1 - t) / t differing elements. Linked sets of a
-        # and b elements differ in at most a * (1 - t) / t, and a <= n + near: so what links with a
-        # class within `inner` is near as well, and such a class can leave the list.
-        rule = self.rule
-        company = lists.groupBy(F.col("id").alias("of")).agg(F.avg("size").alias("company"))
-        hubs = (lists.join(company, F.col("id") == F.col("of"))
-                .groupBy(F.col("list").alias("hub_list")).agg(F.max_by("id", F.struct("company", "id")).alias("hub")))
-        members = self.scratch.write(f"members-{name}", lists.join(hubs, F.col("list") == F.col("hub_list"))
-                                     .filter("id <> hub").select("list", "hub", "id", "n"))
-        near = F.floor(3 * F.col("n_a") * F.lit(rule.den - rule.num) / F.lit(rule.num))
-        tests = materialize(self.apart(members.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-                            .select("a", "b", "n_a", "apart", near.alias("most")))
-        found = self.compared(tests.filter("apart <= most").select("a", "b", "most"), f"compared-{name}")
-        known = tests.join(found.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "d"), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left")
-        inner = F.col("most") - F.floor((F.col("n_a") + F.col("most")) * F.lit(rule.den - rule.num) / F.lit(rule.num)) - 1
-        settled = known.filter(F.col("d") <= inner).select(F.col("a").alias("sa"), F.col("b").alias("sb"))
-        away = members.join(settled, (F.col("hub") == F.col("sa")) & (F.col("id") == F.col("sb")), "left_anti").select("list", "id", "n")
-        # With d and d' differing elements two classes that link have at least max(1, d - most) of them in
-        # common, where most is what linked sets differ in; so these meet in the rarest most + 1.
-        sizes = self.classes.select(F.col("id").alias("of"), "n")
-        elements = self.scratch.write(f"elements-{name}", found.filter("diff is not null").join(sizes, F.col("b") == F.col("of"))
-                                      .select(F.col("b").alias("id"), "n", "a", F.explode("diff").alias("e"))
-                                      .select("id", "n", "a", F.xxhash64("a", "e").alias("list")))
-        shared = elements.groupBy(F.col("list").alias("of")).agg(F.count(F.lit(1)).alias("size"))
-        rank = F.row_number().over(Window.partitionBy("a", "id").orderBy("size", "list"))
-        most = F.floor(F.col("n") * F.lit(rule.den - rule.num) / F.lit(rule.num))
-        by_element = (elements.join(shared, F.col("list") == F.col("of")).withColumn("rank", rank)
-                      .filter((F.col("rank") <= most + 1) & (F.col("size") > 1)).select("list", "id", "n"))
-        return found.filter("linked").select("a", "b"), away.unionByName(by_element)
+        rest = self.apart(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+        return self.compared(materialize(rest.filter(self.may_link()).select("a", "b")), "pairs")
 
     def labelled(self) -> DataFrame:
         """id, label of the classes that are linked with another class."""
-        lists, links, labels = self.postings(), [], None
-        for k in range(ROUNDS + 1):
-            tagged = lists.withColumn("label", F.col("id")) if labels is None else (
-                lists.join(labels.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left")
-                .select("list", "id", "n", F.coalesce("label", "id").alias("label")))
-            tagged = self.scratch.write(f"tagged-{k}", tagged)
-            sizes = (tagged.groupBy(F.col("list").alias("of")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
-                     .filter("lo <> hi").select("of", "size"))
-            sizes = materialize(sizes)
-            open_ = self.scratch.write(f"open-{k}", tagged.join(sizes, F.col("list") == F.col("of")).select("list", "id", "n", "label", "size"))
-            self.scratch.remove(f"tagged-{k}")
-            # long lists of few classes make few pairs, in however many lists these meet
-            long = F.col("size") > SHORT_LIST
-            if k == ROUNDS or open_.filter(long).select("id").distinct().limit(FEW_CLASSES + 1).count() <= FEW_CLASSES:
-                long = F.lit(False)
-            more = [self.pair_by_pair(open_.filter(~long), f"pairs-{k}")]
-            again = not open_.filter(long).isEmpty()
-            if again:
-                star, lists = self.with_hubs(open_.filter(long), str(k))
-                more.append(star)
-            links += more
-            every = reduce(DataFrame.unionByName, links)
-            labels = components(every)
-            if not again:
-                return labels
-        return labels
+        lists = self.postings()
+        links = self.with_hubs(lists)
+        labels = components(links)
+        tagged = self.scratch.write("tagged", lists.join(labels.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left")
+                                    .select("list", "id", "n", F.coalesce("label", "id").alias("label")))
+        open_ = materialize(tagged.groupBy(F.col("list").alias("of")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                            .filter("lo <> hi").select("of"))
+        more = self.pair_by_pair(tagged.join(open_, F.col("list") == F.col("of")).select("list", "id", "n", "label"))
+        return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 @contextmanager
