@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomgraph.llm.textops import chunks
+from loomgraph.llm.textops import bounded_sample, chunks
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_WORDS, FIT_WORDS = 6, 40
@@ -273,8 +273,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     """doc_id, base (spans of the patterns, joined), spans (all spans, joined) and the number
     of base spans of each kind, for each row."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = (rows.filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64(F.lit(6), "doc_id", "text"), "doc_id")
-              .limit(fit_docs).select("text").collect())
+    sample = bounded_sample(rows.filter(F.col("text").rlike("[0-9@]")), fit_docs, "doc_id", "text").select("text").collect()
     shared = docs.sparkSession.sparkContext.broadcast(fit_field([r["text"] for r in sample]))
 
     def run(batches):

@@ -32,6 +32,15 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(-1))
 
 
+def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """At most `most` rows in the order of a hash of the key columns. Tasks send only rows whose
+    hash is below twice the share wanted, so what reaches the driver does not grow with them."""
+    draw, n = F.xxhash64(F.lit(11), *key), rows.count()
+    if n > 2 * most:
+        rows = rows.filter(F.pmod(draw, F.lit(1 << 30)) < int(2 * most / n * (1 << 30)) + 1)
+    return rows.orderBy(F.pmod(draw, F.lit(1 << 30)), draw, *key).limit(most)
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about `limit` bytes of text; a longer text is a slice by itself."""
     if not batch.num_rows:
