@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomgraph.llm.textops import chunks
+from loomgraph.llm.textops import bounded_sample, chunks
 from loomgraph.session import materialize
 
 END = b"\n"  # no word holds a line feed
@@ -287,8 +287,7 @@ def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     if n_train:
         first = int(outcome[known[END]])
         net = Recurrent(np.concatenate(([other], masses)))
-        sample = (rows.filter("train").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", F.xxhash64("text"))
-                  .limit(fit_docs).select("text").collect())
+        sample = bounded_sample(rows.filter("train"), fit_docs, "doc_id", "text").select("text").collect()
         fit(net, [outcome[_ids(tokens((r["text"] or "").encode()), known)] for r in sample], first)
     shared = docs.sparkSession.sparkContext.broadcast((known, outcome, head_logs, net, first, float(np.log10(other)) if n_train else 0.0))
 
