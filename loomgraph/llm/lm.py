@@ -1,20 +1,24 @@
 """Language-model scoring with a gated recurrent network.
 
 Tokens are the words, A-Z lower-cased, and one end after each document. Counts of all
-training tokens are taken over the whole corpus. The network's output covers the `n_words`
-most frequent words, the end, and one outcome for all other words; an other word then has
-its share of the add-half counts of the others, so the model is a distribution over the same words
-as the base. The output softmax is factored: class of the word, then word within the class.
+training tokens are taken over the whole corpus. The network's outcomes grow with them: the end,
+each word with a count of at least a `SHARE`-th of the root of the number of training tokens (and
+the `LEAST_WORDS` most frequent in any case), each ending (last `ENDING` bytes) whose other words
+have that count together, and outcome 0 for what remains. A word without its own outcome has its
+share of the add-half counts of its ending; each ending, and outcome 0, keeps half a count for
+unseen words. The output softmax is factored: class of the outcome, then outcome within the class.
 Its biases start at the corpus counts, so the fit begins at the unigram model.
 
 The network is written in numpy and fitted by truncated backpropagation over windows of
-`window` tokens, the state carried from window to window. That fit is bounded: `fit_docs`
-training documents in the order of a hash, whole texts. Scoring is the
-whole document's log-likelihood: state is carried across all windows of a document, however
-long. Documents are packed on lanes that step together.
+tokens, the state carried from window to window. `fit_docs` training documents in the order
+of a hash, whole texts, give the start on the driver. From it the tasks fit all training documents,
+dealt to `rounds` rounds by a hash: in a round each task fits its documents, and the networks are averaged by
+their tokens. Scoring is the whole document's log-likelihood: state is carried across all windows
+of a document, however long. Documents are packed on lanes that step together.
 
-Frequent words (`head_words`, a bound of the tasks' memory) are looked up in the tasks; all
-other words are joined with the whole table of counts, so no count is approximate.
+Frequent words (`head_words`, a bound of the tasks' memory, also of the outcomes that are words) are
+looked up in the tasks; all other words are joined with the whole table of counts, so no count is
+approximate. Results depend a little on how the rows are partitioned, as the averages do.
 
 Defined results: null and empty texts hold the end only. Without training documents the
 score is the base score. Repeated rows get equal scores. A row with null id is a
@@ -22,6 +26,7 @@ training row. Columns other than id and text are not read."""
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from itertools import repeat
 
@@ -34,6 +39,8 @@ from loomgraph.session import materialize
 
 END = b"\n"  # no word holds a line feed
 LANES = 256
+SHARE, LEAST_WORDS, ENDING = 16, 2014, 3
+BLOCK = 1 << 14  # parameters in a row of what the tasks send
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -119,14 +126,18 @@ class Recurrent:
 
     def log_probs(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of P(outcome) for each row of states."""
-        logits = hs @ self.p["cw"] + self.p["cb"]
-        top = logits.max(1)
+        logits = hs @ self.p["cw"]
+        logits += self.p["cb"]
+        logits -= logits.max(1, keepdims=True)
         cls = np.where(y > 0, (y - 1) // self.width + 1, 0)
-        out = logits[np.arange(len(y)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        out = logits[np.arange(len(y)), cls]
+        out -= np.log(np.exp(logits, out=logits).sum(1))
         for c, rows in self._by_class(cls):
-            w = hs[rows] @ self.p["ww"][c - 1] + self.p["wb"][c - 1]
-            top = w.max(1)
-            out[rows] += w[np.arange(len(rows)), (y[rows] - 1) % self.width] - top - np.log(np.exp(w - top[:, None]).sum(1))
+            w = hs[rows] @ self.p["ww"][c - 1]
+            w += self.p["wb"][c - 1]
+            w -= w.max(1, keepdims=True)
+            own = w[np.arange(len(rows)), (y[rows] - 1) % self.width]
+            out[rows] += own - np.log(np.exp(w, out=w).sum(1))
         return out
 
     def _by_class(self, cls: np.ndarray):
@@ -148,21 +159,24 @@ class Recurrent:
             h = nxt
         flat, yy, mm = np.concatenate(hs), y.ravel(), mask.ravel()
         g = {n: np.zeros_like(v) for n, v in p.items() if n != "x"}
-        logits = flat @ p["cw"] + p["cb"]
-        soft = np.exp(logits - logits.max(1, keepdims=True))
-        soft /= soft.sum(1, keepdims=True)
+        soft = flat @ p["cw"]
+        soft += p["cb"]
+        soft -= soft.max(1, keepdims=True)
+        np.exp(soft, out=soft)
+        soft *= (mm / soft.sum(1))[:, None]
         cls = np.where(yy > 0, (yy - 1) // self.width + 1, 0)
-        soft[np.arange(len(yy)), cls] -= 1
-        soft *= mm[:, None]
+        soft[np.arange(len(yy)), cls] -= mm
         g["cw"], g["cb"] = flat.T @ soft, soft.sum(0)
         dflat = soft @ p["cw"].T
         for c, rows in self._by_class(cls):
-            w = flat[rows] @ p["ww"][c - 1] + p["wb"][c - 1]
-            s = np.exp(w - w.max(1, keepdims=True))
-            s /= s.sum(1, keepdims=True)
-            s[np.arange(len(rows)), (yy[rows] - 1) % self.width] -= 1
-            s *= mm[rows][:, None]
-            g["ww"][c - 1], g["wb"][c - 1] = flat[rows].T @ s, s.sum(0)
+            at, m = flat[rows], mm[rows]
+            s = at @ p["ww"][c - 1]
+            s += p["wb"][c - 1]
+            s -= s.max(1, keepdims=True)
+            np.exp(s, out=s)
+            s *= (m / s.sum(1))[:, None]
+            s[np.arange(len(rows)), (yy[rows] - 1) % self.width] -= m
+            g["ww"][c - 1], g["wb"][c - 1] = at.T @ s, s.sum(0)
             dflat[rows] += s @ p["ww"][c - 1].T
         dout = dflat.reshape(len(x), -1, k)
         carry = np.zeros_like(h)
@@ -199,8 +213,9 @@ def pack(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     return sorted(out, key=lambda lane: -int(lengths[lane].sum()))
 
 
-def laid_out(seqs: list[np.ndarray], lanes: int, first: int):
-    """Inputs, targets, mask and resets as [steps, lanes], and the document of each place."""
+def laid_out(seqs: list[np.ndarray], lanes: int, first: int | np.ndarray):
+    """Inputs, targets, mask and resets as [steps, lanes], and the document of each place.
+    `first` is what stands before the sequences, or before each of them."""
     lengths = np.array([len(s) for s in seqs])
     packed = pack(lengths, lanes)
     steps = max(int(lengths[lane].sum()) for lane in packed)
@@ -213,31 +228,104 @@ def laid_out(seqs: list[np.ndarray], lanes: int, first: int):
         y[: len(joined), j] = joined
         doc[: len(joined), j] = np.repeat(lane, lengths[lane])
         reset[np.cumsum([0, *lengths[lane][:-1]]), j] = 1
-    x = np.vstack((np.full((1, len(packed)), first, np.int32), y[:-1]))
-    x[reset > 0] = first
+    x = np.vstack((np.zeros((1, len(packed)), np.int32), y[:-1]))  # all first places are resets
+    x[reset > 0] = first if np.ndim(first) == 0 else first[doc[reset > 0]]
     return x, y, doc, reset
 
 
+class Adam:
+    def __init__(self, net: Recurrent):
+        self.net, self.done = net, 0
+        self.m = {k: np.zeros_like(a) for k, a in net.p.items()}
+        self.v = {k: np.zeros_like(a) for k, a in net.p.items()}
+
+    def update(self, grads: dict[str, np.ndarray], rate: float) -> None:
+        """One step, the gradient cut to length 1; `grads` is used up."""
+        norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())))
+        self.done += 1
+        for k, g in grads.items():
+            m, v = self.m[k], self.v[k]
+            if norm > 1:
+                g *= np.float32(1 / norm)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.01)
+            v *= np.float32(0.99)
+            v += g
+            np.multiply(v, np.float32(1 / (1 - 0.99**self.done)), out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-7)
+            np.divide(m, g, out=g)
+            g *= np.float32(rate / (1 - 0.9**self.done))
+            self.net.p[k] -= g
+
+
 def fit(net: Recurrent, seqs: list[np.ndarray], first: int, window: int = 32, lanes: int = 48, passes: int = 2, rate: float = 8e-3) -> None:
     x, y, doc, reset = laid_out(seqs, lanes, first)
     mask = (doc >= 0).astype(np.float32)
-    m = {k: np.zeros_like(v) for k, v in net.p.items()}
-    v = {k: np.zeros_like(a) for k, a in net.p.items()}
-    updates, done = passes * -(-len(x) // window), 0
+    adam = Adam(net)
+    updates = passes * -(-len(x) // window)
     for _ in range(passes):
         h = np.zeros((x.shape[1], net.hidden), np.float32)
         for t in range(0, len(x), window):
             s = slice(t, t + window)
             grads, h = net.gradients(x[s], y[s], mask[s], reset[s], h)
-            norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
-            done += 1
-            lr = rate * min(1.0, done / 20) * (1 - 0.9 * done / updates)
-            for k, g in grads.items():
-                if norm > 1:
-                    g = g / np.float32(norm)
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                net.p[k] -= np.float32(lr / (1 - 0.9**done)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.99**done)) + np.float32(1e-7))
+            adam.update(grads, rate * min(1.0, (adam.done + 1) / 20) * (1 - 0.9 * (adam.done + 1) / updates))
+
+
+def fit_on(adam: Adam, seqs: list[np.ndarray], first: int, window: int = 32, rate: float = 2e-3) -> None:
+    """Once more over some documents, where it is not known how many will follow. A text longer than
+    an even share of a lane is fitted in pieces that start without a state, after the word before."""
+    net = adam.net
+    most = max(8 * window, -(-sum(map(len, seqs)) // LANES))
+    parts = [(s, k) for s in seqs for k in range(0, len(s), most)]
+    before = np.array([s[k - 1] if k else first for s, k in parts], np.int32)
+    x, y, doc, reset = laid_out([s[k: k + most] for s, k in parts], LANES, before)
+    mask = (doc >= 0).astype(np.float32)
+    h = np.zeros((x.shape[1], net.hidden), np.float32)
+    for t in range(0, len(x), window):
+        s = slice(t, t + window)
+        grads, h = net.gradients(x[s], y[s], mask[s], reset[s], h)
+        adam.update(grads, rate * min(1.0, (adam.done + 1) / 20) / (1 + adam.done / 200) ** 0.5)
+
+
+def fit_all(rows: DataFrame, net: Recurrent, places, first: int, rounds: int) -> None:
+    """Fits `net` on by all `rows`; `places` has what turns tokens into outcomes, broadcast."""
+    sc = rows.sparkSession.sparkContext
+    draw = F.pmod(F.xxhash64(F.lit(13), "doc_id", "text"), F.lit(rounds))
+    names, shapes = list(net.p), [a.shape for a in net.p.values()]
+    cuts = np.cumsum([0, *(a.size for a in net.p.values())])
+    for k in range(rounds):
+        shared = sc.broadcast(net)
+
+        def run(batches, shared=shared):
+            mine, seen = copy.deepcopy(shared.value), 0
+            adam = Adam(mine)
+            known, outcome, ends = places.value
+            for whole in batches:
+                for b in chunks(whole, "text"):
+                    words = [tokens(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+                    seqs = [_outcomes(w, _ids(w, known), outcome, ends) for w in words]
+                    fit_on(adam, seqs, first)
+                    seen += sum(map(len, seqs))
+            if seen:
+                flat = np.concatenate([a.ravel() for a in mine.p.values()])
+                for at in range(0, len(flat), BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([seen], pa.int64()), pa.array([flat[at: at + BLOCK].tobytes()], pa.binary())],
+                                                     ["at", "n", "part"])
+
+        def mean(part: pa.Table) -> pa.Table:
+            ns = part.column("n").to_pylist()
+            total = sum(np.frombuffer(p, np.float32).astype(float) * n for p, n in zip(part.column("part").to_pylist(), ns))
+            return pa.table({"at": part.column("at")[:1], "part": pa.array([(total / sum(ns)).astype(np.float32).tobytes()], pa.binary())})
+
+        # One network for each core: what is averaged follows the machines, not the files.
+        fitted = (rows.filter(draw == k).select("text").coalesce(max(1, sc.defaultParallelism)).mapInArrow(run, "at bigint, n bigint, part binary")
+                  .groupBy("at").applyInArrow(mean, "at bigint, part binary").collect())
+        if fitted:
+            flat = np.frombuffer(b"".join(r["part"] for r in sorted(fitted, key=lambda r: r["at"])), np.float32)
+            net.p = {name: flat[a:b].reshape(shape).copy() for name, shape, a, b in zip(names, shapes, cuts, cuts[1:])}
 
 
 def document_scores(net: Recurrent, seqs: list[np.ndarray], first: int, window: int = 64) -> np.ndarray:
@@ -259,10 +347,11 @@ def document_scores(net: Recurrent, seqs: list[np.ndarray], first: int, window:
     return out
 
 
-def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", n_words: int = 2014,
-             head_words: int = 200_000, fit_docs: int = 700) -> DataFrame:
+def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", n_words: int | None = None,
+             head_words: int = 200_000, fit_docs: int = 700, rounds: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row; `train` is a
-    condition on the input that says which rows to learn from."""
+    condition on the input that says which rows to learn from. `n_words` words have their own
+    outcome; None takes those of the count threshold."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("row_ord"), F.col(id_col).cast("bigint").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
@@ -275,25 +364,37 @@ def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
         head.append((END, counts.filter(F.col("word") == F.lit(END)).first()["n"]))
     known = {w: i for i, (w, _) in enumerate(head)}
     head_logs = np.log10(np.array([n for _, n in head], float) + 0.5)
-    # outcomes: 0 another word, then the end and the most frequent words by count
-    chosen = [i for i, (w, _) in enumerate(head) if w != END][:n_words]
-    if END in known:
-        chosen = sorted([*chosen, known[END]])
-    outcome = np.zeros(len(head) + 1, np.int32)  # the last place is for words out of the head
-    outcome[chosen] = np.arange(1, len(chosen) + 1)
-    masses = np.array([head[i][1] + 0.5 for i in chosen])
-    other = n_train + 0.5 * (n_types + 1) - masses.sum()
+    least = n_train**0.5 / SHARE
+    words = [i for i, (w, _) in enumerate(head) if w != END]
+    if n_words is None:
+        n_words = max(LEAST_WORDS, sum(head[i][1] >= least for i in words))
+    own = [(head[i][1] + 0.5, i) for i in words[:n_words]] + [(head[i][1] + 0.5, i) for i in [known.get(END)] if i is not None]
+    ends = ending_masses(counts, least, [head[i] for _, i in own])
+    ranked = sorted([*((-m, b"", i) for m, i in own), *((-m - 0.5, e, -1) for e, m in ends.items())])
+    other = n_train + 0.5 * (n_types + 1) - sum(m for m, _ in own) - sum(ends.values())
+    masses = np.array([other, *(-r[0] for r in ranked)])
+    ends = {e: k for k, (_, e, i) in enumerate(ranked, 1) if i < 0}
+    # an own outcome has no share to divide
+    share_log = np.array([np.log10(other) if n_train else 0.0, *(np.log10(-m) if i < 0 else 0.0 for m, _, i in ranked)])
+    alone = np.array([False, *(i >= 0 for *_, i in ranked)])
+    outcome = np.array([ends.get(w[-ENDING:], 0) for w, _ in head] + [0], np.int32)  # the last place is for words out of the head
+    for k, (*_, i) in enumerate(ranked, 1):
+        if i >= 0:
+            outcome[i] = k
+    sc = docs.sparkSession.sparkContext
+    places = sc.broadcast((known, outcome, ends))
     net, first = None, 0
     if n_train:
         first = int(outcome[known[END]])
-        net = Recurrent(np.concatenate(([other], masses)))
+        net = Recurrent(masses, width=max(32, int(len(masses) ** 0.5)))
         sample = bounded_sample(rows.filter("train"), fit_docs, "doc_id", "text").select("text").collect()
-        fit(net, [outcome[_ids(tokens((r["text"] or "").encode()), known)] for r in sample], first)
-    shared = docs.sparkSession.sparkContext.broadcast((known, outcome, head_logs, net, first, float(np.log10(other)) if n_train else 0.0))
+        fit(net, [_outcomes(t := tokens((r["text"] or "").encode()), _ids(t, known), outcome, ends) for r in sample], first)
+        fit_all(rows.filter("train"), net, places, first, rounds)
+    shared = sc.broadcast((head_logs, net, first, share_log, alone))
 
     def rest(batches):
         """row_ord, word, n of the words out of the head."""
-        known = shared.value[0]
+        known = places.value[0]
         for whole in batches:
             for b in chunks(whole, "text"):
                 ords, words, ns = [], [], []
@@ -305,11 +406,13 @@ def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(words, pa.binary()), pa.array(ns, pa.int64())], ["row_ord", "word", "tf"])
 
     def run(batches):
-        known, outcome, head_logs, net, first, other_log = shared.value
+        known, outcome, ends = places.value
+        head_logs, net, first, share_log, alone = shared.value
         in_head = np.append(head_logs, 0.0)
         for whole in batches:
             for b in chunks(whole, "text", 4 << 20):
-                ids = [_ids(tokens(t), known) for t in b.column("text").cast(pa.binary()).to_pylist()]
+                words = [tokens(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+                ids = [_ids(w, known) for w in words]
                 lengths = np.array([len(i) for i in ids])
                 row = np.repeat(np.arange(len(ids)), lengths)
                 flat = np.concatenate(ids)
@@ -318,10 +421,10 @@ def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
                 n_head = np.bincount(row, flat >= 0, len(ids)).astype(np.int64)
                 model = np.zeros(len(ids))
                 if net is not None:
-                    out = outcome[flat]
-                    others = np.bincount(row, out == 0, len(ids))
-                    model = document_scores(net, np.split(out, np.cumsum(lengths)[:-1]), first) / np.log(10)
-                    model += np.bincount(row, np.where(out == 0, logs, 0.0), len(ids)) - others * other_log
+                    out = [_outcomes(w, i, outcome, ends) for w, i in zip(words, ids)]
+                    model = document_scores(net, out, first) / np.log(10)
+                    out = np.concatenate(out)
+                    model += np.bincount(row, np.where(alone[out], 0.0, logs - share_log[out]), len(ids))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("row_ord"), b.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(n_head), pa.array(base), pa.array(model)],
                     ["row_ord", "doc_id", "n_tokens", "n_head", "head_log", "head_model"])
@@ -340,6 +443,25 @@ def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
         (F.col("head_model") + tail_log if n_train else base).alias("score"))
 
 
+def ending_masses(counts: DataFrame, least: float, without: list[tuple[bytes, int]]) -> dict[bytes, float]:
+    """Add-half counts of the words of each ending but those of `without`, where their counts reach `least`."""
+    found = (counts.filter(F.col("word") != F.lit(END)).groupBy(F.substring("word", -ENDING, ENDING).alias("end"))
+             .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).filter(F.col("n") >= least).collect())
+    left = {bytes(r["end"]): [r["n"], r["v"]] for r in found}
+    for w, n in without:
+        if w != END and w[-ENDING:] in left:
+            left[w[-ENDING:]][0] -= n
+            left[w[-ENDING:]][1] -= 1
+    return {e: n + 0.5 * v for e, (n, v) in left.items() if v and n >= least}
+
+
+def _outcomes(words: list[bytes], ids: np.ndarray, outcome: np.ndarray, ends: dict[bytes, int]) -> np.ndarray:
+    out = outcome[ids]
+    for i in np.flatnonzero(ids < 0):
+        out[i] = ends.get(words[i][-ENDING:], 0)
+    return out
+
+
 def _ids(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     """Place in the head of each word, -1 for other words."""
     return np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))

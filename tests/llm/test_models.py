@@ -140,6 +140,54 @@ def test_lm_words_out_of_the_head_are_joined(spark):
     assert lm_score(frame(spark, rows).limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_learns_from_all_documents_and_more_words_with_more_text(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm import lm
+
+    rng = random.Random(6)
+    # pairs of words that follow each other, and rare words with two endings that do too
+    def text():
+        out = []
+        for _ in range(60):
+            k = rng.randrange(5000)
+            out += rng.choice([[f"a{k}", f"b{k % 20}"], [f"q{rng.randrange(10**9)}xxx", f"r{rng.randrange(10**9)}yyy"]])
+        return " ".join(out)
+
+    rows = [(i, text(), None, None) for i in range(400)]
+    shares, real = [], lm.Recurrent.__init__
+    lm.Recurrent.__init__ = lambda self, masses, **more: (shares.append(masses), real(self, masses, **more))[1]
+    try:
+        few = lm_score(frame(spark, rows), F.col("doc_id") < 200, fit_docs=1).collect()
+        none = lm_score(frame(spark, rows), F.col("doc_id") < 200, fit_docs=1, rounds=0).collect()
+        lm_score(frame(spark, rows[:20]), F.lit(True), fit_docs=1, rounds=0)
+    finally:
+        lm.Recurrent.__init__ = real
+    total = lambda found: sum(r["score"] for r in found if r["doc_id"] >= 200)
+    assert total(few) > total(none)  # one document is fitted on the driver, the tasks learn from the others
+    assert len(shares[0]) > max(2014, len(shares[2]))
+    counts = Counter(w for _, t, *_ in rows[:200] for w in tokens(t.encode()))
+    n, v = sum(counts.values()), len(counts)
+    # all the mass is there: each word, and half a count for unseen words in outcome 0 and in each ending
+    spare = (shares[0].sum() - n - 0.5 * v) * 2
+    assert spare == pytest.approx(round(spare)) and 3 <= spare < 100  # outcome 0 and at least xxx and yyy
+
+
+def test_lm_fits_long_texts_in_pieces():
+    from loomgraph.llm import lm
+
+    rng = np.random.default_rng(5)
+    seqs = [rng.integers(0, 7, k).astype(np.int32) for k in (1, 5000, 3)]
+    net = Recurrent(np.array([5.0, 3, 2, 1, 1, 1, 1]), hidden=4, width=3)
+    seen = []
+    plain = net.gradients
+    net.gradients = lambda x, y, mask, reset, h: (seen.append((x, y, mask)), plain(x, y, mask, reset, h))[1]
+    lm.fit_on(lm.Adam(net), seqs, 1)
+    assert sum(m.sum() for *_, m in seen) == 5004
+    pairs = Counter((int(a), int(b)) for x, y, m in seen for a, b in zip(x[m > 0], y[m > 0]))
+    assert pairs == Counter((int(a), int(b)) for s in seqs for a, b in zip([1, *s[:-1]], s))
+
+
 def test_network_is_a_distribution_and_carries_state():
     net = Recurrent(np.array([5.0, 3, 2, 1, 1, 1, 1]), hidden=4, width=3)
     rng = np.random.default_rng(1)
