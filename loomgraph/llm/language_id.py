@@ -7,8 +7,9 @@ language with the smallest sum wins. The margin is the difference to the second,
 per byte of text; a text whose margin is below `min_margin` is rejected.
 
 Training is bounded: `docs_per_lang` documents for each of the at most `max_langs` most frequent
-languages, in the order of a hash of the id, and `dict_bytes` of text per language. Prediction reads the
-text alone, whole.
+languages, different texts in the order of a hash of the text, and `dict_bytes` of text per language. Each
+document gives an equal part of them, from a place drawn over its whole text; what short texts leave goes to the
+others. Prediction reads the text alone, whole.
 
 Defined results: null text, or text without a letter, is `und` with score 0, rejected. With a
 single learned language every other text has it, with score 1. With none, `und`. A tie goes to the
@@ -30,15 +31,41 @@ def dictionaries(train: DataFrame, docs_per_lang: int = 60, dict_bytes: int = 16
     """Training text per language from columns doc_id, text, lang; frequent languages first."""
     known = train.filter("lang is not null")
     often = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    order = F.xxhash64(F.lit(3), "doc_id", "text")
-    ranked = (known.filter(F.col("lang").isin(often) & F.col("text").rlike(r"\p{L}"))
-              .select("lang", F.substring("text", 1, 4 * dict_bytes // docs_per_lang + 64).alias("text"), order.alias("o"))
-              .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text")))
-              .filter(F.col("k") <= docs_per_lang))
-    langs: dict[str, list[str]] = {}
-    for r in ranked.orderBy("lang", "k").limit(docs_per_lang * max_langs).collect():
-        langs.setdefault(r["lang"], []).append(r["text"].lower())
-    return {lang: "\n".join(langs[lang]).encode()[-dict_bytes:] for lang in often if lang in langs}
+    texts = known.filter(F.col("lang").isin(often) & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(3), "text").alias("o"))
+    picked = distinct_texts(texts, docs_per_lang, dict_bytes).withColumn("need", 4 * F.ceil(dict_bytes / F.col("n")) + 64)
+    langs: dict[str, list[tuple[str, int]]] = {}
+    for r in picked.select("lang", "k", "o", seeded("text", F.col("need"), 7).alias("text")).orderBy("lang", "k").limit(docs_per_lang * max_langs).collect():
+        langs.setdefault(r["lang"], []).append((r["text"].lower(), r["o"]))
+    return {lang: shared_out(langs[lang], dict_bytes) for lang in often if lang in langs}
+
+
+def seeded(text: str, size: Column, seed: int) -> Column:
+    """`size` characters from a place drawn by the hash o."""
+    return F.substring(F.col(text), F.pmod(F.xxhash64(F.lit(seed), "o"), F.greatest(F.length(text) - size + 1, F.lit(1))).cast("int") + 1, size.cast("int"))
+
+
+def distinct_texts(texts: DataFrame, most: int, size: int) -> DataFrame:
+    """lang, o, text (`size` characters from a drawn place), k, n: at most `most` different texts per language in
+    the order of a hash of the text, and how many there are. Tasks send only rows whose hash is below twice the share wanted."""
+    counted = texts.groupBy("lang").agg(F.approx_count_distinct("o").alias("d"))
+    draw = F.pmod("o", F.lit(1 << 30))
+    few = F.least(2.5 * most / F.col("d"), F.lit(1.0)) * (1 << 30)  # the count is right to 5 %
+    near = texts.join(F.broadcast(counted), "lang").filter(draw < few)
+    near = near.select("lang", "o", seeded("text", F.lit(size), 5).alias("text")).dropDuplicates(["lang", "o"])
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "o"))).filter(F.col("k") <= most)
+    return ranked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lang")))
+
+
+def shared_out(texts: list[tuple[str, int]], size: int) -> bytes:
+    """`size` bytes in equal parts; what a short text leaves goes to the others."""
+    parts, left = [], size
+    for at, (text, o) in enumerate(sorted(texts, key=lambda x: len(x[0].encode()))):
+        data = text.encode()
+        n = min(len(data), max(0, left // (len(texts) - at) - 1))
+        start = o % (len(data) - n + 1)
+        parts.append((o, data[start: start + n].decode(errors="ignore").encode()))
+        left -= len(parts[-1][1]) + 1
+    return b"\n".join(p for _, p in sorted(parts))
 
 
 class Classifier:

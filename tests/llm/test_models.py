@@ -14,7 +14,7 @@ import pytest
 
 from llm.helpers import corpus, frame
 from loomgraph.llm import pii, queries
-from loomgraph.llm.language_id import Classifier, identify
+from loomgraph.llm.language_id import Classifier, dictionaries, identify
 from loomgraph.llm.lm import END, Recurrent, document_scores, laid_out, lm_score, tokens
 from loomgraph.llm.quality import Chain, fit_field, line_features, score_quality
 
@@ -52,6 +52,23 @@ def test_language_edges(spark):
     assert identify(frame(spark, rows).limit(0), train).count() == 0
 
 
+def test_dictionaries_hold_all_documents_and_not_their_common_head(spark):
+    rng = random.Random(2)
+    head = "this passage opens every text of all languages " * 30
+    rows = []
+    for lang in ("aa", "bb"):
+        rows += [(i, head + " ".join(f"{lang}{i:03}x{rng.randrange(1000)}" for _ in range(600)), lang) for i in range(60)]
+        rows += [(1000 + i, rows[-1][1], lang) for i in range(300)]  # copies
+    train = spark.createDataFrame([(0, "w" * 3, "cc")] + rows, "doc_id bigint, text string, lang string")
+    got = dictionaries(train)
+    assert set(got) == {"aa", "bb", "cc"} and got["cc"] == b"www"
+    for lang in ("aa", "bb"):
+        assert 15_000 < len(got[lang]) <= 16 << 10
+        seen = Counter(re.findall(rf"{lang}(\d\d\d)x", got[lang].decode()))
+        assert len(seen) > 40 and max(seen.values()) < 60
+        assert got[lang].count(b"passage opens") < 120  # a fifth of each text; 349 would fill the dictionary
+
+
 def chain_by_hand(unary, trans):
     total, good = 0.0, np.zeros(len(unary))
     pair = np.zeros((len(unary) - 1, 2, 2))
