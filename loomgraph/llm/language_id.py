@@ -4,7 +4,9 @@ For every learned language a zstandard raw-content dictionary is filled with tra
 A text is lower-cased and cut into pieces of `piece` bytes, so that the dictionary and not the text
 itself is what a piece can refer to; each piece is encoded with every dictionary, and the
 language with the smallest sum wins. The margin is the difference to the second, in bytes
-per byte of text; a text whose margin is below `min_margin` is rejected.
+per byte of text. A text is rejected when it is fewer than MIN_BYTES ahead of the second, or when the bytes
+ahead, or the bytes saved against no dictionary, over the root of its length are below what all but `reject_share`
+of held-out training documents reach (LEAST where too few are held out).
 
 Training is bounded: `docs_per_lang` documents for each of the at most `max_langs` most frequent
 languages, different texts in the order of a hash of the text, and `dict_bytes` of text per language. Each
@@ -27,16 +29,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomgraph.llm.textops import chunks
 
 
-def dictionaries(train: DataFrame, docs_per_lang: int = 60, dict_bytes: int = 16 << 10, max_langs: int = 256) -> dict[str, bytes]:
+def dictionaries(train: DataFrame, **bounds) -> dict[str, bytes]:
     """Training text per language from columns doc_id, text, lang; frequent languages first."""
+    return learned(train, **bounds)[0]
+
+
+def learned(train: DataFrame, docs_per_lang: int = 60, dict_bytes: int = 16 << 10, max_langs: int = 256,
+            margin_docs: int = 2000) -> tuple[dict[str, bytes], list[tuple[str, str]]]:
+    """The dictionaries, and (lang, text) of up to about `margin_docs` other training documents."""
     known = train.filter("lang is not null")
     often = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
     texts = known.filter(F.col("lang").isin(often) & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(3), "text").alias("o"))
-    picked = distinct_texts(texts, docs_per_lang, dict_bytes).withColumn("need", 4 * F.ceil(dict_bytes / F.col("n")) + 64)
+    held = max(4, margin_docs // max(1, len(often)))
+    docs = F.least(F.lit(docs_per_lang), F.ceil(0.75 * F.col("n")))
+    need = F.when(F.col("k") <= docs, 4 * F.ceil(dict_bytes / docs) + 64).otherwise(HELD_CHARS)
+    picked = distinct_texts(texts, docs_per_lang + held, dict_bytes).select("lang", "k", "o", seeded("text", need, 7).alias("text"), (F.col("k") > docs).alias("held"))
     langs: dict[str, list[tuple[str, int]]] = {}
-    for r in picked.select("lang", "k", "o", seeded("text", F.col("need"), 7).alias("text")).orderBy("lang", "k").limit(docs_per_lang * max_langs).collect():
-        langs.setdefault(r["lang"], []).append((r["text"].lower(), r["o"]))
-    return {lang: shared_out(langs[lang], dict_bytes) for lang in often if lang in langs}
+    others = []
+    for r in picked.orderBy("lang", "k").collect():
+        if r["held"]:
+            others.append((r["lang"], r["text"]))
+        else:
+            langs.setdefault(r["lang"], []).append((r["text"].lower(), r["o"]))
+    return {lang: shared_out(langs[lang], dict_bytes) for lang in often if lang in langs}, others
 
 
 def seeded(text: str, size: Column, seed: int) -> Column:
@@ -68,14 +83,19 @@ def shared_out(texts: list[tuple[str, int]], size: int) -> bytes:
     return b"\n".join(p for _, p in sorted(parts))
 
 
+MIN_BYTES, HELD_CHARS = 4, 4096
+LEAST = (0.25, 0.0)  # where too few documents are held out: above nearly all random letters
+
+
 class Classifier:
     def __init__(self, texts: dict[str, bytes], piece: int = 2048):
         self.langs, self.piece = list(texts), piece
-        self.coders = []
+        self.coders, self.least = [], list(LEAST)
         # Lazy matching from four bytes on: words are short, and the dictionary is small.
         how = zstandard.ZstdCompressionParameters(
             strategy=zstandard.STRATEGY_LAZY2, min_match=4, window_log=17, hash_log=14, chain_log=15, search_log=3, target_length=16,
             write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.bare = zstandard.ZstdCompressor(compression_params=how)
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(texts[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
@@ -87,29 +107,58 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin; a text without letters is und."""
+        return self.measure(text)[:3]
+
+    def measure(self, text: str | None) -> tuple[str, float, float, bool]:
+        """Language, score, margin and whether the text is rejected."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
-            return "und", 0.0, 0.0
+            return "und", 0.0, 0.0, True
         data = text.lower().encode()
         sizes = self.sizes(data)
         best = min(sizes)
         score = 1.0 / sum(math.exp(max(-700.0, -(s - best) / 4.0)) for s in sizes)
         second = min((s for i, s in enumerate(sizes) if i != sizes.index(best)), default=best + len(data))
-        return self.langs[sizes.index(best)], score, (second - best) / len(data)
-
-
-def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.0005,
-             carry: bool = False, **bounds) -> DataFrame:
-    """doc_id, lang_pred, score, margin, rejected of each row; with `carry` also the row as a struct."""
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries(train, **bounds))
+        ahead, gain = self.strengths(data, best, second)
+        return self.langs[sizes.index(best)], score, (second - best) / len(data), second - best < MIN_BYTES or ahead < self.least[0] or gain < self.least[1]
+
+    def strengths(self, data: bytes, best: int, second: int) -> tuple[float, float]:
+        """Bytes ahead of the second language, and saved by the dictionary, both over the root of the length:
+        chance differences grow with the root."""
+        bare = sum(len(self.bare.compress(data[i: i + self.piece])) for i in range(0, len(data), self.piece))
+        return (second - best) / len(data) ** 0.5, (bare - best) / len(data) ** 0.5
+
+    def learn_margin(self, held: list[tuple[str, str]], share: float) -> None:
+        """Least strengths such that about `share` of the held-out texts given to their language fall below each."""
+        seen = []
+        for lang, text in held:
+            data = text.lower().encode()
+            sizes = self.sizes(data) if data else []
+            if len(sizes) > 1 and self.langs[sizes.index(min(sizes))] == lang:
+                best, second = sorted(sizes)[:2]
+                seen.append(self.strengths(data, best, second))
+        if len(seen) * share >= 1:
+            for k in (0, 1):
+                self.least[k] = max(0.0, sorted(x[k] for x in seen)[int(len(seen) * share)])
+
+
+def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_margin: float | None = None,
+             reject_share: float = 0.015, carry: bool = False, **bounds) -> DataFrame:
+    """doc_id, lang_pred, score, margin, rejected of each row; with `carry` also the row as a struct. A `min_margin`,
+    in bytes per byte, replaces the learned one."""
+    texts, held = learned(train, **bounds)
+    judge = Classifier(texts)
+    judge.learn_margin(held, reject_share)
+    shared = docs.sparkSession.sparkContext.broadcast((texts, judge.least))
 
     def run(batches):
-        model = Classifier(shared.value)
+        model = Classifier(shared.value[0])
+        model.least = shared.value[1]
         for whole in batches:
             for b in chunks(whole, "text"):
-                out = [model.predict(t) for t in b.column("text").to_pylist()]
+                out = [model.measure(t) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in kept), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()),
-                     pa.array([x[2] for x in out], pa.float64()), pa.array([x[0] == "und" or x[2] < min_margin for x in out], pa.bool_())],
+                     pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] if min_margin is None else x[0] == "und" or x[2] < min_margin for x in out], pa.bool_())],
                     [*kept, "lang_pred", "score", "margin", "rejected"])
 
     kept = ["doc_id"] + ["row"] * carry

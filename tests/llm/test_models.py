@@ -69,6 +69,21 @@ def test_dictionaries_hold_all_documents_and_not_their_common_head(spark):
         assert got[lang].count(b"passage opens") < 120  # a fifth of each text; 349 would fill the dictionary
 
 
+def test_noise_and_mixtures_are_rejected(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("text is not null")
+    rng = random.Random(9)
+    by = {r["lang"]: r["text"] for r in docs.filter("length(text) > 600").dropDuplicates(["lang"]).collect()}
+    noise = [(10**6 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)))
+             for i, n in enumerate([300, 1000, 1500, 3000, 10000] * 30)]
+    strange = [(2 * 10**6 + i, "".join(rng.choice(a) for _ in range(800))) for i, a in enumerate(["бвгджзклмн ", "αβγδεζηθικ ", "かきくけこさしすせそ"] * 5)]
+    rows = spark.createDataFrame(noise + strange + list((3 * 10**6 + i, t) for i, t in enumerate(by.values())), "doc_id bigint, text string")
+    got = identify(rows.unionByName(docs.select("doc_id", "text")), docs.select("doc_id", "text", "lang")).toPandas()
+    assert got[got.doc_id < 10**6].rejected.mean() < 0.03
+    assert got[got.doc_id.between(10**6, 2 * 10**6 - 1)].rejected.mean() > 0.95
+    assert got[got.doc_id.between(2 * 10**6, 3 * 10**6 - 1)].rejected.mean() > 0.9
+    assert not got[got.doc_id >= 3 * 10**6].rejected.any()
+
+
 def chain_by_hand(unary, trans):
     total, good = 0.0, np.zeros(len(unary))
     pair = np.zeros((len(unary) - 1, 2, 2))
