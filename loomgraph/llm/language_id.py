@@ -8,8 +8,7 @@ per byte of text. A text is rejected when it is fewer than MIN_BYTES ahead of th
 ahead, or the bytes saved against no dictionary, over the root of its length are below what all but `reject_share`
 of held-out training documents reach (LEAST where too few are held out).
 
-Training is bounded: `docs_per_lang` documents for each of the at most `max_langs` most frequent
-languages, different texts in the order of a hash of the text, and `dict_bytes` of text per language. Each
+Training is bounded: `docs_per_lang` documents for each language, whatever their number, different texts in the order of a hash of the text, and `dict_bytes` of text per language. Each
 document gives an equal part of them, from a place drawn over its whole text; what short texts leave goes to the
 others. Prediction reads the text alone, whole.
 
@@ -34,12 +33,12 @@ def dictionaries(train: DataFrame, **bounds) -> dict[str, bytes]:
     return learned(train, **bounds)[0]
 
 
-def learned(train: DataFrame, docs_per_lang: int = 60, dict_bytes: int = 16 << 10, max_langs: int = 256,
+def learned(train: DataFrame, docs_per_lang: int = 60, dict_bytes: int = 16 << 10,
             margin_docs: int = 2000) -> tuple[dict[str, bytes], list[tuple[str, str]]]:
     """The dictionaries, and (lang, text) of up to about `margin_docs` other training documents."""
     known = train.filter("lang is not null")
-    often = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    texts = known.filter(F.col("lang").isin(often) & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(3), "text").alias("o"))
+    often = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    texts = known.filter(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(3), "text").alias("o"))
     held = max(4, margin_docs // max(1, len(often)))
     docs = F.least(F.lit(docs_per_lang), F.ceil(0.75 * F.col("n")))
     need = F.when(F.col("k") <= docs, 4 * F.ceil(dict_bytes / docs) + 64).otherwise(HELD_CHARS)
@@ -88,33 +87,48 @@ LEAST = (0.25, 0.0)  # where too few documents are held out: above nearly all ra
 
 
 class Classifier:
-    def __init__(self, texts: dict[str, bytes], piece: int = 2048):
-        self.langs, self.piece = list(texts), piece
-        self.coders, self.least = [], list(LEAST)
+    """Coders are held for `block` languages at a time; with more, they are made anew for each block and list of texts."""
+
+    def __init__(self, texts: dict[str, bytes], piece: int = 2048, block: int = 256):
+        self.langs, self.piece, self.block, self.texts = list(texts), piece, block, texts
+        self.at, self.coders, self.least = -1, [], list(LEAST)
         # Lazy matching from four bytes on: words are short, and the dictionary is small.
-        how = zstandard.ZstdCompressionParameters(
+        self.how = zstandard.ZstdCompressionParameters(
             strategy=zstandard.STRATEGY_LAZY2, min_match=4, window_log=17, hash_log=14, chain_log=15, search_log=3, target_length=16,
             write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.bare = zstandard.ZstdCompressor(compression_params=how)
-        for lang in self.langs:
-            d = zstandard.ZstdCompressionDict(texts[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=how)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
-
-    def sizes(self, data: bytes) -> list[int]:
-        parts = [data[i: i + self.piece] for i in range(0, len(data), self.piece)]
-        return [sum(len(c.compress(p)) for p in parts) for c in self.coders]
+        self.bare = zstandard.ZstdCompressor(compression_params=self.how)
+
+    def load(self, at: int) -> None:
+        """Coders of the block of languages from `at`."""
+        if self.at == at:
+            return
+        self.at, self.coders = at, []
+        for lang in self.langs[at: at + self.block]:
+            d = zstandard.ZstdCompressionDict(self.texts[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=self.how)
+            self.coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=self.how))
+
+    def sizes(self, texts: list[bytes]) -> list[list[int]]:
+        """Encoded size of each text with each language."""
+        out: list[list[int]] = [[] for _ in texts]
+        for at in range(0, len(self.langs), self.block):
+            self.load(at)
+            for data, sizes in zip(texts, out):
+                parts = [data[i: i + self.piece] for i in range(0, len(data), self.piece)]
+                sizes += [sum(len(c.compress(p)) for p in parts) for c in self.coders]
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin; a text without letters is und."""
-        return self.measure(text)[:3]
-
-    def measure(self, text: str | None) -> tuple[str, float, float, bool]:
-        """Language, score, margin and whether the text is rejected."""
-        if not text or not self.langs or not any(map(str.isalpha, text)):
-            return "und", 0.0, 0.0, True
-        data = text.lower().encode()
-        sizes = self.sizes(data)
+        return self.measure([text])[0][:3]
+
+    def measure(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
+        """Language, score, margin and whether the text is rejected, of each text."""
+        datas = [t.lower().encode() if t and self.langs and any(map(str.isalpha, t)) else None for t in texts]
+        sizes = iter(self.sizes([d for d in datas if d is not None]))
+        return [("und", 0.0, 0.0, True) if d is None else self.judged(d, next(sizes)) for d in datas]
+
+    def judged(self, data: bytes, sizes: list[int]) -> tuple[str, float, float, bool]:
         best = min(sizes)
         score = 1.0 / sum(math.exp(max(-700.0, -(s - best) / 4.0)) for s in sizes)
         second = min((s for i, s in enumerate(sizes) if i != sizes.index(best)), default=best + len(data))
@@ -129,11 +143,9 @@ class Classifier:
 
     def learn_margin(self, held: list[tuple[str, str]], share: float) -> None:
         """Least strengths such that about `share` of the held-out texts given to their language fall below each."""
-        seen = []
-        for lang, text in held:
-            data = text.lower().encode()
-            sizes = self.sizes(data) if data else []
-            if len(sizes) > 1 and self.langs[sizes.index(min(sizes))] == lang:
+        seen, datas = [], [text.lower().encode() for _, text in held]
+        for (lang, _), data, sizes in zip(held, datas, self.sizes(datas)):
+            if data and len(sizes) > 1 and self.langs[sizes.index(min(sizes))] == lang:
                 best, second = sorted(sizes)[:2]
                 seen.append(self.strengths(data, best, second))
         if len(seen) * share >= 1:
@@ -155,7 +167,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
         model.least = shared.value[1]
         for whole in batches:
             for b in chunks(whole, "text"):
-                out = [model.measure(t) for t in b.column("text").to_pylist()]
+                out = model.measure(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in kept), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()),
                      pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] if min_margin is None else x[0] == "und" or x[2] < min_margin for x in out], pa.bool_())],

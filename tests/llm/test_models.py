@@ -84,6 +84,20 @@ def test_noise_and_mixtures_are_rejected(spark):
     assert not got[got.doc_id >= 3 * 10**6].rejected.any()
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = {f"l{k:03}": ["".join(rng.choice(letters) for _ in range(7)) for _ in range(12)] for k in range(300)}
+    rows = [(k * 10 + j, " ".join(rng.choice(v) for _ in range(40)), lang) for k, (lang, v) in enumerate(vocabulary.items()) for j in range(3 - (k > 250))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = identify(docs, docs, dict_bytes=1 << 10).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got.lang == got.lang_pred).all()
+    texts = dictionaries(docs, dict_bytes=1 << 10)
+    assert len(texts) == 300
+    some = [r[1] for r in rows[::50]] + [None, "1"]
+    assert Classifier(texts, block=7).measure(some) == Classifier(texts, block=300).measure(some)
+
+
 def chain_by_hand(unary, trans):
     total, good = 0.0, np.zeros(len(unary))
     pair = np.zeros((len(unary) - 1, 2, 2))
