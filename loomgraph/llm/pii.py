@@ -10,7 +10,8 @@ boundaries and kinds together; words outside are segments of one word.
 The field is fitted by maximum likelihood (forward-backward over segments) on islands of a
 bounded sample, `fit_docs` documents in the order of a hash, whole texts, whose truth is the base spans. Its
 spans are added where they overlap no base span; base spans are never changed. For fitting,
-islands are cut into runs of `FIT_WORDS` words.
+islands are cut into runs of `FIT_WORDS` words; of those with a candidate at most `max_islands` are
+taken, drawn by a hash and evenly over the documents.
 
 Defined results: null and empty texts have no spans. Repeated rows get equal spans. Without
 documents to fit on only the base spans remain. Columns other than id and text are not read."""
@@ -18,7 +19,9 @@ documents to fit on only the base spans remain. Columns other than id and text a
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -213,12 +216,9 @@ def fit_field(texts: list[str], steps: int = 60, rate: float = 0.3, decay: float
     field = SegmentField()
     names: dict[tuple[str, str], int] = {}
     graphs = []
-    for text in texts:
-        truth = {(s, e): k for k, s, e in base_spans(text)}
-        runs = [island[k: k + FIT_WORDS] for island in islands(text) for k in range(0, len(island), FIT_WORDS)]
+    for text, runs in zip(texts, drawn_islands(texts, max_islands)):
+        truth = {(s, e): k for k, s, e in base_spans(text)} if runs else {}
         for island in runs:
-            if len(graphs) >= max_islands:
-                break
             segs, gold, used = [], [], -1
             for i, j, start, end, feats in field.candidates(text, island):
                 for kind in KINDS:
@@ -233,7 +233,7 @@ def fit_field(texts: list[str], steps: int = 60, rate: float = 0.3, decay: float
     w = np.zeros(len(names))
     m, v = np.zeros_like(w), np.zeros_like(w)
     flat = [(np.concatenate([s[2] for s in segs]), np.repeat(np.arange(len(segs)), [len(s[2]) for s in segs]), n, segs, gold)
-            for n, segs, gold in graphs if segs]
+            for n, segs, gold in graphs]
     for k in range(1, steps + 1):
         grad = -decay * w * len(flat)
         for ids, owner, n, segs, gold in flat:
@@ -247,6 +247,23 @@ def fit_field(texts: list[str], steps: int = 60, rate: float = 0.3, decay: float
     return SegmentField({name: float(w[i]) for name, i in names.items()})
 
 
+def drawn_islands(texts: list[str], most: int) -> list[list[list[tuple[int, int]]]]:
+    """Islands with candidates, cut for fitting, of each text; at most `most` of them. Beyond, each text gives
+    its first in the order of a hash before any gives its second, and so on."""
+    field, ranked = SegmentField(), []
+    for d, text in enumerate(texts):
+        runs = [island[k: k + FIT_WORDS] for island in islands(text) for k in range(0, len(island), FIT_WORDS)]
+        mine = heapq.nsmallest(most, ((zlib.crc32(text[r[0][0]: r[-1][1]].encode()), r[0][0], r) for r in runs
+                                      if next(field.candidates(text, r), None)))
+        ranked += [(rank, h, d, at, r) for rank, (h, at, r) in enumerate(mine)]
+        if len(ranked) > 4 * most:
+            ranked = heapq.nsmallest(most, ranked)
+    out: list[list] = [[] for _ in texts]
+    for _, _, d, _, r in heapq.nsmallest(most, ranked):
+        out[d].append(r)
+    return [sorted(runs) for runs in out]
+
+
 def _expected(n: int, segs: list, score: np.ndarray) -> np.ndarray:
     """Posterior of each segment by forward-backward over positions."""
     alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
@@ -269,12 +286,13 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = 600) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = 600,
+             max_islands: int = 4000) -> DataFrame:
     """doc_id, base (spans of the patterns, joined), spans (all spans, joined) and the number
     of base spans of each kind, for each row."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = bounded_sample(rows.filter(F.col("text").rlike("[0-9@]")), fit_docs, "doc_id", "text").select("text").collect()
-    shared = docs.sparkSession.sparkContext.broadcast(fit_field([r["text"] for r in sample]))
+    shared = docs.sparkSession.sparkContext.broadcast(fit_field([r["text"] for r in sample], max_islands=max_islands))
 
     def run(batches):
         field = shared.value

@@ -343,6 +343,15 @@ def test_segment_posteriors():
     np.testing.assert_allclose(pii._expected(3, segs, score), want)
 
 
+def test_one_long_text_of_numbers_does_not_use_up_the_islands():
+    mail = "write to joe@example.com today"
+    for long in ("no 12 x " * 5000, "at 5550 1234567 x " * 5000):  # without candidates, and with them
+        field = pii.fit_field([long] + [mail] * 20, steps=20, max_islands=100)
+        assert sum(len(r) for r in pii.drawn_islands([long] + [mail] * 20, 100)[1:]) == 20
+        assert pii.SegmentField.spans(field, "now ann@site.org here", []) == [("email", 4, 16)]
+    assert not pii.fit_field(["no 12 x"]).weights
+
+
 def test_pii_keeps_base_spans(spark):
     rows = corpus() + [(7001, "mail é joe@example.com, card 4111 1111 1111 1111 +1 (222) 555-0101 and 10.0.0.1!", "en", "s1")] * 2
     got = pii.find_pii(frame(spark, rows)).collect()
