@@ -155,6 +155,15 @@ def test_decontamination(spark):
     assert clean_documents(frame(spark, rows).limit(0), bench).count() == 0
 
 
+def test_texts_of_one_item_give_one_row_whatever_the_blocks(spark):
+    texts = [f"item text number {k} with words enough to be cut {'abcdefgh'[k]}" for k in range(8)]
+    bench = spark.createDataFrame([(i, t) for i in (1, 2) for t in texts], "item_id bigint, text string")
+    docs = frame(spark, [(5, " and ".join(texts), "en", "s"), (6, texts[3].replace("enough", "enouhg"), "en", "s")])
+    one = sorted(tuple(r) for r in find_items(docs, bench, min_piece=8).collect())
+    assert [r[:2] for r in one] == [(5, 1), (5, 2), (6, 1), (6, 2)]
+    assert sorted(tuple(r) for r in find_items(docs, bench, min_piece=8, block_chars=60).collect()) == one
+
+
 @pytest.mark.parametrize("op", [exact_dedup, keep_one_of_each, line_dedup, substring_dedup, near_duplicates, keep_one_of_near, mix_sources])
 def test_awkward_tables(spark, op):
     empty = frame(spark, corpus()).limit(0)
