@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.decontamination import find_items
 from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.language_id import identify, training_rows
+from loomgraph.llm.lexical_search import lexical_search
 from loomgraph.llm.line_dedup import line_dedup
 from loomgraph.llm.lm import lm_score
 from loomgraph.llm.mixing import mix_sources
@@ -67,6 +68,10 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
@@ -104,4 +110,27 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
        row_number() over w = 1 as kept, text_sha256
 from t window w as (partition by text_sha256 order by n desc, doc_id nulls last
                     rows between unbounded preceding and unbounded following)""",
+    "op13_lexical_search": r"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents),
+sizes as (select r, doc_id, len(terms) as n from d where len(terms) > 0),
+total as (select count(*) as n_docs, sum(n)::bigint as n_terms from sizes),
+tf as (select r, term, count(*) as tf from (select r, unnest(terms) as term from d) group by r, term),
+wanted as (
+  select distinct item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+weights as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select term, count(*) as df from tf group by term), total),
+scores as (
+  select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))))::bigint as score
+  from wanted join weights using (term) join tf using (term) join sizes using (r), total
+  group by item_id, r, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50""",
 }
