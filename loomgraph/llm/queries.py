@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.llm.clustering import cluster_vectors
 from loomgraph.llm.decontamination import find_items
 from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.language_id import identify, training_rows
@@ -14,6 +15,7 @@ from loomgraph.llm.mixing import mix_sources
 from loomgraph.llm.ngram_join import near_duplicates
 from loomgraph.llm.pii import find_pii
 from loomgraph.llm.quality import score_quality
+from loomgraph.llm.quality_rules import quality_rules
 from loomgraph.llm.substring_dedup import substring_dedup
 from loomgraph.llm.textops import fold, table
 
@@ -68,6 +70,15 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark, sf_dir):
+    out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_lexical_search(spark, sf_dir):
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,9 +94,21 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_centroid_clustering": op12_centroid_clustering,
     "op13_lexical_search": op13_lexical_search,
 }
 
+#: One round: distances to all centroids, nearest ones, floors of the means.
+CLUSTER_ROUND = """
+d{i} as materialized (
+  select r, c, sum((comp.x - c{i}.x) * (comp.x - c{i}.x))::bigint as distance from comp join c{i} using (d) group by r, c),
+a{i} as materialized (
+  select r, c, distance from (select *, row_number() over (partition by r order by distance, c) as k from d{i}) where k = 1),
+m{i} as materialized (select c, d, floor(sum(x)::double / count(*))::bigint as x from a{i} join comp using (r) group by c, d),
+c{j} as materialized (select c{i}.c, c{i}.d, coalesce(m{i}.x, c{i}.x) as x from c{i} left join m{i} on m{i}.c = c{i}.c and m{i}.d = c{i}.d),"""
+
+
 ORACLES = {
     "op3_line_dedup": r"""
 with pieces as (
@@ -110,6 +133,21 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
        row_number() over w = 1 as kept, text_sha256
 from t window w as (partition by text_sha256 order by n desc, doc_id nulls last
                     rows between unbounded preceding and unbounded following)""",
+    "op12_centroid_clustering": """
+with kept as materialized (
+  select row_number() over () as r, vec_id, embedding from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+comp as materialized (
+  select r, d, floor(256 * x::double)::bigint as x
+  from (select r, unnest(embedding) as x, generate_subscripts(embedding, 1) as d from kept)),
+start as (
+  select r, row_number() over (order by sha256('2:' || coalesce(vec_id::varchar, ''))) - 1 as c from kept),
+c0 as materialized (select c, d, x from start join comp using (r) where c < 40),
+""" + "".join(CLUSTER_ROUND.format(i=i, j=i + 1) for i in range(6)) + """
+sums as (select c, sum(distance)::bigint as cluster_inertia from a5 group by c),
+shas as (select c, sha256(string_agg(x::varchar, ',' order by d)) as centroid_sha256 from c5 group by c)
+select vec_id, c::int as cluster, distance, cluster_inertia, (select sum(distance)::bigint from a5) as inertia, centroid_sha256
+from a5 join kept using (r) join sums using (c) join shas using (c)""",
     "op13_lexical_search": r"""
 with d as (
   select row_number() over () as r, doc_id,
