@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.external import Embedder, embed_texts
 from loomgraph.operators import graph_v2, lexicon as L, similarity as S, vector_store as VS, view
-from loomgraph.plans import commands
-from loomgraph.plans.rebuild import rebuild
+from loomgraph.plans import commands, incremental
 from loomgraph.plans.workflow import CollectWorkflow
-from loomgraph.schemas import LEXICON, MENTIONS, PAPERS, VECTORS
+from loomgraph.schemas import VECTORS
 from loomgraph.sources.snapshots import Snapshots
 
 
@@ -54,9 +53,10 @@ class Workbench:
         return out
 
     def rebuild(self) -> dict:
-        r = self.store.read
-        built = rebuild(r("papers", PAPERS), r("mentions", MENTIONS), r("lexicon", LEXICON), self.store)
-        return {"ok": True, **built.counts().first().asDict()}
+        """Brings the graphs up to date, by the new papers alone where that is enough."""
+        incremental.rebuild_stored(self.store)
+        return {"ok": True, "nodes": self.store.read("view_nodes").count(),
+                "builds_on": self.store.read("view_builds_on").count()}
 
     def refresh_vectors(self, embedder: Embedder, force: bool = False) -> DataFrame:
         """Grows the stored vectors of the typed graph; returns counts per node type."""

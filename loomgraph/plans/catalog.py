@@ -10,13 +10,15 @@ from loomgraph.external import HashingEmbedder, KeywordClassifier, embed_texts
 from loomgraph.functions import nodes as N, text as X, vectors as V
 from loomgraph.operators import (
     collect as C, graph_v1, graph_v2, lexicon as L, lineage as G, mentions as M,
-    papertext as P, retrieval as R, similarity as S, vector_store as VS, view,
+    papertext as P, retrieval as R, similarity as S, vector_index as VI, vector_store as VS, view,
 )
 from loomgraph.operators.ordering import with_row_index
-from loomgraph.plans import decisions
+from loomgraph.plans import decisions, incremental
 from loomgraph.plans.rebuild import rebuild
 from loomgraph.plans.tables import Tables
-from loomgraph.session import materialize, ship_package
+from loomgraph.schemas import LEDGER
+from loomgraph.session import Scratch, materialize, ship_package
+from loomgraph.sources.snapshots import Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +34,11 @@ def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     return fn
 
 
+def _new_folder(t: Tables) -> Snapshots:
+    """An empty store under the shared checkpoint folder."""
+    return Snapshots(t.spark, Scratch(t.spark).root)
+
+
 def _v1(t: Tables) -> graph_v1.GraphV1:
     return graph_v1.build(t.papers(), t.mentions(), t.lexicon())
 
@@ -233,6 +240,32 @@ def view_builds_on(t: Tables) -> DataFrame:
     return view.builds_on(_v2(t))
 
 
+def _followed(t: Tables) -> Snapshots:
+    """The stored graphs after a rebuild of three quarters of the papers and the delta of the rest."""
+    store, papers, mentions = _new_folder(t), t.papers(), t.mentions()
+    later = F.pmod(F.xxhash64("pid"), F.lit(4)) == 0
+    incremental.apply(store, papers.filter(~later), mentions.filter(~later), t.lexicon(), full=True, buckets=4)
+    incremental.apply(store, papers.filter(later), mentions.filter(later), store.read("lexicon"), full=False)
+    return store
+
+
+@query
+def rebuild_counts_delta(t: Tables) -> DataFrame:
+    store = _followed(t)
+    nodes = store.read("view_nodes").agg(F.count("*").alias("nodes"))
+    return nodes.withColumn("builds_on", store.read("view_builds_on").agg(F.count("*")).scalar())
+
+
+@query
+def graph_v1_nodes_delta(t: Tables) -> DataFrame:
+    return _followed(t).read("v1_nodes")
+
+
+@query
+def graph_v1_edges_delta(t: Tables) -> DataFrame:
+    return _followed(t).read("v1_edges")
+
+
 @query
 def view_nodes_by_type(t: Tables) -> DataFrame:
     return view.nodes_with_papers(_v2(t)).groupBy("type", "domain").agg(
@@ -467,6 +500,27 @@ def vector_topk(t: Tables) -> DataFrame:
     return hits.select("label", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def _indexed(t: Tables) -> tuple[VI.VectorIndex, DataFrame]:
+    """An index of all vectors, and the stated queries: every id divisible by 100."""
+    vectors = t.vectors().select("id", "vec")
+    return VI.index(vectors, Scratch(t.spark).write), vectors.filter("id % 100 = 0").withColumnRenamed("id", "qid")
+
+
+@query
+def vector_index_exact(t: Tables) -> DataFrame:
+    """Best rows of every stated query, by comparing all blocks."""
+    hits = VI.search(*_indexed(t), exact=True)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query
+def vector_index_recall(t: Tables) -> DataFrame:
+    """Does the index find nine tenths of the best rows of the stated queries?"""
+    index, asked = _indexed(t)
+    share = VI.recall_of(VI.search(index, asked), VI.search(index, asked, exact=True))
+    return share.select("n", (F.col("share") >= 0.9).alias("enough"))
+
+
 @query
 def vector_cosine(t: Tables) -> DataFrame:
     score = V.score_against(_query_vector(t))
@@ -557,15 +611,30 @@ def candidate_ids(t: Tables) -> DataFrame:
     return C.new_candidates(C.judged(t.found(), owned, t.ledger())).select("aid", "title")
 
 
-@query
-def ledger_upsert(t: Tables) -> DataFrame:
-    return C.upsert_ledger(t.ledger(), t.found()).select(
+def _ledger_columns(ledger: DataFrame) -> DataFrame:
+    return ledger.select(
         "aid", "title", F.length("abstract").cast("bigint").alias("abstract_chars"), "published",
         F.array_join("categories", "|").alias("categories"),
         F.col("gate.verdict").alias("verdict"), "extracted", "first_seen_query",
     )
 
 
+@query
+def ledger_upsert(t: Tables) -> DataFrame:
+    return _ledger_columns(C.upsert_ledger(t.ledger(), t.found()))
+
+
+@query
+def ledger_upsert_stored(t: Tables) -> DataFrame:
+    """The same through a stored, bucketed table; the second batch is a replay."""
+    store = _new_folder(t)
+    found = t.found()
+    store.upsert("ledger", t.ledger(), "aid", lambda old, new: old.unionByName(new), LEDGER)
+    for batch in (found.filter("first_seen_query = 'en'"), found, found.filter("first_seen_query = 'fr'")):
+        store.upsert("ledger", batch, "aid", C.upsert_ledger, LEDGER)
+    return _ledger_columns(store.read("ledger"))
+
+
 RULES = {"survey": ["thing"], "benchmark": ["eaux"], "analysis": ["inth"]}
 
 

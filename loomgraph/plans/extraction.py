@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.external import Extractor, Fetcher, PageDecoder, extract_contents, extract_lineage
 from loomgraph.operators import mentions as M, papertext as P
+from loomgraph.plans import incremental
 from loomgraph.schemas import DOWNLOAD_PAUSE_SECONDS, MENTIONS, PAPERS
 from loomgraph.session import materialize
 from loomgraph.sources.papers import decode_pages, download_missing
@@ -15,17 +16,25 @@ from loomgraph.sources.records import read_contents, read_lineage
 from loomgraph.sources.snapshots import Snapshots
 
 
+def first_per_pid(records: DataFrame) -> DataFrame:
+    """One record per paper; of several the smallest, so that every run chooses alike."""
+    rest = [c for c in records.columns if c != "pid"]
+    return records.groupBy("pid").agg(F.min(F.struct(*rest)).alias("r")).select("pid", "r.*")
+
+
 def add_records(store: Snapshots, contents: DataFrame, lineage: DataFrame, force: bool = False) -> None:
-    """Makes records part of the tables `papers` and `mentions` that a rebuild reads. Papers
-    stored already stay as they are, or are replaced when forced."""
-    papers, mentions = store.read("papers", PAPERS), store.read("mentions", MENTIONS)
+    """Makes records part of the tables `papers` and `mentions` that a rebuild reads, both in one
+    commit: a paper is never stored without its mentions. Papers stored already stay as they are,
+    or are replaced when forced. Only buckets with new papers are written."""
     fresh = contents.select("pid").distinct()
-    fresh = materialize(fresh if force else fresh.join(papers.select("pid"), "pid", "left_anti"))
-    new = contents.join(fresh, "pid", "left_semi").dropDuplicates(["pid"])
-    rows = M.from_records(new, lineage.join(fresh, "pid", "left_semi").dropDuplicates(["pid"]))
-    for name, old, added in (("papers", papers, M.papers_of(new)), ("mentions", mentions, rows)):
-        kept = old.join(fresh, "pid", "left_anti")
-        store.write(name, kept.unionByName(added.select(*(F.col(f.name).cast(f.dataType) for f in kept.schema))))
+    fresh = materialize(fresh if force else fresh.join(store.read("papers", PAPERS).select("pid"), "pid", "left_anti"))
+    new = materialize(first_per_pid(contents.join(fresh, "pid", "left_semi")))
+    rows = M.from_records(new, first_per_pid(lineage.join(fresh, "pid", "left_semi")))
+    with store.commit() as c:
+        c.replace("papers", fresh, M.papers_of(new), "pid", PAPERS)
+        c.replace("mentions", fresh, rows, "pid", MENTIONS)
+        if force:  # replaced records are no delta
+            incremental.invalidate(c)
 
 
 def import_records(store: Snapshots, folder: str, force: bool = False) -> None:

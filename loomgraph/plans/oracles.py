@@ -519,6 +519,16 @@ ORACLES: dict[str, str] = {
       ranked as (select *, cast(row_number() over (partition by label order by score desc, id) as integer) as rank
                  from scored where score >= 0.30)
       select label, rank, id, round(score, 6) as score from ranked where rank <= 8""",
+    "vector_index_exact": """
+      with v as (select vec_id as id, embedding::double[] as vec from embeddings),
+      scored as (select a.id as qid, b.id, list_cosine_similarity(a.vec, b.vec) as score from v a join v b on a.id % 100 = 0),
+      ranked as (select *, cast(row_number() over (partition by qid order by score desc, id) as integer) as rank from scored)
+      select qid, rank, id, round(score, 6) as score from ranked where rank <= 8 and score >= 0.30""",
+    "vector_index_recall": """
+      with v as (select vec_id as id, embedding::double[] as vec from embeddings),
+      scored as (select a.id as qid, b.id, list_cosine_similarity(a.vec, b.vec) as score from v a join v b on a.id % 100 = 0),
+      ranked as (select *, row_number() over (partition by qid order by score desc, id) as rank from scored)
+      select count(*) as n, true as enough from ranked where rank <= 8 and score >= 0.30""",
     "vector_cosine": f"with {VEC} select id, round(list_cosine_similarity(vec, qv), 3) + 0.0 as sim from v, q",
     "related_terms": f"""{HITS},
       terms as (
@@ -618,3 +628,8 @@ ORACLES: dict[str, str] = {
              case when decision like 'revise:%' then trim(substr(decision, 8)) end as revised
       from log""",
 }
+
+ORACLES["ledger_upsert_stored"] = ORACLES["ledger_upsert"]
+ORACLES["rebuild_counts_delta"] = ORACLES["rebuild_counts"]
+ORACLES["graph_v1_nodes_delta"] = ORACLES["graph_v1_nodes"]
+ORACLES["graph_v1_edges_delta"] = ORACLES["graph_v1_edges"]

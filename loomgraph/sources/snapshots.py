@@ -1,15 +1,31 @@
-"""Versioned tables: each write goes to a new folder, then a pointer row is appended.
+"""Versioned tables. A write goes to a folder of its own; a commit is one file of pointer rows that
+makes new versions of one or several tables current at once.
 
-Readers take the folder of the highest version, so a table can be rebuilt from itself and
-a job that dies half-way leaves the current version untouched.
-"""
+A job that dies leaves a folder nobody points to: readers see what they saw before, later writes
+are not in its way, and `vacuum` removes it. A table can be rebuilt from itself, as its current
+folders stay until then.
+
+A table is one folder, or dealt by a hash of its key into buckets. An upsert of a bucketed table
+reads and writes the buckets its rows fall into; the new version points to the other buckets where
+they are, so cost follows the delta and not the table.
+
+One writer per table at a time is assumed: of two commits of one version, both are read."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 from pyspark.errors import AnalysisException
 
-POINTERS = "name string, version bigint, path string"
+
+#: A row is a bucket of a version, or all of it where the table has no buckets. No path: nothing there.
+POINTERS = "name string, version bigint, path string, bucket int, buckets int, schema string"
+BUCKETS = 64
 
 
 def missing(error: AnalysisException) -> bool:
@@ -17,10 +33,111 @@ def missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def all_nullable(schema: StructType) -> StructType:
+    """Stored columns may be null at every level, as files do not tell."""
+
+    def loose(part):
+        if isinstance(part, dict):
+            return {k: True if k in ("nullable", "containsNull", "valueContainsNull") else loose(v) for k, v in part.items()}
+        return [loose(p) for p in part] if isinstance(part, list) else part
+
+    return StructType.fromJson(loose(schema.jsonValue()))
+
+
+@dataclass(frozen=True)
+class Version:
+    """A version of a table: its folders, by bucket where it has buckets."""
+
+    number: int
+    folders: dict[int | None, str]
+    buckets: int | None
+    schema: StructType
+
+    def rows(self, name: str) -> list[tuple]:
+        text = self.schema.json()
+        return [(name, self.number, path, b, self.buckets, text) for b, path in (self.folders or {None: None}).items()]
+
+
+class Commit:
+    """Tables that become current together, when the `with` block ends without an error."""
+
+    def __init__(self, store: Snapshots):
+        self.store, self.staged, self.now = store, {}, {}
+
+    def __enter__(self) -> Commit:
+        self.now = self.store.versions()
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None and self.staged:
+            self.store._point([row for name, v in self.staged.items() for row in v.rows(name)])
+
+    def _next(self, name: str) -> tuple[Version | None, int, str]:
+        now = self.now.get(name)
+        return now, (now.number if now else 0) + 1, f"{self.store.root}/{name}/{uuid.uuid4().hex}"
+
+    def lookup(self, name: str, keys: DataFrame, key: str) -> DataFrame:
+        """Rows of the given keys; of a bucketed table only the buckets they fall into are read."""
+        v = self.now[name]
+        wanted = keys.select(key).distinct()
+        folders = list(v.folders.values())
+        if v.buckets:
+            hit = {r["b"] for r in wanted.select(bucket_of(key, v.buckets).alias("b")).distinct().collect()}
+            folders = [p for b, p in v.folders.items() if b in hit]
+        return self.store._table(folders, v.schema).join(wanted, key, "left_semi").select(*v.schema.names)
+
+    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+        """The whole table, in one folder."""
+        _, number, path = self._next(name)
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+        self.staged[name] = Version(number, {None: path}, None, df.schema)
+        return self.store.spark.read.schema(df.schema).parquet(path)
+
+    def upsert(self, name: str, delta: DataFrame, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
+               schema: str | StructType, buckets: int = BUCKETS, reset: bool = False, keys: DataFrame | None = None) -> int:
+        """`merge(old, delta)` gives the new rows of the buckets that the delta's keys fall into, from
+        their old rows; it must not make rows of other keys. The delta is read for its keys first, unless
+        they are given. Returns how many buckets were written.
+        A table without buckets is dealt into buckets here; `reset` starts from no rows."""
+        spark = self.store.spark
+        now, number, path = self._next(name)
+        now = None if reset else now
+        dealt = now is not None and now.buckets is not None
+        n = now.buckets if dealt else buckets
+        kept, old = {}, list(now.folders.values()) if now else []
+        if dealt:
+            touched = {r["b"] for r in (delta if keys is None else keys).select(bucket_of(key, n).alias("b")).distinct().collect()}  # at most n
+            kept = {b: p for b, p in now.folders.items() if b not in touched}
+            old = [p for b, p in now.folders.items() if b in touched]
+        shape = now.schema if now else all_nullable(spark.createDataFrame([], schema).schema)
+        rows = merge(self.store._table(old, shape), delta).select(*[F.col(f.name).cast(f.dataType) for f in shape])
+        # adaptive execution splits large buckets over several files and puts small ones into one task
+        rows.withColumn("_bucket", bucket_of(key, n)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
+        written = dict(self.store._buckets_in(path))
+        self.staged[name] = Version(number, kept | written, n, shape)
+        return len(written)
+
+    def replace(self, name: str, keys: DataFrame, rows: DataFrame, key: str, schema: str | StructType,
+                buckets: int = BUCKETS, reset: bool = False) -> int:
+        """The rows of the given keys, which may be none, take the place of those stored."""
+        delta = keys.select(key).distinct().join(rows.withColumn("_row", F.lit(True)), key, "left")
+
+        def swap(old: DataFrame, delta: DataFrame) -> DataFrame:
+            new = delta.filter("_row").select(*old.columns)
+            return old.join(delta.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
+
+        return self.upsert(name, delta, key, swap, schema, buckets, reset, keys)
+
+
 class Snapshots:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    # pointers
     def _pointers(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(POINTERS).json(f"{self.root}/_pointers")
@@ -29,40 +146,101 @@ class Snapshots:
                 return None
             raise
 
-    def current(self, name: str) -> tuple[int, str] | None:
+    def _point(self, rows: list[tuple]) -> None:
+        """One partition is one file, which a rename brings into the folder: all rows or none."""
+        self.spark.createDataFrame(rows, POINTERS).coalesce(1).write.mode("append").json(f"{self.root}/_pointers")
+
+    def versions(self) -> dict[str, Version]:
+        """The current version of every table, in one pass over the pointers."""
         pointers = self._pointers()
         if pointers is None:
-            return None
-        top = pointers.filter(F.col("name") == name).agg(
-            F.max(F.struct("version", "path")).alias("p")
-        ).first()["p"]
-        return (top["version"], top["path"]) if top else None
+            return {}
+        rows = pointers.groupBy("name", "version").agg(
+            F.first(F.struct("buckets", "schema")).alias("s"), F.collect_list(F.struct("bucket", "path")).alias("at")).groupBy("name").agg(
+            F.max_by(F.struct("version", "s", "at"), "version").alias("v"))
+        out = {}
+        for r in rows.collect():  # one row per table
+            v = r["v"]
+            folders = {f["bucket"]: f["path"] for f in v["at"] if f["path"]}
+            out[r["name"]] = Version(v["version"], folders, v["s"]["buckets"], StructType.fromJson(json.loads(v["s"]["schema"])))
+        return out
+
+    def version(self, name: str) -> Version | None:
+        return self.versions().get(name)
+
+    def current(self, name: str) -> tuple[int, list[str]] | None:
+        """Number and folders of the current version."""
+        v = self.version(name)
+        return v and (v.number, list(v.folders.values()))
 
     def exists(self, name: str) -> bool:
-        return self.current(name) is not None
+        return self.version(name) is not None
 
+    # tables
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         """The current version; an empty table when none exists and a schema is given."""
-        at = self.current(name)
-        if at is None:
-            if schema is None:
-                raise FileNotFoundError(f"{name} has no snapshot under {self.root}")
-            return self.spark.createDataFrame([], schema)
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(at[1])
+        v = self.version(name)
+        if v is None and schema is None:
+            raise FileNotFoundError(f"{name} has no snapshot under {self.root}")
+        return self._table(list(v.folders.values()) if v else [], schema or v.schema)
+
+    def _table(self, folders: list[str], schema: str | StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def lookup(self, name: str, keys: DataFrame, key: str) -> DataFrame:
+        with self.commit() as c:
+            return c.lookup(name, keys, key)
+
+    def commit(self) -> Commit:
+        return Commit(self)
 
     def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        version = (self.current(name) or (0, ""))[0] + 1
-        path = f"{self.root}/{name}/v={version:06d}"
-        writer = df.write.mode("error")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-        self.spark.range(1).select(
-            F.lit(name).alias("name"), F.lit(version).cast("bigint").alias("version"),
-            F.lit(path).alias("path"),
-        ).write.mode("append").json(f"{self.root}/_pointers")
-        return self.spark.read.parquet(path)
+        with self.commit() as c:
+            return c.write(name, df, partition_by)
+
+    def upsert(self, name: str, delta: DataFrame, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
+               schema: str, buckets: int = BUCKETS) -> int:
+        with self.commit() as c:
+            return c.upsert(name, delta, key, merge, schema, buckets)
+
+    # folders
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs, list(fs.listStatus(at)) if fs.exists(at) else []
+
+    def _buckets_in(self, path: str) -> list[tuple[int, str]]:
+        names = (f.getPath().getName() for f in self._files(path)[1] if f.isDirectory())
+        return [(int(n.split("=")[1]), f"{path}/{n}") for n in names if n.startswith("_bucket=")]
+
+    def vacuum(self, hours: float = 24.0) -> list[str]:
+        """Removes what no current version points to: folders of old versions and of failed writes,
+        and their pointer rows. Only what was written more than `hours` ago goes, so that readers of
+        an older version and a write under way are safe. Returns the folders."""
+        pointers = self._pointers()
+        if pointers is None:
+            return []
+        now = self.versions()
+        fs, old_files = self._files(f"{self.root}/_pointers")
+        limit = self.spark._jvm.java.lang.System.currentTimeMillis() - int(hours * 3_600_000)
+        used = {p for v in now.values() for p in v.folders.values()}
+        gone = []
+        for name in now:
+            for run in self._files(f"{self.root}/{name}")[1]:
+                path = f"{self.root}/{name}/{run.getPath().getName()}"
+                parts = [p for _, p in self._buckets_in(path)] or [path]
+                dead = [p for p in parts if p not in used]
+                if run.getModificationTime() < limit and dead:
+                    dead = [path] if len(dead) == len(parts) else dead
+                    for p in dead:
+                        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p), True)
+                    gone += dead
+        stale = [f for f in old_files if f.getModificationTime() < limit]
+        if len(stale) > 1:  # the current rows are in one new file before the old files go
+            self._point([row for n, v in now.items() for row in v.rows(n)])
+            for f in stale:
+                fs.delete(f.getPath(), False)
+        return gone
 
 
 def append_new(df: DataFrame, path: str, key: str, force: bool = False,

@@ -1,5 +1,6 @@
 """File-source streams of new feed entries and records into the stored tables. Each micro
-batch is an upsert or insert-if-absent, so a replayed batch changes nothing."""
+batch is an upsert or insert-if-absent, so a replayed batch changes nothing; the ledger's upserts
+write only the buckets that a batch's ids fall into."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ def ledger_stream(spark: SparkSession, feed_folder: str, store: Snapshots, check
     def each(batch: DataFrame, _: int) -> None:
         own = Snapshots(batch.sparkSession, store.root)
         found = C.search_results(batch, period_from, period_to)
-        own.write("ledger", C.upsert_ledger(own.read("ledger", LEDGER), found))
+        own.upsert("ledger", found, "aid", C.upsert_ledger, LEDGER)
 
     return _run(spark.readStream.schema(FEED).json(feed_folder), checkpoint, each)
 
@@ -38,6 +39,6 @@ def lexicon_stream(spark: SparkSession, mention_folder: str, store: Snapshots,
         own = Snapshots(batch.sparkSession, store.root)
         lexicon = own.read("lexicon", LEXICON)
         new = M.register_in_order(M.unknown(M.keyed(batch), L.alias_map(lexicon)))
-        own.write("lexicon", L.append_registrations(lexicon, new))
+        own.write("lexicon", L.append_registrations(lexicon, new, known=True))
 
     return _run(spark.readStream.schema(MENTIONS).json(mention_folder), checkpoint, each)
