@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomgraph.session import ship_package
@@ -55,6 +56,12 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         start = stop
 
 
+def field_as_text(batch: pa.RecordBatch, row: str, field: str, name: str = "text") -> pa.RecordBatch:
+    """The batch with a field of its struct column as a text column of its own, which shares the
+    field's bytes where they are text already: a text is sent to the task once."""
+    return batch.append_column(name, pc.cast(pc.struct_field(batch.column(row), [field]), pa.string()))
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows one after the other, and the n + 1 row offsets; null is empty."""
     column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
@@ -120,12 +127,29 @@ class RunHash:
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_words, _second, _runs, _other = RunHash(11), RunHash(13), RunHash(17), RunHash(19)
+_runs, _other = RunHash(17), RunHash(19)
+LONG_WORD = 64
+#: Which bytes of a block of eight belong to the word, by how many are left of it.
+LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    return _words.runs(BYTE_VALUE[LOWER[raw] if lower else raw], starts, ends)
+    """64-bit hash of the bytes of each word. Blocks of eight bytes are mixed into the hash one after the
+    other, for all words at once; a sum of powers would let long words of a regular form collide. Words
+    longer than LONG_WORD bytes are rare and hashed one by one."""
+    data = LOWER[raw] if lower else raw
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(11))
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    at, done = np.flatnonzero(size <= LONG_WORD), 0
+    while len(at):
+        left = size[at] - done
+        block = np.ascontiguousarray(eights[starts[at] + done]).view(np.uint64).ravel() & LEFT[np.minimum(left, 8)]
+        out[at] = mix(out[at] ^ block) * np.uint64(0xD6E8FEB86659FD93)
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i]: ends[i]].tobytes(), 11)
+    return out
 
 
 def window_hashes(hashes: np.ndarray, starts: np.ndarray, size: int, second: bool = False) -> np.ndarray:

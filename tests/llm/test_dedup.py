@@ -12,6 +12,7 @@ from loomgraph.llm.exact_dedup import exact_dedup, keep_one_of_each
 from loomgraph.llm.line_dedup import line_dedup
 from loomgraph.llm.ngram_join import Rule, bitmap, boundary, keep_one_of_near, least_apart, may_link, near_duplicates, signatures
 from loomgraph.llm.substring_dedup import COVER, PERIOD, substring_dedup
+from loomgraph.llm.textops import word_bounds, word_hashes
 
 BLANK = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
@@ -185,3 +186,35 @@ def test_boundary_follows_cost():
     rule = Rule(3, 9, 10)
     assert boundary([(12, 1000)], 0, rule) >= 12
     assert boundary([(400, 1000)], 10**6, rule) < 400
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_regular_words_do_not_collide(spark, n):
+    """Words that differ in every letter, of a form for which sums of powers are equal."""
+    tail = " ".join(f"t{i}" for i in range(34))
+    rows = [(1, f"{thue_morse(n)} {tail}", None, None), (2, f"{thue_morse(n, 'b', 'a')} {tail}", None, None)]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup(frame(spark, rows)).collect()) == [(1, 0), (2, 0)]
+    short = [(i, t.split(" t9 ")[0].replace(" ", "  "), None, None) for i, t, _, _ in rows]
+    short = [(i, " ".join([*t.split()[:1], "x", "y"]), None, None) for i, t, _, _ in short]
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(frame(spark, short), size=3, num=9, den=10).collect()) == [(1, 1), (2, 2)]
+
+
+def test_word_hashes_depend_on_the_bytes_alone():
+    rng = random.Random(9)
+    words = {bytes(rng.randrange(33, 127) for _ in range(n)) for n in (1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200) for _ in range(50)}
+    words |= {b"a" * n for n in range(1, 140)} | {"été".encode(), "ÉTÉ".encode(), b"A", b"a"}
+    seen = {}
+    for lead in (b"", b"xx ", b"some other words "):
+        order = rng.sample(sorted(words), len(words))
+        raw = np.frombuffer(lead + b" ".join(order), np.uint8)
+        starts, ends, _ = word_bounds(raw, np.array([0, len(raw)]))
+        for w, h in zip([*lead.split(), *order], word_hashes(raw, starts, ends).tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    both = np.frombuffer(b"ABC\xc3\x89 abc\xc3\x89", np.uint8)
+    starts, ends, _ = word_bounds(both, np.array([0, len(both)]))
+    assert len(set(word_hashes(both, starts, ends, lower=True).tolist())) == 1

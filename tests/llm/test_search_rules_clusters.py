@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from helpers import CLASHES, DDL, WORD, corpus, frame
+from llm.helpers import CLASHES, DDL, WORD, corpus, frame
 from loomgraph.llm.clustering import candidates, cluster_vectors, hilbert_keys, nearest
 from loomgraph.llm.lexical_search import lexical_search
 from loomgraph.llm.quality_rules import Forest, best_step, measure, quality_rules, repeated_words, rule_statistics
