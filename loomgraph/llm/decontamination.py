@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomgraph.llm.textops import chunks
+from loomgraph.llm.textops import chunks, field_as_text
 
 
 def normal(text: str | None) -> str:
@@ -67,6 +67,13 @@ def myers_best(masks: dict[str, int], m: int, text: str, most: int) -> int:
     return min(best, most + 1)
 
 
+def at_word_edges(text: str, start: int, end: int) -> bool:
+    """Does text[start:end] neither begin nor end inside a word?"""
+    before = start and text[start - 1].isalnum() and text[start].isalnum()
+    after = end < len(text) and text[end].isalnum() and text[end - 1].isalnum()
+    return not before and not after
+
+
 class Matcher:
     """Finds a block of items in texts."""
 
@@ -97,6 +104,10 @@ class Matcher:
                 places.setdefault(n, set()).add(end + 1 - size - offset)
         for n, starts in places.items():
             item_id, item, k, masks = self.items[n]
+            if not k:  # too short for errors: the place is the whole item, as words of its own
+                if any(at_word_edges(text, s, s + len(item)) for s in starts):
+                    found[item_id] = 0
+                continue
             best = 0 if item in text else k + 1
             last = None
             for s in sorted(starts):
@@ -160,12 +171,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
         def run(batches):
             matcher = Matcher(shared.value, error_rate, min_piece)
             for whole in batches:
-                for b in chunks(whole, "t"):
+                for b in chunks(field_as_text(whole, "row", text_col, "t"), "t"):
                     good = [not matcher.find(normal(t)) for t in b.column("t").to_pylist()]
                     yield b.select(["row"]).filter(pa.array(good, pa.bool_()))
         return run
 
     for block in _blocks(benchmark, block_chars):
-        packed = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("t"))
-        docs = packed.mapInArrow(scan(sc.broadcast(block)), packed.select("row").schema).select("row.*").toDF(*names)
+        packed = docs.select(F.struct("*").alias("row"))
+        docs = packed.mapInArrow(scan(sc.broadcast(block)), packed.schema).select("row.*").toDF(*names)
     return docs

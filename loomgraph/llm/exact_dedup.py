@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from loomgraph.llm.textops import WORD_SPACE, chunks
+from loomgraph.llm.textops import WORD_SPACE, chunks, field_as_text
 from loomgraph.session import materialize
 
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -35,7 +35,7 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for whole in batches:
-            for b in chunks(whole, "text"):
+            for b in chunks(field_as_text(whole, "row", text_col) if carry else whole, "text"):
                 points, shas = [], []
                 for t in b.column("text").cast(pa.binary()).to_pylist():
                     t = t or b""
@@ -47,7 +47,7 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kept = ["row_ord", "doc_id"] + ["row"] * carry
     rows = docs.select(F.monotonically_increasing_id().alias("row_ord"), F.col(id_col).cast("bigint").alias("doc_id"),
-                       F.col(text_col).cast("string").alias("text"), *[F.struct("*").alias("row")] * carry)
+                       F.struct("*").alias("row") if carry else F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, rows.select(*kept).schema.add("n_points", "long").add("sha", "binary"))
 
 

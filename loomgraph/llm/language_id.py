@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomgraph.llm.textops import chunks
+from loomgraph.llm.textops import chunks, field_as_text
 
 
 def dictionaries(train: DataFrame, **bounds) -> dict[str, bytes]:
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
         model = Classifier(shared.value[0])
         model.least = shared.value[1]
         for whole in batches:
-            for b in chunks(whole, "text"):
+            for b in chunks(field_as_text(whole, "row", text_col) if carry else whole, "text"):
                 out = model.measure(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in kept), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()),
@@ -174,8 +174,8 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
                     [*kept, "lang_pred", "score", "margin", "rejected"])
 
     kept = ["doc_id"] + ["row"] * carry
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                       *[F.struct("*").alias("row")] * carry)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
+                       F.struct("*").alias("row") if carry else F.col(text_col).cast("string").alias("text"))
     schema = rows.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("margin", "double").add("rejected", "boolean")
     return rows.mapInArrow(run, schema)
 

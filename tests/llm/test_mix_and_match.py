@@ -174,6 +174,14 @@ def test_awkward_tables(spark, op):
     assert 2 <= op(long).count() <= 3
 
 
+def test_short_items_are_words_of_their_own(spark):
+    texts = ["they concatenate strings", "the cat sat", "CAT", "cats", "a cat.", "scat cat", "", None, "con-cat-enate"]
+    docs = frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    items = spark.createDataFrame([(1, "cat"), (2, "...")], "item_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in find_items(docs, items).collect()) == [(i, 1, 0) for i in (1, 2, 4, 5, 8)]
+    assert sorted(r["doc_id"] for r in clean_documents(docs, items).collect()) == [0, 3, 6, 7]
+
+
 def test_pipeline_stages(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_join", "decontamination", "mixing"]
     folder = "/root/testdata/sf0.001"
