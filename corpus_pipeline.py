@@ -16,29 +16,46 @@ from loomgraph.llm.textops import fold, table
 from loomgraph.session import ensure_checkpoint_dir
 
 
+#: Rows of a document table in an Arrow batch: with whole rows on both sides of a task, the session's
+#: default of 10,000 costs each task some hundred MB.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Stages are lazy, so the bound stays set for the session that runs them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: no letter, or no language clearly ahead."""
+    small_batches(spark)
     train = training_rows(docs, fold(F.col("doc_id"), 4) != 2)
     return identify(docs, train, carry=True).filter("not rejected").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
+    small_batches(spark)
     return keep_one_of_each(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8."""
+    small_batches(spark)
     return keep_one_of_near(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark item go."""
+    small_batches(spark)
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document is taken."""
+    small_batches(spark)
     return mix_sources(docs)
 
 
