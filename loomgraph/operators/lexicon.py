@@ -8,11 +8,11 @@ Edits are pure functions old lexicon -> new lexicon; persisting goes through sna
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.text import canon, contains_text, or_empty, strip
+from loomgraph.operators.chains import Circle, chain_ends, walk_places
 from loomgraph.schemas import EDITABLE_FIELDS
 from loomgraph.operators.ordering import with_row_index
 from loomgraph.session import materialize
@@ -188,28 +188,21 @@ def patch_many(lexicon: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def merge_roots(lexicon: DataFrame, merges: DataFrame) -> DataFrame:
-    """src, root, path for each merge (src, dst, seq) whose ends exist. A target that is itself
-    merged away is followed to the row that stays; `path` lists (seq, name) from the root down,
-    so that it orders a target's sources by seq, each before what was merged into it.
-    Of several merges of one source the first by seq counts. A circle raises an error."""
+    """src, root, place for each merge (src, dst, seq) whose ends exist. A target that is itself
+    merged away is followed to the row that stays; `place` orders the sources of a row that stays
+    by seq, each before what was merged into it. Of several merges of one source the first by seq
+    counts. A circle raises an error. Rounds grow with the logarithm of the longest chain."""
     names = lexicon.select("name").distinct()
     step = materialize(
         merges.filter("src <> dst").join(names, F.col("src") == F.col("name"), "left_semi")
         .join(names, F.col("dst") == F.col("name"), "left_semi")
         .groupBy("src").agg(F.min(F.struct("seq", "dst")).alias("m")).select("src", "m.dst", "m.seq")
     )
-    up = step.select(F.col("src").alias("via"), F.col("dst").alias("up"), F.col("seq").alias("up_seq"))
-    open_ = step.select("src", F.col("dst").alias("root"), F.array(F.struct("seq", F.col("src").alias("name"))).alias("path"))
-    done = []
-    while True:
-        met = materialize(open_.join(up, F.col("root") == F.col("via"), "left"))
-        done.append(met.filter("via is null").select("src", "root", "path"))
-        above = F.array(F.struct(F.col("up_seq").alias("seq"), F.col("via").alias("name")))
-        open_ = met.filter("via is not null").select("src", F.col("up").alias("root"), F.concat(above, "path").alias("path"))
-        if not open_.filter("root = src").isEmpty():
-            raise LexiconError("bad_request", "merges form a circle")
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+    try:
+        ends = chain_ends(step)
+    except Circle:
+        raise LexiconError("bad_request", "merges form a circle") from None
+    return ends.join(walk_places(step), "src")
 
 
 def merged_aliases(lexicon: DataFrame, merges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -218,20 +211,19 @@ def merged_aliases(lexicon: DataFrame, merges: DataFrame, roots: DataFrame | Non
     by name, so a target of a third of all merges is no single row; places are numbered
     over a range-partitioned sort."""
     roots = materialize(merge_roots(lexicon, merges)) if roots is None else roots
-    none = F.array().cast("array<struct<seq:bigint,name:string>>")
     written = lexicon.select("name", F.posexplode(_list("aliases")).alias("slot", "alias"))
     kept = written.join(roots.select("src"), F.col("name") == F.col("src"), "left_anti").select(
-        "name", none.alias("path"), F.col("slot").cast("int").alias("slot"), "alias")
-    sources = roots.select(F.col("root").alias("name"), F.col("path").cast("array<struct<seq:bigint,name:string>>").alias("path"), "src")
-    brought = sources.select("name", "path", F.lit(-1).alias("slot"), F.col("src").alias("alias")).unionByName(
-        sources.join(written.withColumnRenamed("name", "of"), F.col("src") == F.col("of")).select("name", "path", "slot", "alias"))
+        "name", F.lit(-1).cast("bigint").alias("of_place"), F.col("slot").cast("int").alias("slot"), "alias")
+    sources = roots.select(F.col("root").alias("name"), F.col("place").alias("of_place"), "src")
+    brought = sources.select("name", "of_place", F.lit(-1).alias("slot"), F.col("src").alias("alias")).unionByName(
+        sources.join(written.withColumnRenamed("name", "of"), F.col("src") == F.col("of")).select("name", "of_place", "slot", "alias"))
     fresh = (
         brought.filter("alias <> name")
         .join(kept.select("name", "alias"), ["name", "alias"], "left_anti")
-        .groupBy("name", "alias").agg(F.min(F.struct("path", "slot")).alias("at"))
-        .select("name", "at.path", "at.slot", "alias")
+        .groupBy("name", "alias").agg(F.min(F.struct("of_place", "slot")).alias("at"))
+        .select("name", "at.of_place", "at.slot", "alias")
     )
-    ordered = with_row_index(kept.unionByName(fresh), [F.col("name"), F.col("path"), F.col("slot"), F.col("alias")], "i")
+    ordered = with_row_index(kept.unionByName(fresh), [F.col("name"), F.col("of_place"), F.col("slot"), F.col("alias")], "i")
     first = ordered.groupBy(F.col("name").alias("of")).agg(F.min("i").alias("first"))
     return ordered.join(first, F.col("name") == F.col("of")).select("name", (F.col("i") - F.col("first")).alias("place"), "alias")
 
@@ -316,25 +308,41 @@ def check_plan(lexicon: DataFrame, plan: DataFrame) -> PlanCheck:
     return PlanCheck(**pick)
 
 
-def apply_plan(lexicon: DataFrame, plan: DataFrame, skip_non_pending: bool = False) -> DataFrame:
-    """Sets the planned statuses and folds the merges, in the order of the plan's `seq` where it
-    has one; does not check the plan."""
+def _with_verdicts(lexicon: DataFrame, plan: DataFrame, skip_non_pending: bool) -> DataFrame:
     verdicts = plan.filter("action in ('approve', 'reject')").groupBy("name").agg(
         F.max(F.when(F.col("action") == "approve", "approved").otherwise("rejected")).alias("planned")
     )
     change = F.col("planned").isNotNull()
     if skip_non_pending:
         change = change & (F.col("status") == "pending")
-    set_status = (
+    return (
         lexicon.join(verdicts, "name", "left")
         .withColumn("status", F.when(change, F.col("planned")).otherwise(F.col("status")))
         .select(*lexicon.columns)
     )
+
+
+def _plan_merges(plan: DataFrame) -> DataFrame:
     order = F.col("seq") if "seq" in plan.columns else F.lit(0)
-    merges = plan.filter("action = 'merge'").select(
+    return plan.filter("action = 'merge'").select(
         F.col("name").alias("src"), F.col("into").alias("dst"), order.cast("bigint").alias("seq")
     )
-    return merge_many(set_status, merges)
+
+
+def apply_plan(lexicon: DataFrame, plan: DataFrame, skip_non_pending: bool = False) -> DataFrame:
+    """Sets the planned statuses and folds the merges, in the order of the plan's `seq` where it
+    has one; does not check the plan."""
+    return merge_many(_with_verdicts(lexicon, plan, skip_non_pending), _plan_merges(plan))
+
+
+def plan_outcome(lexicon: DataFrame, plan: DataFrame, skip_non_pending: bool = False) -> DataFrame:
+    """status, n, n_aliases of the lexicon after `apply_plan`, counted on rows: no target gathers its aliases."""
+    roots = materialize(merge_roots(lexicon, _plan_merges(plan)))
+    stay = _with_verdicts(lexicon, plan, skip_non_pending).select("name", "status").join(
+        roots.select(F.col("src").alias("name")), "name", "left_anti")
+    counts = merged_aliases(lexicon, _plan_merges(plan), roots).groupBy("name").agg(F.count("*").alias("aliases"))
+    return stay.join(counts, "name", "left").groupBy("status").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("aliases"), F.lit(0)).alias("n_aliases"))
 
 
 def bulk_classify(

@@ -30,3 +30,17 @@ def with_row_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         .withColumn(name, F.col("_offset") + local)
         .drop("_mono", "_part", "_offset")
     )
+
+
+def with_running_sums(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """For each name the sum of its value over this row and all before it in the given order, by
+    the same sort; a partition's running sums start where the partitions before it end."""
+    placed = materialize(df.orderBy(*order).withColumn("_mono", F.monotonically_increasing_id()).withColumns(
+        {f"_v_{n}": v for n, v in values.items()}))
+    placed = placed.withColumn("_part", F.shiftright("_mono", 33))
+    sizes = placed.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
+    within = W.partitionBy("_part").orderBy("_mono").rowsBetween(W.unboundedPreceding, 0)
+    out = placed.join(offsets, "_part").withColumns({n: F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(within) for n in values})
+    return out.select(*df.columns, *values)

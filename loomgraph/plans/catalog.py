@@ -12,12 +12,14 @@ from loomgraph.operators import (
     collect as C, graph_v1, graph_v2, lexicon as L, lineage as G, mentions as M,
     papertext as P, retrieval as R, similarity as S, vector_index as VI, vector_store as VS, view,
 )
+from loomgraph.operators.closures import closure_counts
 from loomgraph.operators.ordering import with_row_index
 from loomgraph.plans import decisions, incremental
 from loomgraph.plans.rebuild import rebuild
 from loomgraph.plans.tables import Tables
 from loomgraph.schemas import LEDGER
 from loomgraph.session import Scratch, materialize, ship_package
+from loomgraph.sources import documents as D
 from loomgraph.sources.snapshots import Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,13 +153,11 @@ def bulk_plan_check(t: Tables) -> DataFrame:
 @query
 def bulk_classify(t: Tables) -> DataFrame:
     """Statuses and aliases after a plan that folds the names of one size into one target."""
-    goal = t.part.filter("p_size = 20").agg(F.min("p_partkey").alias("goal"))
-    merges = t.part.filter("p_size = 42").select("p_partkey").join(F.broadcast(goal)).select(  # one row
-        F.expr("concat('Part-', p_partkey)").alias("name"), F.lit("merge").alias("action"),
-        F.expr("concat('Part-', goal)").alias("into"))
+    goal = t.part.filter("p_size = 20").agg(F.min("p_partkey").cast("string")).scalar()
+    merges = t.part.filter("p_size = 42").select(
+        F.expr("concat('Part-', p_partkey)").alias("name"), F.lit("merge").alias("action"), F.concat(F.lit("Part-"), goal).alias("into"))
     rest = _plan(t).join(merges.select("name"), "name", "left_anti")
-    done = L.apply_plan(t.lexicon(), rest.unionByName(merges), skip_non_pending=True)
-    return done.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("aliases")).alias("n_aliases"))
+    return L.plan_outcome(t.lexicon(), rest.unionByName(merges), skip_non_pending=True)
 
 
 @query
@@ -347,6 +347,12 @@ def lineage_counts(t: Tables) -> DataFrame:
     return G.side_counts(_lineage(t, "both"))
 
 
+@query
+def lineage_all_counts(t: Tables) -> DataFrame:
+    """How many ancestors and descendants every concept has."""
+    return closure_counts(view.builds_on(_v2(t)))
+
+
 # --- texts and vectors ------------------------------------------------------------------
 
 
@@ -635,6 +641,50 @@ def ledger_upsert_stored(t: Tables) -> DataFrame:
     return _ledger_columns(store.read("ledger"))
 
 
+# --- documents, written and read back ------------------------------------------------------
+
+
+def _document(t: Tables, sections: list[D.Section]) -> str:
+    path = f"{Scratch(t.spark).root}/document"
+    D.write_document(t.spark, path, sections)
+    return path
+
+
+@query
+def lexicon_document(t: Tables) -> DataFrame:
+    rows = D.read_lexicon(t.spark, _document(t, D.lexicon_section(t.lexicon())))
+    return rows.withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query
+def lexicon_stored(t: Tables) -> DataFrame:
+    """A snapshot rebuilt from itself."""
+    store = _new_folder(t)
+    store.write("lexicon", t.lexicon().filter("ord % 2 = 0"))
+    store.write("lexicon", store.read("lexicon").unionByName(t.lexicon().filter("ord % 2 = 1")))
+    return L.rows(store.read("lexicon")).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query
+def ledger_document(t: Tables) -> DataFrame:
+    ledger = C.upsert_ledger(t.ledger(), t.found())
+    return _ledger_columns(D.read_ledger(t.spark, _document(t, D.ledger_section(ledger))))
+
+
+@query
+def graph_v1_document(t: Tables) -> DataFrame:
+    g = _v1(t)
+    edges = D.read_edges(t.spark, _document(t, D.graph_v1_sections(g.nodes, g.edges, g.node_papers)))
+    return edges.select(F.col("from").alias("src"), F.col("to").alias("dst"))
+
+
+@query
+def graph_v2_document(t: Tables) -> DataFrame:
+    g = _v2(t)
+    edges = D.read_edges(t.spark, _document(t, D.graph_v2_sections(g.papers, g.concepts, g.edges)))
+    return edges.groupBy(X.strip_prefix("from").alias("pid"), "type", X.strip_prefix("to").alias("rk")).agg(F.count("*").alias("n"))
+
+
 RULES = {"survey": ["thing"], "benchmark": ["eaux"], "analysis": ["inth"]}
 
 

@@ -458,6 +458,14 @@ ORACLES: dict[str, str] = {
       select * from texts where key in (select {canon('p_brand')} from part where p_size <= 20)""",
     "lineage_counts": closure(f"{UP}, {DOWN}", """
       select (select count(*) - 1 from up) as ancestors, (select count(*) - 1 from down) as descendants"""),
+    "lineage_all_counts": f"""
+      with recursive {V2},
+      reach as (select src as a, dst as b from lineage union select r.a, l.dst from reach r join lineage l on l.src = r.b),
+      nodes as (select src as id from lineage union select dst from lineage),
+      up as (select a as id, count(*) as n from reach where a <> b group by a),
+      down as (select b as id, count(*) as n from reach where a <> b group by b)
+      select id, coalesce(up.n, 0) as n_ancestors, coalesce(down.n, 0) as n_descendants
+      from nodes left join up using (id) left join down using (id)""",
     "text_skips": v2("""
       select count(*) filter (where trim(coalesce(text, '')) = '') as skipped from (
         select definition as text from concepts union all select problem from papers)"""),
@@ -633,3 +641,9 @@ ORACLES["ledger_upsert_stored"] = ORACLES["ledger_upsert"]
 ORACLES["rebuild_counts_delta"] = ORACLES["rebuild_counts"]
 ORACLES["graph_v1_nodes_delta"] = ORACLES["graph_v1_nodes"]
 ORACLES["graph_v1_edges_delta"] = ORACLES["graph_v1_edges"]
+ORACLES["lexicon_stored"] = ORACLES["lexicon_rows"]
+ORACLES["lexicon_document"] = f"""{LEX_ONLY}
+      select row_number() over (order by ord) - 1 as ord, name, concat(a1, '|', a2) as aliases, status, definition, source, first_seen from lex"""
+ORACLES["ledger_document"] = ORACLES["ledger_upsert"]
+ORACLES["graph_v1_document"] = ORACLES["graph_v1_edges"]
+ORACLES["graph_v2_document"] = ORACLES["graph_v2_edges"]

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomgraph.operators.ordering import with_row_index
+from loomgraph.schemas import LEDGER
 
 
 @dataclass
@@ -172,3 +173,44 @@ def draw_sections(nodes: DataFrame, links: DataFrame, sim_pairs: DataFrame, conc
         Section("sim_pairs", sim_pairs, F.struct("source", "target", "sim"),
                 F.concat_ws("\u0000", "source", "target")),
     ]
+
+
+# --- reading documents back ---------------------------------------------------------------
+
+#: An entry of an object and a row of an array are lines of their own, so they are read by all tasks.
+ENTRY = r'^,?("[^"\\]*+(?:\\.[^"\\]*+)*+"): (\{.*\})$'
+ROW = r"^,?(\{.*\})$"
+
+
+def read_entries(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """at, key and the fields of `value` (DDL) of each entry whose object is one line; `at` is the order
+    of the document, null fields are those that could not be read."""
+    text = F.col("value")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    key = F.concat(F.lit('{"k":'), F.regexp_extract(text, ENTRY, 1), F.lit("}"))
+    return lines.filter(text.rlike(ENTRY)).select(
+        F.struct("file", "line").alias("at"), F.from_json(key, "k string")["k"].alias("key"),
+        F.from_json(F.regexp_extract(text, ENTRY, 2), value).alias("v")).select("at", "key", "v.*")
+
+
+def read_rows(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """The fields of `value` of each array row of the document that has the first of them."""
+    rows = spark.read.text(path).filter(F.col("value").rlike(ROW)).select(F.from_json(F.regexp_extract("value", ROW, 1), value).alias("v"))
+    return rows.select("v.*").filter(F.col(value.split()[0].strip("`")).isNotNull())
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """Lexicon rows of a document written from `lexicon_section`, in its order."""
+    rows = read_entries(spark, path, "aliases array<string>, status string, definition string, source string, first_seen string")
+    return with_row_index(rows, [F.col("at")], "ord").select("ord", F.col("key").alias("name"), "aliases", "status", "definition", "source", "first_seen")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of a document written from `ledger_section`."""
+    rows = read_entries(spark, path, LEDGER.split(", ", 1)[1])
+    return rows.drop("at").withColumnRenamed("key", "aid")
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """type (null in single-type graphs), from, to of a graph document."""
+    return read_rows(spark, path, "`from` string, `to` string, type string").select("type", "from", "to")

@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 
 from loomgraph.operators import lineage as G
+from loomgraph.operators.closures import closure_counts
 from loomgraph.plans import commands as K
 
 
@@ -127,3 +128,29 @@ def test_offline_translator(spark, text, call):
     names = spark.createDataFrame([("Self-RAG",), ("rag",), ("",)], "canonical string")
     got = KeywordTranslator().translate(text, names)
     assert (got["tool"], got.get("args")) == call
+
+
+@pytest.mark.parametrize("seed, words", [(1, 1), (2, 2)])
+def test_closure_counts_of_every_node(spark, seed, words):
+    """Several blocks of starts, cycles, loops and a long chain against a reachability matrix."""
+    rng = random.Random(seed)
+    names = [f"n{i:03d}" for i in range(150)]
+    pairs = [(rng.choice(names[:90]), rng.choice(names[:90])) for _ in range(110)] + list(zip(names[90:], names[91:])) + [("n001", "n001"), ("n140", "n130")]
+    ids = sorted({x for p in pairs for x in p})
+    at = {x: i for i, x in enumerate(ids)}
+    reach = np.eye(len(ids), dtype=bool)
+    for a, b in pairs:
+        reach[at[a], at[b]] = True
+    while True:
+        more = reach | ((reach.astype(int) @ reach.astype(int)) > 0)
+        if (more == reach).all():
+            break
+        reach = more
+    want = sorted((x, int(reach[i].sum()) - 1, int(reach[:, i].sum()) - 1) for i, x in enumerate(ids))
+    e, _ = graph(spark, pairs + pairs[:5])
+    assert rows(closure_counts(e, words), "id", "n_ancestors", "n_descendants") == want
+
+
+def test_closure_counts_of_nothing(spark):
+    assert closure_counts(spark.createDataFrame([], "src string, dst string")).count() == 0
+    assert rows(closure_counts(spark.createDataFrame([("a", "a")], "src string, dst string"))) == [("a", 0, 0)]
