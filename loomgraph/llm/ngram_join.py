@@ -15,7 +15,8 @@ collisions change no result.
 Equal sets are one class. In each list every class is first compared with one hub only, the class
 with the most company, and components are formed. Then the pairs of a list that are still in different
 components are compared, which is what an exact answer needs; a group of near copies is by
-then one component and makes no pairs. A bitmap of about four bits per element bounds the overlap from
+then one component and makes no pairs. Of these pairs the place of the list's elements in the two orders
+drops those that have too many elements of their own before it. A bitmap of about four bits per element bounds the overlap from
 above and drops most pairs before whole sets are fetched; what remains is compared exactly.
 
 Defined results: null and blank text has an empty set, links with nothing and is its own
@@ -193,19 +194,23 @@ def boundary(sizes: list[tuple[int, int]], heavier: int, rule: Rule, scan_cost:
     return found
 
 
-def signatures(s: np.ndarray, rank: np.ndarray, light: int, rule: Rule) -> np.ndarray:
+def signatures(s: np.ndarray, rank: np.ndarray, light: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """The lists a set enters, and for each how many elements it can share at most with a set whose first
+    common elements are those of the list: these and what stands behind the last of them in its order."""
     n = len(s)
     if n < rule.smallest:
-        return s[:0]
+        return s[:0], np.zeros(0, np.int64)
     ordered = s[np.lexsort((s, rank))[: rule.prefix(n, 2)]]
-    out = []
+    out, most = [], []
     if n <= light:
         pairs = np.array(list(itertools.combinations(range(len(ordered)), 2)))
         # the two may be ordered either way by value; the order of the prefix is the same in both sets
         out.append(mix(ordered[pairs[:, 0]] * np.uint64(0x9E3779B97F4A7C15) + ordered[pairs[:, 1]]))
+        most.append(2 + n - 1 - pairs[:, 1])
     if rule.den * n > rule.num * light:
         out.append(ordered[: rule.prefix(n, 1)])
-    return np.concatenate(out)
+        most.append(n - np.arange(len(out[-1])))
+    return np.concatenate(out), np.concatenate(most)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -244,33 +249,35 @@ class Join:
         self.light = boundary(sizes, int(above or 0), rule)
 
     def postings(self) -> DataFrame:
-        """list, id, n: the elements of all lists with at least two classes."""
+        """list, id, n, most: the elements of all lists with at least two classes; `most` bounds the overlap
+        of a linked set that has its first common elements in this list."""
         rule, levels, light, seed = self.rule, self.levels, self.light, self.seed
 
         def run(batches):
             seen: set[int] = set()
             for whole in batches:
                 for b in chunks(whole, "text"):
-                    sigs, ids, ns = [], [], []
+                    sigs, most, ids, ns = [], [], [], []
                     for s, rank in ranked_sets(b.column("text"), rule.size, *levels.value):
                         i = class_id(s, seed)
                         if i in seen:  # a copy of a document this task has sent
                             continue
                         if len(seen) < 1_000_000:
                             seen.add(i)
-                        sigs.append(signatures(s, rank, light, rule))
-                        ids.append(i), ns.append(len(s))
+                        lists, bounds = signatures(s, rank, light, rule)
+                        sigs.append(lists), most.append(bounds), ids.append(i), ns.append(len(s))
                     if sigs:
                         k = [len(x) for x in sigs]
                         yield pa.RecordBatch.from_arrays(
-                            [long_array(np.concatenate(sigs)), pa.array(np.repeat(ids, k), pa.int64()), pa.array(np.repeat(ns, k), pa.int64())], ["sig", "id", "n"])
+                            [long_array(np.concatenate(sigs)), pa.array(np.repeat(ids, k), pa.int64()), pa.array(np.repeat(ns, k), pa.int64()),
+                             pa.array(np.concatenate(most).astype(np.int32))], ["sig", "id", "n", "most"])
 
         # written in columns: the ids of neighbouring rows are equal and take next to no room
-        sent = self.scratch.write("sent", self.rows.select("text").mapInArrow(run, "sig bigint, id bigint, n bigint"))
+        sent = self.scratch.write("sent", self.rows.select("text").mapInArrow(run, "sig bigint, id bigint, n bigint, most int"))
         shared = materialize(sent.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
                              .filter("lo <> hi").select(F.col("sig").alias("list")))
         lists = self.scratch.write("lists", sent.join(shared, F.col("sig") == F.col("list"))
-                                   .select("list", "id", "n").distinct())
+                                   .groupBy("list", "id", "n").agg(F.max("most").alias("most")))
         self.scratch.remove("sent")
         return lists
 
@@ -330,11 +337,14 @@ class Join:
         return self.compared(materialize(near), "hubs")
 
     def pair_by_pair(self, lists: DataFrame) -> DataFrame:
-        """Links a, b between classes of one list that are not connected yet."""
-        x, y = (lists.select("list", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "label"))) for k in "ab")
+        """Links a, b between classes of one list that are not connected yet. A link is found in the list of its
+        first common elements, so pairs whose bounds there do not reach the overlap they need are none: elements
+        that only one set has come first in its order, and near copies below the threshold end here."""
+        x, y = (lists.select("list", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "label", "most"))) for k in "ab")
         num, den = self.rule.num, self.rule.den
         pairs = x.join(y, "list").filter((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
-                                         & (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num))
+                                         & (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+                                         & (F.least("most_a", "most_b") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num))
         rest = self.apart(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
         return self.compared(materialize(rest.filter(self.may_link()).select("a", "b")), "pairs")
 
@@ -344,10 +354,10 @@ class Join:
         links = self.with_hubs(lists)
         labels = components(links)
         tagged = self.scratch.write("tagged", lists.join(labels.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left")
-                                    .select("list", "id", "n", F.coalesce("label", "id").alias("label")))
+                                    .select("list", "id", "n", "most", F.coalesce("label", "id").alias("label")))
         open_ = materialize(tagged.groupBy(F.col("list").alias("of")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                             .filter("lo <> hi").select("of"))
-        more = self.pair_by_pair(tagged.join(open_, F.col("list") == F.col("of")).select("list", "id", "n", "label"))
+        more = self.pair_by_pair(tagged.join(open_, F.col("list") == F.col("of")).select("list", "id", "n", "most", "label"))
         return labels if more.isEmpty() else components(links.unionByName(more))
 
 
