@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.external import Embedder, embed_texts
-from loomgraph.operators import graph_v2, lexicon as L, similarity as S, vector_store as VS, view
+from loomgraph.operators import graph_v2, lexicon as L, retrieval as R, similarity as S, vector_index as VI, vector_store as VS, view
 from loomgraph.plans import commands, incremental
 from loomgraph.plans.workflow import CollectWorkflow
-from loomgraph.schemas import VECTORS
+from loomgraph.schemas import PAPERS, SCORE_FLOOR, TOP_K, VECTORS
+from loomgraph.sources.records import dry_run
 from loomgraph.sources.snapshots import Snapshots
 
 
@@ -64,6 +65,22 @@ class Workbench:
         store = self.store.read("vectors", VECTORS)
         return VS.summary(self.store.write("vectors", VS.refresh(VS.v2_texts(g.concepts, g.papers), store, embedder, force)))
 
+    def index_vectors(self, node_type: str, **fitting) -> None:
+        """Builds the index of the stored vectors of one node type; tables and quantizer change together."""
+        vectors = R.split_by_type(self.store.read("vectors", VECTORS), node_type).select("id", "vec")
+        with self.store.commit() as c:
+            built = VI.index(vectors, lambda _, df: c.write(f"index_{node_type}", df), **fitting)
+            c.write(f"quantizer_{node_type}", built.quantizer.to_frame(self.store.spark))
+
+    def match_many(self, queries: DataFrame, node_type: str, top: int = TOP_K, floor: float = SCORE_FLOOR, exact: bool = False) -> DataFrame:
+        """qid, rank, id, score for each (qid, vec), through the index of the node type."""
+        quantizer = VI.Quantizer.from_frame(self.store.read(f"quantizer_{node_type}"))
+        return VI.search(VI.VectorIndex(quantizer, self.store.read(f"index_{node_type}")), queries, top, floor, exact)
+
+    def sample(self, n: int = 3) -> DataFrame:
+        """The first stored papers in id order, to look at before a full run."""
+        return dry_run(self.store.read("papers", PAPERS), n)
+
     def similarity(self, contents: DataFrame, embedder: Embedder, floor: float = -1.0, top: int = 5) -> FieldSimilarity:
         """Pairs of content records per text field, stored as `similarity`, with summary and best pairs."""
         texts = S.long_fields(S.field_texts(contents))

@@ -3,8 +3,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from loomgraph.api import Workbench
 from loomgraph.operators import retrieval as R, vector_index as VI
+from loomgraph.schemas import PAPERS
 from loomgraph.session import Scratch, ship_package
+from loomgraph.sources.snapshots import Snapshots
 
 RNG = np.random.default_rng(11)
 
@@ -106,3 +109,19 @@ def test_nothing_to_index(spark, idx, asked):
     assert VI.search(idx, asked.filter("false")).count() == 0
     empty = VI.VectorIndex(idx.quantizer, Scratch(spark).write("none", VI.build(none, idx.quantizer)))
     assert VI.search(empty, asked).count() == 0 and VI.search(empty, asked, exact=True).count() == 0
+
+
+def test_index_in_a_store(spark, data, asked, tmp_path):
+    store = Snapshots(spark, str(tmp_path))
+    named = data[1].select(F.lit("m").alias("model"), F.concat(F.lit("concept:"), "id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    store.write("vectors", named.unionByName(named.limit(5).withColumn("id", F.concat(F.lit("paper:"), "id"))))
+    bench = Workbench(spark, str(tmp_path))
+    bench.index_vectors("concept", sample_rows=400, parts=8)
+    found, exact = (bench.match_many(asked, "concept", exact=e) for e in (False, True))
+    assert VI.recall_of(found, exact).first()["share"] >= 0.9
+    assert exact.filter("not id like 'concept:%'").isEmpty() and exact.filter("rank = 1").count() == asked.count()
+
+
+def test_sample_of_papers(spark, tmp_path):
+    Snapshots(spark, str(tmp_path)).write("papers", spark.createDataFrame([(str(i), None, None, None, None, None) for i in range(9)], PAPERS))
+    assert rows(Workbench(spark, str(tmp_path)).sample(), "pid") == [("0",), ("1",), ("2",)]
