@@ -28,6 +28,9 @@ def _lines(rows: DataFrame) -> DataFrame:
             .select("row_ord", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
 
 
+SALTS = 32
+
+
 def boilerplate_lines(lines: DataFrame, min_sites: int = 10, band: float = 0.2, lg_k: int = 12) -> DataFrame:
     """h1, h2 of the lines on at least `min_sites` distinct sites."""
     spread = (lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
@@ -35,7 +38,8 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = 10, band: float = 0.2,
               .filter(F.col("sites") >= min_sites * (1 - band)))
     spread = materialize(spread)
     near = spread.filter(F.col("sites") < min_sites * (1 + band)).select("h1", "h2")
-    exact = (lines.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
+    places = lines.select("h1", "h2", "site").distinct()  # first, so that a hot line is a row per site
+    exact = (places.join(near, ["h1", "h2"], "left_semi")
              .groupBy("h1", "h2").count().filter(F.col("count") >= min_sites).select("h1", "h2"))
     return materialize(spread.filter(F.col("sites") >= min_sites * (1 + band)).select("h1", "h2").unionByName(exact))
 
@@ -49,7 +53,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("site"))
     lines = _lines(rows)
     spread = boilerplate_lines(lines, min_sites, band)
-    cut = (lines.join(spread, ["h1", "h2"], "left_semi").groupBy("row_ord")
+    # a line in a third of all documents is dealt over SALTS tasks by document
+    salted = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cut = (lines.withColumn("salt", F.pmod(F.xxhash64("row_ord"), F.lit(SALTS)).cast("int"))
+           .join(salted, ["h1", "h2", "salt"], "left_semi").groupBy("row_ord")
            .agg(F.collect_set("at").alias("gone")).withColumnRenamed("row_ord", "cut_ord"))
     pieces = F.split("text", "\n")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
