@@ -75,6 +75,12 @@ def _tile_pairs(distinct: DataFrame, tile_rows: int) -> DataFrame:
 
 
 MAX_PIVOTS = 512
+DIRECT_TILES = 8  # up to so many, all pairs of tiles are compared without looking for those that matter
+
+
+def _few(distinct: DataFrame, tile_rows: int) -> bool:
+    """Would looking for pivots cost more than the products it can spare?"""
+    return distinct.limit(DIRECT_TILES * tile_rows + 1).count() <= DIRECT_TILES * tile_rows
 
 
 @dataclass
@@ -239,10 +245,10 @@ def top_pairs(vectors: DataFrame, k: int = 5, tile_rows: int = TILE_ROWS) -> Dat
     usable = vectors.filter(F.exists("vec", lambda x: x != 0)).select(
         "field", "id", F.col("vec").cast("array<double>").alias("vec")
     )
-    plan = tile_plan(checked(
+    compared = checked(
         usable.withColumn("rank", rank).filter(F.col("rank") <= k + 1)
         .select("field", "id", "vec", F.lit(1).cast("bigint").alias("n"))
-    ), tile_rows)
+    )
 
     def best(key, table):
         i, j, milli, valid = _tile_sims(table)
@@ -250,11 +256,17 @@ def top_pairs(vectors: DataFrame, k: int = 5, tile_rows: int = TILE_ROWS) -> Dat
         bar = np.partition(values, -k)[-k] if len(values) > k else -1001
         return _with_field(key, _pair_table(table, i, j, milli, valid & (milli >= bar), k))
 
+    def best_of(groups):
+        return groups.groupBy("field", "lo", "hi").applyInArrow(best, f"field string, {_pair_schema(vectors)}")
+
     def of(chosen):
-        return materialize(plan.groups(chosen, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
-            best, f"field string, {_pair_schema(vectors)}"))
+        return materialize(best_of(plan.groups(chosen, tile_rows)))
 
     ranked = F.row_number().over(W.partitionBy("field").orderBy(F.desc("sim"), "a", "b"))
+    if _few(compared, tile_rows):
+        both = best_of(_tile_pairs(compared, tile_rows)).withColumn("rank", ranked).filter(F.col("rank") <= k)
+        return both.select("field", "a", "b", "sim")
+    plan = tile_plan(compared, tile_rows)
     inside = of({f: np.eye(len(n), dtype=bool) & (n > 0)[:, None] for f, n in plan.tiles.items()})
     floors = {r["field"]: r["sim"] for r in inside.withColumn("rank", ranked).filter(F.col("rank") == k).collect()}
     across = {f: plan.reachable(f, floors.get(f, -1.0)) & ~np.eye(len(n), dtype=bool) for f, n in plan.tiles.items()}
@@ -283,8 +295,12 @@ def pairs(vectors: DataFrame, floor: float, tile_rows: int = TILE_ROWS) -> DataF
         return _with_field(key, _pair_table(table, i, j, milli, valid & (milli >= bar)))
 
     distinct = checked(distinct_vectors(vectors))
-    plan = tile_plan(distinct, tile_rows)
-    between = plan.groups({f: plan.reachable(f, bar / 1000) for f in plan.tiles}, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
+    if _few(distinct, tile_rows):
+        groups = _tile_pairs(distinct, tile_rows)
+    else:
+        plan = tile_plan(distinct, tile_rows)
+        groups = plan.groups({f: plan.reachable(f, bar / 1000) for f in plan.tiles}, tile_rows)
+    between = groups.groupBy("field", "lo", "hi").applyInArrow(
         select, f"field string, {_pair_schema(vectors)}"
     ).select("field", "a", "b", "sim", F.expr("n_a * n_b").alias("node_pairs"))
     within = distinct.filter((F.col("n") > 1) & F.lit(bar <= 1000)).select(
