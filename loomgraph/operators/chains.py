@@ -13,10 +13,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomgraph.operators.ordering import with_running_sums
+from loomgraph.operators.ordering import with_row_index, with_running_sums
 from loomgraph.session import materialize
 
 
+SHORT_ROUNDS = 5
+
+
 class Circle(ValueError):
     """Merges that lead back to where they start."""
 
@@ -35,6 +38,31 @@ def chain_ends(step: DataFrame) -> DataFrame:
     raise Circle  # no chain is longer than there are merges
 
 
+def short_chains(step: DataFrame) -> DataFrame | None:
+    """src, root, path (seq and name from below the root down) where no chain is longer than
+    2 ** (SHORT_ROUNDS - 1) merges, else None. Paths are joined by the same doubling."""
+    ends = step.select("src", F.col("dst").alias("root"), F.array(F.struct("seq", F.col("src").alias("name"))).alias("path"))
+    for _ in range(SHORT_ROUNDS):
+        up = ends.select(F.col("src").alias("via"), F.col("root").alias("up"), F.col("path").alias("above"))
+        met = materialize(ends.join(up, F.col("root") == F.col("via"), "left").select(
+            "src", F.coalesce("up", "root").alias("root"), F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"),
+            F.col("up").isNotNull().alias("moved")))
+        ends = met.select("src", "root", "path")
+        if met.filter("moved").isEmpty():
+            return ends
+    return None
+
+
+def ends_and_places(step: DataFrame) -> DataFrame:
+    """src, root, place. Short chains are sorted by their paths, which costs one sort; longer ones are ranked."""
+    short = short_chains(step)
+    if short is None:
+        return chain_ends(step).join(walk_places(step), "src")
+    placed = with_row_index(short, [F.col("root"), F.col("path")], "i").select("src", "root", "i")
+    first = placed.groupBy(F.col("root").alias("of")).agg(F.min("i").alias("lo"))
+    return placed.join(first, F.col("root") == F.col("of")).select("src", "root", (F.col("i") - F.col("lo")).alias("place"))
+
+
 def ranked(stations: DataFrame) -> DataFrame:
     """id, total for each station (id, before, weight): its weight and those of all stations before it."""
     now = stations.select("id", "before", F.col("weight").alias("total"))

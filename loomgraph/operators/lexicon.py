@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.text import canon, contains_text, or_empty, strip
-from loomgraph.operators.chains import Circle, chain_ends, walk_places
+from loomgraph.operators.chains import Circle, ends_and_places
 from loomgraph.schemas import EDITABLE_FIELDS
 from loomgraph.operators.ordering import with_row_index
 from loomgraph.session import materialize
@@ -199,10 +199,9 @@ def merge_roots(lexicon: DataFrame, merges: DataFrame) -> DataFrame:
         .groupBy("src").agg(F.min(F.struct("seq", "dst")).alias("m")).select("src", "m.dst", "m.seq")
     )
     try:
-        ends = chain_ends(step)
+        return ends_and_places(step)
     except Circle:
         raise LexiconError("bad_request", "merges form a circle") from None
-    return ends.join(walk_places(step), "src")
 
 
 def merged_aliases(lexicon: DataFrame, merges: DataFrame, roots: DataFrame | None = None) -> DataFrame:

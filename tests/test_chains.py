@@ -39,8 +39,11 @@ def answer(spark, steps):
 def test_random_forests(spark, seed):
     rng = random.Random(seed)
     names = [f"n{i:03d}" for i in range(120)]
-    steps = [(names[i], names[rng.randrange(max(0, i - rng.choice([2, 9, 120])), i)], rng.randrange(6)) for i in range(1, 120) if rng.random() < 0.9]
+    steps = [(names[i], names[rng.randrange(max(0, i - (120 if seed == 1 else rng.choice([1, 2, 2, 9]))), i)], rng.randrange(6)) for i in range(1, 120) if rng.random() < (0.9 if seed == 1 else 0.99)]
     assert answer(spark, steps) == walked(steps)
+    step = frame(spark, steps)
+    assert (chains.short_chains(step) is None) == (seed == 2)
+    assert {r["src"]: (r["root"], r["place"]) for r in chains.ends_and_places(step).collect()} == walked(steps)
 
 
 def test_a_star_has_no_stations(spark):
