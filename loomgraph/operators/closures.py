@@ -1,25 +1,35 @@
-"""Closure sizes of every node at once: breadth-first search from many starts in the bits of numbers.
+"""Closure sizes of every node at once: the graph is made small first, then searched from many starts in bits.
 
-Nodes are numbered, and taken as starts in blocks of 64 * `words`. In a round every node passes the
+Sizes of all closures are quadratic work by nature, so what can be counted without a search is taken out, with
+the same results. Nodes on common cycles have the same closure: a few passes of label spreading put each such
+component under one node with its size as weight. With up to 64 * `words` of these as hubs, two searches say
+which hubs a node reaches and which reach it; an edge from a node that reaches a hub to one the hub reaches says
+nothing new and is left out. A node whose only edge leads to or from one neighbour then has the neighbour's
+closure and itself, so it is folded into the neighbour's weight and counted afterwards.
+
+What is left is taken as starts in blocks of 64 * `words`. In a round every node passes the
 starts that reached it in the round before to its targets; they are merged per target by a bitwise
 or, which combines map-side, so a hub costs each task one row. A block needs as many rounds as its
 longest shortest path, whatever the number of starts in it, and the work of a round is that of one
-walk along the edges it still has to pass.
+walk along the edges it still has to pass. A graph without cycles or hubs keeps all its nodes here.
 
-From the same bits come both figures: how many nodes a start has reached (its ancestors, as edges lead
-to what a concept builds on), and how many starts have reached a node (its descendants). The state of
+From the same bits come both figures: the weight of the nodes a start has reached (its ancestors, as edges lead
+to what a concept builds on), and that of the starts that have reached a node (its descendants). The state of
 a block is one row of `words` numbers per node; superseded tables are removed."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomgraph.operators.ordering import with_row_index
 from loomgraph.session import Scratch
 
 COUNTS = "id {kind}, n_ancestors bigint, n_descendants bigint"
+PASSES = 8       # of looking for components; what they leave is searched as it is
+FOLDS = 16       # of folding nodes into their only neighbour
+NODE_BITS = 40   # of a label, below its rank
 
 
 def numbered(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,13 +42,72 @@ def numbered(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, scratch.write("pairs", named.select("s", "t"))
 
 
-def reached_by_block(scratch: Scratch, nodes: DataFrame, pairs: DataFrame, block: int, words: int) -> DataFrame:
-    """v and words w0, w1, ... of each node: which starts of the block reach it, itself among them."""
-    at = F.col("v") - block * 64 * words
-    first = [F.when(F.floor(at / 64) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("bigint"))
-             for k in range(words)]
-    state = nodes.select("v", *[b.alias(f"w{k}") for k, b in enumerate(first)], *[b.alias(f"d{k}") for k, b in enumerate(first)])
-    state = scratch.write(f"block-{block}-0", state)
+def turned(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("t").alias("s"), F.col("s").alias("t"))
+
+
+def degrees(pairs: DataFrame) -> DataFrame:
+    """v, n_out, n_in of every node that has an edge."""
+    ends = pairs.select(F.col("s").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
+        pairs.select(F.col("t").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    return ends.groupBy("v").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+
+
+# --- components -------------------------------------------------------------------------------
+
+
+def spread(scratch: Scratch, name: str, state: DataFrame, pairs: DataFrame) -> DataFrame:
+    """v, x: the largest x among a node and all that reach it; `new` rows of the state are passed on."""
+    state, step = scratch.write(f"{name}-0", state), 0
+    while not state.filter("new").isEmpty():
+        step += 1
+        met = pairs.join(state.filter("new").select("v", "x"), F.col("s") == F.col("v")).groupBy("t").agg(F.max("x").alias("m"))
+        nxt = state.join(met, F.col("v") == F.col("t"), "left").select(
+            "v", F.greatest("x", "m").alias("x"), F.coalesce(F.col("m") > F.col("x"), F.lit(False)).alias("new"))
+        state = scratch.write(f"{name}-{step}", nxt)
+        scratch.remove(f"{name}-{step - 1}")
+    return state.select("v", "x")
+
+
+def components(scratch: Scratch, pairs: DataFrame) -> tuple[DataFrame | None, bool]:
+    """v, c: nodes that share a cycle with c, c left out; and whether no other cycle is left. Labels, highest
+    for nodes with many edges in and out, spread forwards; the nodes of one label that reach its first node
+    are one component, and edges between labels are in none."""
+    moved, rest = None, pairs
+    for n in range(PASSES):
+        rank = F.least(F.col("n_out") * F.col("n_in"), F.lit(1 << 22)).cast("bigint")
+        label = F.call_function("shiftleft", rank, F.lit(NODE_BITS)).bitwiseOR(F.col("v"))
+        core = scratch.write(f"core-{n}", degrees(rest).filter("n_out > 0 and n_in > 0").select("v", label.alias("x"), F.lit(True).alias("new")))
+        inner = scratch.write(f"inner-{n}", rest.join(core.select(F.col("v").alias("s")), "s", "left_semi").join(
+            core.select(F.col("v").alias("t")), "t", "left_semi").select("s", "t"))
+        if inner.isEmpty():
+            return moved, True
+        colors = spread(scratch, f"color-{n}", core, inner)
+        same = scratch.write(f"same-{n}", inner.join(colors.select(F.col("v").alias("s"), F.col("x").alias("xs")), "s").join(
+            colors.select(F.col("v").alias("t"), F.col("x").alias("xt")), "t").filter("xs = xt").select("s", "t"))
+        c = F.col("x").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
+        back = spread(scratch, f"back-{n}", colors.select("v", F.when(c == F.col("v"), 1).otherwise(0).alias("x"), (c == F.col("v")).alias("new")), turned(same))
+        found = scratch.write(f"found-{n}", back.filter("x = 1").select("v").join(colors, "v").select("v", c.alias("c")))
+        own = found.filter("v <> c")
+        moved = own if moved is None else moved.unionByName(own)
+        rest = same.join(found.select(F.col("v").alias("s")), "s", "left_anti").join(found.select(F.col("v").alias("t")), "t", "left_anti").select("s", "t")
+    return moved, rest.isEmpty()
+
+
+# --- searches from many starts ----------------------------------------------------------------------
+
+
+def _bits(slot: Column, words: int) -> list[Column]:
+    """The bit of a slot in `words` numbers; none where the slot is null."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
+    return [F.when(F.floor(slot / 64) == k, bit).otherwise(F.lit(0).cast("bigint")) for k in range(words)]
+
+
+def reached(scratch: Scratch, name: str, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """v, slot and words w0, w1, ... of each node (v, slot): which starts, the nodes with a slot, reach it, itself among them."""
+    first = _bits(F.col("slot"), words)
+    state = nodes.select("v", "slot", *[b.alias(f"w{k}") for k, b in enumerate(first)], *[b.alias(f"d{k}") for k, b in enumerate(first)])
+    state = scratch.write(f"{name}-0", state)
     new = " or ".join(f"d{k} <> 0" for k in range(words))
     step = 0
     while not state.filter(new).isEmpty():
@@ -47,47 +116,127 @@ def reached_by_block(scratch: Scratch, nodes: DataFrame, pairs: DataFrame, block
         met = pairs.join(sent, pairs["s"] == sent["v"]).groupBy("t").agg(*[F.bit_or(f"d{k}").alias(f"r{k}") for k in range(words)])
         got = [F.coalesce(f"r{k}", F.lit(0).cast("bigint")) for k in range(words)]
         nxt = state.join(met, F.col("v") == F.col("t"), "left").select(
-            "v", *[F.col(f"w{k}").bitwiseOR(got[k]).alias(f"w{k}") for k in range(words)],
+            "v", "slot", *[F.col(f"w{k}").bitwiseOR(got[k]).alias(f"w{k}") for k in range(words)],
             *[got[k].bitwiseAND(F.bitwise_not(f"w{k}")).alias(f"d{k}") for k in range(words)])
-        state = scratch.write(f"block-{block}-{step}", nxt)
-        scratch.remove(f"block-{block}-{step - 1}")
+        state = scratch.write(f"{name}-{step}", nxt)
+        scratch.remove(f"{name}-{step - 1}")
     return state
 
 
-def starts_of(state: DataFrame, block: int, words: int) -> DataFrame:
-    """v, n of the starts of a block: how many nodes they reached. A task counts its bits in one pass."""
+def telling(scratch: Scratch, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Edges of a graph without cycles, those left out that a path over a hub replaces. Hubs are the heaviest
+    nodes (v, n); with every replaced edge out, the paths that replace it remain."""
+    rank = F.row_number().over(W.orderBy(F.desc("n"), "v")) - 1
+    hubs = scratch.write("hubs", nodes.filter("n > 1").orderBy(F.desc("n"), "v").limit(64 * words).select("v", rank.alias("slot")))
+    if hubs.isEmpty():
+        return pairs
+    slots = nodes.select("v").join(hubs, "v", "left")
 
-    def run(batches):
-        total = np.zeros(64 * words, np.int64)
-        for b in batches:
-            bits = np.stack([b.column(f"w{k}").to_numpy() for k in range(words)], axis=1).view(np.uint8).reshape(b.num_rows, -1)
-            total += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at + block * 64 * words), pa.array(total[at])], ["v", "n"])
+    def others(name: str, edges: DataFrame, end: str, as_: str) -> DataFrame:
+        hit = reached(scratch, name, slots, edges, words)
+        own = _bits(F.col("slot"), words)
+        return hit.select(F.col("v").alias(end), *[F.col(f"w{k}").bitwiseAND(F.bitwise_not(own[k])).alias(f"{as_}{k}") for k in range(words)])
+
+    after, before = others("hubs-after", turned(pairs), "s", "a"), others("hubs-before", pairs, "t", "b")
+    met = " or ".join(f"(a{k} & b{k}) <> 0" for k in range(words))
+    return scratch.write("telling", pairs.join(after, "s").join(before, "t").filter(f"not ({met})").select("s", "t"))
 
-    counts = state.select(*[f"w{k}" for k in range(words)]).mapInArrow(run, "v bigint, n bigint")
-    return counts.groupBy("v").agg(F.sum("n").alias("n"))
+
+def weigh(scratch: Scratch, block: int, state: DataFrame, words: int) -> DataFrame:
+    """kind, v, n for the states (v, slot, up, down, words) of a block: `up` weight each start has reached,
+    `down` weight of the starts that have reached each node."""
+    starts = {r["slot"]: (r["v"], r["down"]) for r in state.filter("slot is not null").select("slot", "v", "down").collect()}
+    at = np.array([starts[k][0] for k in range(len(starts))], np.int64)
+    down = np.zeros(64 * words)
+    down[:len(starts)] = [starts[k][1] for k in range(len(starts))]
+
+    def run(batches):
+        total = np.zeros(64 * words)
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1024):
+                b = whole.slice(low, 1024)
+                words_of = np.stack([b.column(f"w{k}").to_numpy() for k in range(words)], axis=1).view(np.uint8).reshape(b.num_rows, -1)
+                bits = np.unpackbits(words_of, axis=1, bitorder="little").astype(np.float64)
+                total += b.column("up").to_numpy().astype(np.float64) @ bits
+                n = (bits @ down).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(["down"] * len(n)), b.column("v"), pa.array(n)], ["kind", "v", "n"])
+        seen = np.flatnonzero(total[:len(at)])
+        yield pa.RecordBatch.from_arrays([pa.array(["up"] * len(seen), pa.string()), pa.array(at[seen]), pa.array(total[seen].astype(np.int64))], ["kind", "v", "n"])
+
+    counts = state.select("v", "up", *[f"w{k}" for k in range(words)]).mapInArrow(run, "kind string, v bigint, n bigint")
+    return scratch.write(f"weights-{block}", counts.groupBy("kind", "v").agg(F.sum("n").alias("n")))
+
+
+def searched(scratch: Scratch, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """v, n_up, n_down of the nodes (v, up, down), by searches from all of them that have edges."""
+    linked = nodes.join(degrees(pairs).select("v"), "v", "left_semi")
+    alone = nodes.join(degrees(pairs).select("v"), "v", "left_anti").select("v", F.col("up").alias("n_up"), F.col("down").alias("n_down"))
+    placed = scratch.write("placed", with_row_index(linked, [F.col("v")], "i"))
+    size = 64 * words
+    parts = None
+    for block in range(-(-placed.count() // size)):
+        slot = F.when(F.floor(F.col("i") / size) == block, F.pmod(F.col("i"), F.lit(size))).cast("int")
+        state = reached(scratch, f"block-{block}", placed.select("v", slot.alias("slot")), pairs, words)
+        part = weigh(scratch, block, state.join(placed.select("v", "up", "down"), "v"), words)
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return alone
+    total = [F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(f"n_{k}") for k in ("up", "down")]
+    return alone.unionByName(parts.groupBy("v").agg(*total))
+
+
+# --- folding ----------------------------------------------------------------------------------------
+
+
+def folded(scratch: Scratch, nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Nodes and edges that are left, and the rounds of nodes (v, up, down, into, last) that were folded into
+    their only neighbour: `last` ones have one edge in and none out, others one edge out and none in."""
+    rounds, idle = [], 0
+    for n in range(FOLDS):
+        last = n % 2 == 0
+        few = scratch.write(f"few-{n}", degrees(pairs).filter("n_in = 1 and n_out = 0" if last else "n_out = 1 and n_in = 0").select("v"))
+        if few.isEmpty():
+            idle += 1
+            if idle == 2:
+                break
+            continue
+        idle = 0
+        mine, other = ("t", "s") if last else ("s", "t")
+        gone = scratch.write(f"gone-{n}", few.join(pairs.select(F.col(mine).alias("v"), F.col(other).alias("into")), "v")
+                             .join(nodes, "v").select("v", "up", "down", "into", F.lit(last).alias("last")))
+        more = gone.groupBy(F.col("into").alias("v")).agg(F.sum("up" if last else "down").alias("more"))
+        grown = {c: F.col(c) + F.coalesce("more", F.lit(0)) if (c == "up") == last else F.col(c) for c in ("up", "down")}
+        nodes = scratch.write(f"kept-{n}", nodes.join(few, "v", "left_anti").join(more, "v", "left").select("v", *[x.alias(c) for c, x in grown.items()]))
+        pairs = scratch.write(f"edges-{n}", pairs.join(few, pairs[mine] == few["v"], "left_anti"))
+        rounds.append(gone)
+    return nodes, pairs, rounds
+
+
+def unfolded(scratch: Scratch, found: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """v, n_up, n_down with the folded nodes among them, from the last round to the first."""
+    for n, gone in reversed(list(enumerate(rounds))):
+        into = found.select(F.col("v").alias("into"), "n_up", "n_down")
+        back = gone.join(into, "into").select(
+            "v", F.when(F.col("last"), F.col("up")).otherwise(F.col("n_up") + F.col("up")).alias("n_up"),
+            F.when(F.col("last"), F.col("n_down") + F.col("down")).otherwise(F.col("down")).alias("n_down"))
+        found = scratch.write(f"unfolded-{n}", found.unionByName(back))
+    return found
 
 
 def closure_counts(edges: DataFrame, words: int = 32) -> DataFrame:
     """id, n_ancestors, n_descendants of every node of the edges (src, dst), itself not counted."""
     scratch = Scratch(edges.sparkSession)
     nodes, pairs = numbered(scratch, edges)
-    blocks = -(-nodes.count() // (64 * words))
-    kind = edges.schema["src"].dataType.simpleString()
-    if not blocks:
-        return edges.sparkSession.createDataFrame([], COUNTS.format(kind=kind))
-    up, down = [], []
-    for block in range(blocks):
-        state = reached_by_block(scratch, nodes, pairs, block, words)
-        hits = sum(F.bit_count(f"w{k}").cast("bigint") for k in range(words))
-        up.append(scratch.write(f"up-{block}", starts_of(state, block, words)))
-        down.append(scratch.write(f"down-{block}", state.select("v", hits.alias("n"))))
-
-    def total(parts: list[DataFrame], name: str) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.groupBy("v").agg((F.sum("n") - 1).alias(name))
-
-    return nodes.join(total(up, "n_ancestors"), "v").join(total(down, "n_descendants"), "v").select("id", "n_ancestors", "n_descendants")
+    moved, acyclic = components(scratch, pairs)
+    of = nodes.select("v") if moved is None else nodes.select("v").join(moved, "v", "left")
+    of = scratch.write("of", of.select("v", F.coalesce("c", "v").alias("c") if moved is not None else F.col("v").alias("c")))
+    sized = scratch.write("sized", of.groupBy(F.col("c").alias("v")).agg(F.count("*").alias("n")))
+    links = pairs.join(of.select(F.col("v").alias("s"), F.col("c").alias("cs")), "s").join(of.select(F.col("v").alias("t"), F.col("c").alias("ct")), "t")
+    links = scratch.write("links", links.filter("cs <> ct").select(F.col("cs").alias("s"), F.col("ct").alias("t")).distinct())
+    if acyclic:
+        links = telling(scratch, sized, links, words)
+    weighed = sized.select("v", F.col("n").alias("up"), F.col("n").alias("down"))
+    kept, left, rounds = folded(scratch, weighed, links)
+    sums = unfolded(scratch, searched(scratch, kept, left, words), rounds)
+    counts = of.join(sums.withColumnRenamed("v", "c"), "c")
+    return nodes.join(counts, "v").select("id", (F.col("n_up") - 1).alias("n_ancestors"), (F.col("n_down") - 1).alias("n_descendants"))

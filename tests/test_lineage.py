@@ -154,3 +154,17 @@ def test_closure_counts_of_every_node(spark, seed, words):
 def test_closure_counts_of_nothing(spark):
     assert closure_counts(spark.createDataFrame([], "src string, dst string")).count() == 0
     assert rows(closure_counts(spark.createDataFrame([("a", "a")], "src string, dst string"))) == [("a", 0, 0)]
+
+
+def test_closure_counts_search_what_cycles_and_hubs_leave(spark, monkeypatch):
+    """A large cycle with rows of nodes before and behind it: nothing is left to be searched for."""
+    from loomgraph.operators import closures
+    blocks = []
+    monkeypatch.setattr(closures, "weigh", lambda *a: blocks.append(a))
+    ring = [(f"r{i}", f"r{(i + 1) % 12}") for i in range(12)]
+    ends = [(f"a{i}", f"r{i % 12}") for i in range(200)] + [(f"r{i % 12}", f"z{i}") for i in range(200)] + [(f"a{i}", f"z{i}") for i in range(200)]
+    e, _ = graph(spark, ring + ends)
+    got = {r["id"]: (r["n_ancestors"], r["n_descendants"]) for r in closure_counts(e, 2).collect()}
+    assert not blocks and len(got) == 412
+    assert {got[f"r{i}"] for i in range(12)} == {(211, 211)}
+    assert {got[f"a{i}"] for i in range(200)} == {(212, 0)} and {got[f"z{i}"] for i in range(200)} == {(0, 212)}
