@@ -2,30 +2,35 @@
 
 Copies of one vector are collapsed first: a group of copies, however large, is one row with a
 count, and its inner pairs are counted, not formed. The distinct vectors lie in tiles of
-bounded size, each pair of tiles is one group, and a group is one matrix product whose
+bounded size, each pair of tiles is one group, and a group is multiplied strip by strip; its
 result leaves the task only as a histogram, as its k best pairs, or as the pairs above a
-floor. A group never holds more than two tiles.
+floor, in small batches. A group never holds more than two tiles.
 
-Statistics over all pairs need every pair of tiles: each vector is sent N / TILE_ROWS times,
-quadratic work by definition. Pairs above a floor and the best pairs do not: vectors lie with their
-nearest pivot, and two tiles are compared only if the angle between their pivots, less the
-largest angles inside them, can reach the floor.
+Statistics over all pairs, and pairs above a floor, need few tiles, just enough pairs of them to use
+every core, until a tile holds TILE_BYTES: so far each vector is sent a fixed number of times, and what is
+shuffled grows with the rows while the products are quadratic. For a floor, vectors are numbered by their
+nearest pivot, and within a group those of two pivots are compared only if the angle between the pivots,
+less the largest angles around them, can reach the floor. Best pairs are sought by pivots as tiles.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Tuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomgraph.functions.text import canon, contains_any, join_tasks, or_empty
 from loomgraph.functions.vectors import matrix, unit_rows
 from loomgraph.session import materialize
 
 TILE_ROWS = 2048
+TILE_BYTES = 32 << 20  # of the vectors of a tile that is multiplied strip by strip
+STRIP = 256            # rows of a tile multiplied at once, with up to STRIP * TILE_ROWS / 32 of the other
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
@@ -60,17 +65,24 @@ def _tile_count(vectors: DataFrame, tile_rows: int) -> int:
     return max(1, math.ceil(rows / tile_rows), min(spread, math.ceil(rows / 64)))
 
 
-def _tile_pairs(distinct: DataFrame, tile_rows: int) -> DataFrame:
+def _wide_tile_count(vectors: DataFrame, tile_rows: int) -> int:
+    """Tiles needed for the bound on bytes, and at least enough tile pairs to keep every core busy."""
+    r = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    most = max(tile_rows, TILE_BYTES // (8 * (r["dim"] or 1)))
+    spread = math.ceil(math.sqrt(8 * vectors.sparkSession.sparkContext.defaultParallelism))
+    return max(1, math.ceil(r["n"] / most), min(spread, math.ceil(r["n"] / 64)))
+
+
+def _tile_pairs(distinct: DataFrame, tiles: int) -> DataFrame:
     """Sends each vector to every tile pair its tile takes part in."""
-    tiles = _tile_count(distinct, tile_rows)
     tile = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    return distinct.withColumn("tile", tile).withColumn("other", other).select(
+    return distinct.withColumn("_tile", tile).withColumn("_other", other).select(
         "field",
-        F.least("tile", "other").alias("lo"),
-        F.greatest("tile", "other").alias("hi"),
-        (F.col("tile") > F.col("other")).alias("right"),
-        "id", "n", "vec",
+        F.least("_tile", "_other").alias("lo"),
+        F.greatest("_tile", "_other").alias("hi"),
+        (F.col("_tile") > F.col("_other")).alias("right"),
+        *[c for c in distinct.columns if c != "field"],
     )
 
 
@@ -165,6 +177,31 @@ def _tile_sims(table: pa.Table):
     return i, j, np.rint(sims * 1000).astype(np.int32), valid
 
 
+def _strips(table: pa.Table, tile_rows: int, reach: np.ndarray | None = None):
+    """Row numbers i, j of the sides of a strip, their cosines, and which entries are pairs (None: all); over
+    the strips each unordered pair of a group comes once. With `reach`, rows lie by `pivot`, and only those
+    of pivots that can reach each other are compared."""
+    units = unit_rows(matrix(table["vec"]))
+    same = table["lo"][0].as_py() == table["hi"][0].as_py()
+    right = _column(table, "right")
+    lefts, rights = (np.arange(len(units)),) * 2 if same else (np.flatnonzero(~right), np.flatnonzero(right))
+    cuts = []
+    if reach is not None:
+        pivot = _column(table, "pivot")
+        lefts, rights = (r[np.argsort(pivot[r], kind="stable")] for r in (lefts, rights))
+        cuts = np.flatnonzero(np.diff(pivot[lefts])) + 1
+    wide = max(1, STRIP * tile_rows // 32)
+    for part in np.split(np.arange(len(lefts)), cuts):
+        for at in (part[low:low + STRIP] for low in range(0, len(part), STRIP)):
+            i = lefts[at]
+            others = np.arange(at[0] if same else 0, len(rights))
+            if reach is not None:
+                others = others[reach[pivot[i[0]]][pivot[rights[others]]]]
+            for to in (others[low:low + wide] for low in range(0, len(others), wide)):
+                j = rights[to]
+                yield i, j, units[i] @ units[j].T, to[None, :] > at[:, None] if same else None
+
+
 def _column(table: pa.Table, name: str) -> np.ndarray:
     return table[name].combine_chunks().to_numpy(zero_copy_only=False)
 
@@ -191,13 +228,16 @@ def histogram(vectors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     per field, whatever the number of pairs. `vectors` is (field, id, vec)."""
 
     def count(key, table):
-        i, j, milli, valid = _tile_sims(table)
         n = _column(table, "n")
+        single = (n == 1).all()
         total = np.zeros(2001, dtype=np.int64)
-        if (n == 1).all():
-            total += np.bincount(milli[valid] + 1000, minlength=2001)
-        else:
-            np.add.at(total, milli[valid] + 1000, np.outer(n[i], n[j])[valid])
+        for i, j, sims, later in _strips(table, tile_rows):
+            milli = np.rint(sims * 1000).astype(np.int32) + 1000
+            valid = ... if later is None else later
+            if single:
+                total += np.bincount(milli[valid].ravel(), minlength=2001)
+            else:
+                np.add.at(total, milli[valid], np.outer(n[i], n[j])[valid])
         seen = np.flatnonzero(total)
         return pa.table({
             "field": pa.array([key[0].as_py()] * len(seen), pa.string()),
@@ -206,7 +246,7 @@ def histogram(vectors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
         })
 
     distinct = checked(distinct_vectors(vectors))
-    between = _tile_pairs(distinct, tile_rows).groupBy("field", "lo", "hi").applyInArrow(
+    between = _tile_pairs(distinct, _wide_tile_count(distinct, tile_rows)).groupBy("field", "lo", "hi").applyInArrow(
         count, "field string, milli int, n bigint"
     )
     within = distinct.filter("n > 1").select(
@@ -264,7 +304,7 @@ def top_pairs(vectors: DataFrame, k: int = 5, tile_rows: int = TILE_ROWS) -> Dat
 
     ranked = F.row_number().over(W.partitionBy("field").orderBy(F.desc("sim"), "a", "b"))
     if _few(compared, tile_rows):
-        both = best_of(_tile_pairs(compared, tile_rows)).withColumn("rank", ranked).filter(F.col("rank") <= k)
+        both = best_of(_tile_pairs(compared, _tile_count(compared, tile_rows))).withColumn("rank", ranked).filter(F.col("rank") <= k)
         return both.select("field", "a", "b", "sim")
     plan = tile_plan(compared, tile_rows)
     inside = of({f: np.eye(len(n), dtype=bool) & (n > 0)[:, None] for f, n in plan.tiles.items()})
@@ -288,26 +328,64 @@ def pairs(vectors: DataFrame, floor: float, tile_rows: int = TILE_ROWS) -> DataF
     reaches the floor (-1 keeps the complete store, whose size is quadratic). a and b are
     the smallest ids of their copies and `node_pairs` counts the node pairs a row stands
     for; a row with a = b stands for the pairs among the copies of one vector."""
-    bar = math.ceil(round(floor * 1000, 6))
+    distinct = checked(distinct_vectors(vectors))
+    return _pairs_of(distinct, floor, tile_rows).select("field", "a", "b", "sim", "node_pairs")
 
-    def select(key, table):
-        i, j, milli, valid = _tile_sims(table)
-        return _with_field(key, _pair_table(table, i, j, milli, valid & (milli >= bar)))
 
-    distinct = checked(distinct_vectors(vectors))
-    if _few(distinct, tile_rows):
-        groups = _tile_pairs(distinct, tile_rows)
-    else:
-        plan = tile_plan(distinct, tile_rows)
-        groups = plan.groups({f: plan.reachable(f, bar / 1000) for f in plan.tiles}, tile_rows)
-    between = groups.groupBy("field", "lo", "hi").applyInArrow(
-        select, f"field string, {_pair_schema(vectors)}"
-    ).select("field", "a", "b", "sim", F.expr("n_a * n_b").alias("node_pairs"))
-    within = distinct.filter((F.col("n") > 1) & F.lit(bar <= 1000)).select(
-        "field", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"),
-        F.expr("n * (n - 1) div 2").alias("node_pairs"),
-    )
-    return between.unionByName(within)
+def _pairs_of(distinct: DataFrame, floor: float, tile_rows: int, wanted: str = "all") -> DataFrame:
+    """`pairs` of distinct vectors. With marks on them (many, mark, m: whether the copies of a vector are of several
+    kinds, else their kind and how many are known), `same` counts the node pairs of one kind, for pairs of vectors of
+    one kind each; `wanted` picks those ("one") or the rest ("many")."""
+    bar = math.ceil(round(floor * 1000, 6))
+    marked = "mark" in distinct.columns
+    reach: dict[str, np.ndarray] | None = None
+    sent = distinct
+    if not _few(distinct, tile_rows):
+        plan = tile_plan(distinct.select("field", "id", "n", "vec"), tile_rows)
+        reach = {f: plan.reachable(f, bar / 1000) for f in plan.tiles}
+        pivots = plan.rows.select("field", "id", F.col("tile").alias("pivot"))
+        sent = distinct.join(pivots, ["field", "id"])
+    kind = distinct.schema["id"].dataType.simpleString()
+
+    def select(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = key[0].as_py()
+        table = pa.Table.from_batches(list(batches))
+        ids, n = _column(table, "id"), _column(table, "n")
+        if marked:
+            many, m, marks = _column(table, "many"), _column(table, "m"), table["mark"].combine_chunks().dictionary_encode()
+            mark = marks.indices.to_numpy(zero_copy_only=False)
+        for i, j, sims, later in _strips(table, tile_rows, reach and reach[field]):
+            sims *= 1000
+            keep = sims >= bar - 0.6
+            if later is not None:
+                keep &= later
+            x, y = np.nonzero(keep)
+            milli = np.rint(sims[x, y]).astype(np.int32)
+            over = milli >= bar
+            left, right, milli = i[x[over]], j[y[over]], milli[over]
+            if wanted != "all":
+                picked = (many[left] | many[right]) == (wanted == "many")
+                left, right, milli = left[picked], right[picked], milli[picked]
+            if not len(left):
+                continue
+            swap = ids[left] > ids[right]
+            left, right = np.where(swap, right, left), np.where(swap, left, right)
+            same = np.where(mark[left] == mark[right], m[left] * m[right], 0) if marked else np.zeros(len(left), np.int64)
+            id_type = table.schema.field("id").type
+            whole = pa.table({
+                "field": pa.array([field] * len(left), pa.string()), "a": pa.array(ids[left], id_type), "b": pa.array(ids[right], id_type),
+                "sim": pa.array(milli / 1000.0), "node_pairs": pa.array(n[left] * n[right], pa.int64()), "same": pa.array(same, pa.int64())})
+            yield from whole.to_batches(max_chunksize=10000)
+
+    tiles = _wide_tile_count(distinct, tile_rows)
+    between = _tile_pairs(sent, tiles).groupBy("field", "lo", "hi").applyInArrow(
+        select, f"field string, a {kind}, b {kind}, sim double, node_pairs bigint, same bigint")
+    within = distinct.filter((F.col("n") > 1) & F.lit(bar <= 1000))
+    if wanted != "all":
+        within = within.filter(F.col("many") == F.lit(wanted == "many"))
+    return between.unionByName(within.select(
+        "field", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"), F.expr("n * (n - 1) div 2").alias("node_pairs"),
+        (F.expr("m * (m - 1) div 2") if marked else F.lit(0).cast("bigint")).alias("same")))
 
 
 def node_pairs(similar: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -381,20 +459,33 @@ def overlay(vectors: DataFrame, node_papers: DataFrame, floor: float, nodes: Dat
     if nodes is not None:
         known = known.join(nodes.select(F.col("key").alias("id")), "id", "left_semi")
     known = materialize(known.select("field", "id", F.col("vec").cast("array<double>").alias("vec")))
-    similar = pairs(known, floor, tile_rows)
-    reps = distinct_vectors(known).select("vec", F.col("id").alias("rep"))
-    members = (
+    distinct = checked(distinct_vectors(known))
+    reps = distinct.select("vec", F.col("id").alias("rep"))
+    members = materialize(
         known.join(reps, "vec").join(paper_sets(node_papers).withColumnRenamed("key", "id"), "id")
         .groupBy("rep", "papers").agg(F.count("*").alias("m"))
     )
-    members = materialize(members)
+    kinds = members.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("k"), F.min("papers").alias("one"), F.max("m").alias("m"))
+    many = F.coalesce(F.col("k") > 1, F.lit(False))
+    mark = F.concat_ws(" ", *[F.col(f"one.{c}").cast("string") for c in ("n", "h1", "h2")])
+    marked = materialize(distinct.join(kinds, "id", "left").select(
+        "field", "id", "n", "vec", many.alias("many"), F.when(~many, mark).otherwise("").alias("mark"),
+        F.when(~many, F.coalesce("m", F.lit(0))).otherwise(0).cast("bigint").alias("m")))
+
+    def drawn(similar: DataFrame, same: Column) -> DataFrame:
+        left_over = F.col("node_pairs") - same
+        return similar.filter(left_over > 0).select(
+            F.col("a").alias("source"), F.col("b").alias("target"), "sim", left_over.alias("node_pairs"))
+
+    # a vector whose nodes have one set of papers carries it; only pairs with other vectors meet the table of members
+    of_one = drawn(_pairs_of(marked, floor, tile_rows, "one"), F.col("same"))
+    if marked.filter("many").isEmpty():
+        return of_one
+    similar = _pairs_of(marked, floor, tile_rows, "many").drop("same")
     left = members.select(F.col("rep").alias("a"), "papers", F.col("m").alias("m_a"))
     right = members.select(F.col("rep").alias("b"), "papers", F.col("m").alias("m_b"))
     same = (
         similar.select("a", "b").join(left, "a").join(right, ["b", "papers"]).groupBy("a", "b")
         .agg(F.sum(F.when(F.col("a") == F.col("b"), F.expr("m_a * (m_a - 1) div 2")).otherwise(F.expr("m_a * m_b"))).alias("same"))
     )
-    left_over = F.col("node_pairs") - F.coalesce("same", F.lit(0))
-    return similar.join(same, ["a", "b"], "left").filter(left_over > 0).select(
-        F.col("a").alias("source"), F.col("b").alias("target"), "sim", left_over.alias("node_pairs")
-    )
+    return of_one.unionByName(drawn(similar.join(same, ["a", "b"], "left"), F.coalesce("same", F.lit(0))))

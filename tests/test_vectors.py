@@ -201,3 +201,21 @@ def test_text_selection(spark):
     nodes = spark.createDataFrame([("a", "A", "", "survey")], "key string, canonical string, definition string, ptype string")
     assert rows(VS.v1_texts(nodes)) == [("a", "A (survey)")]
     assert VS.fallback_count(nodes).first()[0] == 1
+
+
+def test_vectors_are_sent_a_fixed_number_of_times(spark):
+    """What a join of tiles moves grows with the rows: twice the rows, twice the rows sent; and strips give all pairs."""
+    rng = np.random.default_rng(3)
+    data = [("f", i, [float(x) for x in rng.normal(size=6)]) for i in range(2400)]
+    counts = []
+    for n in (1200, 2400):
+        distinct = S.distinct_vectors(spark.createDataFrame(data[:n], "field string, id bigint, vec array<double>"))
+        counts.append(S._tile_pairs(distinct, S._wide_tile_count(distinct, 64)).count())
+    assert counts[1] == 2 * counts[0]
+    df = spark.createDataFrame(data, "field string, id bigint, vec array<double>")
+    u = np.array([v for _, _, v in data])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    milli = np.rint(u @ u.T * 1000)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(milli >= 900, 1)))}
+    got = [(r["a"], r["b"]) for r in S.pairs(df, 0.9, 64).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
