@@ -11,7 +11,7 @@ def with_row_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """0-based position of every row in the given order.
 
     A range-partitioned sort numbers rows inside each partition; the partition sizes (one
-    small row per partition, whatever the data size) give the offsets. The sorted rows are
+    small row per partition, whatever the data size) give the offsets, which are broadcast. The sorted rows are
     checkpointed because both passes must see the same partition bounds.
     """
     placed = materialize(
@@ -26,7 +26,7 @@ def with_row_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
     return (
         placed.withColumn("_part", part)
-        .join(offsets, "_part")
+        .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + local)
         .drop("_mono", "_part", "_offset")
     )
@@ -42,5 +42,5 @@ def with_running_sums(df: DataFrame, order: list[Column], values: dict[str, Colu
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("_part", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
     within = W.partitionBy("_part").orderBy("_mono").rowsBetween(W.unboundedPreceding, 0)
-    out = placed.join(offsets, "_part").withColumns({n: F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(within) for n in values})
+    out = placed.join(F.broadcast(offsets), "_part").withColumns({n: F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(within) for n in values})
     return out.select(*df.columns, *values)

@@ -69,8 +69,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+    def write(self, name: str, df: DataFrame, *dealt: str) -> DataFrame:
+        (df.write.partitionBy(*dealt) if dealt else df.write).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def remove(self, name: str) -> None:
@@ -82,3 +82,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, which outlives the loss of an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, *dealt: str) -> DataFrame:
+    """Cut lineage with a table of columns: for large intermediate tables. It is a fraction of a checkpoint's
+    bytes, readers take the columns they need, and its size is known, so that small tables are broadcast.
+    With `dealt`, files are kept apart by these columns."""
+    return Scratch(df.sparkSession).write("table", df, *dealt)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomgraph.operators.ordering import with_row_index
 from loomgraph.schemas import LEDGER
+from loomgraph.session import stored
 
 
 @dataclass
@@ -41,12 +42,13 @@ def _quoted(text: Column) -> Column:
 
 
 def lines(spark: SparkSession, sections: list[Section], head: str = "", tail: str = "") -> DataFrame:
-    """section, step, at, value: the document's lines and their order."""
+    """section, step, at, body, n, slot, item, value: the document's lines, and their order in all but the last."""
 
     def mark(i: int, step: int, text: str) -> DataFrame:
         return spark.range(1).select(
             F.lit(i).alias("section"), F.lit(step).alias("step"),
-            F.lit("").alias("at"), F.lit(text).alias("value"),
+            F.lit("").alias("at"), F.lit("").alias("body"), F.lit(0).cast("bigint").alias("n"),
+            F.lit(0).alias("slot"), F.lit("").alias("item"), F.lit(text).alias("value"),
         )
 
     out = mark(-1, 0, head + "{")
@@ -63,31 +65,37 @@ def lines(spark: SparkSession, sections: list[Section], head: str = "", tail: st
         if s.key is not None:
             body = F.concat(_quoted(s.key), F.lit(": "), body)
         of = F.lit(None).cast("string") if s.item_key is None else s.item_key
-        picked = s.rows.select(s.order.cast("string").alias("key"), body.alias("body"), of.alias("of"))
-        # numbered once, so that a section is computed once and equal keys stay apart
-        placed = with_row_index(picked, [F.col("key"), F.col("body")], "i").select(
-            F.concat(F.when(F.col("i") > 0, ",").otherwise(""), "body").alias("value"), "of",
-            F.lpad(F.col("i").cast("string"), 20, "0").alias("at"))
+        # written once, so that a section is computed once; `n` keeps equal rows apart, so one of them is the first
+        picked = stored(s.rows.select(s.order.cast("string").alias("at"), body.alias("body"), of.alias("of"),
+                                      F.monotonically_increasing_id().alias("n")))
+        least = picked.agg(F.min(F.struct("at", "body", "n"))["n"]).scalar()
+        placed = picked.withColumn("value", F.concat(F.when(F.col("n") == least, "").otherwise(","), "body"))
         if s.items is not None:
             placed = _with_lists(placed, s)
+        else:
+            placed = placed.withColumns({"slot": F.lit(0), "item": F.lit("")})
         out = out.unionByName(
-            placed.select(F.lit(i).alias("section"), F.lit(1).alias("step"), "at", "value")
+            placed.select(F.lit(i).alias("section"), F.lit(1).alias("step"), *PLACE[2:], "value")
         ).unionByName(mark(i, 2, (right if s.name else "") + s.after))
     return out.unionByName(mark(len(sections), 0, "}" + tail))
 
 
+#: The order of a document's lines.
+PLACE = ("section", "step", "at", "body", "n", "slot", "item")
+
+
 def _with_lists(placed: DataFrame, s: Section) -> DataFrame:
     """Opens the list in each row's object, adds its items as lines in order, and closes it."""
     items = s.items.select("of", "item").distinct()
     least = items.groupBy("of").agg(F.min("item").alias("least"))
-    inner = items.join(least, "of").join(placed.select("of", "at"), "of").select(
-        F.concat("at", F.lit("1"), "item").alias("at"),
+    inner = items.join(least, "of").join(placed.select("of", "at", "body", "n"), "of").select(
+        "at", "body", "n", F.lit(1).alias("slot"), "item",
         F.concat(F.when(F.col("item") == F.col("least"), "").otherwise(","), _quoted(F.col("item"))).alias("value"))
     opened = F.concat(F.regexp_replace("value", r"\}$", ""), F.lit(f', "{s.list_name}": ['))
     return (
-        placed.select(F.concat("at", F.lit("0")).alias("at"), opened.alias("value"))
+        placed.select("at", "body", "n", F.lit(0).alias("slot"), F.lit("").alias("item"), opened.alias("value"))
         .unionByName(inner)
-        .unionByName(placed.select(F.concat("at", F.lit("2")).alias("at"), F.lit("]}").alias("value")))
+        .unionByName(placed.select("at", "body", "n", F.lit(2).alias("slot"), F.lit("").alias("item"), F.lit("]}").alias("value")))
     )
 
 
@@ -95,7 +103,7 @@ def write_document(spark: SparkSession, path: str, sections: list[Section],
                    template: str | None = None, marker: str = "__DATA__") -> None:
     """Writes the document under `path`; with a template, around its marker."""
     head, tail = template.split(marker, 1) if template else ("", "")
-    lines(spark, sections, head, tail).orderBy("section", "step", "at").select("value").write.mode(
+    lines(spark, sections, head, tail).orderBy(*PLACE).select("value").write.mode(
         "error"
     ).text(path)
 
@@ -179,7 +187,6 @@ def draw_sections(nodes: DataFrame, links: DataFrame, sim_pairs: DataFrame, conc
 
 #: An entry of an object and a row of an array are lines of their own, so they are read by all tasks.
 ENTRY = r'^,?("[^"\\]*+(?:\\.[^"\\]*+)*+"): (\{.*\})$'
-ROW = r"^,?(\{.*\})$"
 
 
 def read_entries(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -194,9 +201,11 @@ def read_entries(spark: SparkSession, path: str, value: str) -> DataFrame:
 
 
 def read_rows(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """The fields of `value` of each array row of the document that has the first of them."""
-    rows = spark.read.text(path).filter(F.col("value").rlike(ROW)).select(F.from_json(F.regexp_extract("value", ROW, 1), value).alias("v"))
-    return rows.select("v.*").filter(F.col(value.split()[0].strip("`")).isNotNull())
+    """The fields of `value` of each array row of the document that has the first of them: a line that is an
+    object, after a comma or not. Generated rows are parsed once, as no filter is pushed below."""
+    text = F.when(F.col("value").startswith(","), F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value"))
+    rows = spark.read.text(path).select(text.alias("value")).filter(F.col("value").startswith("{") & F.col("value").endswith("}"))
+    return rows.select(F.inline(F.array(F.from_json("value", value)))).filter(F.col(value.split()[0].strip("`")).isNotNull())
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
