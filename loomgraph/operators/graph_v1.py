@@ -103,8 +103,9 @@ def _pseudo_nodes(pseudo):
 
 def _edges(rows, ok, pseudo):
     """Home of a paper -> each admitted target, distinct. The home is the first name the
-    paper defines, admitted or not; edges from a home without a node are dropped."""
-    targets = rows.filter(F.col("phase") == BUILDS_ON).select("pid", "rk").distinct().join(ok, "rk", "left_semi")
+    paper defines, admitted or not; edges from a home without a node are dropped. Repeats of a
+    target are left to the last aggregate, as dropping them before deals out every mention once more."""
+    targets = rows.filter(F.col("phase") == BUILDS_ON).select("pid", "rk").join(ok, "rk", "left_semi")
     homes = (
         rows.filter(F.col("phase") == DEFINES)
         .groupBy("pid").agg(F.min(F.struct("pos", "rk")).alias("h"))

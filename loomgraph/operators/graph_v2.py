@@ -24,13 +24,12 @@ def build(papers: DataFrame, mentions: DataFrame, lexicon: DataFrame,
           resolved: M.Resolved | None = None) -> GraphV2:
     """Mentions count only for papers that have a content record. All outputs read one table
     of resolved mentions, made here unless given."""
-    have = papers.select("pid")
     if resolved is None:
-        r = M.resolve_mentions(mentions.join(have, "pid", "left_semi"), lexicon, M.register_in_order)
+        r = M.resolve_mentions(M.of_records(mentions, papers), lexicon, M.register_in_order)
         rows = r.rows
     else:
         r = resolved
-        rows = r.rows.join(have, "pid", "left_semi")
+        rows = M.of_records(r.rows, papers)
     names = r.names.filter(admitted(F.col("status")))
     admitted_rows = rows.join(names.select("rk"), "rk", "left_semi")
     edges = admitted_rows.select(

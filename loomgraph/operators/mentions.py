@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomgraph.functions.text import canon, or_empty
 from loomgraph.operators.lexicon import alias_map, representatives
 from loomgraph.schemas import BUILDS_ON, DEFINES
-from loomgraph.session import materialize
+from loomgraph.session import stored
 
 
 def from_records(contents: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -37,6 +37,17 @@ def papers_of(contents: DataFrame) -> DataFrame:
     )
 
 
+def strays(mentions: DataFrame, papers: DataFrame) -> DataFrame:
+    """pid: papers that are mentioned without a record of their own. They are few, so dropping or marking
+    their mentions moves none of the others, where a join with all papers would deal out every mention."""
+    return stored(mentions.select("pid").distinct().join(papers.select("pid"), "pid", "left_anti"))
+
+
+def of_records(mentions: DataFrame, papers: DataFrame) -> DataFrame:
+    """Mentions of papers that have a record."""
+    return mentions.filter("pid is not null").join(strays(mentions, papers), "pid", "left_anti")
+
+
 def keyed(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("key", canon("name"))
 
@@ -55,12 +66,12 @@ def resolve_mentions(mentions: DataFrame, lexicon: DataFrame, register) -> Resol
     name stays in `names` and is joined once per name, after aggregation, never carried by mentions.
     `register` is one of the two registrations below."""
     keyed_rows = keyed(mentions).join(alias_map(lexicon).withColumnRenamed("rk", "known"), "key", "left")
-    rows = materialize(keyed_rows.select(
+    rows = stored(keyed_rows.select(
         "pid", "phase", "pos", "name", F.nullif("definition", F.lit("")).alias("definition"),
         F.coalesce("known", "key").alias("rk"), F.col("known").isNull().alias("unknown"),
     ))
-    registered = materialize(register(rows.filter("unknown").withColumnRenamed("rk", "key")))
-    names = materialize(representatives(lexicon).unionByName(registered.select(
+    registered = stored(register(rows.filter("unknown").withColumnRenamed("rk", "key")))
+    names = stored(representatives(lexicon).unionByName(registered.select(
         "rk", "label", "status", F.col("definition").alias("lex_definition"))))
     return Resolved(rows.drop("unknown"), names, registered)
 

@@ -61,7 +61,7 @@ def builds_on(graph: GraphV2) -> DataFrame:
     )
     targets = (
         graph.edges.filter(F.col("phase") != DEFINES)
-        .select("pid", F.col("rk").alias("dst")).distinct()
+        .select("pid", F.col("rk").alias("dst"))
     )
     return targets.join(first, "pid").filter("src <> dst").select("src", "dst").distinct()
 

@@ -2,7 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from loomgraph.operators.ordering import with_row_index
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -59,3 +62,18 @@ def test_jvm_only(spark):
     for name in ("graph_v2_concepts", "text_cut", "workflow_trace", "canon_names"):
         p = plan(spark, name)
         assert "Python" not in p and "Pandas" not in p and "Arrow" not in p
+
+
+def test_resolved_mentions_are_columns(spark):
+    """Readers of the resolved mentions take the columns they need, of a table whose size is known."""
+    p = plan(spark, "view_concept_papers")
+    assert "ExistingRDD" not in p and "FileScan parquet" in p
+
+
+def test_numbered_rows_stay_where_they_are(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = with_row_index(spark.range(10), [F.col("id")], "i")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
