@@ -5,7 +5,7 @@ home paper, earliest month, numbers of papers. They are stored per name and merg
 new papers, so nodes are made anew only for names that the delta mentions. Edges of a paper follow
 from its own mentions, so new edges come from new papers, with one exception: a name that old papers
 only build on was registered as pending; when a new paper defines it, it is registered anew and
-admitted. Mentions of such names are looked up, and their edges added. Nothing is ever taken away by
+admitted. Mentions of such names are looked up, and their edges added; mentions of other names are not kept. Nothing is ever taken away by
 a new paper, as a first that grows smaller turns `pending` into `unreviewed` and never back.
 
 All tables are bucketed and change in one commit; buckets of names and papers that the delta does not
@@ -26,8 +26,8 @@ from loomgraph.functions.text import arxiv_month, or_empty
 from loomgraph.operators import graph_v1, lexicon as L, mentions as M
 from loomgraph.operators.ordering import with_row_index
 from loomgraph.schemas import BUILDS_ON, DEFINES, LEXICON, MENTIONS, PAPERS
-from loomgraph.session import materialize
-from loomgraph.sources.snapshots import BUCKETS, Commit, Snapshots
+from loomgraph.session import stored
+from loomgraph.sources.snapshots import BUCKETS, Commit, Snapshots, bucket_of
 
 MARK = "n bigint, hash decimal(38,0), valid boolean"
 
@@ -62,7 +62,7 @@ def rebuild_stored(store: Snapshots) -> bool:
     papers, mentions, lexicon = store.read("papers", PAPERS), store.read("mentions", MENTIONS), store.read("lexicon", LEXICON)
     follow = can_follow(store, lexicon)
     if follow:
-        papers = materialize(papers.join(store.read("v2_papers").select("pid"), "pid", "left_anti"))
+        papers = stored(papers.join(store.read("v2_papers").select("pid"), "pid", "left_anti"))
         mentions = store.lookup("mentions", papers, "pid")
     apply(store, papers, mentions, lexicon, full=not follow)
     return follow
@@ -71,22 +71,23 @@ def rebuild_stored(store: Snapshots) -> bool:
 # --- what is stored per name ----------------------------------------------------------------
 
 
-def firsts_of(rows: DataFrame) -> DataFrame:
-    """Per name; a hot name is spread by (rk, pid) first. `have` says that the paper has a record."""
-    text = defines() & F.col("definition").isNotNull() & F.col("have")
-    pairs = rows.groupBy("rk", "pid").agg(
-        F.min(F.when(defines(), F.struct("pos", or_empty("definition").alias("definition")))).alias("d"),
-        F.min("phase").alias("phase"), F.min(F.when(text, F.struct("pos", "definition"))).alias("t"),
-        F.max("domain").alias("domain"), F.max("paper_type").alias("paper_type"), F.max("have").alias("have"))
+def firsts_of(rows: DataFrame, papers: DataFrame) -> DataFrame:
+    """Per name, mins that combine in the tasks; only the ids of a name's papers are dealt out, by (rk, pid), for
+    their number. `have` says that the paper has a record. What the record says is joined once per name."""
     have = F.col("have")
-    return pairs.groupBy("rk").agg(
-        F.min(F.when(F.col("d").isNotNull(), F.struct("pid", "d", "domain", "paper_type"))).alias("define"),
-        F.count("d").alias("n_defining"),
+    mins = rows.groupBy("rk").agg(
+        F.min(F.when(defines(), F.struct("pid", F.struct("pos", or_empty("definition").alias("definition")).alias("d")))).alias("define"),
         F.min(F.when(have, F.struct("pid", "phase"))).alias("first"),
-        F.min(F.when(F.col("t").isNotNull(), F.struct("pid", "t"))).alias("text"),
-        F.count(F.when(have, F.lit(1))).alias("n_papers"),
-        F.min(F.when(have & F.col("d").isNotNull(), F.struct("pid", "paper_type", "domain"))).alias("home"),
+        F.min(F.when(defines() & F.col("definition").isNotNull() & have, F.struct("pid", F.struct("pos", "definition").alias("t")))).alias("text"),
+        F.min(F.when(have & defines(), F.col("pid"))).alias("home_pid"),
         F.min(F.when(have, arxiv_month("pid"))).alias("month"))
+    pairs = rows.groupBy("rk", "pid").agg(F.max(defines()).alias("defines"), F.max("have").alias("have"))
+    counts = pairs.groupBy("rk").agg(F.count_if("defines").alias("n_defining"), F.count_if("have").alias("n_papers"))
+    first = papers.select(F.col("pid").alias("define_pid"), "domain", "paper_type")
+    home = papers.select(F.col("pid").alias("home_pid"), F.struct("pid", "paper_type", "domain").alias("home"))
+    return (mins.join(counts, "rk").withColumn("define_pid", F.col("define.pid")).join(first, "define_pid", "left").join(home, "home_pid", "left").select(
+        "rk", F.when(F.col("define").isNotNull(), F.struct("define.pid", "define.d", "domain", "paper_type")).alias("define"), "n_defining", "first",
+        "text", "n_papers", "home", "month"))
 
 
 def merged_firsts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -138,81 +139,97 @@ def apply(store: Snapshots, papers: DataFrame, mentions: DataFrame, lexicon: Dat
             return like.limit(0) if full else c.lookup(name, keys, key)
 
         def replaced(name: str, keys: DataFrame, rows: DataFrame, key: str) -> None:
-            c.replace(name, keys, rows, key, rows.schema, buckets, full)
+            c.replace(name, keys, rows, key, rows.schema, buckets, full, exact=True)
 
-        def added(name: str, rows: DataFrame, key: str, distinct: bool = False) -> None:
-            c.upsert(name, rows, key, lambda old, d: old.unionByName(d).distinct() if distinct else old.unionByName(d), rows.schema, buckets, full)
+        def added(name: str, rows: DataFrame, key: str, dealt: bool = False) -> None:
+            c.append(name, rows, key, rows.schema, buckets, full, dealt)
 
-        meta = papers.select("pid", "domain", "paper_type", F.lit(True).alias("have"))
-        keyed = M.keyed(mentions).join(L.alias_map(base).withColumnRenamed("rk", "known"), "key", "left").join(meta, "pid", "left")
-        rows = materialize(keyed.select(
+        def united(name: str, rows: DataFrame, key: str) -> None:
+            c.upsert(name, rows, key, lambda old, d: old.unionByName(d), rows.schema, buckets, full, distinct=True)
+
+        alone = M.strays(mentions, papers).withColumn("alone", F.lit(True))
+        owners = L.alias_map(base).withColumnRenamed("rk", "known").join(
+            L.representatives(base).select(F.col("rk").alias("known"), admitted(F.col("status")).alias("ok")), "known")
+        keyed = M.keyed(mentions).join(owners, "key", "left").join(alone, "pid", "left")
+        rows = stored(keyed.select(
             "pid", "phase", "pos", "name", F.nullif("definition", F.lit("")).alias("definition"), F.coalesce("known", "key").alias("rk"),
-            F.col("known").isNull().alias("unknown"), F.coalesce("have", F.lit(False)).alias("have"), "domain", "paper_type"))
-        touched = materialize(rows.select("rk").distinct())
+            F.col("known").isNull().alias("unknown"), "ok", (F.col("alone").isNull() & F.col("pid").isNotNull()).alias("have")))
+        touched = stored(rows.select("rk").distinct())
 
         new = M.register_defines_first(rows.filter("unknown").withColumnRenamed("rk", "key"))
         before = known("inc_registered", touched, "rk", new)
-        registered = materialize(merged_registrations(before, new))
+        registered = stored(merged_registrations(before, new))
         was_pending = before.filter("status = 'pending'").select("rk")
         flipped = registered.filter(admitted(F.col("status"))).select("rk").join(was_pending, "rk", "left_semi")
-        names = materialize(L.representatives(base).join(touched, "rk", "left_semi").unionByName(
+        names = stored(L.representatives(base).join(touched, "rk", "left_semi").unionByName(
             registered.select("rk", "label", "status", F.col("definition").alias("lex_definition"))).filter(admitted(F.col("status"))))
-        fresh = firsts_of(rows)
-        firsts = materialize(merged_firsts(known("inc_firsts", touched, "rk", fresh), fresh))
+        fresh = firsts_of(rows, papers)
+        firsts = stored(merged_firsts(known("inc_firsts", touched, "rk", fresh), fresh))
         named = firsts.join(names, "rk")
 
         kept_rows = rows.select("pid", "phase", "pos", "rk", "have")
         old_rows = known("inc_rows", flipped, "rk", kept_rows)
-        live = materialize(kept_rows.join(names.select("rk"), "rk", "left_semi").unionByName(old_rows.select(*kept_rows.columns)))
-        pseudo = graph_v1.undefined_papers(papers, rows)
-        homes = materialize(homes_of(rows, names, pseudo))
-        looked_up = live.join(rows.select("pid").distinct(), "pid", "left_anti").select("pid")
-        all_homes = homes.unionByName(known("inc_homes", looked_up, "pid", homes))
-
-        targets = live.filter(F.col("phase") == BUILDS_ON)
-        v1_edges = edges(targets, all_homes, "v1_home")
-        builds_on = edges(targets.filter("have"), all_homes, "view_home").filter("src <> dst")
+        # what the lexicon says is known of its names' rows; those of registered names alone are dealt out
+        first_seen = rows.filter("unknown").select(*kept_rows.columns)
+        admitted_new = registered.filter(admitted(F.col("status"))).select("rk")
+        waiting = first_seen.join(registered.filter(~admitted(F.col("status"))).select("rk"), "rk", "left_semi").select(*kept_rows.columns)
+        live = rows.filter("not unknown and ok").select(*kept_rows.columns).unionByName(
+            first_seen.join(admitted_new, "rk", "left_semi").select(*kept_rows.columns)).unionByName(old_rows.select(*kept_rows.columns))
+        n = buckets if full else c.now["v2_edges"].buckets
+        live = stored(live.withColumn("bucket", bucket_of("rk", n)), "bucket").drop("bucket")
+        pseudo = stored(graph_v1.undefined_papers(papers, rows).select("pid", "title", "problem", "domain", "paper_type"))
+        homes = stored(homes_of(rows, live, pseudo))
+        looked_up = old_rows.join(rows.select("pid").distinct(), "pid", "left_anti").select("pid")
+        all_homes = homes if full else homes.unionByName(known("inc_homes", looked_up, "pid", homes))
+
+        reached = stored(reached_from(live, all_homes))
+        v1_edges = reached.filter("v1_home is not null").select(F.col("v1_home").alias("src"), "dst")
+        builds_on = reached.filter("have and view_home <> dst").select(F.col("view_home").alias("src"), "dst")
         nodes = v1_nodes(named).unionByName(graph_v1._pseudo_nodes(pseudo)).withColumn("def_status", v1_def_status(F.col("definition"), F.col("ptype")))
         paper_keys = pseudo.select(F.concat(F.lit("paper:"), "pid").alias("key"), "pid")
-        node_papers = rows.filter(defines()).select("rk", "pid").distinct().join(names.select("rk"), "rk", "left_semi").select(
-            F.col("rk").alias("key"), "pid").unionByName(paper_keys)
+        node_papers = live.filter(defines()).select(F.col("rk").alias("key"), "pid").distinct().unionByName(paper_keys)
         v2_papers = papers.select(
             "pid", F.coalesce("title", "pid").alias("title"), or_empty("problem").alias("problem"),
             F.coalesce("task", F.array().cast("array<string>")).alias("task"),
             F.coalesce("domain", F.lit("general")).alias("domain"), F.coalesce("paper_type", F.lit("other")).alias("paper_type"))
         v2_edges = live.filter("have").select("pid", "phase", "pos", F.when(defines(), "defines").otherwise("builds_on").alias("type"), "rk")
 
+        node_keys = stored(touched.select(F.col("rk").alias("key")).unionByName(paper_keys.select("key")))
+
         replaced("inc_registered", touched, registered, "rk")
         replaced("inc_firsts", touched, firsts, "rk")
-        added("inc_rows", kept_rows, "rk")
+        added("inc_rows", waiting, "rk")
         added("inc_homes", homes, "pid")
-        replaced("v1_nodes", touched.select(F.col("rk").alias("key")).unionByName(paper_keys.select("key")), nodes, "key")
+        replaced("v1_nodes", node_keys, nodes, "key")
         added("v1_node_papers", node_papers, "key")
-        added("v1_edges", v1_edges, "src", distinct=True)
+        united("v1_edges", v1_edges, "src")
         added("v2_papers", v2_papers, "pid")
         replaced("v2_concepts", touched, v2_concepts(named), "rk")
-        added("v2_edges", v2_edges, "rk")
+        added("v2_edges", v2_edges, "rk", dealt=True)
         replaced("view_nodes", touched.select(F.col("rk").alias("id")), view_nodes(named), "id")
-        added("view_builds_on", builds_on, "src", distinct=True)
+        united("view_builds_on", builds_on, "src")
         if full:
             c.write("inc_base", base)
         grown = c.write("lexicon", grown_lexicon(lexicon, before, registered))
         c.write("inc_mark", mark_of(grown))
 
 
-def homes_of(rows: DataFrame, names: DataFrame, pseudo: DataFrame) -> DataFrame:
+def homes_of(rows: DataFrame, live: DataFrame, pseudo: DataFrame) -> DataFrame:
     """pid, v1_home, view_home: where edges of a paper start. The single-type home is the first name the paper
-    defines, null when it has no node, or the paper itself when it defines none; the view takes the first with a node."""
-    ok = names.select("rk", F.lit(True).alias("ok"))
-    own = rows.filter(defines()).select("pid", "pos", "rk").join(ok, "rk", "left").groupBy("pid").agg(
-        F.min(F.struct("pos", "rk", "ok")).alias("h"), F.min(F.when(F.col("ok"), F.struct("pos", "rk"))).alias("v"))
-    own = own.select("pid", F.when(F.col("h.ok"), F.col("h.rk")).alias("v1_home"), F.col("v.rk").alias("view_home"))
+    defines, null when it has no node, or the paper itself when it defines none; the view takes the first with a node,
+    that is, of the `live` rows."""
+    at = F.struct("pos", "rk").alias("at")
+    both = rows.filter(defines()).select("pid", at, F.lit(False).alias("ok")).unionByName(live.filter(defines()).select("pid", at, F.lit(True).alias("ok")))
+    own = both.groupBy("pid").agg(F.min("at").alias("h"), F.min(F.when(F.col("ok"), F.col("at"))).alias("v"))
+    own = own.select("pid", F.when(F.col("h") == F.col("v"), F.col("h.rk")).alias("v1_home"), F.col("v.rk").alias("view_home"))
     return own.unionByName(pseudo.select("pid", F.concat(F.lit("paper:"), "pid").alias("v1_home"), F.lit(None).cast("string").alias("view_home")))
 
 
-def edges(targets: DataFrame, homes: DataFrame, home: str) -> DataFrame:
-    start = homes.select("pid", F.col(home).alias("src")).filter("src is not null")
-    return targets.select("pid", F.col("rk").alias("dst")).distinct().join(start, "pid").select("src", "dst").distinct()
+def reached_from(live: DataFrame, homes: DataFrame) -> DataFrame:
+    """v1_home, view_home, dst, have: edges of both graphs, from one join; repeats are left to the tables."""
+    starts = homes.filter("v1_home is not null or view_home is not null")
+    targets = live.filter(F.col("phase") == BUILDS_ON).select("pid", F.col("rk").alias("dst"), "have")
+    return targets.join(starts, "pid").select("v1_home", "view_home", "dst", "have")
 
 
 def grown_lexicon(lexicon: DataFrame, before: DataFrame, registered: DataFrame) -> DataFrame:

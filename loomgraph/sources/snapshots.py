@@ -23,9 +23,11 @@ from pyspark.sql.types import StructType
 from pyspark.errors import AnalysisException
 
 
-#: A row is a bucket of a version, or all of it where the table has no buckets. No path: nothing there.
+#: A row is a folder of a bucket of a version, or of all of it where the table has no buckets. No path: nothing there.
 POINTERS = "name string, version bigint, path string, bucket int, buckets int, schema string"
 BUCKETS = 64
+#: Folders of a bucket, from which on appended rows are written together with those of the bucket.
+FOLDERS = 16
 
 
 def missing(error: AnalysisException) -> bool:
@@ -53,13 +55,17 @@ class Version:
     """A version of a table: its folders, by bucket where it has buckets."""
 
     number: int
-    folders: dict[int | None, str]
+    folders: dict[int | None, tuple[str, ...]]
     buckets: int | None
     schema: StructType
 
     def rows(self, name: str) -> list[tuple]:
         text = self.schema.json()
-        return [(name, self.number, path, b, self.buckets, text) for b, path in (self.folders or {None: None}).items()]
+        return [(name, self.number, path, b, self.buckets, text) for b, paths in (self.folders or {None: (None,)}).items() for path in paths]
+
+    def paths(self, buckets: set[int] | None = None) -> list[str]:
+        """Folders of all, or of the given buckets."""
+        return [p for b, paths in self.folders.items() if buckets is None or b in buckets for p in paths]
 
 
 class Commit:
@@ -84,46 +90,71 @@ class Commit:
         """Rows of the given keys; of a bucketed table only the buckets they fall into are read."""
         v = self.now[name]
         wanted = keys.select(key).distinct()
-        folders = list(v.folders.values())
+        folders = v.paths()
         if v.buckets:
-            hit = {r["b"] for r in wanted.select(bucket_of(key, v.buckets).alias("b")).distinct().collect()}
-            folders = [p for b, p in v.folders.items() if b in hit]
+            folders = v.paths({r["b"] for r in wanted.select(bucket_of(key, v.buckets).alias("b")).distinct().collect()})
         return self.store._table(folders, v.schema).join(wanted, key, "left_semi").select(*v.schema.names)
 
     def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """The whole table, in one folder."""
         _, number, path = self._next(name)
         (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
-        self.staged[name] = Version(number, {None: path}, None, df.schema)
+        self.staged[name] = Version(number, {None: (path,)}, None, df.schema)
         return self.store.spark.read.schema(df.schema).parquet(path)
 
     def upsert(self, name: str, delta: DataFrame, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
-               schema: str | StructType, buckets: int = BUCKETS, reset: bool = False, keys: DataFrame | None = None) -> int:
+               schema: str | StructType, buckets: int = BUCKETS, reset: bool = False, keys: DataFrame | None = None,
+               distinct: bool = False) -> int:
         """`merge(old, delta)` gives the new rows of the buckets that the delta's keys fall into, from
         their old rows; it must not make rows of other keys. The delta is read for its keys first, unless
         they are given. Returns how many buckets were written.
-        A table without buckets is dealt into buckets here; `reset` starts from no rows."""
+        A table without buckets is dealt into buckets here; `reset` starts from no rows. With `distinct` the rows are
+        a set: they are written where equal rows meet, not dealt out again."""
         spark = self.store.spark
         now, number, path = self._next(name)
         now = None if reset else now
         dealt = now is not None and now.buckets is not None
         n = now.buckets if dealt else buckets
-        kept, old = {}, list(now.folders.values()) if now else []
+        kept, old = {}, now.paths() if now else []
         if dealt:
             touched = {r["b"] for r in (delta if keys is None else keys).select(bucket_of(key, n).alias("b")).distinct().collect()}  # at most n
             kept = {b: p for b, p in now.folders.items() if b not in touched}
-            old = [p for b, p in now.folders.items() if b in touched]
+            old = now.paths(touched)
         shape = now.schema if now else all_nullable(spark.createDataFrame([], schema).schema)
         rows = merge(self.store._table(old, shape), delta).select(*[F.col(f.name).cast(f.dataType) for f in shape])
+        rows = (rows.distinct() if distinct else rows).withColumn("_bucket", bucket_of(key, n))
         # adaptive execution splits large buckets over several files and puts small ones into one task
-        rows.withColumn("_bucket", bucket_of(key, n)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
-        written = dict(self.store._buckets_in(path))
+        (rows if distinct else rows.hint("rebalance", "_bucket")).write.partitionBy("_bucket").parquet(path)
+        written = {b: (p,) for b, p in self.store._buckets_in(path)}
         self.staged[name] = Version(number, kept | written, n, shape)
         return len(written)
 
+    def append(self, name: str, rows: DataFrame, key: str, schema: str | StructType, buckets: int = BUCKETS,
+               reset: bool = False, dealt: bool = False) -> int:
+        """Adds rows to a bucketed table. They become folders beside those of their buckets, so nothing stored is read
+        or written again, until a bucket has FOLDERS of them. Rows that are `dealt` lie in files by bucket already."""
+        now, number, path = self._next(name)
+        now = None if reset else now
+        if now is not None and (now.buckets is None or max(map(len, now.folders.values()), default=0) >= FOLDERS):
+            return self.upsert(name, rows, key, lambda old, d: old.unionByName(d), schema, buckets)
+        n = now.buckets if now else buckets
+        shape = now.schema if now else all_nullable(self.store.spark.createDataFrame([], schema).schema)
+        placed = rows.select(*[F.col(f.name).cast(f.dataType) for f in shape]).withColumn("_bucket", bucket_of(key, n))
+        (placed if dealt else placed.hint("rebalance", "_bucket")).write.partitionBy("_bucket").parquet(path)
+        written = {b: (p,) for b, p in self.store._buckets_in(path)}
+        before = now.folders if now else {}
+        self.staged[name] = Version(number, {b: before.get(b, ()) + written.get(b, ()) for b in sorted({*before, *written})}, n, shape)
+        return len(written)
+
     def replace(self, name: str, keys: DataFrame, rows: DataFrame, key: str, schema: str | StructType,
-                buckets: int = BUCKETS, reset: bool = False) -> int:
-        """The rows of the given keys, which may be none, take the place of those stored."""
+                buckets: int = BUCKETS, reset: bool = False, exact: bool = False) -> int:
+        """The rows of the given keys, which may be none, take the place of those stored. `exact` promises that
+        there are no rows of other keys, and that `keys` is cheap to read; else such rows are left out."""
+        if exact:
+            def swapped(old: DataFrame, delta: DataFrame) -> DataFrame:
+                return delta if reset else old.join(keys.select(key), key, "left_anti").select(*old.columns).unionByName(delta.select(*old.columns))
+
+            return self.upsert(name, rows, key, swapped, schema, buckets, reset, keys)
         delta = keys.select(key).distinct().join(rows.withColumn("_row", F.lit(True)), key, "left")
 
         def swap(old: DataFrame, delta: DataFrame) -> DataFrame:
@@ -161,7 +192,9 @@ class Snapshots:
         out = {}
         for r in rows.collect():  # one row per table
             v = r["v"]
-            folders = {f["bucket"]: f["path"] for f in v["at"] if f["path"]}
+            folders: dict = {}
+            for bucket, path in sorted(((f["bucket"], f["path"]) for f in v["at"] if f["path"]), key=lambda at: (at[0] or 0, at[1])):
+                folders[bucket] = (*folders.get(bucket, ()), path)
             out[r["name"]] = Version(v["version"], folders, v["s"]["buckets"], StructType.fromJson(json.loads(v["s"]["schema"])))
         return out
 
@@ -171,7 +204,7 @@ class Snapshots:
     def current(self, name: str) -> tuple[int, list[str]] | None:
         """Number and folders of the current version."""
         v = self.version(name)
-        return v and (v.number, list(v.folders.values()))
+        return v and (v.number, v.paths())
 
     def exists(self, name: str) -> bool:
         return self.version(name) is not None
@@ -182,7 +215,7 @@ class Snapshots:
         v = self.version(name)
         if v is None and schema is None:
             raise FileNotFoundError(f"{name} has no snapshot under {self.root}")
-        return self._table(list(v.folders.values()) if v else [], schema or v.schema)
+        return self._table(v.paths() if v else [], schema or v.schema)
 
     def _table(self, folders: list[str], schema: str | StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
@@ -223,7 +256,7 @@ class Snapshots:
         now = self.versions()
         fs, old_files = self._files(f"{self.root}/_pointers")
         limit = self.spark._jvm.java.lang.System.currentTimeMillis() - int(hours * 3_600_000)
-        used = {p for v in now.values() for p in v.folders.values()}
+        used = {p for v in now.values() for p in v.paths()}
         gone = []
         for name in now:
             for run in self._files(f"{self.root}/{name}")[1]:
