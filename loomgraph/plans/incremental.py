@@ -83,11 +83,14 @@ def firsts_of(rows: DataFrame, papers: DataFrame) -> DataFrame:
         F.min(F.when(have, arxiv_month("pid"))).alias("month"))
     pairs = rows.groupBy("rk", "pid").agg(F.max(defines()).alias("defines"), F.max("have").alias("have"))
     counts = pairs.groupBy("rk").agg(F.count_if("defines").alias("n_defining"), F.count_if("have").alias("n_papers"))
+    firsts = stored(mins.join(counts, "rk"))
     first = papers.select(F.col("pid").alias("define_pid"), "domain", "paper_type")
     home = papers.select(F.col("pid").alias("home_pid"), F.struct("pid", "paper_type", "domain").alias("home"))
-    return (mins.join(counts, "rk").withColumn("define_pid", F.col("define.pid")).join(first, "define_pid", "left").join(home, "home_pid", "left").select(
+    ids = firsts.select("rk", F.col("define.pid").alias("define_pid"), "home_pid")
+    said = ids.join(first, "define_pid", "left").join(home, "home_pid", "left").select("rk", "domain", "paper_type", "home")
+    return firsts.join(said, "rk").select(
         "rk", F.when(F.col("define").isNotNull(), F.struct("define.pid", "define.d", "domain", "paper_type")).alias("define"), "n_defining", "first",
-        "text", "n_papers", "home", "month"))
+        "text", "n_papers", "home", "month")
 
 
 def merged_firsts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -141,8 +144,8 @@ def apply(store: Snapshots, papers: DataFrame, mentions: DataFrame, lexicon: Dat
         def replaced(name: str, keys: DataFrame, rows: DataFrame, key: str) -> None:
             c.replace(name, keys, rows, key, rows.schema, buckets, full, exact=True)
 
-        def added(name: str, rows: DataFrame, key: str, dealt: bool = False) -> None:
-            c.append(name, rows, key, rows.schema, buckets, full, dealt)
+        def added(name: str, rows: DataFrame, key: str) -> None:
+            c.append(name, rows, key, rows.schema, buckets, full, dealt_out=False)
 
         def united(name: str, rows: DataFrame, key: str) -> None:
             c.upsert(name, rows, key, lambda old, d: old.unionByName(d), rows.schema, buckets, full, distinct=True)
@@ -205,7 +208,7 @@ def apply(store: Snapshots, papers: DataFrame, mentions: DataFrame, lexicon: Dat
         united("v1_edges", v1_edges, "src")
         added("v2_papers", v2_papers, "pid")
         replaced("v2_concepts", touched, v2_concepts(named), "rk")
-        added("v2_edges", v2_edges, "rk", dealt=True)
+        added("v2_edges", v2_edges, "rk")
         replaced("view_nodes", touched.select(F.col("rk").alias("id")), view_nodes(named), "id")
         united("view_builds_on", builds_on, "src")
         if full:

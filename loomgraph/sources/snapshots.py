@@ -104,12 +104,13 @@ class Commit:
 
     def upsert(self, name: str, delta: DataFrame, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
                schema: str | StructType, buckets: int = BUCKETS, reset: bool = False, keys: DataFrame | None = None,
-               distinct: bool = False) -> int:
+               distinct: bool = False, dealt_out: bool = True) -> int:
         """`merge(old, delta)` gives the new rows of the buckets that the delta's keys fall into, from
         their old rows; it must not make rows of other keys. The delta is read for its keys first, unless
         they are given. Returns how many buckets were written.
         A table without buckets is dealt into buckets here; `reset` starts from no rows. With `distinct` the rows are
-        a set: they are written where equal rows meet, not dealt out again."""
+        a set: they are written where equal rows meet, not dealt out again; nor are they without `dealt_out`, so that
+        every task writes a file to each of its buckets."""
         spark = self.store.spark
         now, number, path = self._next(name)
         now = None if reset else now
@@ -124,15 +125,15 @@ class Commit:
         rows = merge(self.store._table(old, shape), delta).select(*[F.col(f.name).cast(f.dataType) for f in shape])
         rows = (rows.distinct() if distinct else rows).withColumn("_bucket", bucket_of(key, n))
         # adaptive execution splits large buckets over several files and puts small ones into one task
-        (rows if distinct else rows.hint("rebalance", "_bucket")).write.partitionBy("_bucket").parquet(path)
+        (rows.hint("rebalance", "_bucket") if dealt_out and not distinct else rows).write.partitionBy("_bucket").parquet(path)
         written = {b: (p,) for b, p in self.store._buckets_in(path)}
         self.staged[name] = Version(number, kept | written, n, shape)
         return len(written)
 
     def append(self, name: str, rows: DataFrame, key: str, schema: str | StructType, buckets: int = BUCKETS,
-               reset: bool = False, dealt: bool = False) -> int:
+               reset: bool = False, dealt_out: bool = True) -> int:
         """Adds rows to a bucketed table. They become folders beside those of their buckets, so nothing stored is read
-        or written again, until a bucket has FOLDERS of them. Rows that are `dealt` lie in files by bucket already."""
+        or written again, until a bucket has FOLDERS of them. Without `dealt_out` the tasks write them where they are."""
         now, number, path = self._next(name)
         now = None if reset else now
         if now is not None and (now.buckets is None or max(map(len, now.folders.values()), default=0) >= FOLDERS):
@@ -140,7 +141,7 @@ class Commit:
         n = now.buckets if now else buckets
         shape = now.schema if now else all_nullable(self.store.spark.createDataFrame([], schema).schema)
         placed = rows.select(*[F.col(f.name).cast(f.dataType) for f in shape]).withColumn("_bucket", bucket_of(key, n))
-        (placed if dealt else placed.hint("rebalance", "_bucket")).write.partitionBy("_bucket").parquet(path)
+        (placed.hint("rebalance", "_bucket") if dealt_out else placed).write.partitionBy("_bucket").parquet(path)
         written = {b: (p,) for b, p in self.store._buckets_in(path)}
         before = now.folders if now else {}
         self.staged[name] = Version(number, {b: before.get(b, ()) + written.get(b, ()) for b in sorted({*before, *written})}, n, shape)
@@ -149,12 +150,13 @@ class Commit:
     def replace(self, name: str, keys: DataFrame, rows: DataFrame, key: str, schema: str | StructType,
                 buckets: int = BUCKETS, reset: bool = False, exact: bool = False) -> int:
         """The rows of the given keys, which may be none, take the place of those stored. `exact` promises that
-        there are no rows of other keys, and that `keys` is cheap to read; else such rows are left out."""
+        there are no rows of other keys, and that `keys` is cheap to read; they are written where stored rows meet the
+        keys. Else such rows are left out."""
         if exact:
             def swapped(old: DataFrame, delta: DataFrame) -> DataFrame:
                 return delta if reset else old.join(keys.select(key), key, "left_anti").select(*old.columns).unionByName(delta.select(*old.columns))
 
-            return self.upsert(name, rows, key, swapped, schema, buckets, reset, keys)
+            return self.upsert(name, rows, key, swapped, schema, buckets, reset, keys, dealt_out=False)
         delta = keys.select(key).distinct().join(rows.withColumn("_row", F.lit(True)), key, "left")
 
         def swap(old: DataFrame, delta: DataFrame) -> DataFrame:

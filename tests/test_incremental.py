@@ -110,3 +110,11 @@ def test_workbench_follows_until_the_lexicon_is_edited(spark, tmp_path):
     with store.commit() as c:
         incremental.invalidate(c)
     assert not incremental.can_follow(store, store.read("lexicon"))
+
+
+def test_only_mentions_that_may_be_looked_up_are_kept(spark, tmp_path):
+    papers, mentions, lexicon = world(spark, 3, 40)
+    store = Snapshots(spark, str(tmp_path))
+    incremental.apply(store, papers, mentions, lexicon, full=True, buckets=2)
+    pending = store.read("inc_registered").filter("status = 'pending'").select("rk")
+    assert store.read("inc_rows").join(pending, "rk", "left_anti").isEmpty()

@@ -153,3 +153,18 @@ def test_ledger_batches(spark, tmp_path):
         assert s.upsert("ledger", one, "aid", C.upsert_ledger, LEDGER) == 1
         assert rows(s.read("ledger").filter("aid = '24.7'"), "title", "first_seen_query", "extracted") == [("new title", "q", False)]
         assert s.read("ledger").count() == 40
+
+
+def test_appended_rows_leave_stored_ones_alone(spark, tmp_path):
+    s = Snapshots(spark, str(tmp_path))
+    s.upsert("t", kv(spark, *[(f"k{i}", i) for i in range(40)]), "k", union, KV, 4)
+    before = s.version("t").folders
+    for i in range(2):
+        with s.commit() as c:
+            c.append("t", kv(spark, ("k1", -1 - i)), "k", KV)
+    now = s.version("t").folders
+    assert all(set(p) <= set(now[b]) for b, p in before.items()) and sorted(len(p) for p in now.values()) == [1, 1, 1, 3]
+    assert rows(s.read("t").filter("k = 'k1'"), "v") == [(-1,), (-2,), (1,)] and s.read("t").count() == 42
+    assert rows(s.lookup("t", kv(spark, ("k1", 0)), "k"), "v") == [(-1,), (-2,), (1,)]
+    s.upsert("t", kv(spark, ("k1", 9)), "k", latest, KV)
+    assert rows(s.read("t").filter("k = 'k1'"), "v") == [(9,)] and s.vacuum(hours=-1) and s.read("t").count() == 40
