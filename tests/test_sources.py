@@ -234,9 +234,9 @@ def test_atom_feed(spark, tmp_path):
 
 def test_equal_rows_and_line_separators_are_read_back(spark, tmp_path):
     """Of equal first rows one alone goes without a comma; a row may hold U+2028, which no `.` matches."""
-    edges = spark.createDataFrame([("a b", "c"), ("a b", "c"), ("d", "e")], "src string, dst string")
+    edges = spark.createDataFrame([("a\u2028b", "c"), ("a\u2028b", "c"), ("d", "e")], "src string, dst string")
     path = str(tmp_path / "doc")
     D.write_document(spark, path, [D.Section("edges", edges, F.struct(F.col("src").alias("from"), F.col("dst").alias("to")), F.col("src"))])
-    assert rows(D.read_edges(spark, path), "from", "to") == [("a b", "c"), ("a b", "c"), ("d", "e")]
+    assert rows(D.read_edges(spark, path), "from", "to") == [("a\u2028b", "c"), ("a\u2028b", "c"), ("d", "e")]
     text = "\n".join(r[0] for r in spark.read.text(path).withColumn("f", F.input_file_name()).withColumn("n", F.monotonically_increasing_id()).orderBy("f", "n").collect())
     assert len(json.loads(text)["edges"]) == 3
