@@ -13,10 +13,14 @@ Frequencies come from sketches of all documents, of fixed size; they only order,
 collisions change no result.
 
 Equal sets are one class. In each list every class is first compared with one hub only, the class
-with the most company, and components are formed. Then the pairs of a list that are still in different
+with the most company for all the lists it sent, and components are formed: the text that near copies stem
+from shares all of its lists, a copy not those of its own words. Then the pairs of a list that are still in different
 components are compared, which is what an exact answer needs; a group of near copies is by
 then one component and makes no pairs. Of these pairs the place of the list's elements in the two orders
-drops those that have too many elements of their own before it. A bitmap of about four bits per element bounds the overlap from
+drops those that have too many elements of their own before it. The order cannot do so where its sketches are
+full. Classes that have more than CROWD others of a size that could link in a list therefore count
+the elements that no other such class has, exactly; two of them share none of these, so copies below the threshold make no
+pairs, however many they are. A bitmap of about four bits per element bounds the overlap from
 above and drops most pairs before whole sets are fetched; what remains is compared exactly.
 
 Defined results: null and blank text has an empty set, links with nothing and is its own
@@ -42,6 +46,7 @@ from loomgraph.session import Scratch, materialize
 
 SKETCH_BITS, BLOCK_BITS = 21, 15
 LIGHT_MOST = 512
+CROWD = 8
 
 
 class Rule:
@@ -299,12 +304,15 @@ class Join:
         need = F.ceil(F.lit(self.rule.num) * (F.col("n_a") + F.col("n_b")) / F.lit(self.rule.num + self.rule.den))
         return F.col("n_a") + F.col("n_b") - F.col("apart") >= 2 * need
 
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """id, text: one document of each class of the distinct ids `need`."""
+        wanted = materialize(self.classes.join(ids, F.col("id") == F.col("need")).select("id", F.col("row_ord").alias("ord")))
+        return self.rows.join(wanted, F.col("row_ord") == F.col("ord")).select("id", "text")
+
     def compared(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs a, b that link, from whole sets. Only documents of these pairs send their sets."""
         rule = self.rule
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-        wanted = materialize(self.classes.join(ids, F.col("id") == F.col("need")).select("id", F.col("row_ord").alias("ord")))
-        rows = self.rows.join(wanted, F.col("row_ord") == F.col("ord")).select("id", "text")
+        rows = self.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct())
 
         def read(batches):
             for whole in batches:
@@ -325,10 +333,17 @@ class Join:
         both = pairs.select("a", "b").join(side["a"], F.col("a") == F.col("id_a")).join(side["b"], F.col("b") == F.col("id_b"))
         return self.scratch.write(name, both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint"))
 
+    def lists_sent(self) -> Column:
+        """How many lists a class of n elements enters, those that it has for itself included."""
+        n, rule = F.col("n"), self.rule
+        prefix = n - F.ceil(n * rule.num / rule.den) + 1
+        return (F.when(n <= self.light, prefix * (prefix + 1) / 2).otherwise(0)
+                + F.when(n * rule.den > rule.num * self.light, prefix).otherwise(0))
+
     def with_hubs(self, lists: DataFrame) -> DataFrame:
         """Links of classes with a hub of one of their lists: each tries the nearest by bitmap."""
         sizes = lists.groupBy(F.col("list").alias("of")).agg(F.count(F.lit(1)).alias("size"))
-        company = lists.join(sizes, F.col("list") == F.col("of")).groupBy("id").agg(F.avg("size").alias("company"))
+        company = lists.join(sizes, F.col("list") == F.col("of")).groupBy("id").agg((F.sum("size") / F.max(self.lists_sent())).alias("company"))
         hubs = (lists.join(company, "id").groupBy(F.col("list").alias("hub_list"))
                 .agg(F.max_by("id", F.struct("company", "id")).alias("hub")))
         pairs = lists.join(hubs, F.col("list") == F.col("hub_list")).filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
@@ -336,15 +351,43 @@ class Join:
                 .agg(F.min(F.struct("apart", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
         return self.compared(materialize(near), "hubs")
 
+    def own_elements(self, lists: DataFrame) -> DataFrame:
+        """known, own of the classes with more than CROWD rows of a size that could link in one list: how many of its
+        elements no other of these classes has."""
+        rule = self.rule
+        # sizes that could link lie in neighbouring bins
+        sized = lists.filter(F.col("size") > CROWD).withColumn("bin", F.floor(F.log("n") / math.log(rule.den / rule.num)))
+        near = (sized.groupBy("list", "bin").agg(F.count(F.lit(1)).alias("rows"))
+                .select("list", "rows", F.explode(F.array(F.col("bin") - 1, "bin", F.col("bin") + 1)).alias("bin"))
+                .groupBy(F.col("list").alias("of"), F.col("bin").alias("at")).agg(F.sum("rows").alias("near")).filter(F.col("near") > CROWD))
+        ids = materialize(sized.join(near, (F.col("list") == F.col("of")) & (F.col("bin") == F.col("at"))).select(F.col("id").alias("need")).distinct())
+
+        def run(batches):
+            for whole in batches:
+                for b in chunks(whole, "text"):
+                    sets = shingle_sets(b.column("text"), rule.size)
+                    if sets:
+                        at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), long_array(np.concatenate(sets))], ["id", "element"])
+
+        own = (self.texts_of(ids).mapInArrow(run, "id bigint, element bigint").groupBy("element").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+               .filter("lo = hi").groupBy(F.col("lo").alias("of")).agg(F.count(F.lit(1)).alias("own")))
+        return materialize(ids.join(own, F.col("need") == F.col("of"), "left").select(F.col("need").alias("known"), F.coalesce("own", F.lit(0)).alias("own")))
+
     def pair_by_pair(self, lists: DataFrame) -> DataFrame:
         """Links a, b between classes of one list that are not connected yet. A link is found in the list of its
         first common elements, so pairs whose bounds there do not reach the overlap they need are none: elements
-        that only one set has come first in its order, and near copies below the threshold end here."""
-        x, y = (lists.select("list", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "label", "most"))) for k in "ab")
+        that only one set has come first in its order. Between classes that counted their own elements these bound
+        the overlap too, and near copies below the threshold end here."""
+        counted = self.scratch.write("counted", lists.join(self.own_elements(lists), F.col("id") == F.col("known"), "left").select(
+            "list", "id", "n", "label", "most", F.when(F.col("own").isNotNull(), F.least("most", F.col("n") - F.col("own"))).alias("tight")))
+        x, y = (counted.select("list", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "label", "most", "tight"))) for k in "ab")
         num, den = self.rule.num, self.rule.den
+        most = (F.when(F.col("tight_a").isNotNull() & F.col("tight_b").isNotNull(), F.least("tight_a", "tight_b"))
+                .otherwise(F.least("most_a", "most_b")))
         pairs = x.join(y, "list").filter((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
                                          & (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-                                         & (F.least("most_a", "most_b") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num))
+                                         & (most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num))
         rest = self.apart(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
         return self.compared(materialize(rest.filter(self.may_link()).select("a", "b")), "pairs")
 
@@ -355,9 +398,9 @@ class Join:
         labels = components(links)
         tagged = self.scratch.write("tagged", lists.join(labels.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left")
                                     .select("list", "id", "n", "most", F.coalesce("label", "id").alias("label")))
-        open_ = materialize(tagged.groupBy(F.col("list").alias("of")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                            .filter("lo <> hi").select("of"))
-        more = self.pair_by_pair(tagged.join(open_, F.col("list") == F.col("of")).select("list", "id", "n", "most", "label"))
+        open_ = materialize(tagged.groupBy(F.col("list").alias("of")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
+                            .filter("lo <> hi").select("of", "size"))
+        more = self.pair_by_pair(tagged.join(open_, F.col("list") == F.col("of")).select("list", "id", "n", "most", "label", "size"))
         return labels if more.isEmpty() else components(links.unionByName(more))
 
 

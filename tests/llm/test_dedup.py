@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from llm.helpers import WORD, corpus, frame, words
+from loomgraph.llm import ngram_join
 from loomgraph.llm.exact_dedup import exact_dedup, keep_one_of_each
 from loomgraph.llm.line_dedup import line_dedup
 from loomgraph.llm.ngram_join import Rule, bitmap, boundary, keep_one_of_near, least_apart, may_link, near_duplicates, signatures
@@ -164,6 +165,26 @@ def test_near_duplicates(spark, size, num, den):
     assert left == Counter(c for c in {(c, n > 0) for _, n, c in want if n} for c in [c[0]])
 
 
+@pytest.mark.parametrize("blind", [False, True])
+def test_copies_below_the_threshold_make_no_pairs(spark, monkeypatch, blind):
+    """Copies with words of their own, linked with their origin or, blind to frequencies, with nothing."""
+    rng, rows, pairs, apart = random.Random(4), [], [], ngram_join.Join.apart
+    base = words(rng, 150)
+    for i in range(160):
+        w = list(base)
+        for k in range(9 if blind else 2 + i % 3 // 2):
+            w[rng.randrange(15) + 15 * k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w), "en", "s1"))
+    rows.append((160, " ".join(base), "en", "s1"))
+    if blind:  # as sketches are that are full
+        none = np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8)
+        monkeypatch.setattr(ngram_join, "frequency_levels", lambda parts: (none, none))
+    monkeypatch.setattr(ngram_join.Join, "apart", lambda self, p: pairs.append(p.count()) or apart(self, p))
+    got = near_duplicates(frame(spark, rows), size=3, num=9, den=10)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == linked(rows, 3, 9, 10)
+    assert pairs[1] < 4 * len(rows)  # the pairs of one list, after those with hubs
+
+
 def test_prefix_signatures_find_every_linked_pair():
     rng = np.random.default_rng(2)
     for num, den in ((9, 10), (4, 5)):
