@@ -33,7 +33,9 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import Tuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,7 @@ from loomgraph.session import Scratch, materialize
 SKETCH_BITS, BLOCK_BITS = 21, 15
 LIGHT_MOST = 512
 CROWD = 8
+SLICE = 1 << 21  # elements that one group counts
 
 
 class Rule:
@@ -362,16 +365,39 @@ class Join:
                 .groupBy(F.col("list").alias("of"), F.col("bin").alias("at")).agg(F.sum("rows").alias("near")).filter(F.col("near") > CROWD))
         ids = materialize(sized.join(near, (F.col("list") == F.col("of")) & (F.col("bin") == F.col("at"))).select(F.col("id").alias("need")).distinct())
 
+        total = self.classes.join(ids, F.col("id") == F.col("need")).agg(F.sum("n")).first()[0]
+        slices = max(1, -(-int(total or 0) // SLICE))
+
         def run(batches):
+            """Elements of each slice of the hashes, sorted, with the class of those that a batch has once; 0 and True of others."""
             for whole in batches:
                 for b in chunks(whole, "text"):
                     sets = shingle_sets(b.column("text"), rule.size)
-                    if sets:
-                        at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), long_array(np.concatenate(sets))], ["id", "element"])
-
-        own = (self.texts_of(ids).mapInArrow(run, "id bigint, element bigint").groupBy("element").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-               .filter("lo = hi").groupBy(F.col("lo").alias("of")).agg(F.count(F.lit(1)).alias("own")))
+                    if not sets:
+                        continue
+                    every = np.concatenate(sets)
+                    ids = np.repeat(b.column("id").to_numpy(), [len(s) for s in sets])
+                    found, first, times = np.unique(every, return_index=True, return_counts=True)
+                    ids, shared = np.where(times > 1, 0, ids[first]), times > 1
+                    part = (found >> np.uint64(20)) % np.uint64(slices)
+                    order = np.argsort(part, kind="stable")
+                    at = np.searchsorted(part[order], np.arange(slices + 1))
+                    cut = [(k, order[i:j]) for k, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int64()), *(
+                        pa.array([x[o].tobytes() for _, o in cut], pa.binary()) for x in (found, ids, shared))], ["slice", "elements", "ids", "shared"])
+
+        def count(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Classes of the elements that are nowhere else in the slice, with their number."""
+            parts = [(np.frombuffer(e, np.uint64), np.frombuffer(i, np.int64), np.frombuffer(s, bool)) for b in batches
+                     for e, i, s in zip(*(b.column(c).to_pylist() for c in ("elements", "ids", "shared")))]
+            elements, ids, shared = (np.concatenate(x) for x in zip(*parts))
+            _, first, times = np.unique(elements, return_index=True, return_counts=True)
+            once = first[(times == 1) & ~shared[first]]
+            of, own = np.unique(ids[once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(own.astype(np.int64))], ["of", "own"])
+
+        own = (self.texts_of(ids).mapInArrow(run, "slice bigint, elements binary, ids binary, shared binary")
+               .groupBy("slice").applyInArrow(count, "of bigint, own bigint").groupBy("of").agg(F.sum("own").alias("own")))
         return materialize(ids.join(own, F.col("need") == F.col("of"), "left").select(F.col("need").alias("known"), F.coalesce("own", F.lit(0)).alias("own")))
 
     def pair_by_pair(self, lists: DataFrame) -> DataFrame:

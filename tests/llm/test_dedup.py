@@ -178,6 +178,7 @@ def test_copies_below_the_threshold_make_no_pairs(spark, monkeypatch, blind):
     rows.append((160, " ".join(base), "en", "s1"))
     if blind:  # as sketches are that are full
         none = np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8)
+        monkeypatch.setattr(ngram_join, "SLICE", 5000)
         monkeypatch.setattr(ngram_join, "frequency_levels", lambda parts: (none, none))
     monkeypatch.setattr(ngram_join.Join, "apart", lambda self, p: pairs.append(p.count()) or apart(self, p))
     got = near_duplicates(frame(spark, rows), size=3, num=9, den=10)
