@@ -30,6 +30,7 @@ from loomgraph.session import materialize
 
 TILE_ROWS = 2048
 TILE_BYTES = 32 << 20  # of the vectors of a tile that is multiplied strip by strip
+CACHED = 512           # rows of the other tile where the products are only counted
 STRIP = 256            # rows of a tile multiplied at once, with up to STRIP * TILE_ROWS / 32 of the other
 
 
@@ -223,21 +224,33 @@ def _pair_table(table: pa.Table, i, j, milli, keep, best: int | None = None) ->
     })
 
 
+def _counted(table: pa.Table) -> np.ndarray:
+    """Node pairs of a group by rounded similarity, from -1000. Strips fit a core's cache, and what is made of
+    their products stays in place."""
+    n = _column(table, "n")
+    single = (n == 1).all()
+    total = np.zeros(2001, dtype=np.int64)
+    for i, j, sims, later in _strips(table, CACHED * 32 // STRIP):
+        sims *= 1000
+        np.rint(sims, out=sims)
+        sims += 1000
+        milli = sims.astype(np.intp)
+        valid = ... if later is None else later
+        if single:
+            total += np.bincount(milli[valid].ravel(), minlength=2001)
+        elif float(n[i].sum()) * float(n[j].sum()) < 2**53:  # so sums of doubles are exact
+            total += np.bincount(milli[valid].ravel(), np.outer(n[i], n[j])[valid].ravel().astype(np.float64), 2001).astype(np.int64)
+        else:
+            np.add.at(total, milli[valid], np.outer(n[i], n[j])[valid])
+    return total
+
+
 def histogram(vectors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """field, milli, n: how many node pairs have each rounded similarity; at most 2001 rows
     per field, whatever the number of pairs. `vectors` is (field, id, vec)."""
 
     def count(key, table):
-        n = _column(table, "n")
-        single = (n == 1).all()
-        total = np.zeros(2001, dtype=np.int64)
-        for i, j, sims, later in _strips(table, tile_rows):
-            milli = np.rint(sims * 1000).astype(np.int32) + 1000
-            valid = ... if later is None else later
-            if single:
-                total += np.bincount(milli[valid].ravel(), minlength=2001)
-            else:
-                np.add.at(total, milli[valid], np.outer(n[i], n[j])[valid])
+        total = _counted(table)
         seen = np.flatnonzero(total)
         return pa.table({
             "field": pa.array([key[0].as_py()] * len(seen), pa.string()),

@@ -1,6 +1,7 @@
 import itertools
 import math
 import statistics
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -219,3 +220,21 @@ def test_vectors_are_sent_a_fixed_number_of_times(spark):
     want = {(i, j) for i, j in zip(*np.nonzero(np.triu(milli >= 900, 1)))}
     got = [(r["a"], r["b"]) for r in S.pairs(df, 0.9, 64).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("most", [1, 4, 2**26])
+def test_products_are_counted_in_place(most):
+    """Strips of a histogram are small beside their tile, and copies count exactly however many there are."""
+    import pyarrow as pa
+
+    units = S.unit_rows(np.random.default_rng(6).normal(size=(6000, 8)))
+    n = np.random.default_rng(7).integers(1, most, 6000, endpoint=True)
+    table = pa.table({"lo": [0] * 6000, "hi": [1] * 6000, "right": np.arange(6000) >= 300, "n": n, "vec": pa.array(units.tolist())})
+    tracemalloc.start()
+    got = S._counted(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros(2001, np.int64)
+    np.add.at(want, np.rint(S.unit_rows(units)[:300] @ S.unit_rows(units)[300:].T * 1000).astype(int) + 1000, np.outer(n[:300], n[300:]))
+    assert (got == want).all()
+    assert peak < 10 << 20
