@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.llm.textops import bounded_sample, chunks
-from loomgraph.session import materialize
+from loomgraph.session import materialize, stored
 
 END = b"\n"  # no word holds a line feed
 LANES = 256
 SHARE, LEAST_WORDS, ENDING = 16, 2014, 3
 BLOCK = 1 << 14  # parameters in a row of what the tasks send
+FIT_TOKENS, SCORE_TOKENS = 350_000, 1_400_000  # that a task holds at once, or one text
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -87,117 +88,232 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
+def class_cuts(p: np.ndarray) -> np.ndarray:
+    """Bounds of classes of outcomes, the first alone, so that a token meets few of them: the classes, and
+    the outcomes of its class. No class has more than a bound of share times outcomes, so frequent
+    words stand in small classes; the best of some bounds is taken."""
+    total, n, best = np.concatenate(([0.0], np.cumsum(p))), len(p), None
+    for bound in 2.0 ** np.arange(-6, 6, 0.5):
+        cuts = [0, 1] if n > 1 else [0]
+        while cuts[-1] < n:
+            a, lo, hi = cuts[-1], cuts[-1] + 1, n
+            while lo < hi:  # the product grows with the end
+                mid = (lo + hi + 1) // 2
+                lo, hi = (mid, hi) if (total[mid] - total[a]) * (mid - a) <= bound else (lo, mid - 1)
+            cuts.append(lo)
+        at = np.array(cuts)
+        cost = 1.6 * len(at) + (np.diff(total[at]) * np.diff(at)).sum()  # a class is also some calls in each window
+        if best is None or cost < best[0]:
+            best = cost, at
+    return best[1]
+
+
 class Recurrent:
     """One gated recurrent layer with a class-factored softmax.
 
-    Outcome 0 is "another word", a class by itself; outcomes 1.. are words by falling count in
-    classes of `width`. Places past the last outcome have a bias that excludes them."""
+    Outcome 0 is "another word", a class by itself; outcomes 1.. are words by falling count in the
+    classes of `class_cuts`, or of `width` words each. Of the three parts of "x", "u" and "b" the
+    first two are the gates."""
 
-    def __init__(self, masses: np.ndarray, hidden: int = 32, width: int = 32, seed: int = 1):
+    def __init__(self, masses: np.ndarray, hidden: int = 32, width: int | None = None, seed: int = 1):
         rng = np.random.default_rng(seed)
-        n = len(masses)
-        self.width, self.hidden = width, hidden
-        self.classes = 1 + -(-(n - 1) // width)
+        n, f = len(masses), np.float32
         p = masses / masses.sum()
-        filled = np.zeros((self.classes - 1, width))
-        filled.ravel()[: n - 1] = p[1:]
-        share = np.concatenate(([p[0]], filled.sum(1)))
-        f = np.float32
+        self.hidden = hidden
+        self.cuts = class_cuts(p) if width is None else np.array([0, *range(1, n, width), n])
+        self.cls = np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
+        share = np.add.reduceat(p, self.cuts[:-1])
         with np.errstate(divide="ignore"):
-            word_bias = np.maximum(np.log(filled / np.maximum(filled.sum(1, keepdims=True), 1e-300)), -1e4)
+            word_bias = np.maximum(np.log(p / np.maximum(share, 1e-300)[self.cls]), -1e4)
             class_bias = np.maximum(np.log(share), -1e4)
         self.p = {
-            "x": (rng.standard_normal((n, 3 * hidden)) * 0.1).astype(f),
-            "u": (rng.standard_normal((hidden, 3 * hidden)) / np.sqrt(hidden)).astype(f),
-            "b": np.concatenate((np.zeros(hidden), np.full(hidden, 1.0), np.zeros(hidden))).astype(f),
-            "cw": np.zeros((hidden, self.classes), f), "cb": class_bias.astype(f),
-            "ww": np.zeros((self.classes - 1, hidden, width), f), "wb": word_bias.astype(f),
+            "x": (rng.standard_normal((3, n, hidden)) * 0.1).astype(f),
+            "u": (rng.standard_normal((3, hidden, hidden)) / np.sqrt(hidden)).astype(f),
+            "b": np.repeat(np.array([[0], [1], [0]], f), hidden, axis=1),
+            "cw": np.zeros((hidden, len(share)), f), "cb": class_bias.astype(f),
+            "ww": np.zeros((n, hidden), f), "wb": word_bias.astype(f),
         }
+        self.dx = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"dx": None}
+
+    def cell(self, gx: np.ndarray, h: np.ndarray, bias: np.ndarray, out: np.ndarray):
+        """The next state into `out`, and the gates r and z, the new part and what r lets through.
+        `gx` [3, lanes, hidden] is what the inputs add, `bias` has "b" for each lane."""
+        gh = np.matmul(h, self.p["u"])
+        gh += bias
+        gates = gh[:2]
+        gates += gx[:2]
+        np.negative(gates, out=gates)
+        with np.errstate(over="ignore"):
+            np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        new = gates[0] * gh[2]
+        new += gx[2]
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=out)
+        out *= gates[1]
+        out += new
+        return gates[0], gates[1], new, gh[2]
+
+    def biases(self, lanes: int) -> np.ndarray:
+        return np.repeat(self.p["b"][:, None], lanes, axis=1)
 
     def step(self, x: np.ndarray, h: np.ndarray):
-        k = self.hidden
-        gx, gh = self.p["x"][x], h @ self.p["u"] + self.p["b"]
-        gates = np.tanh((gx[:, : 2 * k] + gh[:, : 2 * k]) * np.float32(0.5))
-        gates += 1
-        gates *= np.float32(0.5)
-        r, z = gates[:, :k], gates[:, k:]
-        new = np.tanh(gx[:, 2 * k:] + r * gh[:, 2 * k:])
-        return new + z * (h - new), (r, z, new, gh[:, 2 * k:])
+        out = np.empty(h.shape, np.result_type(h, self.p["u"]))
+        return out, self.cell(self.p["x"][:, x], h, self.biases(len(x)), out)
 
-    def log_probs(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def log_probs(self, hs: np.ndarray, y: np.ndarray, safe: bool = False) -> np.ndarray:
         """Natural log of P(outcome) for each row of states."""
         logits = hs @ self.p["cw"]
         logits += self.p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        cls = np.where(y > 0, (y - 1) // self.width + 1, 0)
-        out = logits[np.arange(len(y)), cls]
-        out -= np.log(np.exp(logits, out=logits).sum(1))
-        for c, rows in self._by_class(cls):
-            w = hs[rows] @ self.p["ww"][c - 1]
-            w += self.p["wb"][c - 1]
-            w -= w.max(1, keepdims=True)
-            own = w[np.arange(len(rows)), (y[rows] - 1) % self.width]
-            out[rows] += own - np.log(np.exp(w, out=w).sum(1))
+        out = taken(logits, self.cls[y])
+        order, ys, found = self._by_class(y)
+        at, more, both = hs[order], np.zeros(len(y), out.dtype), np.ones((2, len(y)), out.dtype)
+        with np.errstate(all="ignore"):
+            _, both[0], moved = exponentials(logits, safe)
+            out -= moved
+            for a, b, rows in found:
+                w = at[rows] @ self.p["ww"][a:b].T
+                w += self.p["wb"][a:b]
+                own = taken(w, ys[rows] - a)
+                _, both[1, rows], moved = exponentials(w, safe)
+                np.subtract(own, moved, out=more[rows])
+        if not safe and not in_range(both):
+            return self.log_probs(hs, y, True)
+        np.log(both, out=both)
+        out -= both[0]
+        more -= both[1]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(y))
+        out += more[back]
         return out
 
-    def _by_class(self, cls: np.ndarray):
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(1, self.classes + 1))
-        for c in range(1, self.classes):
-            if cuts[c] > cuts[c - 1]:
-                yield c, order[cuts[c - 1]: cuts[c]]
+    def _by_class(self, y: np.ndarray):
+        """The order of the outcomes, the outcomes in it, and the bounds and rows of each class that is met, but of classes of one."""
+        order = np.argsort(y.astype(np.uint16) if len(self.cls) < 1 << 16 else y, kind="stable")
+        ys = y[order]
+        at = np.searchsorted(ys, self.cuts)
+        return order, ys, [(a, b, slice(i, j)) for a, b, i, j in zip(self.cuts.tolist(), self.cuts[1:].tolist(), at.tolist(), at[1:].tolist()) if j > i and b - a > 1]
 
     def gradients(self, x, y, mask, reset, h):
-        """Truncated backpropagation through one window [steps, lanes]; also the last state."""
-        p, k = self.p, self.hidden
-        saved, hs = [], []
-        for t in range(len(x)):
-            h = h * (1 - reset[t])[:, None]
-            nxt, gates = self.step(x[t], h)
-            saved.append((h, gates))
-            hs.append(nxt)
-            h = nxt
-        flat, yy, mm = np.concatenate(hs), y.ravel(), mask.ravel()
-        g = {n: np.zeros_like(v) for n, v in p.items() if n != "x"}
-        soft = flat @ p["cw"]
-        soft += p["cb"]
-        soft -= soft.max(1, keepdims=True)
-        np.exp(soft, out=soft)
-        soft *= (mm / soft.sum(1))[:, None]
-        cls = np.where(yy > 0, (yy - 1) // self.width + 1, 0)
-        soft[np.arange(len(yy)), cls] -= mm
-        g["cw"], g["cb"] = flat.T @ soft, soft.sum(0)
-        dflat = soft @ p["cw"].T
-        for c, rows in self._by_class(cls):
-            at, m = flat[rows], mm[rows]
-            s = at @ p["ww"][c - 1]
-            s += p["wb"][c - 1]
-            s -= s.max(1, keepdims=True)
-            np.exp(s, out=s)
-            s *= (m / s.sum(1))[:, None]
-            s[np.arange(len(rows)), (yy[rows] - 1) % self.width] -= m
-            g["ww"][c - 1], g["wb"][c - 1] = at.T @ s, s.sum(0)
-            dflat[rows] += s @ p["ww"][c - 1].T
-        dout = dflat.reshape(len(x), -1, k)
-        carry = np.zeros_like(h)
-        dxs = np.empty((len(x), x.shape[1], 3 * k), np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            before, (r, z, new, gn) = saved[t]
-            d = dout[t] + carry
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (before - new) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dxs[t] = np.concatenate((dr, dz, dn), axis=1)
-            dgh = np.concatenate((dr, dz, dn * r), axis=1)
-            g["u"] += before.T @ dgh
-            g["b"] += dgh.sum(0)
-            carry = (d * z + dgh @ p["u"].T) * (1 - reset[t])[:, None]
-        order = np.argsort(x.ravel(), kind="stable")
-        ids, at = np.unique(x.ravel()[order], return_index=True)
-        g["x"] = np.zeros_like(p["x"])
-        g["x"][ids] = np.add.reduceat(dxs.reshape(-1, 3 * k)[order], at, axis=0)
-        n = max(1.0, float(mm.sum()))
-        return {name: v / np.float32(n) for name, v in g.items()}, h
+        """Truncated backpropagation through one window [steps, lanes]; also the last state. Of the
+        gradient of "x" only "rows" are not zero; it is valid until the next call."""
+        p, k, f = self.p, self.hidden, self.p["u"].dtype
+        (steps, lanes), n = x.shape, x.size
+        gx = np.take(p["x"], x.ravel(), axis=1).reshape(3, steps, lanes, k)
+        bias = self.biases(lanes)
+        begins = [np.flatnonzero(r) for r in reset]
+        # states before and after, z, r, and what the gradient of the state is multiplied by for n, z and r
+        before, hs, zs, rs, to_n, to_z, to_r = (np.empty((steps, lanes, k), f) for _ in range(7))
+        for t in range(steps):
+            was = before[t]
+            was[:] = h
+            was[begins[t]] = 0
+            h = hs[t]
+            rs[t], z, new, gn = self.cell(gx[:, t], was, bias, h)
+            r, zs[t] = rs[t], z
+            left = 1 - z
+            np.multiply(new, new, out=to_n[t])
+            np.subtract(1, to_n[t], out=to_n[t])
+            to_n[t] *= left
+            np.subtract(was, new, out=to_z[t])
+            to_z[t] *= z
+            to_z[t] *= left
+            np.subtract(1, r, out=left)
+            np.multiply(gn, r, out=to_r[t])
+            to_r[t] *= left
+        g, dflat = self._outcome_gradients(hs.reshape(n, k), y.ravel(), mask.ravel() / f.type(max(1.0, float(mask.sum()))))
+        dout = dflat.reshape(steps, lanes, k)
+        back = np.ascontiguousarray(p["u"].transpose(0, 2, 1))
+        dx, dgn, carry = gx, rs, np.zeros((lanes, k), f)  # both are used up step by step
+        for t in range(steps - 1, -1, -1):
+            d = dout[t]
+            d += carry
+            dr, dz, dn = dx[:, t]
+            np.multiply(d, to_n[t], out=dn)
+            np.multiply(d, to_z[t], out=dz)
+            np.multiply(dn, to_r[t], out=dr)
+            dgn[t] *= dn
+            carry = d * zs[t]
+            carry += dr @ back[0]
+            carry += dz @ back[1]
+            carry += dgn[t] @ back[2]
+            carry[begins[t]] = 0
+        flat, dx, dgn, ones = before.reshape(n, k), dx.reshape(3, n, k), dgn.reshape(n, k), np.ones(n, f)
+        g["u"] = np.stack((flat.T @ dx[0], flat.T @ dx[1], flat.T @ dgn))
+        g["b"] = np.stack((ones @ dx[0], ones @ dx[1], ones @ dgn))
+        ids = x.ravel()
+        order = np.argsort(ids.astype(np.uint16) if len(self.cls) < 1 << 16 else ids, kind="stable")
+        ids = ids[order]
+        at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        if self.dx is None or self.dx[0].dtype != f:
+            self.dx = np.zeros_like(p["x"]), ids[:0]
+        full, old = self.dx
+        full[:, old] = 0
+        g["rows"] = ids[at]
+        pair = np.result_type(f, np.complex64) if k % 2 == 0 else f  # two numbers are added at a time
+        for i in range(3):
+            full[i, g["rows"]] = np.add.reduceat(dx[i][order].view(pair), at, axis=0).view(f)
+        self.dx = full, g["rows"]
+        g["x"] = full
+        return g, h
+
+    def _outcome_gradients(self, flat: np.ndarray, y: np.ndarray, m: np.ndarray, safe: bool = False):
+        """Gradients of the softmax parameters and of the states, each row weighed by `m`."""
+        p, ones = self.p, np.ones(len(y), flat.dtype)
+        g = {"ww": np.zeros_like(p["ww"]), "wb": np.zeros_like(p["wb"])}
+        order, ys, found = self._by_class(y)
+        at, ms, ds, both = flat[order], m[order], np.zeros_like(flat), np.ones((2, len(y)), flat.dtype)
+        with np.errstate(all="ignore"):
+            soft = flat @ p["cw"]
+            soft += p["cb"]
+            soft, both[0], _ = exponentials(soft, safe)
+            soft *= (m / both[0])[:, None]
+            take_off(soft, self.cls[y], m)
+            g["cw"], g["cb"] = flat.T @ soft, ones @ soft
+            dflat = soft @ p["cw"].T
+            for a, b, rows in found:
+                s = at[rows] @ p["ww"][a:b].T
+                s += p["wb"][a:b]
+                s, sums, _ = exponentials(s, safe)
+                both[1, rows] = sums
+                s *= (ms[rows] / sums)[:, None]
+                take_off(s, ys[rows] - a, ms[rows])
+                g["ww"][a:b], g["wb"][a:b] = s.T @ at[rows], ones[rows] @ s
+                np.matmul(s, p["ww"][a:b], out=ds[rows])
+        if not safe and not in_range(both):
+            return self._outcome_gradients(flat, y, m, True)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(y))
+        dflat += ds[back]
+        return g, dflat
+
+
+def exponentials(logits: np.ndarray, safe: bool):
+    """Exponentials, their sums by row, and what was taken off the logits of each row before:
+    if `safe`, the largest."""
+    moved = 0
+    if safe:
+        moved = logits.max(1)
+        logits -= moved[:, None]
+    out = np.exp(logits, out=logits)
+    return out, out @ np.ones(out.shape[1], out.dtype), moved
+
+
+def in_range(sums: np.ndarray) -> bool:
+    """Whether single precision held sums of exponentials well; false for what is no number."""
+    return bool(sums.min() > 1e-25 and sums.max() < 1e30)
+
+
+def taken(a: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    return a.ravel()[np.arange(0, a.size, a.shape[1]) + cols]
+
+
+def take_off(a: np.ndarray, cols: np.ndarray, less: np.ndarray) -> None:
+    a.reshape(-1)[np.arange(0, a.size, a.shape[1]) + cols] -= less
 
 
 def pack(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -240,11 +356,14 @@ class Adam:
         self.v = {k: np.zeros_like(a) for k, a in net.p.items()}
 
     def update(self, grads: dict[str, np.ndarray], rate: float) -> None:
-        """One step, the gradient cut to length 1; `grads` is used up."""
+        """One step, the gradient cut to length 1; `grads` is used up. Inputs that the window did not
+        meet stay as they are, their moments too."""
+        rows = grads.pop("rows")
+        grads["x"] = grads["x"][:, rows]
         norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())))
         self.done += 1
         for k, g in grads.items():
-            m, v = self.m[k], self.v[k]
+            m, v = (a[k][:, rows] if k == "x" else a[k] for a in (self.m, self.v))
             if norm > 1:
                 g *= np.float32(1 / norm)
             m *= np.float32(0.9)
@@ -258,7 +377,11 @@ class Adam:
             g += np.float32(1e-7)
             np.divide(m, g, out=g)
             g *= np.float32(rate / (1 - 0.9**self.done))
-            self.net.p[k] -= g
+            if k == "x":
+                self.m[k][:, rows], self.v[k][:, rows] = m, v
+                self.net.p[k][:, rows] -= g
+            else:
+                self.net.p[k] -= g
 
 
 def fit(net: Recurrent, seqs: list[np.ndarray], first: int, window: int = 32, lanes: int = 48, passes: int = 2, rate: float = 8e-3) -> None:
@@ -290,10 +413,9 @@ def fit_on(adam: Adam, seqs: list[np.ndarray], first: int, window: int = 32, rat
         adam.update(grads, rate * min(1.0, (adam.done + 1) / 20) / (1 + adam.done / 200) ** 0.5)
 
 
-def fit_all(rows: DataFrame, net: Recurrent, places, first: int, rounds: int) -> None:
-    """Fits `net` on by all `rows`; `places` has what turns tokens into outcomes, broadcast."""
+def fit_all(rows: DataFrame, net: Recurrent, first: int, rounds: int) -> None:
+    """Fits `net` on by the outcomes of all `rows`, which have the `draw` of each."""
     sc = rows.sparkSession.sparkContext
-    draw = F.pmod(F.xxhash64(F.lit(13), "doc_id", "text"), F.lit(rounds))
     names, shapes = list(net.p), [a.shape for a in net.p.values()]
     cuts = np.cumsum([0, *(a.size for a in net.p.values())])
     for k in range(rounds):
@@ -302,11 +424,10 @@ def fit_all(rows: DataFrame, net: Recurrent, places, first: int, rounds: int) ->
         def run(batches, shared=shared):
             mine, seen = copy.deepcopy(shared.value), 0
             adam = Adam(mine)
-            known, outcome, ends = places.value
+            kind = outcome_type(len(mine.cls))
             for whole in batches:
-                for b in chunks(whole, "text"):
-                    words = [tokens(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
-                    seqs = [_outcomes(w, _ids(w, known), outcome, ends) for w in words]
+                for b in chunks(whole, "outcomes", FIT_TOKENS * kind.itemsize):
+                    seqs = [np.frombuffer(o, kind).astype(np.int32) for o in b.column("outcomes").to_pylist()]
                     fit_on(adam, seqs, first)
                     seen += sum(map(len, seqs))
             if seen:
@@ -321,29 +442,51 @@ def fit_all(rows: DataFrame, net: Recurrent, places, first: int, rounds: int) ->
             return pa.table({"at": part.column("at")[:1], "part": pa.array([(total / sum(ns)).astype(np.float32).tobytes()], pa.binary())})
 
         # One network for each core: what is averaged follows the machines, not the files.
-        fitted = (rows.filter(draw == k).select("text").coalesce(max(1, sc.defaultParallelism)).mapInArrow(run, "at bigint, n bigint, part binary")
+        fitted = (rows.filter(F.pmod("draw", F.lit(rounds)) == k).select("outcomes").coalesce(max(1, sc.defaultParallelism)).mapInArrow(run, "at bigint, n bigint, part binary")
                   .groupBy("at").applyInArrow(mean, "at bigint, part binary").collect())
         if fitted:
             flat = np.frombuffer(b"".join(r["part"] for r in sorted(fitted, key=lambda r: r["at"])), np.float32)
             net.p = {name: flat[a:b].reshape(shape).copy() for name, shape, a, b in zip(names, shapes, cuts, cuts[1:])}
 
 
-def document_scores(net: Recurrent, seqs: list[np.ndarray], first: int, window: int = 64) -> np.ndarray:
-    """Sum of natural logs over each sequence of outcomes, the state carried over all windows."""
-    x, y, doc, reset = laid_out(seqs, LANES, first)
-    lengths = (doc >= 0).sum(0)
-    active = np.searchsorted(-lengths, -np.arange(len(x)), "left")  # lanes longer than t
-    out = np.zeros(len(seqs))
-    h = np.zeros((x.shape[1], net.hidden), np.float32)
-    keep = 1 - reset
-    for t0 in range(0, len(x), window):
-        hs, ys, ds = [], [], []
-        for t in range(t0, min(t0 + window, len(x))):
-            n = active[t]
-            h, _ = net.step(x[t, :n], h[:n] * keep[t, :n, None])
-            hs.append(h), ys.append(y[t, :n]), ds.append(doc[t, :n])
-        logs = net.log_probs(np.concatenate(hs), np.concatenate(ys))
-        out += np.bincount(np.concatenate(ds), logs.astype(np.float64), len(seqs))
+def document_scores(net: Recurrent, seqs: list[np.ndarray], first: int, rows: int = 1 << 13) -> np.ndarray:
+    """Sum of natural logs over each sequence of outcomes, the state carried over all windows. Lanes
+    stand by falling length, so those still at work are the first, and no place is kept for others."""
+    lengths = np.array([len(s) for s in seqs])
+    packed = pack(lengths, LANES)
+    totals = np.array([int(lengths[lane].sum()) for lane in packed])
+    active = np.searchsorted(-totals, -np.arange(totals[0]), "left")  # lanes longer than t
+    offs = np.concatenate(([0], np.cumsum(active)))
+    x, y, doc, reset = np.empty(offs[-1], np.int32), np.empty(offs[-1], np.int32), np.empty(offs[-1], np.int32), np.zeros(offs[-1], bool)
+    for j, lane in enumerate(packed):
+        if totals[j]:
+            at = offs[: totals[j]] + j
+            y[at] = joined = np.concatenate([seqs[d] for d in lane])
+            doc[at] = np.repeat(lane, lengths[lane])
+            begins = np.concatenate(([0], np.cumsum(lengths[lane])))[:-1][lengths[lane] > 0]
+            before = np.concatenate(([first], joined[:-1]))
+            before[begins] = first
+            x[at] = before
+            reset[at[begins]] = True
+    out, bias = np.zeros(len(seqs)), net.biases(len(packed))
+    h, f = np.zeros((len(packed), net.hidden), net.p["u"].dtype), net.p["u"].dtype
+    t = 0
+    while t < len(active):
+        stop = max(t + 1, int(np.searchsorted(offs, offs[t] + rows, "right")) - 1)
+        a, b = offs[t], offs[stop]
+        gx = np.take(net.p["x"], x[a:b], axis=1)
+        hs = np.empty((b - a, net.hidden), f)
+        for i, j in zip((offs[t:stop] - a).tolist(), (offs[t + 1: stop + 1] - a).tolist()):
+            n = j - i
+            h = h[:n]
+            begins = np.flatnonzero(reset[a + i: a + j])
+            if len(begins):
+                h = h.copy()
+                h[begins] = 0
+            net.cell(gx[:, i:j], h, bias[:, :n], hs[i:j])
+            h = hs[i:j]
+        out += np.bincount(doc[a:b], net.log_probs(hs, y[a:b]).astype(np.float64), len(seqs))
+        t = stop
     return out
 
 
@@ -386,55 +529,56 @@ def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     net, first = None, 0
     if n_train:
         first = int(outcome[known[END]])
-        net = Recurrent(masses, width=max(32, int(len(masses) ** 0.5)))
+        net = Recurrent(masses)
         sample = bounded_sample(rows.filter("train"), fit_docs, "doc_id", "text").select("text").collect()
         fit(net, [_outcomes(t := tokens((r["text"] or "").encode()), _ids(t, known), outcome, ends) for r in sample], first)
-        fit_all(rows.filter("train"), net, places, first, rounds)
-    shared = sc.broadcast((head_logs, net, first, share_log, alone))
+    kind = outcome_type(len(masses))
 
-    def rest(batches):
-        """row_ord, word, n of the words out of the head."""
-        known = places.value[0]
+    def code(batches):
+        """Each text once: its outcomes, and its words out of the head with their numbers."""
+        known, outcome, ends = places.value
+        in_head, share_log, alone = logs.value
         for whole in batches:
             for b in chunks(whole, "text"):
-                ords, words, ns = [], [], []
-                for r, t in zip(b.column("row_ord").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
-                    tail = Counter(w for w in tokens(t) if w not in known)
-                    ords += repeat(r, len(tail))
-                    words += tail.keys()
-                    ns += tail.values()
-                yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(words, pa.binary()), pa.array(ns, pa.int64())], ["row_ord", "word", "tf"])
+                coded, found = [], []
+                for t in b.column("text").cast(pa.binary()).to_pylist():
+                    words = tokens(t)
+                    ids = _ids(words, known)
+                    out = _outcomes(words, ids, outcome, ends)
+                    tail = Counter(words[i] for i in np.flatnonzero(ids < 0))
+                    own = in_head[ids]
+                    more = np.where(alone[out], 0.0, own - share_log[out]).sum()
+                    coded.append(out.astype(kind).tobytes())
+                    found.append((len(ids), int((ids >= 0).sum()), float(own.sum()), float(more), list(tail), list(tail.values())))
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(c) for c in ("row_ord", "doc_id", "train", "draw")), pa.array(coded, pa.binary()),
+                     *(pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))))],
+                    ["row_ord", "doc_id", "train", "draw", "outcomes", "n_tokens", "n_head", "head_log", "inner_log", "words", "tfs"])
+
+    logs = sc.broadcast((np.append(head_logs, 0.0), share_log, alone))
+    coded = stored(rows.withColumn("draw", F.xxhash64(F.lit(13), "doc_id", "text")).mapInArrow(
+        code, "row_ord bigint, doc_id bigint, train boolean, draw bigint, outcomes binary, n_tokens bigint, n_head bigint, "
+              "head_log double, inner_log double, words array<binary>, tfs array<bigint>"))
+    if n_train:
+        fit_all(coded.filter("train"), net, first, rounds)
+    shared = sc.broadcast((net, first))
 
     def run(batches):
-        known, outcome, ends = places.value
-        head_logs, net, first, share_log, alone = shared.value
-        in_head = np.append(head_logs, 0.0)
+        net, first = shared.value
         for whole in batches:
-            for b in chunks(whole, "text", 4 << 20):
-                words = [tokens(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
-                ids = [_ids(w, known) for w in words]
-                lengths = np.array([len(i) for i in ids])
-                row = np.repeat(np.arange(len(ids)), lengths)
-                flat = np.concatenate(ids)
-                logs = in_head[flat]
-                base = np.bincount(row, logs, len(ids))
-                n_head = np.bincount(row, flat >= 0, len(ids)).astype(np.int64)
-                model = np.zeros(len(ids))
+            for b in chunks(whole, "outcomes", SCORE_TOKENS * kind.itemsize):
+                model = np.zeros(b.num_rows)
                 if net is not None:
-                    out = [_outcomes(w, i, outcome, ends) for w, i in zip(words, ids)]
-                    model = document_scores(net, out, first) / np.log(10)
-                    out = np.concatenate(out)
-                    model += np.bincount(row, np.where(alone[out], 0.0, logs - share_log[out]), len(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("row_ord"), b.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(n_head), pa.array(base), pa.array(model)],
-                    ["row_ord", "doc_id", "n_tokens", "n_head", "head_log", "head_model"])
+                    out = [np.frombuffer(o, kind) for o in b.column("outcomes").to_pylist()]
+                    model = document_scores(net, out, first) / np.log(10) + b.column("inner_log").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(model)], [*kept, "head_model"])
 
-    texts = rows.select("row_ord", "doc_id", "text")
-    tail = (texts.select("row_ord", "text").mapInArrow(rest, "row_ord bigint, word binary, tf bigint")
+    kept = ["row_ord", "doc_id", "n_tokens", "n_head", "head_log"]
+    tail = (coded.select("row_ord", F.explode(F.arrays_zip("words", "tfs")).alias("t")).select("row_ord", F.col("t.words").alias("word"), F.col("t.tfs").alias("tf"))
             .join(counts, "word", "left").groupBy(F.col("row_ord").alias("tail_ord"))
             .agg(F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("tail_known"),
                  F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_log")))
-    scored = texts.mapInArrow(run, "row_ord bigint, doc_id bigint, n_tokens bigint, n_head bigint, head_log double, head_model double")
+    scored = coded.select(*kept, "inner_log", "outcomes").mapInArrow(run, "row_ord bigint, doc_id bigint, n_tokens bigint, n_head bigint, head_log double, head_model double")
     tail_log = F.coalesce("tail_log", F.lit(0.0))
     base = F.col("head_log") + tail_log - F.col("n_tokens") * F.lit(float(unit))
     return scored.join(tail, F.col("row_ord") == F.col("tail_ord"), "left").select(
@@ -443,6 +587,11 @@ def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
         (F.col("head_model") + tail_log if n_train else base).alias("score"))
 
 
+def outcome_type(n: int) -> np.dtype:
+    """Of the stored outcomes, of which there are `n`."""
+    return np.dtype(np.uint16 if n <= 1 << 16 else np.int32)
+
+
 def ending_masses(counts: DataFrame, least: float, without: list[tuple[bytes, int]]) -> dict[bytes, float]:
     """Add-half counts of the words of each ending but those of `without`, where their counts reach `least`."""
     found = (counts.filter(F.col("word") != F.lit(END)).groupBy(F.substring("word", -ENDING, ENDING).alias("end"))
