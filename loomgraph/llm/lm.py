@@ -6,7 +6,7 @@ each word with a count of at least a `SHARE`-th of the root of the number of tra
 the `LEAST_WORDS` most frequent in any case), each ending (last `ENDING` bytes) whose other words
 have that count together, and outcome 0 for what remains. A word without its own outcome has its
 share of the add-half counts of its ending; each ending, and outcome 0, keeps half a count for
-unseen words. The output softmax is factored: class of the outcome, then outcome within the class.
+unseen words. The output softmax is factored: group of classes, class of the outcome, then outcome within the class.
 Its biases start at the corpus counts, so the fit begins at the unigram model.
 
 The network is written in numpy and fitted by truncated backpropagation over windows of
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import copy
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,8 @@ from loomgraph.session import materialize, stored
 END = b"\n"  # no word holds a line feed
 LANES = 256
 SHARE, LEAST_WORDS, ENDING = 16, 2014, 3
-BLOCK = 1 << 14  # parameters in a row of what the tasks send
+BLOCK = 1 << 14  # parameters in a row of what the tasks send, and in a piece of an update
+ROWS = 1 << 10  # states that meet the classes at once
 FIT_TOKENS, SCORE_TOKENS = 350_000, 1_400_000  # that a task holds at once, or one text
 
 
@@ -88,10 +89,10 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-def class_cuts(p: np.ndarray) -> np.ndarray:
+def class_cuts(p: np.ndarray, each: float = 0.3) -> np.ndarray:
     """Bounds of classes of outcomes, the first alone, so that a token meets few of them: the classes, and
     the outcomes of its class. No class has more than a bound of share times outcomes, so frequent
-    words stand in small classes; the best of some bounds is taken."""
+    words stand in small classes; the best of some bounds is taken, where a class costs `each` outcomes."""
     total, n, best = np.concatenate(([0.0], np.cumsum(p))), len(p), None
     for bound in 2.0 ** np.arange(-6, 6, 0.5):
         cuts = [0, 1] if n > 1 else [0]
@@ -102,7 +103,7 @@ def class_cuts(p: np.ndarray) -> np.ndarray:
                 lo, hi = (mid, hi) if (total[mid] - total[a]) * (mid - a) <= bound else (lo, mid - 1)
             cuts.append(lo)
         at = np.array(cuts)
-        cost = 1.6 * len(at) + (np.diff(total[at]) * np.diff(at)).sum()  # a class is also some calls in each window
+        cost = each * len(at) + (np.diff(total[at]) * np.diff(at)).sum()
         if best is None or cost < best[0]:
             best = cost, at
     return best[1]
@@ -112,7 +113,7 @@ class Recurrent:
     """One gated recurrent layer with a class-factored softmax.
 
     Outcome 0 is "another word", a class by itself; outcomes 1.. are words by falling count in the
-    classes of `class_cuts`, or of `width` words each. Of the three parts of "x", "u" and "b" the
+    classes of `class_cuts`, or of `width` words each; classes stand in groups alike. Of the three parts of "x", "u" and "b" the
     first two are the gates."""
 
     def __init__(self, masses: np.ndarray, hidden: int = 32, width: int | None = None, seed: int = 1):
@@ -123,14 +124,19 @@ class Recurrent:
         self.cuts = class_cuts(p) if width is None else np.array([0, *range(1, n, width), n])
         self.cls = np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
         share = np.add.reduceat(p, self.cuts[:-1])
+        self.tops = class_cuts(share, 0.8)
+        self.top = np.repeat(np.arange(len(self.tops) - 1), np.diff(self.tops))
+        most = np.add.reduceat(share, self.tops[:-1])
         with np.errstate(divide="ignore"):
             word_bias = np.maximum(np.log(p / np.maximum(share, 1e-300)[self.cls]), -1e4)
-            class_bias = np.maximum(np.log(share), -1e4)
+            class_bias = np.maximum(np.log(share / np.maximum(most, 1e-300)[self.top]), -1e4)
+            top_bias = np.maximum(np.log(most), -1e4)
         self.p = {
             "x": (rng.standard_normal((3, n, hidden)) * 0.1).astype(f),
             "u": (rng.standard_normal((3, hidden, hidden)) / np.sqrt(hidden)).astype(f),
             "b": np.repeat(np.array([[0], [1], [0]], f), hidden, axis=1),
-            "cw": np.zeros((hidden, len(share)), f), "cb": class_bias.astype(f),
+            "sw": np.zeros((len(most), hidden), f), "sb": top_bias.astype(f),
+            "cw": np.zeros((len(share), hidden), f), "cb": class_bias.astype(f),
             "ww": np.zeros((n, hidden), f), "wb": word_bias.astype(f),
         }
         self.dx = None
@@ -167,36 +173,35 @@ class Recurrent:
 
     def log_probs(self, hs: np.ndarray, y: np.ndarray, safe: bool = False) -> np.ndarray:
         """Natural log of P(outcome) for each row of states."""
-        logits = hs @ self.p["cw"]
-        logits += self.p["cb"]
-        out = taken(logits, self.cls[y])
-        order, ys, found = self._by_class(y)
-        at, more, both = hs[order], np.zeros(len(y), out.dtype), np.ones((2, len(y)), out.dtype)
+        order, levels = self._levels(y)
+        at, out, sums = hs[order], np.zeros(len(y), hs.dtype), np.ones((3, len(y)), hs.dtype)
         with np.errstate(all="ignore"):
-            _, both[0], moved = exponentials(logits, safe)
-            out -= moved
-            for a, b, rows in found:
-                w = at[rows] @ self.p["ww"][a:b].T
-                w += self.p["wb"][a:b]
-                own = taken(w, ys[rows] - a)
-                _, both[1, rows], moved = exponentials(w, safe)
-                np.subtract(own, moved, out=more[rows])
-        if not safe and not in_range(both):
+            for level, (w, bias, ids, groups) in enumerate(levels):
+                for a, b, rows in groups:
+                    s = at[rows] @ w[a:b].T
+                    s += bias[a:b]
+                    own = taken(s, ids[rows] - a)
+                    _, sums[level, rows], moved = exponentials(s, safe)
+                    own -= moved
+                    out[rows] += own
+        if not safe and not in_range(sums):
             return self.log_probs(hs, y, True)
-        np.log(both, out=both)
-        out -= both[0]
-        more -= both[1]
-        back = np.empty_like(order)
-        back[order] = np.arange(len(y))
-        out += more[back]
-        return out
-
-    def _by_class(self, y: np.ndarray):
-        """The order of the outcomes, the outcomes in it, and the bounds and rows of each class that is met, but of classes of one."""
+        out -= np.log(sums).sum(0)
+        return out[turned(order)]
+
+    def _levels(self, y: np.ndarray):
+        """The order of the outcomes, and in it for groups of classes, classes and words: weights, biases, which
+        of them each row is, and where those stand that a row may be, with the rows; a choice of one is left out."""
         order = np.argsort(y.astype(np.uint16) if len(self.cls) < 1 << 16 else y, kind="stable")
-        ys = y[order]
-        at = np.searchsorted(ys, self.cuts)
-        return order, ys, [(a, b, slice(i, j)) for a, b, i, j in zip(self.cuts.tolist(), self.cuts[1:].tolist(), at.tolist(), at[1:].tolist()) if j > i and b - a > 1]
+        ys, p = y[order], self.p
+        cls = self.cls[ys]
+
+        def met(ids: np.ndarray, cuts: np.ndarray) -> list:
+            at = np.searchsorted(ids, cuts).tolist()
+            return [(a, b, slice(i, j)) for a, b, i, j in zip(cuts.tolist(), cuts[1:].tolist(), at, at[1:]) if j > i and b - a > 1]
+
+        all_tops = [(0, len(p["sb"]), slice(i, i + ROWS)) for i in range(0, len(y), ROWS)]
+        return order, [(p["sw"], p["sb"], self.top[cls], all_tops), (p["cw"], p["cb"], cls, met(cls, self.tops)), (p["ww"], p["wb"], ys, met(ys, self.cuts))]
 
     def gradients(self, x, y, mask, reset, h):
         """Truncated backpropagation through one window [steps, lanes]; also the last state. Of the
@@ -263,33 +268,32 @@ class Recurrent:
 
     def _outcome_gradients(self, flat: np.ndarray, y: np.ndarray, m: np.ndarray, safe: bool = False):
         """Gradients of the softmax parameters and of the states, each row weighed by `m`."""
-        p, ones = self.p, np.ones(len(y), flat.dtype)
-        g = {"ww": np.zeros_like(p["ww"]), "wb": np.zeros_like(p["wb"])}
-        order, ys, found = self._by_class(y)
-        at, ms, ds, both = flat[order], m[order], np.zeros_like(flat), np.ones((2, len(y)), flat.dtype)
+        ones, g = np.ones(len(y), flat.dtype), {k: np.zeros_like(self.p[k]) for k in ("sw", "sb", "cw", "cb", "ww", "wb")}
+        order, levels = self._levels(y)
+        at, ms, ds, both = flat[order], m[order], np.zeros_like(flat), np.ones((3, len(y)), flat.dtype)
         with np.errstate(all="ignore"):
-            soft = flat @ p["cw"]
-            soft += p["cb"]
-            soft, both[0], _ = exponentials(soft, safe)
-            soft *= (m / both[0])[:, None]
-            take_off(soft, self.cls[y], m)
-            g["cw"], g["cb"] = flat.T @ soft, ones @ soft
-            dflat = soft @ p["cw"].T
-            for a, b, rows in found:
-                s = at[rows] @ p["ww"][a:b].T
-                s += p["wb"][a:b]
-                s, sums, _ = exponentials(s, safe)
-                both[1, rows] = sums
-                s *= (ms[rows] / sums)[:, None]
-                take_off(s, ys[rows] - a, ms[rows])
-                g["ww"][a:b], g["wb"][a:b] = s.T @ at[rows], ones[rows] @ s
-                np.matmul(s, p["ww"][a:b], out=ds[rows])
+            for level, ((w, bias, ids, groups), kind) in enumerate(zip(levels, "scw")):
+                dw, db = g[kind + "w"], g[kind + "b"]
+                for a, b, rows in groups:
+                    s = at[rows] @ w[a:b].T
+                    s += bias[a:b]
+                    s, sums, _ = exponentials(s, safe)
+                    both[level, rows] = sums
+                    s *= (ms[rows] / sums)[:, None]
+                    take_off(s, ids[rows] - a, ms[rows])
+                    dw[a:b] += s.T @ at[rows]
+                    db[a:b] += ones[rows] @ s
+                    ds[rows] += s @ w[a:b]
         if not safe and not in_range(both):
             return self._outcome_gradients(flat, y, m, True)
-        back = np.empty_like(order)
-        back[order] = np.arange(len(y))
-        dflat += ds[back]
-        return g, dflat
+        return g, ds[turned(order)]
+
+
+def turned(order: np.ndarray) -> np.ndarray:
+    """Where each row went."""
+    out = np.empty_like(order)
+    out[order] = np.arange(len(order))
+    return out
 
 
 def exponentials(logits: np.ndarray, safe: bool):
@@ -350,38 +354,54 @@ def laid_out(seqs: list[np.ndarray], lanes: int, first: int | np.ndarray):
 
 
 class Adam:
+    """`m` and `v` are sums of past gradients and of their squares, which fade by 0.9 and 0.99. A row of "x"
+    changes in windows that meet its input only: by that gradient alone, which is as far as the sum would carry it."""
+
     def __init__(self, net: Recurrent):
         self.net, self.done = net, 0
-        self.m = {k: np.zeros_like(a) for k, a in net.p.items()}
+        self.m = {k: np.zeros_like(a) for k, a in net.p.items() if k != "x"}
         self.v = {k: np.zeros_like(a) for k, a in net.p.items()}
+        self.met = np.zeros(len(net.cls), np.int64)
 
     def update(self, grads: dict[str, np.ndarray], rate: float) -> None:
-        """One step, the gradient cut to length 1; `grads` is used up. Inputs that the window did not
-        meet stay as they are, their moments too."""
-        rows = grads.pop("rows")
-        grads["x"] = grads["x"][:, rows]
+        """One step, the gradient cut to length 1; `grads` is used up. Parameters are taken in pieces
+        of a core's cache."""
+        rows, p = grads.pop("rows"), self.net.p
+        grads["x"] = np.take(grads["x"], rows, axis=1)
         norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())))
         self.done += 1
-        for k, g in grads.items():
-            m, v = (a[k][:, rows] if k == "x" else a[k] for a in (self.m, self.v))
-            if norm > 1:
-                g *= np.float32(1 / norm)
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * g
-            g *= g
-            g *= np.float32(0.01)
-            v *= np.float32(0.99)
-            v += g
-            np.multiply(v, np.float32(1 / (1 - 0.99**self.done)), out=g)
-            np.sqrt(g, out=g)
-            g += np.float32(1e-7)
-            np.divide(m, g, out=g)
-            g *= np.float32(rate / (1 - 0.9**self.done))
+        cut, deviation = np.float32(1 / norm if norm > 1 else 1), np.sqrt(0.01 / (1 - 0.99**self.done))
+        least, pace = np.float32(1e-7 / deviation), np.float32(rate * 0.1 / (1 - 0.9**self.done) / deviation)
+        for k, whole in grads.items():
             if k == "x":
-                self.m[k][:, rows], self.v[k][:, rows] = m, v
-                self.net.p[k][:, rows] -= g
-            else:
-                self.net.p[k] -= g
+                continue
+            for at in range(0, whole.size, BLOCK):
+                g, m, v, own = (a.reshape(-1)[at: at + BLOCK] for a in (whole, self.m[k], self.v[k], p[k]))
+                if norm > 1:
+                    g *= cut
+                m *= np.float32(0.9)
+                m += g
+                g *= g
+                v *= np.float32(0.99)
+                v += g
+                np.sqrt(v, out=g)
+                g += least
+                np.divide(m, g, out=g)
+                g *= pace
+                own -= g
+        faded = (0.99 ** (self.done - self.met[rows])).astype(np.float32)[:, None]
+        self.met[rows] = self.done
+        for g, v, own in zip(grads["x"], self.v["x"], p["x"]):
+            g *= cut
+            new = v[rows]
+            new *= faded
+            new += g * g
+            v[rows] = new
+            np.sqrt(new, out=new)
+            new += least
+            g /= new
+            g *= np.float32(rate / deviation)
+            own[rows] -= g
 
 
 def fit(net: Recurrent, seqs: list[np.ndarray], first: int, window: int = 32, lanes: int = 48, passes: int = 2, rate: float = 8e-3) -> None:
@@ -449,7 +469,7 @@ def fit_all(rows: DataFrame, net: Recurrent, first: int, rounds: int) -> None:
             net.p = {name: flat[a:b].reshape(shape).copy() for name, shape, a, b in zip(names, shapes, cuts, cuts[1:])}
 
 
-def document_scores(net: Recurrent, seqs: list[np.ndarray], first: int, rows: int = 1 << 13) -> np.ndarray:
+def document_scores(net: Recurrent, seqs: list[np.ndarray], first: int, rows: int = 1 << 14) -> np.ndarray:
     """Sum of natural logs over each sequence of outcomes, the state carried over all windows. Lanes
     stand by falling length, so those still at work are the first, and no place is kept for others."""
     lengths = np.array([len(s) for s in seqs])
@@ -540,19 +560,24 @@ def lm_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
         in_head, share_log, alone = logs.value
         for whole in batches:
             for b in chunks(whole, "text"):
-                coded, found = [], []
-                for t in b.column("text").cast(pa.binary()).to_pylist():
-                    words = tokens(t)
-                    ids = _ids(words, known)
-                    out = _outcomes(words, ids, outcome, ends)
-                    tail = Counter(words[i] for i in np.flatnonzero(ids < 0))
-                    own = in_head[ids]
-                    more = np.where(alone[out], 0.0, own - share_log[out]).sum()
-                    coded.append(out.astype(kind).tobytes())
-                    found.append((len(ids), int((ids >= 0).sum()), float(own.sum()), float(more), list(tail), list(tail.values())))
+                split = [tokens(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+                lengths = np.array([len(w) for w in split])
+                words = list(chain.from_iterable(split))
+                ids = _ids(words, known)
+                out = _outcomes(words, ids, outcome, ends)
+                own, row, cuts = in_head[ids], np.repeat(np.arange(len(split)), lengths), np.cumsum([0, *lengths])
+                inner = np.where(alone[out], 0.0, own - share_log[out])
+                stray = np.flatnonzero(ids < 0)
+                rest = [words[i] for i in stray.tolist()]
+                at = np.searchsorted(stray, cuts).tolist()
+                tails = [Counter(rest[i:j]) for i, j in zip(at, at[1:])]
+                sent = out.astype(kind)
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c) for c in ("row_ord", "doc_id", "train", "draw")), pa.array(coded, pa.binary()),
-                     *(pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))))],
+                    [*(b.column(c) for c in ("row_ord", "doc_id", "train", "draw")),
+                     pa.array([sent[i:j].tobytes() for i, j in zip(cuts.tolist(), cuts[1:].tolist())], pa.binary()),
+                     pa.array(lengths, pa.int64()), pa.array(np.bincount(row, ids >= 0, len(split)).astype(np.int64)),
+                     pa.array(np.bincount(row, own, len(split))), pa.array(np.bincount(row, inner, len(split))),
+                     pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int64()))],
                     ["row_ord", "doc_id", "train", "draw", "outcomes", "n_tokens", "n_head", "head_log", "inner_log", "words", "tfs"])
 
     logs = sc.broadcast((np.append(head_logs, 0.0), share_log, alone))
@@ -606,8 +631,8 @@ def ending_masses(counts: DataFrame, least: float, without: list[tuple[bytes, in
 
 def _outcomes(words: list[bytes], ids: np.ndarray, outcome: np.ndarray, ends: dict[bytes, int]) -> np.ndarray:
     out = outcome[ids]
-    for i in np.flatnonzero(ids < 0):
-        out[i] = ends.get(words[i][-ENDING:], 0)
+    stray = np.flatnonzero(ids < 0)
+    out[stray] = [ends.get(words[i][-ENDING:], 0) for i in stray.tolist()]
     return out
 
 

@@ -253,6 +253,39 @@ def test_network_is_a_distribution_and_carries_state():
         assert g == pytest.approx(total, rel=1e-4)
 
 
+def test_lm_choices_are_small_and_hold_large_logits():
+    from loomgraph.llm import lm
+
+    masses = np.array([3.0, *(1e6 / np.arange(1, 17_000) ** 0.8)])
+    net = Recurrent(masses, hidden=4)
+    p, made = masses / masses.sum(), lambda shares, cuts: (np.add.reduceat(shares, cuts[:-1]) * np.diff(cuts)).sum()
+    share = np.add.reduceat(p, net.cuts[:-1])
+    assert net.cuts[:2].tolist() == [0, 1] and net.cuts[-1] == len(masses) and (np.diff(net.cuts) > 0).all()
+    assert len(net.tops) + made(share, net.tops) + made(p, net.cuts) < 130  # 2 * 130 with classes of equal width
+    hs, y = np.eye(4, dtype=np.float32), np.array([0, 1, 700, 16_999], np.int32)
+    np.testing.assert_allclose(net.log_probs(hs, y), np.log(p[y]), rtol=1e-4)
+    net.p["sw"] += np.float32(1000)  # no single number holds its exponential
+    np.testing.assert_allclose(net.log_probs(hs, y), np.log(p[y]), rtol=1e-3)
+    assert np.isfinite(net._outcome_gradients(hs, y, np.ones(4, np.float32))[1]).all()
+    adam, before = lm.Adam(net), net.p["x"].copy()
+    x = np.array([[5, 7], [7, 9]], np.int32)
+    adam.update(net.gradients(x, x, np.ones((2, 2), np.float32), np.zeros((2, 2), np.float32), np.zeros((2, 4), np.float32))[0], 0.01)
+    assert set(np.flatnonzero((net.p["x"] != before).any((0, 2)))) <= {5, 7, 9}
+
+
+def test_lm_scores_a_long_text_beside_short_ones_without_padding():
+    import tracemalloc
+
+    net = Recurrent(np.array([5.0, 3, 2, 1, 1, 1, 1]), hidden=4, width=3)
+    seqs = [np.ones(k, np.int32) for k in (30_000, *[3] * 255)]
+    tracemalloc.start()
+    got = document_scores(net, seqs, first=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20  # 256 lanes of 30,000 places are over 120 MB
+    assert got[0] < got[1] < 0 and got[1:] == pytest.approx(got[1])
+
+
 def test_network_gradients():
     net = Recurrent(np.array([5.0, 3, 2, 1, 1, 1, 1]), hidden=3, width=3)
     rng = np.random.default_rng(2)
