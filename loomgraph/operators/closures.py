@@ -1,8 +1,14 @@
-"""Closure sizes of every node at once: the graph is made small first, then searched from many starts in bits.
+"""Closure sizes of every node at once: the graph is made small first, what is left is searched in bits.
 
 Sizes of all closures are quadratic work by nature, so what can be counted without a search is taken out, with
 the same results. Nodes on common cycles have the same closure: a few passes of label spreading put each such
-component under one node with its size as weight. With up to 64 * `words` of these as hubs, two searches say
+component under one node with its size as weight. Labels of up to NUMBERS nodes travel to the tasks as one array,
+and a task carries them as far as its own edges lead; components among the last WALK edges are found on the driver.
+Beyond that, labels spread by joins.
+
+Edges between components have no cycles. Up to HELD of them are taken apart in memory (`reach`: folding, splits at
+hubs) into pieces without regard to their number, which the tasks sweep. More of them stay tables. With up to
+64 * `words` of the components as hubs, two searches say
 which hubs a node reaches and which reach it; an edge from a node that reaches a hub to one the hub reaches says
 nothing new and is left out. A node whose only edge leads to or from one neighbour then has the neighbour's
 closure and itself, so it is folded into the neighbour's weight and counted afterwards.
@@ -19,23 +25,32 @@ a block is one row of `words` numbers per node; superseded tables are removed.""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from loomgraph.operators import reach
 from loomgraph.operators.ordering import with_row_index
 from loomgraph.session import Scratch
 
 COUNTS = "id {kind}, n_ancestors bigint, n_descendants bigint"
 PASSES = 8       # of looking for components; what they leave is searched as it is
+REPEATS = 4      # of a task's passes over its edges in a round
 FOLDS = 16       # of folding nodes into their only neighbour
 NODE_BITS = 40   # of a label, below its rank
+NUMBERS = 1 << 24  # nodes whose labels travel as an array: 4 bytes each
+WALK = 1 << 20     # edges whose components the driver finds itself
+HELD = 1 << 22     # edges without cycles that are taken apart in memory
 
 
 def numbered(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, v) and edges (s, t) between their numbers, without loops."""
-    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    nodes = scratch.write("nodes", with_row_index(ends, [F.col("id")], "v"))
+    """Nodes (id, v), those with many edges in and out last, and edges (s, t) between their numbers, without loops."""
+    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
+        edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    ranked = ends.groupBy("id").agg((F.sum("o") * F.sum("i")).alias("rank"))
+    nodes = scratch.write("nodes", with_row_index(ranked, [F.col("rank"), F.col("id")], "v").select("id", "v"))
     pairs = edges.filter("src <> dst").select("src", "dst").distinct()
     named = pairs.join(nodes.select(F.col("id").alias("src"), F.col("v").alias("s")), "src").join(
         nodes.select(F.col("id").alias("dst"), F.col("v").alias("t")), "dst")
@@ -94,6 +109,121 @@ def components(scratch: Scratch, pairs: DataFrame) -> tuple[DataFrame | None, bo
     return moved, rest.isEmpty()
 
 
+# --- components, labels in an array ---------------------------------------------------------------
+
+
+def held(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table, on the driver."""
+    return [c.to_numpy().astype(np.int64) for c in df.toArrow().columns]
+
+
+def _ends(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        yield b.column("s").to_numpy().astype(np.int32), b.column("t").to_numpy().astype(np.int32)
+
+
+def climbed(pairs: DataFrame, label: np.ndarray) -> np.ndarray:
+    """The largest label among those of a node and of all that reach it. A task passes over its edges until
+    half of the labels that rose in the first pass, or more, stay."""
+    sc, changed = pairs.sparkSession.sparkContext, True
+    while changed:
+        sent = sc.broadcast(label)
+
+        def run(batches):
+            own, edges, first = sent.value.copy(), list(_ends(batches)), 0
+            for n in range(REPEATS):
+                rose = 0
+                for s, t in edges:
+                    up = own[s] > own[t]
+                    rose += int(up.sum())
+                    np.maximum.at(own, t[up], own[s[up]])
+                first = first or rose
+                if 2 * rose <= first and n:
+                    break
+            v = np.flatnonzero(own != sent.value).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()]), pa.array([own[v].tobytes()])], ["v", "x"])
+
+        label, changed = label.copy(), False
+        for r in pairs.mapInArrow(run, "v binary, x binary").collect():
+            v, x = np.frombuffer(r["v"], np.int32), np.frombuffer(r["x"], np.int32)
+            label[v] = np.maximum(label[v], x)
+            changed = changed or len(v) > 0
+        sent.destroy()
+    return label
+
+
+def returned(pairs: DataFrame, label: np.ndarray) -> np.ndarray:
+    """Whether a node reaches, among nodes of its label, the one that gave the label."""
+    sc, hit, changed = pairs.sparkSession.sparkContext, label == np.arange(len(label)), True
+    labels = sc.broadcast(label)
+    while changed:
+        sent = sc.broadcast(np.packbits(hit))
+
+        def run(batches):
+            label, old = labels.value, np.unpackbits(sent.value, count=len(labels.value)).astype(bool)
+            own = old.copy()
+            edges = [(s[e], t[e]) for s, t in _ends(batches) for e in [label[s] == label[t]]]
+            for _ in range(REPEATS):
+                met = [s[own[t] & ~own[s]] for s, t in edges]
+                for v in met:
+                    own[v] = True
+                if not any(map(len, met)):
+                    break
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own & ~old).tobytes()])], ["v"])
+
+        before = int(hit.sum())
+        for r in pairs.mapInArrow(run, "v binary").collect():
+            hit |= np.unpackbits(np.frombuffer(r["v"], np.uint8), count=len(hit)).astype(bool)
+        sent.destroy()
+        changed = int(hit.sum()) > before
+    labels.destroy()
+    return hit
+
+
+def labelled(scratch: Scratch, pairs: DataFrame, n: int) -> tuple[np.ndarray, bool]:
+    """The component of each of n nodes, and whether no other cycle is left: as `components`, by arrays."""
+    comp, rest, sc = np.arange(n, dtype=np.int32), pairs, pairs.sparkSession.sparkContext
+    for k in range(PASSES):
+        if rest.count() <= WALK:
+            found = reach.strong(n, *held(rest)).astype(np.int32)
+            return np.where(found == np.arange(n), comp, found), True
+        label = climbed(rest, np.arange(n, dtype=np.int32))
+        hit = returned(rest, label)
+        comp = np.where(hit, label, comp)
+        sent = sc.broadcast((label, hit))
+
+        def run(batches):
+            label, hit = sent.value
+            for s, t in _ends(batches):
+                e = (label[s] == label[t]) & ~hit[s] & ~hit[t]
+                yield pa.RecordBatch.from_arrays([pa.array(s[e].astype(np.int64)), pa.array(t[e].astype(np.int64))], ["s", "t"])
+
+        rest = scratch.write(f"rest-{k}", rest.mapInArrow(run, "s bigint, t bigint"))
+        sent.destroy()
+    return comp, rest.isEmpty()
+
+
+def contracted(scratch: Scratch, nodes: DataFrame, pairs: DataFrame, comp: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, c) with their components, and edges (s, t) between these."""
+    sent = pairs.sparkSession.sparkContext.broadcast(comp)
+
+    def name(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sent.value[b.column("v").to_numpy()].astype(np.int64))], ["id", "c"])
+
+    def link(batches):
+        for s, t in _ends(batches):
+            s, t = sent.value[s].astype(np.int64), sent.value[t].astype(np.int64)
+            both = np.unique((s << 32 | t)[s != t])
+            yield pa.RecordBatch.from_arrays([pa.array(both >> 32), pa.array(both & 0xFFFFFFFF)], ["s", "t"])
+
+    kind = nodes.schema["id"].dataType.simpleString()
+    of = scratch.write("of", nodes.mapInArrow(name, f"id {kind}, c bigint"))
+    links = scratch.write("links", pairs.mapInArrow(link, "s bigint, t bigint").distinct())
+    sent.destroy()
+    return of, links
+
+
 # --- searches from many starts ----------------------------------------------------------------------
 
 
@@ -223,20 +353,80 @@ def unfolded(scratch: Scratch, found: DataFrame, rounds: list[DataFrame]) -> Dat
     return found
 
 
+# --- in memory --------------------------------------------------------------------------------------
+
+
+def packed(sized: DataFrame, links: DataFrame) -> DataFrame:
+    """v, n_up, n_down of the nodes (v, n) of a graph without cycles whose edges the driver can hold."""
+    spark = sized.sparkSession
+    s, t = held(links)
+    names, both = np.unique(np.concatenate([s, t]), return_inverse=True)
+    linked = links.select(F.col("s").alias("v")).unionByName(links.select(F.col("t").alias("v"))).distinct()
+    v, n = held(sized.join(linked, "v", "left_semi").select("v", "n"))
+    weight = np.empty(len(names), np.int64)
+    weight[np.searchsorted(names, v)] = n
+    s, t, w_up, w_down, rounds = reach.fold(len(names), both[:len(s)], both[len(s):], weight)
+    left = reach.pieces(len(names), s, t, w_up, w_down)
+    up, down, blocks = left.add_up, left.add_down, left.blocks()
+    if blocks:
+        sent = spark.sparkContext.broadcast((left, blocks))
+
+        def run(batches):
+            (left, blocks), orders, sums = sent.value, {}, {}
+            for i in (int(i) for b in batches for i in b.column("id").to_numpy()):
+                bundle = blocks[i][0]
+                v_up, n_up, v_down, n_down = reach.answer(left, *blocks[i], orders)
+                if bundle in sums:
+                    sums[bundle][1] += n_up
+                    sums[bundle][3] += n_down
+                    continue
+                for got in sums.values():
+                    yield from rows(got)
+                sums = {bundle: [v_up, n_up, v_down, n_down]}
+            for got in sums.values():
+                yield from rows(got)
+
+        def rows(got):
+            for up, v, n in ((True, *got[:2]), (False, *got[2:])):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), up)), pa.array(v), pa.array(n)], ["up", "v", "n"])
+
+        tasks = spark.range(0, len(blocks), 1, min(len(blocks), 8 * spark.sparkContext.defaultParallelism))
+        sums = tasks.mapInArrow(run, "up boolean, v bigint, n bigint").groupBy("up", "v").agg(F.sum("n").alias("n"))
+        at_up, at, n = held(sums)
+        at_up = at_up.astype(bool)
+        up[at[at_up]] += n[at_up]
+        down[at[~at_up]] += n[~at_up]
+        sent.destroy()
+    reach.unfold(up, down, w_up, w_down, rounds)
+    if not len(names):
+        return sized.select("v", F.col("n").alias("n_up"), F.col("n").alias("n_down"))
+    found = spark.createDataFrame(pa.table({"v": names, "n_up": up, "n_down": down}))
+    return sized.join(found, "v", "left").select("v", F.coalesce("n_up", "n").alias("n_up"), F.coalesce("n_down", "n").alias("n_down"))
+
+
 def closure_counts(edges: DataFrame, words: int = 32) -> DataFrame:
     """id, n_ancestors, n_descendants of every node of the edges (src, dst), itself not counted."""
     scratch = Scratch(edges.sparkSession)
     nodes, pairs = numbered(scratch, edges)
-    moved, acyclic = components(scratch, pairs)
-    of = nodes.select("v") if moved is None else nodes.select("v").join(moved, "v", "left")
-    of = scratch.write("of", of.select("v", F.coalesce("c", "v").alias("c") if moved is not None else F.col("v").alias("c")))
+    n = nodes.count()
+    if n <= NUMBERS:
+        comp, acyclic = labelled(scratch, pairs, n)
+        of, links = contracted(scratch, nodes, pairs, comp)
+    else:
+        moved, acyclic = components(scratch, pairs)
+        moved = nodes.select("v", F.col("v").alias("c")).limit(0) if moved is None else moved
+        names = scratch.write("names", nodes.join(moved, "v", "left").select("id", "v", F.coalesce("c", "v").alias("c")))
+        ends = pairs.join(names.select(F.col("v").alias("s"), F.col("c").alias("cs")), "s").join(
+            names.select(F.col("v").alias("t"), F.col("c").alias("ct")), "t")
+        of = names.select("id", "c")
+        links = scratch.write("links", ends.filter("cs <> ct").select(F.col("cs").alias("s"), F.col("ct").alias("t")).distinct())
     sized = scratch.write("sized", of.groupBy(F.col("c").alias("v")).agg(F.count("*").alias("n")))
-    links = pairs.join(of.select(F.col("v").alias("s"), F.col("c").alias("cs")), "s").join(of.select(F.col("v").alias("t"), F.col("c").alias("ct")), "t")
-    links = scratch.write("links", links.filter("cs <> ct").select(F.col("cs").alias("s"), F.col("ct").alias("t")).distinct())
-    if acyclic:
-        links = telling(scratch, sized, links, words)
-    weighed = sized.select("v", F.col("n").alias("up"), F.col("n").alias("down"))
-    kept, left, rounds = folded(scratch, weighed, links)
-    sums = unfolded(scratch, searched(scratch, kept, left, words), rounds)
-    counts = of.join(sums.withColumnRenamed("v", "c"), "c")
-    return nodes.join(counts, "v").select("id", (F.col("n_up") - 1).alias("n_ancestors"), (F.col("n_down") - 1).alias("n_descendants"))
+    if acyclic and links.count() <= HELD:
+        sums = packed(sized, links)
+    else:
+        if acyclic:
+            links = telling(scratch, sized, links, words)
+        weighed = sized.select("v", F.col("n").alias("up"), F.col("n").alias("down"))
+        kept, left, rounds = folded(scratch, weighed, links)
+        sums = unfolded(scratch, searched(scratch, kept, left, words), rounds)
+    return of.join(sums.withColumnRenamed("v", "c"), "c").select("id", (F.col("n_up") - 1).alias("n_ancestors"), (F.col("n_down") - 1).alias("n_descendants"))

@@ -168,3 +168,86 @@ def test_closure_counts_search_what_cycles_and_hubs_leave(spark, monkeypatch):
     assert not blocks and len(got) == 412
     assert {got[f"r{i}"] for i in range(12)} == {(211, 211)}
     assert {got[f"a{i}"] for i in range(200)} == {(212, 0)} and {got[f"z{i}"] for i in range(200)} == {(0, 212)}
+
+
+def knots(seed):
+    """Edges of a random graph with cycles, a hub, nodes beside it, rows of nodes and layers without cycles."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(90)] + [(60 + i, 61 + i) for i in range(30)]
+    edges += [(100 + rng.randrange(40), 7) for _ in range(40)] + [(7, 150 + rng.randrange(40)) for _ in range(40)]
+    edges += [(100 + rng.randrange(40), 200 + rng.randrange(20)) for _ in range(40)] + [(200 + rng.randrange(20), 150 + rng.randrange(40)) for _ in range(40)]
+    edges += [(230 + a, 230 + a + 1 + rng.randrange(4)) for a in range(40) for _ in range(2)]
+    return [(f"n{a:03d}", f"n{b:03d}") for a, b in edges]
+
+
+def closure_sizes(pairs):
+    """id, n_ancestors, n_descendants by a walk from each node."""
+    to, ids = {}, sorted({x for p in pairs for x in p})
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+    above = {}
+    for x in ids:
+        seen, todo = {x}, [x]
+        while todo:
+            new = to.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        above[x] = seen - {x}
+    return [(x, len(above[x]), sum(x in above[y] for y in ids)) for x in ids]
+
+
+@pytest.mark.parametrize("limits", [{}, {"WALK": 0}, {"WALK": 0, "PASSES": 1}, {"NUMBERS": 0, "HELD": 0}])
+def test_closure_counts_within_and_beyond_memory(spark, monkeypatch, limits):
+    """Components and closures in arrays, partly in arrays and in tables alone say the same."""
+    from loomgraph.operators import closures, reach
+    monkeypatch.setattr(reach, "PIECE", 8)
+    for name, value in limits.items():
+        monkeypatch.setattr(closures, name, value)
+    pairs = knots(len(limits))
+    e, _ = graph(spark, pairs)
+    assert rows(closure_counts(e, 4), "id", "n_ancestors", "n_descendants") == closure_sizes(pairs)
+
+
+def test_closure_counts_tables_do_not_grow_with_starts(spark, monkeypatch, tmp_path):
+    """Seven times 64 nodes that neither cycles nor hubs replace: as many tables as for one."""
+    from loomgraph import session
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda s: f"file://{tmp_path}")
+    rng = random.Random(5)
+    pairs = [(f"n{a:03d}", f"n{a + 1 + rng.randrange(30):03d}") for a in range(420) for _ in range(2)]
+    e, _ = graph(spark, pairs)
+    assert rows(closure_counts(e, 1), "id", "n_ancestors", "n_descendants") == closure_sizes(pairs)
+    assert sum(1 for _ in tmp_path.glob("tables-*/*")) <= 12
+
+
+@pytest.mark.parametrize("size, words", [(3, 1), (10, 1 << 22), (4096, 1)])
+def test_pieces_and_sweeps(monkeypatch, size, words):
+    from loomgraph.operators import reach
+    monkeypatch.setattr(reach, "WORDS", words)
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(2, 120))
+        a, b = rng.integers(0, n, (2, int(rng.integers(1, 4 * n))))
+        if seed % 3 == 0:
+            a[::2] = n // 2
+        edges = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        s, t, weight = edges[:, 0], edges[:, 1], rng.integers(1, 9, n)
+        s2, t2, w_up, w_down, rounds = reach.fold(n, s, t, weight)
+        left = reach.pieces(n, s2, t2, w_up, w_down, size)
+        up, down, orders = left.add_up, left.add_down, {}
+        for block in left.blocks():
+            v_up, n_up, v_down, n_down = reach.answer(left, *block, orders)
+            up[v_up] += n_up
+            down[v_down] += n_down
+        reach.unfold(up, down, w_up, w_down, rounds)
+        met = np.eye(n, dtype=int)
+        for a, b in edges[::-1]:  # targets of a node come before it
+            met[a] |= met[b]
+        assert (up == met @ weight).all() and (down == weight @ met).all()
+
+
+def test_components_of_long_and_crossed_walks():
+    from loomgraph.operators import reach
+    n = 20000
+    ring = np.arange(n)
+    comp = reach.strong(n + 3, np.append(ring, [0, n, n + 1]), np.append((ring + 1) % n, [n, n + 1, n]))
+    assert len(set(comp[:n])) == 1 and comp[n] == comp[n + 1] != comp[0] and comp[n + 2] == n + 2
