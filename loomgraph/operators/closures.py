@@ -41,20 +41,22 @@ REPEATS = 4      # of a task's passes over its edges in a round
 FOLDS = 16       # of folding nodes into their only neighbour
 NODE_BITS = 40   # of a label, below its rank
 NUMBERS = 1 << 24  # nodes whose labels travel as an array: 4 bytes each
+STRIP = 1 << 11    # edges in a row of a packed table
+SORTED = 1 << 20   # edges that are sorted before they are packed
+STRIPS = "s binary, t binary"
 WALK = 1 << 20     # edges whose components the driver finds itself
 HELD = 1 << 22     # edges without cycles that are taken apart in memory
 
 
 def numbered(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, v), those with many edges in and out last, and edges (s, t) between their numbers, without loops."""
+    """Nodes (id, v), those with many edges in and out last, and edges (s, t) between their numbers, without loops, not yet written."""
     ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
         edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     ranked = ends.groupBy("id").agg((F.sum("o") * F.sum("i")).alias("rank"))
     nodes = scratch.write("nodes", with_row_index(ranked, [F.col("rank"), F.col("id")], "v").select("id", "v"))
-    pairs = edges.filter("src <> dst").select("src", "dst").distinct()
-    named = pairs.join(nodes.select(F.col("id").alias("src"), F.col("v").alias("s")), "src").join(
+    named = edges.filter("src <> dst").join(nodes.select(F.col("id").alias("src"), F.col("v").alias("s")), "src").join(
         nodes.select(F.col("id").alias("dst"), F.col("v").alias("t")), "dst")
-    return nodes, scratch.write("pairs", named.select("s", "t"))
+    return nodes, named.select("s", "t")
 
 
 def turned(pairs: DataFrame) -> DataFrame:
@@ -117,13 +119,38 @@ def held(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy().astype(np.int64) for c in df.toArrow().columns]
 
 
+def _strip(s: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Edges as rows of up to STRIP of them, by target, four bytes for each end."""
+    by = np.argsort(t, kind="stable")
+    s, t = s[by].astype(np.int32), t[by].astype(np.int32)
+    for low in range(0, len(s), STRIP):
+        yield pa.RecordBatch.from_arrays([pa.array([x[low:low + STRIP].tobytes()], pa.binary()) for x in (s, t)], ["s", "t"])
+
+
+def strips(scratch: Scratch, pairs: DataFrame) -> DataFrame:
+    """Edges are read in every round, which costs more than the work when they come a row at a time."""
+    def run(batches):
+        some, n = [], 0
+        for b in batches:
+            some.append((b.column("s").to_numpy(), b.column("t").to_numpy()))
+            n += b.num_rows
+            if n >= SORTED:
+                yield from _strip(*map(np.concatenate, zip(*some)))
+                some, n = [], 0
+        if some:
+            yield from _strip(*map(np.concatenate, zip(*some)))
+
+    return scratch.write("pairs", pairs.mapInArrow(run, STRIPS))
+
+
 def _ends(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
-        yield b.column("s").to_numpy().astype(np.int32), b.column("t").to_numpy().astype(np.int32)
+        if b.num_rows:
+            yield tuple(np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in b.column(c)]) for c in ("s", "t"))
 
 
 def climbed(pairs: DataFrame, label: np.ndarray) -> np.ndarray:
-    """The largest label among those of a node and of all that reach it. A task passes over its edges until
+    """The largest label among those of a node and of all that reach it along packed edges. A task passes over its edges until
     half of the labels that rose in the first pass, or more, stay."""
     sc, changed = pairs.sparkSession.sparkContext, True
     while changed:
@@ -181,11 +208,12 @@ def returned(pairs: DataFrame, label: np.ndarray) -> np.ndarray:
 
 
 def labelled(scratch: Scratch, pairs: DataFrame, n: int) -> tuple[np.ndarray, bool]:
-    """The component of each of n nodes, and whether no other cycle is left: as `components`, by arrays."""
+    """The component of each of n nodes, and whether no other cycle is left: as `components`, by arrays, of packed edges."""
     comp, rest, sc = np.arange(n, dtype=np.int32), pairs, pairs.sparkSession.sparkContext
     for k in range(PASSES):
-        if rest.count() <= WALK:
-            found = reach.strong(n, *held(rest)).astype(np.int32)
+        if (rest.agg(F.sum(F.octet_length("s"))).first()[0] or 0) // 4 <= WALK:
+            few = [np.empty((2, 0), np.int32), *_ends(rest.toArrow().to_batches())]
+            found = reach.strong(n, *map(np.concatenate, zip(*few))).astype(np.int32)
             return np.where(found == np.arange(n), comp, found), True
         label = climbed(rest, np.arange(n, dtype=np.int32))
         hit = returned(rest, label)
@@ -196,15 +224,15 @@ def labelled(scratch: Scratch, pairs: DataFrame, n: int) -> tuple[np.ndarray, bo
             label, hit = sent.value
             for s, t in _ends(batches):
                 e = (label[s] == label[t]) & ~hit[s] & ~hit[t]
-                yield pa.RecordBatch.from_arrays([pa.array(s[e].astype(np.int64)), pa.array(t[e].astype(np.int64))], ["s", "t"])
+                yield from _strip(s[e], t[e])
 
-        rest = scratch.write(f"rest-{k}", rest.mapInArrow(run, "s bigint, t bigint"))
+        rest = scratch.write(f"rest-{k}", rest.mapInArrow(run, STRIPS))
         sent.destroy()
     return comp, rest.isEmpty()
 
 
 def contracted(scratch: Scratch, nodes: DataFrame, pairs: DataFrame, comp: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, c) with their components, and edges (s, t) between these."""
+    """Nodes (id, c) with their components, and edges (s, t) between these, of packed edges."""
     sent = pairs.sparkSession.sparkContext.broadcast(comp)
 
     def name(batches):
@@ -407,12 +435,17 @@ def packed(sized: DataFrame, links: DataFrame) -> DataFrame:
 def closure_counts(edges: DataFrame, words: int = 32) -> DataFrame:
     """id, n_ancestors, n_descendants of every node of the edges (src, dst), itself not counted."""
     scratch = Scratch(edges.sparkSession)
+    edges = scratch.write("given", edges.select("src", "dst"))  # nodes and pairs read it
     nodes, pairs = numbered(scratch, edges)
     n = nodes.count()
     if n <= NUMBERS:
+        pairs = strips(scratch, pairs)
+        scratch.remove("given")
         comp, acyclic = labelled(scratch, pairs, n)
         of, links = contracted(scratch, nodes, pairs, comp)
     else:
+        pairs = scratch.write("pairs", pairs)
+        scratch.remove("given")
         moved, acyclic = components(scratch, pairs)
         moved = nodes.select("v", F.col("v").alias("c")).limit(0) if moved is None else moved
         names = scratch.write("names", nodes.join(moved, "v", "left").select("id", "v", F.coalesce("c", "v").alias("c")))
